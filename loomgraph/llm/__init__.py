@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query -> the module that holds a function of that name, and oracle() if SQL can express it
 _MODULES = {
+    "op1_html_extraction": "html_mincut",
     "op2_token_store": "token_store",
+    "op3_warc": "warc",
     "op8_pii": "pii",
     "op9_licenses": "licenses",
     "op10_sentencepiece": "sentencepiece_codec",
