@@ -1,10 +1,10 @@
-"""Distinct-chunk table: every distinct chunk of text is tokenized once per task.
+"""Distinct-chunk table: every distinct chunk of text is tokenized once per worker.
 
-A tokenizer whose tokens never run from a character into a following space can
-encode the chunks between such places apart; the ids of a text are then the
-chunks' ids, joined by position. Chunks of one space and a word are most of a
-text; new ones are encoded together in one call and told apart again by the
-tokens that start with the space mark.
+Where a tokenizer's tokens start with a space or hold none, the ids of a text
+are the ids of its chunks - a space and what follows up to the next - joined by
+position. Arrow splits the texts and numbers the distinct chunks; new ones are
+encoded together in one call and told apart again by the tokens that start
+with the space mark; numpy puts the ids back in place.
 """
 
 from __future__ import annotations
@@ -13,51 +13,79 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Entries of a table before it starts anew: bounds a worker's memory.
-MAX_ENTRIES = 600_000
-_WORD = re.compile(r" [^ \n]+")
+MAX_ENTRIES = 1_000_000
 _JOINED = 4096
 
 
 class ChunkTable:
-    """encode: text -> ids. starts: for each id, whether its token starts with a space.
+    """encode(chunks): ids of the text that the chunks make, a space before each.
 
-    split: pattern whose matches tile a text. Only matches of one space and no
-    further space or line end are encoded together.
+    starts: for each id, whether its token starts with a space. first: ids of a
+    text's first chunk, which no space precedes; None if the tokenizer puts one
+    there. odd: chunks in which it is found are not encoded apart.
     """
 
-    def __init__(self, split: re.Pattern, encode: Callable[[str], list[int]], starts: np.ndarray, one: Callable[[str], list[int]], joined: Callable[[list[str]], str] = "".join, max_entries: int = MAX_ENTRIES):
-        self.split, self.encode, self.starts, self.one, self.joined, self.max = split, encode, starts, one, joined, max_entries
-        self.known: dict[str, bytes] = {}
+    def __init__(self, encode: Callable[[list[str]], list[int]], starts: np.ndarray, first: Callable[[str], list[int]] | None, odd: re.Pattern, max_entries: int = MAX_ENTRIES):
+        self.encode, self.starts, self.first, self.odd, self.max = encode, starts, first, odd, max_entries
+        self.known: dict[str, bytes | None] = {}
 
     def _learn(self, new: list[str]) -> None:
         known, plain = self.known, []
         for chunk in new:
-            if _WORD.fullmatch(chunk):
-                plain.append(chunk)
+            if self.odd.search(chunk):
+                known[chunk] = None
+            elif not chunk:
+                known[chunk] = np.asarray(self.encode([chunk]), "<u4").tobytes()
             else:
-                known[chunk] = np.asarray(self.one(chunk), "<u4").tobytes()
+                plain.append(chunk)
         for at in range(0, len(plain), _JOINED):
             some = plain[at : at + _JOINED]
-            ids = np.asarray(self.encode(self.joined(some)), "<u4")
+            ids = np.asarray(self.encode(some), "<u4")
             cut = np.flatnonzero(self.starts[ids])
-            if len(cut) != len(some) or (len(cut) and cut[0]):
+            if len(cut) != len(some) or cut[0]:
                 for chunk in some:
-                    known[chunk] = np.asarray(self.one(chunk), "<u4").tobytes()
+                    known[chunk] = np.asarray(self.encode([chunk]), "<u4").tobytes()
                 continue
-            raw, ends = ids.tobytes(), [*(cut[1:] * 4).tolist(), len(ids) * 4]
-            begin = 0
+            raw, ends, begin = ids.tobytes(), [*(cut[1:] * 4).tolist(), len(ids) * 4], 0
             for chunk, end in zip(some, ends):
                 known[chunk] = raw[begin:end]
                 begin = end
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """For each text, its ids as little-endian unsigned 32-bit integers."""
-        known = self.known
-        if len(known) > self.max:
-            known.clear()
-        chunks = [self.split.findall(t) for t in texts]
-        if new := list({c for row in chunks for c in row if c not in known}):
+    def encode_all(self, texts: list[str]) -> list[bytes | None]:
+        """For each text, its ids as little-endian unsigned 32-bit integers; None for those to encode whole."""
+        if len(self.known) > self.max:
+            self.known.clear()
+        whole = [k for k, t in enumerate(texts) if "  " in t or self.first is None and t[:1] == " "]
+        split = pc.split_pattern(pa.array([t if "  " not in t else "" for t in texts], pa.string()), " ")
+        offsets = split.offsets.to_numpy()
+        flat = split.flatten().dictionary_encode()
+        codes, chunks = flat.indices.to_numpy(), flat.dictionary.to_pylist()
+        if new := [c for c in chunks if c not in self.known]:
             self._learn(new)
-        return [b"".join(map(known.__getitem__, row)) for row in chunks]
+        ids = [self.known[c] for c in chunks]
+        odd = [k for k, b in enumerate(ids) if b is None]
+        ids = [b or b"" for b in ids]
+        size = np.array([len(b) // 4 for b in ids], np.int64)
+        begin, table = np.cumsum(size) - size, np.frombuffer(b"".join(ids), "<u4")
+        size = size[codes]
+        if self.first is not None:
+            size[offsets[:-1]] = 0  # every text has a first chunk
+        ends = np.cumsum(size)
+        out = table[np.repeat(begin[codes] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        ends = np.concatenate([[0], ends])[offsets]
+        result: list[bytes | None] = [out[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+        if self.first is not None:
+            result = [np.asarray(self.first(t.partition(" ")[0]), "<u4").tobytes() + b if t else b"" for t, b in zip(texts, result)]
+        elif empty := [k for k, t in enumerate(texts) if not t]:
+            for k in empty:
+                result[k] = b""
+        if odd:
+            hit = np.isin(codes, odd)
+            whole += np.unique(np.searchsorted(offsets, np.flatnonzero(hit), side="right") - 1).tolist()
+        for k in whole:
+            result[k] = None
+        return result

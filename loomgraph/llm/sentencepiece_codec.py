@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,16 @@ from .chunks import ChunkTable
 from .shared import slices, small_batches, table, texts_of
 
 MARK = "▁"
-_SPLIT = re.compile(r" +[^ ]*")
 #: Texts with one of these are encoded whole: they may hold what a model treats apart.
 _ODD = re.compile("[\x00▁�\ud800-\udfff]")
 
 
+@lru_cache(1)
+def codec_for(model_path: str) -> "Codec":
+    """One codec, and so one table, for all tasks of a Python worker."""
+    return Codec(model_path)
+
+
 class Codec:
     """Exactly what the library gives for encode(text) and decode(ids)."""
 
@@ -39,11 +45,10 @@ class Codec:
         self.by_chunk = not any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces) and self._plain()
         mark = sp.piece_to_id(MARK)
         self.table = ChunkTable(
-            _SPLIT,
-            lambda text: sp.encode(text),
+            lambda chunks: sp.encode(" ".join(chunks)) if chunks != [""] else [mark],
             np.array([p.startswith(MARK) for p in pieces]),
-            lambda chunk: sp.encode(chunk[1:]) if len(chunk) > 1 else [mark],
-            joined=lambda chunks: "".join(chunks)[1:],
+            first=None,
+            odd=_ODD,
         )
 
     def _plain(self) -> bool:
@@ -56,10 +61,10 @@ class Codec:
         """Ids of each text with begin and end ids, as little-endian unsigned 32-bit integers."""
         if not self.by_chunk:
             return [self.head + np.asarray(self.sp.encode(t), "<u4").tobytes() + self.tail for t in texts]
-        odd = {k for k, t in enumerate(texts) if _ODD.search(t)}
-        body = self.table.encode_all(["" if k in odd or not t else f" {t}" for k, t in enumerate(texts)])
-        for k in odd:
-            body[k] = np.asarray(self.sp.encode(texts[k]), "<u4").tobytes()
+        body = self.table.encode_all(texts)
+        for k, ids in enumerate(body):
+            if ids is None:
+                body[k] = np.asarray(self.sp.encode(texts[k]), "<u4").tobytes()
         return [self.head + b + self.tail for b in body]
 
     def decode(self, ids: list[bytes]) -> list[str]:
@@ -68,8 +73,8 @@ class Codec:
 
 def _digests(model_path: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model_path)
-        for batch in slices(batches, 128):
+        codec = codec_for(model_path)
+        for batch in slices(batches, 500):
             ids = codec.encode(texts_of(batch, "text"))
             out = codec.decode(ids)
             yield pa.RecordBatch.from_arrays(
@@ -95,8 +100,8 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches):
-        codec = Codec(model_path)
-        for batch in slices(batches, 128):
+        codec = codec_for(model_path)
+        for batch in slices(batches, 500):
             ids = codec.encode(texts_of(batch, "text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array([np.frombuffer(b, "<u4").astype("<i4") for b in ids], pa.list_(pa.int32())), pa.array(codec.decode(ids), pa.string())],

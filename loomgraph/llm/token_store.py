@@ -15,6 +15,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,16 @@ CHECKSUM_FLAG = 0x80
 
 FRAME_IDS = 1 << 20
 SUFFIX = ".ids.zst"
-_SPLIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+$")
 #: Texts with white space other than blanks and line ends, or with special tokens, are encoded whole.
 _ODD = re.compile(r"[^\S \n]|[\x1c-\x1f\x85᠎​-‏﻿]|<\|")
 
 
+@lru_cache(1)
+def encoder_for(tokenizer_path: str) -> "Encoder":
+    """One encoder, and so one table, for all tasks of a Python worker."""
+    return Encoder(tokenizer_path)
+
+
 class Encoder:
     """Exactly what tokenizers gives for encode(text, add_special_tokens=False).ids."""
 
@@ -47,14 +53,15 @@ class Encoder:
         starts = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, k in vocabulary.items():
             starts[k] = token.startswith("Ġ")
-        one = lambda text: t.encode(text, add_special_tokens=False).ids
-        self.one, self.table = one, ChunkTable(_SPLIT, one, starts, one)
+        one = lambda text: t.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        self.one = one
+        self.table = ChunkTable(lambda chunks: one(" " + " ".join(chunks)), starts, first=one, odd=_ODD)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        odd = {k for k, t in enumerate(texts) if _ODD.search(t)}
-        body = self.table.encode_all(["" if k in odd else t for k, t in enumerate(texts)])
-        for k in odd:
-            body[k] = np.asarray(self.one(texts[k]), "<u4").tobytes()
+        body = self.table.encode_all(texts)
+        for k, ids in enumerate(body):
+            if ids is None:
+                body[k] = np.asarray(self.one(texts[k]), "<u4").tobytes()
         return body
 
 
@@ -160,9 +167,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
         from pyspark import TaskContext
 
         encoder, out = None, None
-        for batch in slices(batches, 128):
+        for batch in slices(batches, 500):
             if out is None:
-                encoder = Encoder(tokenizer_path)
+                encoder = encoder_for(tokenizer_path)
                 out = SeekableWriter(f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}{SUFFIX}")
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts_of(batch, "text"))):
                 out.add(doc_id, ids + end)
