@@ -12,6 +12,7 @@ _MODULES = {
     "op1_html_extraction": "html_mincut",
     "op2_token_store": "token_store",
     "op3_warc": "warc",
+    "op4_toxicity": "toxicity",
     "op8_pii": "pii",
     "op9_licenses": "licenses",
     "op10_sentencepiece": "sentencepiece_codec",
