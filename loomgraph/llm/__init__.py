@@ -13,6 +13,7 @@ _MODULES = {
     "op2_token_store": "token_store",
     "op3_warc": "warc",
     "op4_toxicity": "toxicity",
+    "op5_decontaminate": "decontaminate",
     "op6_near_dedup": "near_dedup",
     "op8_pii": "pii",
     "op9_licenses": "licenses",
