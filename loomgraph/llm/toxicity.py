@@ -142,11 +142,24 @@ def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
+def _tree(tails: list[str]) -> str:
+    """A pattern of the given strings, alike beginnings written once; a string that begins others stands for them."""
+    if "" in tails:
+        return ""
+    by: dict[str, list[str]] = defaultdict(list)
+    for t in tails:
+        by[t[0]].append(t[1:])
+    parts = [re.escape(c) + _tree(rest) for c, rest in sorted(by.items())]
+    return f"(?:{'|'.join(parts)})"
+
+
 class Counted(dict):
-    """word -> numbers of its vocabulary terms."""
+    """word -> numbers of its vocabulary terms. Only words that begin as some term does are looked at."""
 
     def __init__(self, terms: dict[str, int]):
         self.vocabulary = terms
+        begins = {t.rstrip("*")[:8] for t in terms if t}
+        self.some = re.compile(r"\b" + _tree(list(begins)) + r"\w*") if begins else None
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) > _REMEMBERED:
@@ -156,9 +169,9 @@ class Counted(dict):
 
     def count(self, text: str) -> dict[int, int]:
         """Term counts; at 0, the weight of the text's start in thousandths."""
-        words = _WORD.findall(text.lower())
-        tf = Counter(t for found in map(self.__getitem__, words) if found for t in found)
-        tf[0] = round(1000 * START_WEIGHT * math.sqrt(1 + len(words) / START_WORDS)) if tf else 1000
+        text = text.lower()
+        tf = Counter(t for word in (self.some.findall(text) if self.some else ()) for t in self[word])
+        tf[0] = round(1000 * START_WEIGHT * math.sqrt(1 + len(_WORD.findall(text)) / START_WORDS)) if tf else 1000
         return tf
 
 
