@@ -15,6 +15,7 @@ _MODULES = {
     "op4_toxicity": "toxicity",
     "op5_decontaminate": "decontaminate",
     "op6_near_dedup": "near_dedup",
+    "op7_ann": "ann",
     "op8_pii": "pii",
     "op9_licenses": "licenses",
     "op10_sentencepiece": "sentencepiece_codec",
