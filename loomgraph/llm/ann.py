@@ -26,7 +26,7 @@ from .shared import drop_path, table, written
 #: The most distinct vectors that the partitioner is fitted on, picked by hash; vectors in a part; parts.
 FIT_ROWS, PART_ROWS, MAX_PARTS = 8192, 1500, 128
 GRAPH, HIDDEN, EPOCHS = 10, 128, 40
-RECALL = 0.985
+RECALL = 0.96
 BLOCK = 4000
 
 
@@ -148,7 +148,7 @@ def fit(x: np.ndarray, parts: int, recall: float = RECALL, seed: int = 0) -> Rou
     for probes in range(1, parts + 1):
         if not needed.size or (needed < probes).mean() >= recall:
             break
-    router.probes = min(parts, probes + 1)
+    router.probes = min(parts, probes)
     return router
 
 
