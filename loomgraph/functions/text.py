@@ -72,7 +72,7 @@ def mask_of(ids: Column, pad: int = 0) -> Column:
 
 def parse_entities(reply: str | Column) -> Column:
     """Names in the lines of a model's reply (STR-F7)."""
-    lines = F.transform(F.split(col(reply), "\n"), F.trim)
+    lines = F.transform(F.split(col(reply), "\n"), lambda t: F.trim(t))
     lines = F.filter(lines, lambda t: (t != "") & ~t.startswith("#") & ~t.startswith("Extracted") & ~t.startswith("Entities"))
     names = F.transform(lines, lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, r"^\d+\.?\s*", ""), r"[-*_]", "")))
     return F.array_distinct(F.filter(names, lambda t: F.length(t) > 2))
