@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomgraph.llm import decontaminate, near_dedup, pii, sentencepiece_codec, toxicity
-from loomgraph.llm.shared import shared_path, table
+from loomgraph.llm.shared import filter_rows, shared_path, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -22,13 +21,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: that of the least doc_id."""
     kept = near_dedup.classes(docs).where("keep").select("_row")
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(kept, "_row", "left_semi").select(*docs.columns)
+    return filter_rows(docs, kept, "kept-rows", keep=True)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item in them."""
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("_row").distinct()
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(found, "_row", "left_anti").select(*docs.columns)
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return filter_rows(docs, found, "leak-rows", keep=False)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

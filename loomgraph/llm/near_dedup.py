@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import shingles as S
 from .components import components
-from .shared import drop_path, slices, small_batches, table, texts_of, written
+from .shared import drop_path, rows_by_split, rows_of_split, slices, small_batches, table, texts_of, written
 
 BANDS, ROWS = 20, 5
 THRESHOLD = 0.8
@@ -54,20 +54,30 @@ def _sketches(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, _row long, key binary, bands array<long>")
 
 
-def _shingle_rows(rows: DataFrame) -> DataFrame:
-    """key, hashes, counts of the given rows (key, text)."""
+def _shingle_rows(rows: DataFrame, wanted: str) -> DataFrame:
+    """key, hashes, counts of the rows (_row, text) that a table written by rows_by_split (_row, key) names."""
 
     def run(batches):
-        for batch in slices(batches, 250):
-            at, h, _ = S.shingle_hashes(texts_of(batch, "text"))
-            at, h, count = S.weighted(at, h)
-            cut = np.searchsorted(at, np.arange(batch.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.ListArray.from_arrays(cut, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(count.astype(np.int32)))],
-                ["key", "hashes", "counts"],
-            )
-
-    return rows.select("key", "text").mapInArrow(run, "key binary, hashes array<long>, counts array<int>")
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        named = rows_of_split(wanted, TaskContext.get().partitionId())
+        if named is None:
+            return
+        ids, keys = named.column("_row").combine_chunks(), named.column("key").combine_chunks()
+        for batch in batches:
+            at = pc.index_in(batch.column("_row"), value_set=ids)
+            mine = batch.filter(at.is_valid())
+            for part in slices([mine.set_column(0, "key", keys.take(at.drop_null()))], 250):
+                at_, h, _ = S.shingle_hashes(texts_of(part, "text"))
+                at_, h, count = S.weighted(at_, h)
+                cut = np.searchsorted(at_, np.arange(part.num_rows + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("key"), pa.ListArray.from_arrays(cut, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(count.astype(np.int32)))],
+                    ["key", "hashes", "counts"],
+                )
+
+    return rows.select("_row", "text").mapInArrow(run, "key binary, hashes array<long>, counts array<int>")
 
 
 def _numpy(column) -> list[np.ndarray]:
@@ -176,8 +186,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pairs = inside.join(leaders, ["band", "hash"]).where("key <> leader").select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
     pairs = written(pairs, "near-pairs", made)
 
-    wanted = written(nodes.join(company, "key", "left_semi").select("key", F.col("first._row").alias("_row")), "near-wanted", made)
-    sets = written(_shingle_rows(rows.select("_row", "text").join(wanted, "_row")), "near-sets", made)
+    wanted = rows_by_split(nodes.join(company, "key", "left_semi").select("key", F.col("first._row").alias("_row")), "near-wanted", made)
+    sets = written(_shingle_rows(rows, wanted), "near-sets", made)
     checked = written(_verified(pairs, sets, threshold), "near-checked", made)
     links = checked.where("linked").select("a", "b")
     label = components(links, "near-classes")

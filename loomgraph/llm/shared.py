@@ -9,6 +9,7 @@ from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch sent to Python: bounds a worker's memory when texts are long.
 BATCH_ROWS = 500
@@ -56,6 +57,61 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def rows_by_split(rows: DataFrame, name: str, made: list[str]) -> str:
+    """Write a table with _row, numbers of a scan's rows (monotonically_increasing_id), one folder for each split of the scan.
+
+    A later scan of the same table can then pick its rows without a shuffle of
+    its texts: the task of a split reads that split's folder (rows_of_split).
+    """
+    path = shared_path(rows.sparkSession, name)
+    split = F.shiftright("_row", 33).alias("split")
+    rows.withColumn("split", split).repartition("split").write.partitionBy("split").parquet(path)
+    made.append(path)
+    return path
+
+
+def rows_of_split(path: str, split: int) -> pa.Table | None:
+    """What rows_by_split wrote for a split; None if nothing."""
+    import pyarrow.parquet as pq
+
+    folder = f"{path}/split={split}"
+    if not is_folder(folder):
+        return None
+    parts = []
+    for f in list_files(folder, ".parquet"):
+        with open_read(f) as file:
+            parts.append(pq.read_table(file))
+    return pa.concat_tables(parts) if parts else None
+
+
+def filter_rows(docs: DataFrame, rows: DataFrame, name: str, keep: bool) -> DataFrame:
+    """docs less the rows that rows (_row) names, or only those, by their splits; docs must be a table scan."""
+    made: list[str] = []
+    path = rows_by_split(rows.select("_row").distinct(), name, made)
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        import pyarrow.compute as pc
+        from pyspark import TaskContext
+
+        named = rows_of_split(path, TaskContext.get().partitionId())
+        ids = named.column("_row").combine_chunks() if named is not None else pa.array([], pa.int64())
+        for batch in batches:
+            hit = pc.is_in(batch.column("_row"), value_set=ids)
+            yield batch.filter(hit if keep else pc.invert(hit)).drop_columns(["_row"])
+
+    return docs.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(run, docs.schema)
+
+
+def is_folder(path: str) -> bool:
+    if (p := _local(path)) is not None:
+        return os.path.isdir(p)
+    from pyarrow import fs
+
+    f, p = _filesystem(path)
+    return f.get_file_info(p).type == fs.FileType.Directory
+
+
 def _filesystem(path: str):
     """A pyarrow file system and the path in it, for paths that are not local."""
     from pyarrow import fs
