@@ -15,13 +15,13 @@ def mentions(docs: DataFrame, key: str, patterns: list[tuple[str, str]], confide
     All patterns run in one pass over a text; nothing is shuffled, as a text's
     mentions are settled within its row. start is the first occurrence.
     """
-    none = F.expr("cast(array() as array<struct<text:string,type:string>>)")
-    found = none
-    for kind, pattern in patterns:
-        hits = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda m: F.length(m) >= least))
-        have = F.transform(found, lambda f: f["text"])
-        found = F.concat(found, F.transform(F.array_except(hits, have), lambda m: F.struct(m.alias("text"), F.lit(kind).alias("type"))))
-    at = docs.select(key, "text", F.posexplode(found).alias("ord", "m")).select(key, F.col("text").alias("_t"), (F.col("ord") + 1).alias("ord"), F.col("m.text").alias("text"), F.col("m.type").alias("type"))
+    one = lambda kind, pattern: F.transform(
+        F.filter(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))), lambda m: F.length(m) >= least), lambda m: F.struct(m.alias("text"), F.lit(kind).alias("type"))
+    )
+    every = docs.select(key, "text", F.flatten(F.array(*(one(k, p) for k, p in patterns))).alias("_all"))
+    every = every.withColumn("_texts", F.transform("_all", lambda m: m["text"]))
+    first = F.filter("_all", lambda m, i: F.array_position("_texts", m["text"]) == i + 1)
+    at = every.select(key, "text", F.posexplode(first).alias("ord", "m")).select(key, F.col("text").alias("_t"), (F.col("ord") + 1).alias("ord"), F.col("m.text").alias("text"), F.col("m.type").alias("type"))
     start = F.call_function("locate", F.col("text"), F.col("_t"))
     return at.select(key, "text", "type", start.alias("start"), (start + F.length("text") - 1).alias("stop"), confidence(F.col("text"), F.col("type")).alias("confidence"), "ord")
 
