@@ -34,13 +34,15 @@ def words(text: Column) -> Column:
 
 
 def _shingled(df: DataFrame, column: str, k: int, keep: list[str], position: str | None = None) -> DataFrame:
-    """keep, (position,) h of each run of k words of an array column."""
-    names = [f"w{i}" for i in range(k)]
-    parts = [F.col(column).alias("w0"), *(F.slice(F.col(column), i + 1, 2**31 - 1 - i).alias(f"w{i}") for i in range(1, k))]
-    rows = df.withColumns({f"_{n}": p for n, p in zip(names, parts)}).select(*keep, F.arrays_zip(*(F.col(f"_{n}") for n in names)).alias("_z"))
-    each = rows.select(*keep, F.posexplode("_z").alias(position or "_at", "_w")) if position else rows.select(*keep, F.explode("_z").alias("_w"))
-    w = [F.col("_w")[f"_{n}"] for n in names]
-    return each.where(w[-1].isNotNull()).select(*keep, *([position] if position else []), F.xxhash64(*w).alias("h"))
+    """keep, (position,) h of each run of k words of an array column.
+
+    Runs are hashed within the row, so that exploded rows hold numbers only.
+    """
+    names = [f"_w{i}" for i in range(k)]
+    parts = [F.col(column), *(F.slice(F.col(column), i + 1, 2**31 - 1 - i) for i in range(1, k))]
+    rows = df.withColumns(dict(zip(names, parts))).select(*keep, F.slice(F.arrays_zip(*map(F.col, names)), 1, F.greatest(F.size(column) - (k - 1), F.lit(0))).alias("_z"))
+    hashes = F.transform("_z", lambda x: F.xxhash64(*(x[n] for n in names)))
+    return rows.select(*keep, F.posexplode(hashes).alias(position, "h") if position else F.explode(hashes).alias("h"))
 
 
 def sim_hash(df: DataFrame, keys: list[str]) -> DataFrame:
