@@ -60,8 +60,9 @@ class Index:
             g[label] += 1
             if doc_id is not None:
                 g[2].append(doc_id)
-        self.entries = sorted(groups.items(), key=lambda g: g[0])
+        self.entries = sorted(groups.items(), key=lambda g: (g[0][1:], g[0]))  # alike ones next to each other: blocks with low bounds
         self.votes = np.array([g[1][:2] for g in self.entries], float).reshape(-1, 2)
+        self.size = self.votes.sum(1)
         self.ids = [sorted(g[1][2])[:3] for g in self.entries]
         self.base = self.votes[:, 1].sum() / max(1.0, self.votes.sum())
         self.blocks = -(-len(self.entries) // BLOCK)
@@ -91,26 +92,28 @@ class Index:
         bound = np.zeros(self.blocks)
         for w, (_, _, top, _) in query:
             bound += w * top
-        found: list[tuple[float, int]] = []
-        k, least = k or self.k, 0.0
+        k, least = k or self.k, 1e-9
+        cosine, entry = np.zeros(0), np.zeros(0, int)
         for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] + 1e-9 < least:
+            if bound[b] + 1e-9 < least:
                 break
             score = np.zeros(min(BLOCK, len(self.entries) - b * BLOCK))
             for w, (at, weight, _, cut) in query:
                 mine = slice(cut[b], cut[b + 1])
                 score[at[mine] - b * BLOCK] += w * weight[mine]
-            for j in np.flatnonzero(score > 0):
-                found.append((round(float(score[j]), 9), int(b * BLOCK + j)))
-            found.sort(key=lambda x: (-x[0], x[1]))
-            have = 0.0
-            for n, (s, e) in enumerate(found):
-                have += self.votes[e].sum()
-                if have >= k:
-                    least = s
-                    found = [x for x in found if x[0] >= s]
-                    break
-        return found
+            score = np.round(score, 9)
+            new = np.flatnonzero(score >= least)
+            if not len(new):
+                continue
+            cosine, entry = np.concatenate([cosine, score[new]]), np.concatenate([entry, new + b * BLOCK])
+            order = np.lexsort((entry, -cosine))
+            cosine, entry = cosine[order], entry[order]
+            have = np.cumsum(self.size[entry])
+            if have[-1] >= k:
+                least = max(least, cosine[np.searchsorted(have, k)])
+                keep = np.searchsorted(-cosine, -least, side="right")
+                cosine, entry = cosine[:keep], entry[:keep]
+        return list(zip(cosine.tolist(), entry.tolist()))
 
     def vote(self, tf: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
         """Share of label 1 in the votes by cosine, drawn to the base rate."""
@@ -254,14 +257,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Index:
     return index
 
 
-def score_column(docs: DataFrame, index: Index) -> DataFrame:
+def score_column(docs: DataFrame, index: Index, prefix: str = "") -> DataFrame:
     """docs with score, predicted and evidence (doc_ids of the nearest examples) after its own columns.
 
     A null or empty text has the score of a text without any term. Own columns
-    of these names give way to the results. The score depends on the text only.
+    of these names, the prefix before them, give way to the results. The score
+    depends on the text only.
     """
     small_batches(docs.sparkSession)
-    new = ("score", "predicted", "evidence")
+    new = tuple(prefix + x for x in ("score", "predicted", "evidence"))
     docs = docs.drop(*new)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +284,7 @@ def score_column(docs: DataFrame, index: Index) -> DataFrame:
                 batch = batch.append_column(name, column)
             yield batch
 
-    added = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.ArrayType(T.LongType()))]
+    added = [T.StructField(n, t) for n, t in zip(new, (T.DoubleType(), T.IntegerType(), T.ArrayType(T.LongType())))]
     schema = T.StructType([*docs.schema.fields, *added])
     return docs.mapInArrow(run, schema)
 
