@@ -5,17 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomgraph.llm import decontaminate, near_dedup, pii, sentencepiece_codec, toxicity
-from loomgraph.llm.shared import filter_rows, shared_path, table
+from loomgraph.llm.shared import filter_rows, shared_path, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that nearest labelled examples do not call toxic; null texts stay."""
-    scored = toxicity.score_column(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    return scored.where("predicted = 0").select(*docs.columns)
+    scored = toxicity.score_column(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), prefix="_toxicity_")
+    return scored.where("_toxicity_predicted = 0").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +26,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item in them."""
+    """Documents without a benchmark item in them; DataFrame operations only, like the operator."""
+    own = "__loomgraph_row"
     found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return filter_rows(docs, found, "leak-rows", keep=False)
+    found = written(found.select(F.col("_row").alias(own)).distinct(), "leak-rows")
+    return docs.withColumn(own, F.monotonically_increasing_id()).join(found, own, "left_anti").drop(own)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

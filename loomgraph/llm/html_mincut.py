@@ -315,7 +315,7 @@ def extract(pages: DataFrame, shape: tuple[float, ...] = DEFAULT_SHAPE) -> DataF
     small_batches(pages.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 256):
+        for batch in slices(batches, 256, "html"):
             texts, n, kept = [], [], []
             for page in texts_of(batch, "html"):
                 blocks = blocks_of(page)

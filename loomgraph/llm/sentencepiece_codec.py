@@ -22,6 +22,8 @@ from .chunks import ChunkTable
 from .shared import slices, small_batches, table, texts_of
 
 MARK = "▁"
+#: Words that a worker's table holds.
+MAX_ENTRIES = 300_000
 #: Texts with one of these are encoded whole: they may hold what a model treats apart.
 _ODD = re.compile("[\x00▁�\ud800-\udfff]")
 
@@ -49,6 +51,7 @@ class Codec:
             np.array([p.startswith(MARK) for p in pieces]),
             first=None,
             odd=_ODD,
+            max_entries=MAX_ENTRIES,
         )
 
     def _plain(self) -> bool:
@@ -74,7 +77,7 @@ class Codec:
 def _digests(model_path: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_for(model_path)
-        for batch in slices(batches, 500):
+        for batch in slices(batches, 2000, most=8 << 20):
             ids = codec.encode(texts_of(batch, "text"))
             out = codec.decode(ids)
             yield pa.RecordBatch.from_arrays(
@@ -101,7 +104,7 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches):
         codec = codec_for(model_path)
-        for batch in slices(batches, 500):
+        for batch in slices(batches, 2000, most=8 << 20):
             ids = codec.encode(texts_of(batch, "text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array([np.frombuffer(b, "<u4").astype("<i4") for b in ids], pa.list_(pa.int32())), pa.array(codec.decode(ids), pa.string())],

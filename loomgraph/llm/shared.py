@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Iterable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch sent to Python: bounds a worker's memory when texts are long.
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch sent to Python: bound a worker's memory when texts are long.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small; a smaller setting of the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Keep Arrow batches small; smaller settings of the session stay."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}").rstrip("bB")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -89,18 +94,18 @@ def filter_rows(docs: DataFrame, rows: DataFrame, name: str, keep: bool) -> Data
     made: list[str] = []
     path = rows_by_split(rows.select("_row").distinct(), name, made)
     small_batches(docs.sparkSession)
+    own = "__loomgraph_row"
 
     def run(batches):
-        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         named = rows_of_split(path, TaskContext.get().partitionId())
         ids = named.column("_row").combine_chunks() if named is not None else pa.array([], pa.int64())
         for batch in batches:
-            hit = pc.is_in(batch.column("_row"), value_set=ids)
-            yield batch.filter(hit if keep else pc.invert(hit)).drop_columns(["_row"])
+            hit = pc.is_in(batch.column(own), value_set=ids)
+            yield batch.filter(hit if keep else pc.invert(hit)).drop_columns([own])
 
-    return docs.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(run, docs.schema)
+    return docs.withColumn(own, F.monotonically_increasing_id()).mapInArrow(run, docs.schema)
 
 
 def is_folder(path: str) -> bool:
@@ -172,7 +177,31 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x if x is not None else "" for x in batch.column(column).to_pylist()]
 
 
-def slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterable[pa.RecordBatch]:
+#: Bytes of text that an operator works on at a time; one longer text is worked on alone.
+SLICE_BYTES = 2 << 20
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int, column: str = "text", most: int = SLICE_BYTES) -> Iterable[pa.RecordBatch]:
+    """The batches in slices of at most so many rows and bytes of a text column; then memory goes back to the system."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        at = 0
+        if column in batch.schema.names and batch.num_rows:
+            size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype("int64")
+            total = size.cumsum()
+            while at < batch.num_rows:
+                before = total[at - 1] if at else 0
+                end = min(at + rows, max(at + 1, int(total.searchsorted(before + most, side="right"))))
+                yield batch.slice(at, end - at)
+                at = end
+        else:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+    release()
+
+
+def release() -> None:
+    """Give back what a task's arrays held: workers live on, and later stages share the executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

@@ -94,7 +94,7 @@ def write_pages(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, date:
         from pyspark import TaskContext
 
         out, n, path = None, 0, ""
-        for batch in slices(batches, 256):
+        for batch in slices(batches, 256, "html"):
             if out is None:
                 path = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}{SUFFIX}"
                 out = open_write(path)

@@ -60,3 +60,13 @@ def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and out.count() == 0, name
+
+
+def test_other_columns_stay(spark, tmp_path):
+    spark.createDataFrame([(k, 0) for k in range(20)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(k, f"text number {k} of a small set", f"s{k}", k, f"p{k}", [k]) for k in range(20)] + [(None, None, None, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, score string, _row int, predicted string, evidence array<int>").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert sorted(map(str, stage(spark, docs, str(tmp_path)).collect())) == sorted(map(str, docs.collect())), name
