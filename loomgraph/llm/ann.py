@@ -33,8 +33,8 @@ BLOCK = 4000
 def _nearest(x: np.ndarray, queries: np.ndarray, k: int, skip_self: bool) -> np.ndarray:
     """Row numbers of the k nearest rows of x for each query row number."""
     sq, out = (x * x).sum(1), []
-    for at in range(0, len(queries), 512):
-        q = queries[at : at + 512]
+    for at in range(0, len(queries), 128):
+        q = queries[at : at + 128]
         d = sq[None, :] - 2 * x[q] @ x.T
         if skip_self:
             d[np.arange(len(q)), q] = np.inf

@@ -18,7 +18,9 @@ import pyarrow.compute as pc
 
 #: Entries of a table before it starts anew: bounds a worker's memory.
 MAX_ENTRIES = 1_000_000
-_JOINED = 4096
+_JOINED = 512
+#: Stands for the ids of a chunk that must not be encoded apart.
+ODD = b"odd"
 
 
 class ChunkTable:
@@ -31,13 +33,14 @@ class ChunkTable:
 
     def __init__(self, encode: Callable[[list[str]], list[int]], starts: np.ndarray, first: Callable[[str], list[int]] | None, odd: re.Pattern, max_entries: int = MAX_ENTRIES):
         self.encode, self.starts, self.first, self.odd, self.max = encode, starts, first, odd, max_entries
-        self.known: dict[str, bytes | None] = {}
+        self.known: dict[str, bytes] = {}
+        self.met_odd = False
 
     def _learn(self, new: list[str]) -> None:
         known, plain = self.known, []
         for chunk in new:
             if self.odd.search(chunk):
-                known[chunk] = None
+                known[chunk], self.met_odd = ODD, True
             elif not chunk:
                 known[chunk] = np.asarray(self.encode([chunk]), "<u4").tobytes()
             else:
@@ -64,12 +67,15 @@ class ChunkTable:
         offsets = split.offsets.to_numpy()
         flat = split.flatten().dictionary_encode()
         codes, chunks = flat.indices.to_numpy(), flat.dictionary.to_pylist()
-        if new := [c for c in chunks if c not in self.known]:
-            self._learn(new)
-        ids = [self.known[c] for c in chunks]
-        odd = [k for k, b in enumerate(ids) if b is None]
-        ids = [b or b"" for b in ids]
-        size = np.array([len(b) // 4 for b in ids], np.int64)
+        ids = list(map(self.known.get, chunks))
+        if new := [k for k, b in enumerate(ids) if b is None]:
+            self._learn([chunks[k] for k in new])
+            for k in new:
+                ids[k] = self.known[chunks[k]]
+        odd = [k for k, b in enumerate(ids) if b is ODD] if self.met_odd else []
+        for k in odd:
+            ids[k] = b""
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         begin, table = np.cumsum(size) - size, np.frombuffer(b"".join(ids), "<u4")
         size = size[codes]
         if self.first is not None:
