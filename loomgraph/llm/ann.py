@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .shared import drop_path, table, written
 
 #: The most distinct vectors that the partitioner is fitted on, picked by hash; vectors in a part; parts.
-FIT_ROWS, PART_ROWS, MAX_PARTS = 8192, 1500, 128
+FIT_ROWS, PART_ROWS, MAX_PARTS = 4096, 1500, 80
 GRAPH, HIDDEN, EPOCHS = 10, 128, 40
 RECALL = 0.96
 BLOCK = 4000
