@@ -95,15 +95,22 @@ def named_relations(docs: DataFrame, key: str, patterns: list[tuple[str, str]] =
 
 
 def triple_context(docs: DataFrame, triples: DataFrame, key: str, most: int = 5) -> DataFrame:
-    """Sentences with both ends of a triple, else with either, up to most, joined (EXT-14)."""
-    s = docs.select(key, F.posexplode(X.sentences("text")).alias("no", "sentence"))
-    low = F.lower("sentence")
-    h, t = low.contains(F.lower("head")), low.contains(F.lower("tail"))
-    hit = triples.join(s, key).withColumn("tier", F.when(h & t, 0).when(h | t, 1)).where("tier IS NOT NULL")
-    order = Window.partitionBy(key, "head", "relation_type", "tail").orderBy("tier", "no")
-    best = hit.withColumn("r", F.row_number().over(order)).withColumn("first", F.min("tier").over(Window.partitionBy(key, "head", "relation_type", "tail")))
-    kept = best.where((F.col("r") <= most) & (F.col("tier") == F.col("first")))
-    return kept.groupBy(key, "head", "relation_type", "tail").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", "sentence"))), lambda x: x["sentence"]), " ").alias("context"))
+    """Sentences with both ends of a triple, else with either, up to most, joined (EXT-14).
+
+    The sentences of an end are sought once, however many triples it is in.
+    """
+    s = docs.select(key, X.sentences("text").alias("_s"))
+    t = triples.select(key, "head", "relation_type", "tail").distinct()
+    ends = t.select(key, F.explode(F.array(F.lower("head"), F.lower("tail"))).alias("_w")).distinct()
+    low = s.select(key, F.transform("_s", F.lower).alias("_low"))
+    hit = ends.join(low, key).select(key, "_w", F.filter(F.transform("_low", lambda x, i: F.when(x.contains(F.col("_w")), i)), lambda i: i.isNotNull()).alias("_at"))
+    side = lambda c: hit.select(F.col(key).alias(f"_{c}_key"), F.col("_w").alias(f"_{c}_w"), F.col("_at").alias(f"_{c}_at"))
+    for c in ("head", "tail"):
+        t = t.join(side(c), (F.col(key) == F.col(f"_{c}_key")) & F.lower(c).eqNullSafe(F.col(f"_{c}_w")))
+    both = F.array_intersect("_head_at", "_tail_at")
+    at = F.slice(F.when(F.size(both) > 0, both).otherwise(F.sort_array(F.array_union("_head_at", "_tail_at"))), 1, most)
+    t = t.select(key, "head", "relation_type", "tail", at.alias("_at")).where(F.size("_at") > 0).join(s, key)
+    return t.select(key, "head", "relation_type", "tail", F.array_join(F.transform("_at", lambda i: F.get("_s", i)), " ").alias("context"))
 
 
 def tail_names(token_ids: Column) -> Column:

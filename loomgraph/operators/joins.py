@@ -42,6 +42,18 @@ def pairs(mentions: DataFrame, key: str) -> DataFrame:
     return side("a").join(side("b"), key).where("a_ord < b_ord")
 
 
+def pair_counts(mentions: DataFrame, key: str) -> DataFrame:
+    """How many pairs a text has and the least of them as a/b (JOIN-5): key, pairs, first.
+
+    Nothing is paired: of all pairs of one mention, that with the least later text is the least.
+    """
+    later = Window.partitionBy(key).orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
+    each = mentions.withColumn("_b", F.min("text").over(later))
+    n = F.count(F.lit(1))
+    every = each.groupBy(key).agg((n * (n - 1) / 2).cast("long").alias("pairs"), F.min(F.concat("text", F.lit("/"), "_b")).alias("first"))
+    return every.where("pairs > 0")
+
+
 def near_pairs(mentions: DataFrame, key: str, within: int = 200) -> DataFrame:
     """Pairs whose first occurrences are closer than so many characters (JOIN-6).
 

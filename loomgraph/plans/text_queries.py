@@ -54,7 +54,7 @@ def _(spark, d):
 
 @query("join5_cooccurring_pairs", f"{FOUND}, o AS (SELECT doc_id, text, start, row_number() OVER (PARTITION BY doc_id ORDER BY start, text) AS ord FROM m WHERE type='TERM') SELECT a.doc_id, count(*) AS pairs, min(a.text || '/' || b.text) AS first FROM o a JOIN o b ON a.doc_id=b.doc_id AND a.ord < b.ord WHERE a.ord <= 12 AND b.ord <= 12 GROUP BY a.doc_id")
 def _(spark, d):
-    return J.pairs(terms(spark, d).where("ord <= 12"), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("pairs"), F.min(F.concat("a_text", F.lit("/"), "b_text")).alias("first"))
+    return J.pair_counts(terms(spark, d), "doc_id")
 
 
 def terms(spark, d) -> DataFrame:
@@ -89,7 +89,7 @@ def _(spark, d):
 
 @query("ext8_pair_relations", f"{FOUND}, o AS (SELECT doc_id, text, start, row_number() OVER (PARTITION BY doc_id ORDER BY start, text) AS ord FROM m WHERE type='TERM'), p AS (SELECT a.doc_id, a.text AS head, b.text AS tail FROM o a JOIN o b ON a.doc_id=b.doc_id AND a.ord < b.ord AND a.ord <= 8 AND b.ord <= 8) SELECT doc_id, count(*) AS n, count(DISTINCT head) AS heads FROM p GROUP BY doc_id")
 def _(spark, d):
-    r = E.pair_relations(prose(spark, d), terms(spark, d).where("ord <= 8"), "doc_id")
+    r = E.pair_relations(prose(spark, d), terms(spark, d), "doc_id")
     return r.groupBy("doc_id").agg(F.count("relation_type").alias("n"), F.count_distinct("head").alias("heads"))
 
 
@@ -287,7 +287,7 @@ def _(spark, d):
 @query("ext14_triple_context")
 def _(spark, d):
     docs = prose(spark, d)
-    t = J.pairs(terms(spark, d).where("ord <= 4"), "doc_id").select("doc_id", F.col("a_text").alias("head"), F.lit("RELATED_TO").alias("relation_type"), F.col("b_text").alias("tail"))
+    t = J.pairs(terms(spark, d), "doc_id").select("doc_id", F.col("a_text").alias("head"), F.lit("RELATED_TO").alias("relation_type"), F.col("b_text").alias("tail"))
     return E.triple_context(docs, t, "doc_id")
 
 
