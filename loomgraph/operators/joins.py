@@ -116,15 +116,17 @@ def in_reference(relations: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def matched_questions(questions: DataFrame, names: DataFrame, column: str) -> DataFrame:
-    """Questions that hold some entity name whose words start where a word of theirs does (JOIN-13), any case.
+    """Questions that hold some entity name anywhere in their text (JOIN-13), any case.
 
-    Names are looked up by their first word instead of testing all pairs.
+    Distinct names meet the questions by their first letters, up to eight, among
+    all runs of that many letters of a question, so the pairs to test are few.
     """
-    name = names.select(F.lower("name").alias("n")).where("n <> ''").distinct().withColumn("w", F.split("n", r"[^\p{L}\p{N}_]+")[0])
-    q = questions.withColumn("_q", F.lower(column))
-    words = q.select("*", F.explode(F.array_distinct(F.split("_q", r"[^\p{L}\p{N}_]+"))).alias("w"))
-    hit = words.join(name, "w").where(F.col("_q").contains(F.col("n"))).select(*questions.columns).distinct()
-    return questions.join(hit, questions.columns, "left_semi")
+    most = 8
+    name = names.select(F.lower("name").alias("n")).where("n <> ''").distinct().withColumn("g", F.substring("n", 1, most))
+    q = questions.withColumn("_q", F.lower(column)).where("_q <> ''")
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.length("_q")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.substr(F.col("_q"), i, n))))
+    hit = q.select("*", F.explode(F.array_distinct(grams)).alias("_g")).join(name, (F.col("_g") == F.col("g")) & F.col("_q").contains(F.col("n")), "left_semi")
+    return questions.join(hit.select(*questions.columns).distinct(), questions.columns, "left_semi")
 
 
 def both_linked(kg: KG) -> DataFrame:

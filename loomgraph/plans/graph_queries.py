@@ -174,9 +174,14 @@ def _(spark, d):
     return J.in_reference(r, gold).select("head", "relation_type", "tail", "correct")
 
 
+def document_words(spark, d) -> DataFrame:
+    """name: the distinct words of all documents."""
+    return table(spark, d, "documents").select(F.explode(F.array_distinct(F.split("text", " "))).alias("name")).distinct()
+
+
 @query("join13_matched_questions", "WITH q AS (SELECT DISTINCT item_id, lower(text) AS t FROM benchmark), n AS (SELECT DISTINCT lower(w) AS n FROM (SELECT unnest(string_split(text, ' '))[1:99] AS w FROM documents WHERE doc_id % 97 = 0) WHERE regexp_full_match(w, '\\p{L}{4,}')) SELECT DISTINCT item_id FROM q JOIN n ON contains(t, n) AND list_contains(regexp_split_to_array(t, '[^\\p{L}\\p{N}_]+'), n)")
 def _(spark, d):
-    names = table(spark, d, "documents").where("doc_id % 97 = 0").select(F.explode(F.split("text", " ")).alias("name")).where(F.col("name").rlike(r"^\p{L}{4,}$"))
+    names = document_words(spark, d).where(F.col("name").rlike(r"^\p{L}{4,}$"))
     return J.matched_questions(table(spark, d, "benchmark").select("item_id", "text").distinct(), names, "text").select("item_id")
 
 

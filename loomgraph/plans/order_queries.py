@@ -143,7 +143,7 @@ NATION_EDGES = "SELECT head AS src, tail AS dst FROM relations WHERE relation_ty
 
 
 def place_edges(spark, d):
-    r = star_kg(spark, d).relations.where("relation_type IN ('LOCATED_IN', 'PART_OF') AND NOT head LIKE 'C:%7'")
+    r = star_kg(spark, d).relations.where("relation_type IN ('LOCATED_IN', 'PART_OF')")
     return r.select(F.col("head").alias("src"), F.col("tail").alias("dst"))
 
 

@@ -37,3 +37,21 @@ def test_all_pairs_of_a_text(spark, tmp_path):
     for r in found:
         both = [s for s in sentences if r["head"] in s and r["tail"] in s]
         assert r["context"] == " ".join((both or [s for s in sentences if r["head"] in s or r["tail"] in s])[:5])
+
+
+def test_names_of_all_documents_anywhere_in_a_question(spark, tmp_path):
+    docs = [(1, "so Glycemia x1"), (2, "ten " * 120 + "Insulinum"), (97, "Nothingness here")]
+    asked = [(1, "hyperglycemias?"), (2, "of insulinum."), (3, "glycemi a"), (4, "")]
+    d = folder(spark, tmp_path, documents=(docs, "doc_id long, text string"), benchmark=(asked, "item_id long, text string"))
+    names = {w.lower() for _, t in docs for w in t.split(" ") if w.isalpha() and len(w) >= 4}
+    held = [i for i, t in asked if any(n in t.lower() for n in names)]
+    assert held == [1, 2]
+    assert rows(QUERIES["join13_matched_questions"](spark, d)) == [(i,) for i in held]
+    assert rows(QUERIES["agg13_question_accuracy"](spark, d)) == [(4, 2, 0.5)]
+
+
+def test_places_of_all_customers(spark):
+    d = "/root/testdata/sf0.001"
+    sizes = {r["component"]: r["n"] for r in QUERIES["grf1_components"](spark, d).collect()}
+    customers = spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("C:"), F.col("c_custkey").cast("string")).alias("id"))
+    assert not {r["id"] for r in customers.where("id LIKE '%7'").collect()} & {c for c, n in sizes.items() if n == 1}
