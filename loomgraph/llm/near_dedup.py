@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 
 from . import shingles as S
 from .components import components
-from .shared import drop_path, rows_by_split, rows_of_split, slices, small_batches, table, texts_of, written
+from .shared import AT, FILE, Lookup, drop_path, lookup_table, slices, small_batches, table, texts_of, with_buckets, with_row_ids, written
 
 BANDS, ROWS = 20, 5
 THRESHOLD = 0.8
 #: Nodes in a block of a family that is compared whole.
-BLOCK = 400
+BLOCK = 256
 
 
 def _sketches(rows: DataFrame) -> DataFrame:
@@ -47,37 +47,33 @@ def _sketches(rows: DataFrame) -> DataFrame:
                 band = S.mix(band * np.uint64(31) + sign[:, k::ROWS][:, :BANDS] + np.uint64(k))
             band = band.view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), batch.column("_row"), pa.array(keys, pa.binary()), pa.array([b if s else [] for b, s in zip(band, some)], pa.list_(pa.int64()))],
-                ["doc_id", "_row", "key", "bands"],
+                [batch.column("doc_id").cast(pa.int64()), batch.column(FILE), batch.column(AT), pa.array(keys, pa.binary()), pa.array([b if s else [] for b, s in zip(band, some)], pa.list_(pa.int64()))],
+                ["doc_id", FILE, AT, "key", "bands"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, _row long, key binary, bands array<long>")
+    return rows.mapInArrow(run, f"doc_id long, {FILE} long, {AT} long, key binary, bands array<long>")
 
 
 def _shingle_rows(rows: DataFrame, wanted: str) -> DataFrame:
-    """key, hashes, counts of the rows (_row, text) that a table written by rows_by_split (_row, key) names."""
+    """key, hashes, counts of the rows (row ids, text) that a lookup table (row ids, key) names."""
 
     def run(batches):
-        import pyarrow.compute as pc
-        from pyspark import TaskContext
-
-        named = rows_of_split(wanted, TaskContext.get().partitionId())
-        if named is None:
-            return
-        ids, keys = named.column("_row").combine_chunks(), named.column("key").combine_chunks()
+        found = Lookup(wanted)
         for batch in batches:
-            at = pc.index_in(batch.column("_row"), value_set=ids)
-            mine = batch.filter(at.is_valid())
-            for part in slices([mine.set_column(0, "key", keys.take(at.drop_null()))], 250):
-                at_, h, _ = S.shingle_hashes(texts_of(part, "text"))
-                at_, h, count = S.weighted(at_, h)
-                cut = np.searchsorted(at_, np.arange(part.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), pa.ListArray.from_arrays(cut, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(count.astype(np.int32)))],
-                    ["key", "hashes", "counts"],
-                )
-
-    return rows.select("_row", "text").mapInArrow(run, "key binary, hashes array<long>, counts array<int>")
+            for mine, named, at in found.pick(batch):
+                if named is None:
+                    continue
+                keys, mine = named.column("key").combine_chunks().take(at.drop_null()), mine.filter(at.is_valid())
+                for part in slices([pa.RecordBatch.from_arrays([keys, mine.column("text")], ["key", "text"])], 250):
+                    at_, h, _ = S.shingle_hashes(texts_of(part, "text"))
+                    at_, h, count = S.weighted(at_, h)
+                    cut = np.searchsorted(at_, np.arange(part.num_rows + 1)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("key"), pa.ListArray.from_arrays(cut, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(count.astype(np.int32)))],
+                        ["key", "hashes", "counts"],
+                    )
+
+    return with_buckets(rows.select(FILE, AT, "text")).mapInArrow(run, "key binary, hashes array<long>, counts array<int>")
 
 
 def _numpy(column) -> list[np.ndarray]:
@@ -160,22 +156,22 @@ def block_links(keys: list[bytes], labels: list[bytes], sides: np.ndarray, hashe
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, _row, class_id, keep for each row of docs, near copies of at least the threshold under one class_id.
-
-    class_id is the class's least doc_id (null ids count last); keep is true
-    for one row of each class, that of the least doc_id, the first in the plan
-    of docs among equals. _row is the row's number in that plan
-    (monotonically_increasing_id), which must read the same rows in the same
-    order each time, as a table scan does. Null texts are as empty ones; texts
-    without words are near copies only if they are equal; texts of one to four
-    words only if their words are.
+    """doc_id, row ids, class_id, n_links, keep for each row of docs, near copies of at least the threshold under one class_id.
+
+    class_id is the class's least doc_id (null ids count last); n_links is the
+    number of other texts that the row's text was found and verified to be a
+    near copy of (leaders and what joins classes, not all pairs of a class);
+    keep is true for one row of each class, that of the least doc_id, of equal
+    ones the first by row id (with_row_ids: they hold however a scan is split).
+    Null texts are as empty ones; texts without words are near copies only if
+    they are equal; texts of one to four words only if their words are.
     """
     spark = docs.sparkSession
     small_batches(spark)
     made: list[str] = []
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_row", F.monotonically_increasing_id())
+    rows = with_row_ids(docs, made).select(F.col("doc_id").cast("long").alias("doc_id"), "text", FILE, AT)
     members = written(_sketches(rows), "near-members", made)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", FILE, AT)).alias("first")
     nodes = written(members.groupBy("key").agg(first, F.first("bands").alias("bands")), "near-nodes", made)
 
     each = nodes.select("key", F.posexplode("bands").alias("band", "hash"))
@@ -186,20 +182,25 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pairs = inside.join(leaders, ["band", "hash"]).where("key <> leader").select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
     pairs = written(pairs, "near-pairs", made)
 
-    wanted = rows_by_split(nodes.join(company, "key", "left_semi").select("key", F.col("first._row").alias("_row")), "near-wanted", made)
+    wanted = lookup_table(nodes.join(company, "key", "left_semi").select("key", F.col(f"first.{FILE}").alias(FILE), F.col(f"first.{AT}").alias(AT)), "near-wanted", made)
     sets = written(_shingle_rows(rows, wanted), "near-sets", made)
+    if (got := sets.count()) != (asked := company.count()):
+        raise RuntimeError(f"{asked} texts to compare, {got} read: the table changed between two scans")
     checked = written(_verified(pairs, sets, threshold), "near-checked", made)
     links = checked.where("linked").select("a", "b")
     label = components(links, "near-classes")
     label = written(company.select(F.col("key").alias("node")).join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "near-labels", made)
     family = components(pairs, "near-families").withColumnRenamed("label", "family")
-    more = _missed(label, family, sets, threshold, made)
-    label = components(links.unionByName(more), "near-all")
+    links = links.unionByName(_missed(label, family, sets, threshold, made))
+    label = components(links, "near-all")
+    degree = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
 
-    owner = members.select("doc_id", "_row", "key").join(label.select(F.col("node").alias("key"), "label"), "key", "left").select("doc_id", "_row", F.coalesce("label", "key").alias("label"))
+    known = label.join(degree, "node").select(F.col("node").alias("key"), "label", "n_links")
+    owner = members.select("doc_id", FILE, AT, "key").join(known, "key", "left").select("doc_id", FILE, AT, F.coalesce("label", "key").alias("label"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     owner = written(owner, "near-owner")
     least = written(owner.groupBy("label").agg(first), "near-least")
-    out = owner.join(least, "label").select("doc_id", "_row", F.col("first.doc_id").alias("class_id"), (F.col("_row") == F.col("first._row")).alias("keep"))
+    mine = (F.col(FILE) == F.col(f"first.{FILE}")) & (F.col(AT) == F.col(f"first.{AT}"))
+    out = owner.join(least, "label").select("doc_id", FILE, AT, F.col("first.doc_id").alias("class_id"), "n_links", mine.alias("keep"))
     for path in made:
         drop_path(spark, path)
     return out
@@ -236,4 +237,4 @@ def _missed(label: DataFrame, family: DataFrame, sets: DataFrame, threshold: flo
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")

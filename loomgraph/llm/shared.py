@@ -8,10 +8,12 @@ import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,18 +34,36 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share. One of our own only in local mode, where they are one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+#: Folders made inside scratch() blocks that no caller keeps account of.
+_scratch: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders made within go at the end: for callers that have written what they need."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            drop_path(spark, path)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
+    return path
 
 
 def written(df: DataFrame, name: str, keep: list[str] | None = None) -> DataFrame:
@@ -62,50 +82,102 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def rows_by_split(rows: DataFrame, name: str, made: list[str]) -> str:
-    """Write a table with _row, numbers of a scan's rows (monotonically_increasing_id), one folder for each split of the scan.
+#: Columns of row ids, and of the folder that a row is looked up in.
+FILE, AT, BUCKET = "__loomgraph_file", "__loomgraph_at", "__loomgraph_bucket"
+#: The most folders of a lookup table, and rows of a file that share one.
+BUCKETS, BUCKET_ROWS_LOG2 = 8192, 20
+
+
+def _is_scan(df: DataFrame) -> bool:
+    """Whether rows of the frame are rows of files one to one: a scan under column choices and filters only."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        if not plan.deterministic():
+            return False
+        plan = plan.children().head()
+    return plan.nodeName().startswith(("LogicalRelation", "Relation"))
+
+
+def with_row_ids(docs: DataFrame, made: list[str]) -> DataFrame:
+    """docs with FILE and AT: ids of its rows that hold in every later scan, however the scan is split among tasks.
 
-    A later scan of the same table can then pick its rows without a shuffle of
-    its texts: the task of a split reads that split's folder (rows_of_split).
+    Rows of Parquet files have them in their metadata (a hash of the file's
+    path and the row's place in the file), which does not depend on splits,
+    cores or executors. Any other table is written to the shared folder first.
+    A table that has the ids already stays as it is.
     """
-    path = shared_path(rows.sparkSession, name)
-    split = F.shiftright("_row", 33).alias("split")
-    rows.withColumn("split", split).repartition("split").write.partitionBy("split").parquet(path)
-    made.append(path)
-    return path
+    if FILE in docs.columns and AT in docs.columns:
+        return docs
+
+    def ids(df: DataFrame) -> DataFrame:
+        m = df.metadataColumn("_metadata")
+        return df.select("*", F.xxhash64(m["file_path"]).alias(FILE), m["row_index"].alias(AT))
+
+    if _is_scan(docs):
+        with contextlib.suppress(AnalysisException):
+            return ids(docs)
+    return ids(written(docs, "rows", made))
 
 
-def rows_of_split(path: str, split: int) -> pa.Table | None:
-    """What rows_by_split wrote for a split; None if nothing."""
-    import pyarrow.parquet as pq
+def with_buckets(numbered: DataFrame) -> DataFrame:
+    return numbered.withColumn(BUCKET, F.pmod(F.xxhash64(FILE, F.shiftright(AT, BUCKET_ROWS_LOG2)), BUCKETS).cast("int"))
 
-    folder = f"{path}/split={split}"
-    if not is_folder(folder):
-        return None
-    parts = []
-    for f in list_files(folder, ".parquet"):
-        with open_read(f) as file:
-            parts.append(pq.read_table(file))
-    return pa.concat_tables(parts) if parts else None
 
+def lookup_table(rows: DataFrame, name: str, made: list[str]) -> str:
+    """Write a table with FILE and AT in folders by BUCKET, so that a later scan picks its rows without a shuffle of its texts."""
+    path = shared_path(rows.sparkSession, name)
+    with_buckets(rows).repartition(BUCKET).sortWithinPartitions(BUCKET, FILE, AT).write.partitionBy(BUCKET).parquet(path)
+    made.append(path)
+    return path
 
-def filter_rows(docs: DataFrame, rows: DataFrame, name: str, keep: bool) -> DataFrame:
-    """docs less the rows that rows (_row) names, or only those, by their splits; docs must be a table scan."""
+
+class Lookup:
+    """Finds the rows of a scan's batches (FILE, AT, BUCKET) in a lookup table; holds one bucket at a time."""
+
+    def __init__(self, path: str):
+        self.path, self.held, self.table = path, None, None
+
+    def _bucket(self, number: int) -> pa.Table | None:
+        import pyarrow.parquet as pq
+
+        if number != self.held:
+            self.held, self.table = number, None
+            folder = f"{self.path}/{BUCKET}={number}"
+            if is_folder(folder):
+                parts = []
+                for f in list_files(folder, ".parquet"):
+                    with open_read(f) as file:
+                        parts.append(pq.read_table(file))
+                self.table = pa.concat_tables(parts).combine_chunks() if parts else None
+        return self.table
+
+    def pick(self, batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Table | None, pa.Array]]:
+        """The batch in parts of one bucket and file, each with its table and places in that table (null: not in it)."""
+        keys = batch.select([BUCKET, FILE]).to_pandas()
+        for (bucket, file), where in keys.groupby([BUCKET, FILE], sort=True).indices.items():
+            part = batch if len(where) == batch.num_rows else batch.take(pa.array(np.sort(where)))
+            table = self._bucket(int(bucket))
+            if table is not None:
+                table = table.filter(pc.equal(table.column(FILE), pa.scalar(int(file), pa.int64())))
+            if table is None or not table.num_rows:
+                yield part, None, pa.nulls(part.num_rows, pa.int32())
+            else:
+                yield part, table, pc.index_in(part.column(AT), value_set=table.column(AT).combine_chunks())
+
+
+def filter_rows(docs: DataFrame, numbered: DataFrame, rows: DataFrame, name: str, keep: bool) -> DataFrame:
+    """docs without the rows that rows (FILE, AT) names, or only those; numbered is docs with its row ids."""
     made: list[str] = []
-    path = rows_by_split(rows.select("_row").distinct(), name, made)
+    path = lookup_table(rows.select(FILE, AT).distinct(), name, made)
     small_batches(docs.sparkSession)
-    own = "__loomgraph_row"
 
     def run(batches):
-        from pyspark import TaskContext
-
-        named = rows_of_split(path, TaskContext.get().partitionId())
-        ids = named.column("_row").combine_chunks() if named is not None else pa.array([], pa.int64())
+        found = Lookup(path)
         for batch in batches:
-            hit = pc.is_in(batch.column(own), value_set=ids)
-            yield batch.filter(hit if keep else pc.invert(hit)).drop_columns([own])
+            for part, _, at in found.pick(batch):
+                yield part.filter(at.is_valid() if keep else at.is_null()).drop_columns([FILE, AT, BUCKET])
 
-    return docs.withColumn(own, F.monotonically_increasing_id()).mapInArrow(run, docs.schema)
+    return with_buckets(numbered).mapInArrow(run, docs.schema)
 
 
 def is_folder(path: str) -> bool:
