@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import decontaminate, near_dedup, pii, sentencepiece_codec, toxicity
-from loomgraph.llm.shared import filter_rows, shared_path, table, written
+from loomgraph.llm.shared import AT, FILE, drop_path, filter_rows, scratch, shared_path, table, with_row_ids, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -21,16 +21,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: that of the least doc_id."""
-    kept = near_dedup.classes(docs).where("keep").select("_row")
-    return filter_rows(docs, kept, "kept-rows", keep=True)
+    numbered = with_row_ids(docs, [])
+    kept = near_dedup.classes(numbered).where("keep")
+    return filter_rows(docs, numbered, kept, "kept-rows", keep=True)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item in them; DataFrame operations only, like the operator."""
-    own = "__loomgraph_row"
-    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    found = written(found.select(F.col("_row").alias(own)).distinct(), "leak-rows")
-    return docs.withColumn(own, F.monotonically_increasing_id()).join(found, own, "left_anti").drop(own)
+    numbered = with_row_ids(docs, [])
+    found = decontaminate.contaminated(numbered, table(spark, sf_dir, "benchmark"))
+    found = written(found.select(FILE, AT).distinct(), "leak-rows")
+    return numbered.join(found, [FILE, AT], "left_anti").select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +57,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; of what they write, only the last one's rows stay."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = shared_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            drop_path(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
