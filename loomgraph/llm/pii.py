@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -22,12 +23,13 @@ from .shared import slices, small_batches, table, texts_of
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, str]
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# The base patterns, each read in time linear in the text: an e-mail address is found from its "@",
+# an address of numbers within a whole run of dotted numbers, and what is repeated is never given back.
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_NUMBERS = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_EMAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+@-")
 
 
 def luhn(digits: str) -> bool:
@@ -50,24 +52,34 @@ def _octet(part: str) -> bool:
 
 
 def _emails(text: str) -> Iterator[Span]:
-    """Matches of the e-mail pattern: they lie within runs of its characters around an "@"."""
-    at = text.find("@")
+    """Matches of [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+: an "@" with a name before it and a domain after it."""
+    free, at = 0, text.find("@")
     while at >= 0:
         begin = at
-        while begin and text[begin - 1] in _EMAIL_CHARS:
+        while begin > free and text[begin - 1] in _LOCAL:
             begin -= 1
-        end = _EMAIL_RUN.match(text, begin).end()
-        for m in _EMAIL.finditer(text, begin, end):
-            yield m.start(), m.end(), "email"
-        at = text.find("@", end)
+        domain = _DOMAIN.match(text, at + 1) if begin < at else None
+        if domain:
+            yield begin, domain.end(), "email"
+        free = domain.end() if domain else at + 1
+        at = text.find("@", free)
+
+
+def _addresses(text: str) -> Iterator[Span]:
+    """Matches of [0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+), from left to right: four by four in a run of dotted numbers."""
+    for m in _NUMBERS.finditer(text):
+        parts, at = m[0].split("."), m.start()
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(map(_octet, four)):
+                yield at, end, "ip"
+            at = end + 1
 
 
 def base_spans(text: str) -> list[Span]:
     """Spans of the plain patterns, leftmost and not overlapping within a kind, by start and kind."""
-    out = list(_emails(text))
-    for m in _IP.finditer(text):
-        if all(_octet(x) for x in m[0].split(".")):
-            out.append((m.start(), m.end(), "ip"))
+    out = [*_emails(text), *_addresses(text)]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(d := _digits(m[0])) <= 19 and luhn(d):
             out.append((m.start(), m.end(), "card"))
@@ -100,17 +112,20 @@ _WORDS = {
     "cero": 0, "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9,
 }
 _SPELL = "|".join(sorted(_WORDS, key=len, reverse=True))
-_UNIT = rf"(?:{_SPELL})(?![^\W_])"
-#: A run of spelled digits, other digits among them, with the separators that the patterns allow.
-_SPELLED = re.compile(rf"(?<![^\W_])(?:(?:plus|\+)[ ]?)?(?:[0-9(]+[ .()-]{{0,2}})*{_UNIT}(?:[ ,.()-]{{0,2}}(?:{_UNIT}|[0-9]+|(?:dot|point|punkt|punto)(?![^\W_])))+", re.I)
-_IN_RUN = re.compile(rf"(?P<plus>plus[ ]?)|(?P<dot>[ ]?(?:dot|point|punkt|punto)(?![^\W_])[ ]?)|(?P<word>{_UNIT})|(?P<digit>[0-9])|(?P<sep>[ ,.()-])|(?P<other>.)", re.I | re.S)
-_SOME_SPELLED = re.compile(rf"(?<![^\W_]){_UNIT}[ ,.-]{{1,2}}{_UNIT}", re.I)
+_SPOKEN_DOT = "dot|point|punkt|punto"
+#: What runs of digits are made of; between two of these a run has at most two separators.
+_ITEM = re.compile(rf"(?<![^\W_])(?:(?P<word>{_SPELL})|(?P<dot>{_SPOKEN_DOT})|(?P<plus>plus))(?![^\W_])|(?P<digits>[0-9]++)|(?P<sign>\+)", re.I)
+_SEPARATORS = frozenset(" ,.()-")
+_SOME_SPELLED = re.compile(rf"(?<![^\W_])(?:{_SPELL})(?![^\W_])[ ,.-]{{1,2}}(?:{_SPELL})(?![^\W_])", re.I)
 
 _DOT = r"(?:dot|punkt|punto|point)"
 #: A bare "at" before a name with plain dots counts only with one of these ends: else "at home.Then" would.
 _ENDS = r"\.(?:com|org|net|edu|gov|info|biz|io|co|eu|de|fr|es|it|nl|uk|us)(?![A-Za-z0-9-])"
 _AT = re.compile(r"[ ]?(?:\[|\(|\{|<)[ ]?(?:at|@|arroba|ät|chez|arobase)[ ]?(?:\]|\)|\}|>)[ ]?", re.I)
 _DOTS = re.compile(rf"[ ]?(?:\[|\(|\{{|<)[ ]?(?:{_DOT}|\.)[ ]?(?:\]|\)|\}}|>)[ ]?", re.I)
+#: What makes digits before it the end of a name; words that are no beginning of one.
+_FOLLOWS = re.compile(rf"[ ]?(?:@|(?:\[|\(|\{{|<)[ ]?(?:at|@|arroba|ät|chez|arobase|{_DOT}|\.)[ ]?(?:\]|\)|\}}|>))|(?:[ ]+|_)(?:at|arroba|arobase|{_DOT})(?:[ ]+|_)", re.I)
+_NO_NAMES = frozenset("at is to on or and mail email e-mail me write contact".split())
 _SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])[ ]+@[ ]*(?=[A-Za-z0-9])|(?<=[A-Za-z0-9])@[ ]+(?=[A-Za-z0-9-]+[ ]?\.[ ]?[A-Za-z])")
 _BARE_AT = re.compile(rf"(?<=[A-Za-z0-9])(?:[ ]+|_)(?:at|arroba|arobase)(?:[ ]+|_)(?=[A-Za-z0-9-]+(?:(?:[ ]+|_){_DOT}(?:[ ]+|_)[A-Za-z0-9-]+|(?:\.[A-Za-z0-9-]+)*{_ENDS}))", re.I)
 _BARE_DOT = re.compile(rf"(?<=[A-Za-z0-9])(?:[ ]+|_){_DOT}(?:[ ]+|_)(?=[A-Za-z0-9])", re.I)
@@ -119,53 +134,88 @@ _SOME_AT = re.compile(rf"[\[({{<][ ]?(?:at|@|arroba|ät|chez|arobase|{_DOT}|\.)[
 
 
 class Tape:
-    """A text with, for each character, its source span."""
+    """A text that maps back to the one it was rewritten from, and so to the source."""
+
+    __slots__ = ("begins", "parent", "pieces", "text")
 
-    def __init__(self, text: str, begin=None, end=None):
-        self.text = text
-        self.begin = begin if begin is not None else range(len(text))
-        self.end = end if end is not None else range(1, len(text) + 1)
+    def __init__(self, text: str, parent: "Tape | None" = None, begins: list[int] | None = None, pieces: list[tuple[int, int, bool]] | None = None):
+        self.text, self.parent, self.begins, self.pieces = text, parent, begins, pieces
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> "Tape":
         """Replace spans, in order and apart; each new character stands for its whole span."""
         if not edits:
             return self
-        text, begin, end, at = [], [], [], 0
-        for a, b, new in edits:
-            text.append(self.text[at:a])
-            begin.extend(self.begin[at:a])
-            end.extend(self.end[at:a])
-            if new and b > a:
-                text.append(new)
-                begin.extend([self.begin[a]] * len(new))
-                end.extend([self.end[b - 1]] * len(new))
+        text, begins, pieces, size, at = [], [], [], 0, 0
+        for a, b, new in [*edits, (len(self.text), len(self.text), "")]:
+            for part, piece in ((self.text[at:a], (at, a, True)), (new, (a, b, False))):
+                if part:
+                    text.append(part)
+                    begins.append(size)
+                    pieces.append(piece)
+                    size += len(part)
             at = b
-        text.append(self.text[at:])
-        begin.extend(self.begin[at:])
-        end.extend(self.end[at:])
-        return Tape("".join(text), begin, end)
+        return Tape("".join(text), self, begins, pieces)
+
+    def source(self, a: int, b: int) -> tuple[int, int]:
+        """The source span of the characters from a to b."""
+        tape = self
+        while tape.parent is not None:
+            first, last = bisect_right(tape.begins, a) - 1, bisect_right(tape.begins, b - 1) - 1
+            begin, _, same = tape.pieces[first]
+            a_ = begin + a - tape.begins[first] if same else begin
+            begin, end, same = tape.pieces[last]
+            b_ = begin + b - tape.begins[last] if same else end
+            a, b, tape = a_, b_, tape.parent
+        return a, b
 
 
 def _look_alikes(t: Tape) -> Tape:
     return t.rewrite([(m.start(), m.end(), _CHARS[ord(m[0])]) for m in _ODD_CHAR.finditer(t.text)])
 
 
-def _spelled(t: Tape) -> Tape:
-    """Runs of spelled digits as digits: separators between digits go, but for a leading plus and dots."""
-    edits = []
-    for m in _SPELLED.finditer(t.text):
-        if m[0].isdigit():
-            continue
-        for x in _IN_RUN.finditer(t.text, m.start(), m.end()):
-            kind, word = x.lastgroup, x[0]
-            if kind == "plus":
-                edits.append((x.start(), x.end(), "+"))
-            elif kind == "dot":
-                edits.append((x.start(), x.end(), "."))
-            elif kind == "word":
-                edits.append((x.start(), x.end(), str(_WORDS[word.lower()])))
-            elif kind == "sep" and word in " ,":
-                edits.append((x.start(), x.end(), ""))
+def _runs(text: str) -> Iterator[list[re.Match]]:
+    """Runs of spelled and plain digits, with a sign before them and spoken dots among them; one spelled digit at least and two items."""
+    run: list[re.Match] = []
+
+    def whole() -> list[re.Match]:
+        while run and run[-1].lastgroup not in ("word", "digits"):
+            run.pop()
+        while run and run[0].lastgroup == "dot":
+            run.pop(0)
+        spelled = sum(x.lastgroup == "word" for x in run)
+        return run if spelled and sum(x.lastgroup in ("word", "digits") for x in run) > 1 else []
+
+    for m in _ITEM.finditer(text):
+        if run and (m.lastgroup in ("plus", "sign") or m.start() - run[-1].end() > 2 or not _SEPARATORS.issuperset(text[run[-1].end() : m.start()])):
+            if out := whole():
+                yield out
+            run = []
+        run.append(m)
+    if out := whole():
+        yield out
+
+
+def _spelled(t: Tape, names: bool = False) -> Tape:
+    """Runs of spelled digits as digits: blanks and commas between digits go, spoken dots become dots.
+
+    With names, digits before a disguised "@" or "." join the word before them:
+    they are the end of a name.
+    """
+    edits, text = [], t.text
+    for run in _runs(text):
+        begin, end = run[0].start(), run[-1].end()
+        if names and begin > 1 and text[begin - 1] == " " and text[begin - 2] in _LOCAL and _FOLLOWS.match(text, end):
+            if text[:begin].rsplit(None, 1)[-1].lower() not in _NO_NAMES:
+                edits.append((begin - 1, begin, ""))
+        at = begin
+        for k, x in enumerate(run):
+            dots = x.lastgroup == "dot" or k and run[k - 1].lastgroup in ("dot", "plus")
+            edits += [(j, j + 1, "") for j in range(at, x.start()) if text[j] in " ," or dots and text[j] == " "]
+            if x.lastgroup == "word":
+                edits.append((x.start(), x.end(), str(_WORDS[x[0].lower()])))
+            elif x.lastgroup in ("dot", "plus"):
+                edits.append((x.start(), x.end(), "." if x.lastgroup == "dot" else "+"))
+            at = x.end()
     return t.rewrite(edits)
 
 
@@ -181,27 +231,51 @@ def _at_dot(t: Tape) -> Tape:
     return t.rewrite(edits)
 
 
-def _overlaps(span: Span, others: list[Span]) -> bool:
-    return any(a < span[1] and span[0] < b for a, b, _ in others)
+class _Apart:
+    """Spans that do not overlap, in order."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]] = ()):
+        self.begins, self.ends = [], []
+        for a, b in spans:
+            self.begins.append(a)
+            self.ends.append(b)
+
+    def free(self, a: int, b: int) -> bool:
+        k = bisect_left(self.begins, b)
+        return not k or self.ends[k - 1] <= a
+
+    def add(self, a: int, b: int) -> None:
+        k = bisect_left(self.begins, a)
+        self.begins.insert(k, a)
+        self.ends.insert(k, b)
 
 
 def find_spans(text: str) -> tuple[list[Span], list[Span]]:
-    """(base spans, all spans), each by start and kind; offsets are code points, end exclusive."""
+    """(base spans, all spans), each by start and kind; offsets are code points, end exclusive.
+
+    The transducers run alone and one after the other (a name can end in
+    spelled digits before a disguised "@"); of added spans that overlap, the
+    longest stays.
+    """
     base = base_spans(text)
     odd = not text.isascii() and bool(_ODD_CHAR.search(text))
     if not (odd or _SOME_AT.search(text) or _SOME_SPELLED.search(text)):
         return base, base
     tape = _look_alikes(Tape(text)) if odd else Tape(text)
-    found: list[Span] = []
-    for t in dict.fromkeys((tape, _at_dot(tape), _spelled(tape))):
-        if t.text == text:
-            continue
-        for a, b, kind in base_spans(t.text):
-            span = (t.begin[a], t.end[b - 1], kind)
-            if not _overlaps(span, [s for s in base if s[2] == kind]) and not _overlaps(span, found):
-                found.append(span)
-    both = sorted(set(base) | set(found), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
-    return base, both
+    own = {kind: _Apart(s[:2] for s in base if s[2] == kind) for kind in KINDS}
+    more: set[Span] = set()
+    for t in dict.fromkeys((tape, _at_dot(tape), _spelled(tape), _at_dot(_spelled(tape, names=True)))):
+        if t.text != text:
+            for a, b, kind in base_spans(t.text):
+                a, b = t.source(a, b)
+                if own[kind].free(a, b):
+                    more.add((a, b, kind))
+    found, taken = [], _Apart()
+    for a, b, kind in sorted(more, key=lambda s: (s[0] - s[1], s[0], KINDS.index(s[2]))):
+        if taken.free(a, b):
+            taken.add(a, b)
+            found.append((a, b, kind))
+    return base, sorted(base + found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
 def written_spans(spans: list[Span]) -> str:
