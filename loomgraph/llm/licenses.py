@@ -1,9 +1,12 @@
 """License scans by canonical digest lookup (operator 9), in DataFrame functions only.
 
-A unit - a whole text, or one line of it - is brought to a canonical form:
-lower case, copyright lines dropped, equivalent spellings made one, punctuation
-and white space as single blanks. Its SHA-256 is then looked up by a hash join
-in the digests of known licence texts and notices.
+Three kinds of units of a text are looked up: the whole text, each of its lines
+and each run of whole paragraphs that begins as a known licence does and has as
+many paragraphs. A unit is brought to a canonical form: lower case, copyright
+statements dropped, equivalent spellings made one, punctuation, line ends and
+white space as single blanks; so neither line width nor comment signs matter.
+Its SHA-256 is then looked up by a hash join in the digests of known licence
+texts and notices. Short ones are held as texts, long ones as digests only.
 """
 
 from __future__ import annotations
@@ -46,6 +49,19 @@ _GPL_NOTICE = (
     "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.\n\n"
     "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
 )
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain.\n\n"
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\n"
+    "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\n"
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n\n"
+    "For more information, please refer to <http://unlicense.org/>"
+)
+_BOOST = (
+    "Boost Software License - Version 1.0 - August 17th, 2003\n\n"
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:\n\n"
+    "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.\n\n"
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
 SPDX_IDS = ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-3.0-only", "AGPL-3.0-only", "MPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
 KNOWN: list[tuple[str, str]] = [
     ("MIT", _MIT), ("MIT", "MIT License\n\n" + _MIT), ("MIT", "The MIT License (MIT)\n\n" + _MIT),
@@ -53,6 +69,7 @@ KNOWN: list[tuple[str, str]] = [
     ("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL), ("BSD-2-Clause", "BSD 2-Clause License\n\n" + _BSD_HEAD + _BSD_TAIL),
     ("BSD-3-Clause", _BSD_HEAD + _BSD_THIRD + _BSD_TAIL), ("BSD-3-Clause", "BSD 3-Clause License\n\n" + _BSD_HEAD + _BSD_THIRD + _BSD_TAIL),
     ("Zlib", _ZLIB), ("Zlib", "zlib License\n\n" + _ZLIB),
+    ("Unlicense", _UNLICENSE), ("BSL-1.0", _BOOST),
     ("Apache-2.0", _APACHE_NOTICE), ("GPL-3.0-or-later", _GPL_NOTICE),
     ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("Apache-2.0", "Released under the Apache License, Version 2.0."),
@@ -62,46 +79,101 @@ KNOWN: list[tuple[str, str]] = [
     *((x, f"SPDX-License-Identifier: {x}") for x in SPDX_IDS),
 ]
 
-#: (pattern, replacement) in order; the patterns mean the same to Java's engine and to RE2.
-CANON = [
-    (r"(?m)^[ \t]*(?:copyright\b|\(c\)|©)[^\n]*$", " "),
-    (r"licence", "license"),
-    (r"copyright (?:owner|holder)", "copyright holder"),
-    (r"sub-license", "sublicense"),
-    (r"non-?infringement", "noninfringement"),
-    (r"merchantibility", "merchantability"),
-    (r"acknowledgement", "acknowledgment"),
-    (r"https:", "http:"),
-    (r"[^\p{L}\p{N}]+", " "),
+# Whole licences as their publishers distribute them, by canonical form:
+# licence, paragraphs, SHA-256 of the first paragraph, SHA-256 of the whole.
+DIGESTS: list[tuple[str, int, str, str]] = [
+    ("Apache-2.0", 27, "8f9a07cfc74f13faacedb4ef5f66671824f4db35b0becf50739f877003b330a7", "119e2da0e9ec849d113a40405b338c1bbbd2ef9194c22bf2740fa4e195411c40"),
+    ("Apache-2.0", 32, "8f9a07cfc74f13faacedb4ef5f66671824f4db35b0becf50739f877003b330a7", "04e64e0427d80fdde16fa8415931bf2c09bc943f13ec322a09df188bf23a3543"),
+    ("Artistic-1.0-Perl", 29, "9fed8b0e06b2229a97a10906ed7a4e4608b849d85ed54da1ada55f2d05e8d9db", "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2"),
+    ("CC0-1.0", 13, "021f3f319970fcf1f6e1d478e5367d797699877f3434ad73ee1ef815fdc7cd63", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+    ("GFDL-1.2", 57, "8d2eae4d251844e9a73f0504efb40de0122c63022a833e6e0f5caafcd8f04324", "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b"),
+    ("GFDL-1.3", 67, "f42b2e6807623175c74cf8ca228746283c01775b536214b79d00df84c9a65ffa", "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d"),
+    ("GPL-1.0", 35, "82397a16c2231c372bdd0ef728bd88bf794e7b7858a5ee5e95a390556acb8081", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-1.0", 50, "82397a16c2231c372bdd0ef728bd88bf794e7b7858a5ee5e95a390556acb8081", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0", 44, "800704d54279141c14d2b5236cc50e7ea885fc8220e3bdaa410f2b54971d7522", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-2.0", 59, "800704d54279141c14d2b5236cc50e7ea885fc8220e3bdaa410f2b54971d7522", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0", 109, "10c3854c70c10808f2f455ff7ae311088ab9dd94c2c06693fb750f4c9e482943", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("GPL-3.0", 122, "10c3854c70c10808f2f455ff7ae311088ab9dd94c2c06693fb750f4c9e482943", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("LGPL-2.0", 71, "6ed1731e87010ecac4542e62634534a81feb95b467f42e6140f554e77f81aaf9", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.0", 83, "6ed1731e87010ecac4542e62634534a81feb95b467f42e6140f554e77f81aaf9", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1", 73, "4de811fed3402b35cc931316356c984d20ec54d660630f4064c708984b91f51a", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-2.1", 85, "4de811fed3402b35cc931316356c984d20ec54d660630f4064c708984b91f51a", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", 37, "b1dddaf7ef2e30067896bb2f11cf3c9defcf11564304f448a9257f49502a9e85", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", 73, "e8d78c7ef0b7fb5f931ba9501977c8ca266cc1ab4b95b40fea21f3a7867310ca", "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6"),
+    ("MPL-2.0", 83, "58c9a1c62b739e4bead89c80c6af62cd77999c648016e24ba011e53180a5cc15", "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d"),
 ]
 
+#: A line that states a copyright, of the text in lower case after a line end; a line that only speaks of copyright stays.
+STATEMENT = r"\n[^\p{L}\p{N}\n]*(?:(?:copyright[ \t]*(?:\(c\)|©|:|by |[0-9]{4}|<year>|\[yyyy\])|\(c\)[ \t]*(?:copyright|[0-9]{4})|©)[^\n]*|all rights reserved[^\p{L}\p{N}\n]*)"
+PUNCTUATION = r"[^\p{L}\p{N}\n]+"
+#: Spellings that mean the same, of words and of words beside each other.
+WORDS = [("licence", "license"), ("merchantibility", "merchantability"), ("acknowledgement", "acknowledgment"), ("https", "http")]
+PHRASES = [("sub license", "sublicense"), ("non infringement", "noninfringement"), ("copyright owner", "copyright holder")]
+PARAGRAPH = r"\n\n+"
+#: The most known texts that one scan takes: their first paragraphs are constants of its plan.
+MAX_KNOWN = 10_000
 
-def canonical(text: Column) -> Column:
-    out = F.lower(text)
-    for pattern, new in CANON:
-        out = F.regexp_replace(out, pattern, new)
-    return F.trim(out)
 
+def _lines(text: Column) -> Column:
+    """The text in canonical words, with its line ends."""
+    out = F.regexp_replace(F.concat(F.lit("\n"), F.lower(text)), STATEMENT, "\n")
+    out = F.regexp_replace(out, PUNCTUATION, " ")
+    for old, new in [*WORDS, (" \n", "\n"), ("\n ", "\n")]:
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return F.trim(out, F.lit(" \n"))
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """license_id, digest: one row for each digest (the first id, if two texts agree)."""
-    rows = spark.createDataFrame(KNOWN if known is None else known, "license_id string, body string")
-    return rows.select("license_id", F.sha2(canonical("body"), 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
+def _joined(lines: Column) -> Column:
+    """Canonical lines as one run of words."""
+    out = F.replace(lines, F.lit("\n"), F.lit(" "))
+    for old, new in PHRASES:
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return out
+
+
+def _close(lines: Column) -> Column:
+    """Canonical lines without the empty ones between paragraphs."""
+    return F.regexp_replace(lines, PARAGRAPH, "\n")
+
+
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None, digests: list[tuple[str, int, str, str]] | None = None) -> DataFrame:
+    """digest, license_id, n, first: one row for each known text (the first id, if two texts agree).
+
+    n counts its paragraphs, first is the digest of the first one.
+    """
+    rows = spark.createDataFrame(KNOWN if known is None else known, "license_id string, body string").select("license_id", _lines(F.col("body")).alias("_l"))
+    rows = rows.select("license_id", F.size(F.split("_l", PARAGRAPH)).alias("n"), F.sha2(_joined(F.split("_l", PARAGRAPH)[0]), 256).alias("first"), F.sha2(_joined(_close(F.col("_l"))), 256).alias("digest"))
+    rows = rows.union(spark.createDataFrame(DIGESTS if digests is None else digests, "license_id string, n int, first string, digest string"))
+    return rows.groupBy("digest").agg(F.min("license_id").alias("license_id"), F.min("n").alias("n"), F.min("first").alias("first"))
 
-def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """doc_id, unit (0: the whole text, else the 1-based line), license_id, digest of each unit that is a known licence.
 
-    A text of one line is looked up once, as a whole. Null and empty texts,
-    and units whose canonical form is empty, match nothing; repeated rows give
-    repeated findings; other columns are left aside. The digests are joined by
-    broadcast only where Spark's own size check allows it.
+def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """doc_id, kind (text, line or block), unit, license_id, digest of each unit that is a known licence.
+
+    unit is 0 for the whole text, else the line's number among the lines
+    that are left without copyright statements at the text's ends, or the
+    block's first paragraph, from 1. Only texts of several lines have lines,
+    only blocks of several lines count that are not the whole text. Null and
+    empty texts, and units whose canonical form is empty, match nothing;
+    repeated rows give repeated findings; other columns are left aside. The
+    known texts are at most MAX_KNOWN; their digests are joined by broadcast
+    only where Spark's own size check allows it.
     """
-    lines = F.split(F.col("text"), "\n")
-    units = F.when(F.size(lines) > 1, F.concat(F.array("text"), lines)).otherwise(F.array("text"))
-    each = docs.select("doc_id", F.posexplode(units).alias("unit", "body"))
-    canon = each.select("doc_id", F.col("unit").cast("long").alias("unit"), F.sha2(canonical("body"), 256).alias("digest"))
-    return canon.join(known, "digest").select("doc_id", "unit", "license_id", "digest")
+    starts = known.select("first", "n").distinct().limit(MAX_KNOWN + 1).collect()
+    if len(starts) > MAX_KNOWN:
+        raise ValueError(f"more than {MAX_KNOWN} known texts")
+    firsts, sizes = sorted({r.first for r in starts}), sorted({r.n for r in starts})
+    canon = docs.select("doc_id", _lines(F.col("text")).alias("_l")).where("_l <> ''")
+    parts = canon.select("doc_id", "_l", F.split("_l", PARAGRAPH).alias("_q"))
+    begins = F.filter(F.sequence(F.lit(1), F.size("_q")), lambda i: F.sha2(_joined(F.element_at("_q", i)), 256).isin(firsts))
+    runs = F.flatten(F.transform(begins, lambda i: F.transform(F.filter(F.array(*map(F.lit, sizes or [0])), lambda n: (i + n - 1 <= F.size("_q")) & ((i > 1) | (n < F.size("_q")))), lambda n: F.struct(i.alias("unit"), F.array_join(F.slice("_q", i, n), "\n\n").alias("body")))))
+    blocks = F.filter(runs, lambda r: F.instr(r["body"], F.lit("\n")) > 0)
+    blocks = F.transform(blocks, lambda r: F.struct(F.lit("block").alias("kind"), r["unit"].cast("long").alias("unit"), F.replace(r["body"], F.lit("\n\n"), F.lit("\n")).alias("body")))
+    lines = F.when(F.instr("_l", F.lit("\n")) > 0, F.transform(F.split("_l", "\n"), lambda x, i: F.struct(F.lit("line").alias("kind"), (i + 1).cast("long").alias("unit"), x.alias("body")))).otherwise(F.slice(F.array(F.struct(F.lit("line").alias("kind"), F.lit(0).cast("long").alias("unit"), F.lit("").alias("body"))), 1, 0))
+    whole = F.array(F.struct(F.lit("text").alias("kind"), F.lit(0).cast("long").alias("unit"), _close(F.col("_l")).alias("body")))
+    each = parts.select("doc_id", F.explode(F.concat(whole, lines, blocks if firsts else F.slice(whole, 1, 0))).alias("u"))
+    each = each.select("doc_id", "u.kind", "u.unit", F.sha2(_joined(F.col("u.body")), 256).alias("digest"))
+    return each.join(known.select("digest", "license_id"), "digest").select("doc_id", "kind", "unit", "license_id", "digest")
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,18 +181,35 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(docs, F.broadcast(known_digests(spark)))  # the bundled texts: tens of rows
 
 
-def _sql_canonical(text: str) -> str:
-    out = f"lower({text})"
-    for pattern, new in CANON:
-        out = f"regexp_replace({out}, '{pattern}', '{new}', 'g')"
-    return f"trim({out})"
+def _replaced(text: str, pairs: list[tuple[str, str]]) -> str:
+    for old, new in pairs:
+        text = f"replace({text}, '{old}', '{new}')"
+    return text
+
+
+def _sql_lines(text: str) -> str:
+    out = f"regexp_replace(regexp_replace(chr(10) || lower({text}), '{STATEMENT}', chr(10), 'g'), '{PUNCTUATION}', ' ', 'g')"
+    return f"trim(replace(replace({_replaced(out, WORDS)}, ' ' || chr(10), chr(10)), chr(10) || ' ', chr(10)), ' ' || chr(10))"
+
+
+def _sql_joined(lines: str) -> str:
+    return _replaced(f"replace({lines}, chr(10), ' ')", PHRASES)
 
 
 def oracle() -> str:
     values = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in KNOWN)
+    more = ", ".join(f"('{a}', {n}, '{first}', '{digest}')" for a, n, first, digest in DIGESTS)
+    paragraphs = "regexp_split_to_array(l, '\\n\\n+')"
     return f"""
-WITH known AS (SELECT sha256({_sql_canonical('body')}) AS digest, min(license_id) AS license_id FROM (VALUES {values}) AS k(license_id, body) GROUP BY 1),
-lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
-units AS (SELECT doc_id, 0 AS unit, text AS body FROM lines
-  UNION ALL SELECT doc_id, unnest(range(1, len(l) + 1)) AS unit, unnest(l) AS body FROM lines WHERE len(l) > 1)
-SELECT doc_id, CAST(unit AS BIGINT) AS unit, license_id, digest FROM (SELECT doc_id, unit, sha256({_sql_canonical('body')}) AS digest FROM units) u JOIN known USING (digest)"""
+WITH k0 AS (SELECT license_id, {_sql_lines('body')} AS l FROM (VALUES {values}) AS k(license_id, body)),
+k1 AS (SELECT license_id, len({paragraphs}) AS n, sha256({_sql_joined(paragraphs + '[1]')}) AS first, sha256({_sql_joined("regexp_replace(l, '\\n\\n+', chr(10), 'g')")}) AS digest FROM k0 UNION ALL SELECT * FROM (VALUES {more}) AS m(license_id, n, first, digest)),
+known AS (SELECT digest, min(license_id) AS license_id FROM k1 GROUP BY digest),
+t AS (SELECT * FROM (SELECT doc_id, {_sql_lines('text')} AS l FROM documents) WHERE l <> ''),
+p AS (SELECT doc_id, l, {paragraphs} AS q FROM t),
+b AS (SELECT doc_id, l, q, unnest(range(1, len(q) + 1)) AS unit FROM p),
+c AS (SELECT * FROM b WHERE sha256({_sql_joined('q[unit]')}) IN (SELECT first FROM k1)),
+r AS (SELECT doc_id, l, unit, array_to_string(q[unit:unit + n - 1], chr(10) || chr(10)) AS body FROM c JOIN (SELECT DISTINCT n FROM k1) s ON unit + n - 1 <= len(q) AND (unit > 1 OR n < len(q))),
+units AS (SELECT doc_id, 'text' AS kind, 0 AS unit, regexp_replace(l, '\\n\\n+', chr(10), 'g') AS body FROM t
+  UNION ALL SELECT doc_id, 'line', unnest(range(1, len(string_split(l, chr(10))) + 1)), unnest(string_split(l, chr(10))) FROM t WHERE contains(l, chr(10))
+  UNION ALL SELECT doc_id, 'block', unit, replace(body, chr(10) || chr(10), chr(10)) FROM r WHERE contains(body, chr(10)))
+SELECT doc_id, kind, CAST(unit AS BIGINT) AS unit, license_id, digest FROM (SELECT doc_id, kind, unit, sha256({_sql_joined('body')}) AS digest FROM units) u JOIN known USING (digest)"""

@@ -161,9 +161,54 @@ def test_pii_frames(spark):
     assert pii.detect(frame(spark, [])).count() == 0
 
 
+def license_findings(spark, texts, known=None):
+    docs = spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate(texts)], "doc_id long, text string, digest string, unit int")
+    rows = licenses.scan(docs, licenses.known_digests(spark) if known is None else known).collect()
+    return sorted((r.doc_id, r.kind, r.unit, r.license_id) for r in rows)
+
+
 def test_licenses(spark):
     mit = "Copyright (c) 2020 Someone\n\n" + licenses._MIT.replace("sublicense", "sub-license").upper()
-    docs = frame(spark, [None, "", mit, "x\nReleased under the MIT Licence!\n\ny", "Licensed under CC BY-NC 4.0", "released", "x\nReleased under the MIT Licence!\n\ny"])
-    got = sorted(((r.doc_id, r.unit, r.license_id) for r in licenses.scan(docs, licenses.known_digests(spark)).collect()), key=str)
-    assert got == sorted([(7, 0, "MIT"), (None, 2, "MIT"), (14, 0, "CC-BY-NC-4.0"), (21, 2, "MIT")], key=str)
+    texts = [None, "", mit, "x\nReleased under the MIT Licence!\n\ny", "Licensed under CC BY-NC 4.0", "released", "# x\n#\n# " + licenses._ISC.replace("\n\n", "\n#\n# ") + "\n\nimport os", "...\n\n", mit + "\n\n" + licenses._ZLIB]
+    want = [(2, "text", 0, "MIT"), (3, "line", 2, "MIT"), (4, "text", 0, "CC-BY-NC-4.0"), (6, "block", 2, "ISC"), (8, "block", 1, "MIT"), (8, "block", 4, "Zlib")]
+    assert license_findings(spark, texts) == want
+    assert license_findings(spark, texts, licenses.known_digests(spark, [], [])) == []
     assert licenses.scan(frame(spark, []), licenses.known_digests(spark)).count() == 0
+
+
+def wrapped(text, width):
+    import textwrap
+
+    return "\n\n".join(p if "Copyright (C)" in p else "\n".join(textwrap.wrap(p, width)) for p in re.split(r"\n\s*\n", text))
+
+
+def test_licenses_of_any_line_width(spark):
+    full = {"MIT": licenses._MIT, "ISC": licenses._ISC, "BSD-3-Clause": licenses._BSD_HEAD + licenses._BSD_THIRD + licenses._BSD_TAIL, "Unlicense": licenses._UNLICENSE, "BSL-1.0": licenses._BOOST, "GPL-3.0-or-later": licenses._GPL_NOTICE}
+    cases = [(i, "Copyright (c) 2020 A. Author\nAll rights reserved.\n\n" + wrapped(t, width)) for i, t in full.items() for width in range(40, 121)]
+    got = license_findings(spark, [t for _, t in cases])
+    assert got == [(k, "text", 0, i) for k, (i, _) in enumerate(cases)]
+
+
+@pytest.mark.skipif(not __import__("os").path.isfile("/usr/share/common-licenses/Apache-2.0"), reason="no licence texts on this machine")
+def test_whole_licenses_by_digest(spark):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    cases = []
+    for f, i in files.items():
+        with open(f"/usr/share/common-licenses/{f}", encoding="utf-8") as file:
+            t = file.read()
+        cases += [(i, "text", t), (i, "text", wrapped(t, 60).upper()), (i, "block", "A preface.\n\n" + t + "\n\nAnd more.")]
+    found = license_findings(spark, [t for *_, t in cases])
+    for k, (i, kind, _) in enumerate(cases):
+        assert (k, kind, 0 if kind == "text" else 2, i) in found, (k, i, kind)
+
+
+def test_license_oracle_equals_scan(spark, tmp_path):
+    import duckdb
+
+    texts = ["", "x\n\nReleased under the MIT Licence!\n\ny", "a\n\n" + wrapped(licenses._MIT, 50) + "\n\nb", "SPDX-License-Identifier: MIT", "Copyright 2020 x\n(c) 2021 y\n" + licenses._ISC, "© z\n" + licenses._ZLIB.replace("\n", "\r\n"), "all rights reserved.\n" + licenses._UNLICENSE]
+    spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(f"SELECT doc_id, kind, unit, license_id FROM ({licenses.oracle()})").fetchall())
+    assert len(want) >= 6
+    assert sorted((r.doc_id, r.kind, r.unit, r.license_id) for r in licenses.op9_licenses(spark, str(tmp_path)).collect()) == want
