@@ -5,12 +5,19 @@ being content: they are its terminal capacities. Blocks that are adjacent, and
 blocks of the same parent, are tied by smoothness edges, the weaker the longer
 the way between them in the DOM. The minimum cut between the content and the
 boilerplate terminal labels all blocks at once. Blocks whose own capacity
-exceeds all their edges keep their side in every minimum cut, so only the
-others enter the max-flow.
-
-The classifier adds what containers say (article, nav, class names ...) to a
-logistic model of a block's shape, which is trained on a bounded sample of
-pages: blocks in article or main against those in nav, footer or aside.
+exceeds all their edges keep their side in every minimum cut; the others are
+settled by max-flow, and may get another label than their own odds say.
+
+The classifier is one logistic model of what a block's containers say (kinds of
+evidence, not single names) and of its shape. It is trained on a bounded sample
+of pages: blocks in article or main against those in nav, footer or aside, each
+with and without its containers' evidence, so that shape is weighed for pages
+that name nothing. A ridge that grows with the sample draws the weights to the
+prior ones: they stay finite on data that a weight alone could part, and costs
+of containers, shape and edges are of one order.
+
+What is shown counts as text: mathematics and the contents of object, video,
+audio and canvas do. Drawings (svg) and other encodings (annotation) do not.
 """
 
 from __future__ import annotations
@@ -18,7 +25,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,78 +45,108 @@ _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 # Names of elements and what they say.
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math object video audio canvas".split())
+RAW = frozenset("script style textarea title template iframe noembed noframes svg annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = frozenset("a abbr acronym audio b bdi bdo big canvas cite code data del dfn em font i ins kbd label mark math maction menclose mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover object q rp rt ruby s samp semantics small span strike strong sub sup time tt u var video wbr img".split())
 CONTENT_TAGS = frozenset(("article", "main"))
-BOILER_TAGS = frozenset("nav footer aside form menu button select header dialog fieldset head".split())
+BOILER_TAGS = frozenset("nav footer aside form menu button select fieldset dialog head header noscript".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BOILER_NAMES = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager footer foot header masthead topbar sidebar aside rail widget widgets ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations comment comments respond reply replies disqus discussion toolbar skip copyright legal tags meta".split()
 )
 CONTENT_NAMES = frozenset("article content main post entry story body text".split())
+#: First parts of names that tell a state of the page, not what an element is (with-sidebar, has-comments).
+STATE_NAMES = frozenset("with without no not has is hide show".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 CONTENT_ROLES = frozenset(("main", "article"))
 
-TAG_ODDS, NAME_ODDS = 9.0, 7.0
+#: Kinds of evidence that containers give.
+IN_CONTENT, IN_BOILER, GOOD_NAME, BAD_NAME, HIDDEN, ARTICLE_HEADER = (1 << k for k in range(6))
+FEATURES = ("in article or main", "in nav, footer ...", "content name", "boilerplate name", "hidden", "header of an article", "log words", "link density", "stops per word", "heading", "list item", "copyright sign", "bias")
+EVIDENCE = 6
+#: Prior weights of the features, and where too few pages say what is what, the weights.
+PRIOR = (2.2, -6.0, 1.2, -6.0, -12.0, -4.0, 0.7, -3.0, 3.0, 1.0, -1.0, -4.0, -1.6)
 SMOOTH = 1.2
-#: Weights of the shape model where too few pages say what is what: log words, link density, stops per word, heading, list item, bias.
-DEFAULT_SHAPE = (0.9, -4.0, 6.0, 1.5, -1.5, -1.6)
-#: The most pages, and blocks of one page, that the shape model is fitted on.
+#: A ridge of this weight for each row of the sample draws the fit to PRIOR.
+RIDGE = 0.02
+#: The most pages, and blocks of one page, that the model is fitted on.
 FIT_PAGES, FIT_BLOCKS = 2000, 40
+#: Steps in the DOM beyond which two blocks are not tied.
+FAR = 12
+
+
+class Node:
+    """An element that is not inline: its parent and depth."""
+
+    __slots__ = ("depth", "parent")
+
+    def __init__(self, parent: "Node | None"):
+        self.parent, self.depth = parent, parent.depth + 1 if parent else 0
 
 
 class Block:
-    __slots__ = ("heading", "item", "linked", "odds", "parts", "path", "size", "text")
+    __slots__ = ("heading", "item", "linked", "node", "parts", "says", "size", "text")
 
-    def __init__(self, path, odds, heading, item):
-        self.path, self.odds, self.heading, self.item = path, odds, heading, item
+    def __init__(self, node: Node, says: int, heading: bool, item: bool):
+        self.node, self.says, self.heading, self.item = node, says, heading, item
         self.parts, self.linked, self.size, self.text = [], 0, 0, ""
 
-    def shape(self) -> tuple[float, ...]:
+    def features(self) -> tuple[float, ...]:
         words = self.text.count(" ") + 1
         stops = sum(self.text.count(c) for c in ".,;:!?")
-        return (math.log(words), self.linked / max(1, self.size), min(1.0, stops / words), float(self.heading), float(self.item), 1.0)
+        evidence = tuple(float(self.says >> k & 1) for k in range(EVIDENCE))
+        return (*evidence, min(5.0, math.log(words)), self.linked / max(1, self.size), min(1.0, stops / words), float(self.heading), float(self.item), float("©" in self.text), 1.0)
 
 
-def _says(tag: str, attributes: str, in_content: bool) -> float:
-    """Log-odds that an element adds for what it holds; 0 where it says nothing."""
+def _says(tag: str, attributes: str, in_content: bool) -> int:
+    """The evidence that an element gives for what it holds."""
     if tag in CONTENT_TAGS:
-        odds = TAG_ODDS
+        says = IN_CONTENT
+    elif tag == "header" and in_content:
+        says = ARTICLE_HEADER
     elif tag in BOILER_TAGS:
-        odds = -1.0 if tag == "header" and in_content else -TAG_ODDS
+        says = IN_BOILER
     else:
-        odds = 0.0
+        says = 0
     if not attributes or tag in ("html", "body"):
-        return odds
+        return says
     for m in _ATTR.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id"):
-            names = {p.lower() for p in _PIECES.findall(value.split("with")[0])}
-            bad, good = names & BOILER_NAMES, names & CONTENT_NAMES
-            if bad and not (bad <= {"header", "text", "meta"} and good):
-                odds = min(odds, -NAME_ODDS) if odds <= 0 else -NAME_ODDS
-            elif good and odds == 0:
-                odds = NAME_ODDS / 2
+            for name in value.split():
+                pieces = [p.lower() for p in _PIECES.findall(name)]
+                if not pieces or pieces[0] in STATE_NAMES:
+                    continue
+                good, bad = CONTENT_NAMES.intersection(pieces), BOILER_NAMES.intersection(pieces)
+                if bad and not (good and bad <= {"header", "meta"}):
+                    says |= BAD_NAME
+                elif good:
+                    says |= GOOD_NAME
         elif key == "role":
-            odds = -TAG_ODDS if value.lower() in BOILER_ROLES else TAG_ODDS if value.lower() in CONTENT_ROLES else odds
+            says |= IN_BOILER if value.lower() in BOILER_ROLES else IN_CONTENT if value.lower() in CONTENT_ROLES else 0
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            odds = -TAG_ODDS
-    return odds
+            says |= HIDDEN
+    return says
 
 
 _CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Text blocks in page order, with their DOM paths and what their containers say."""
+    """Text blocks in page order, with their places in the DOM and what their containers say."""
     out: list[Block] = []
-    # tag, number, the worst and the best that it and its ancestors say, kind: 1 heading, 2 list item, 4 link
-    stack: list[tuple[str, int, float, float, int]] = [("#", 0, 0.0, 0.0, 0)]
+    # tag, nearest element that is not inline, evidence so far, kind: 1 heading, 2 list item, 4 link
+    stack: list[tuple[str, Node, int, int]] = [("#", Node(None), 0, 0)]
+    opened: Counter[str] = Counter()
     block: Block | None = None
-    at = number = 0
+    at = 0
     end = len(page)
 
+    def cut(k: int) -> None:
+        for e in stack[k:]:
+            opened[e[0]] -= 1
+        del stack[k:]
+
     def text(piece: str) -> None:
         nonlocal block
         if not piece:
@@ -117,15 +154,16 @@ def blocks_of(page: str) -> list[Block]:
         if block is None:
             if piece.isspace():
                 return
-            _, _, worst, best, kind = stack[-1]
-            own = tuple(e[1] for e in stack if e[0] not in INLINE)
-            block = Block(own, worst if worst < 0 else best, bool(kind & 1), bool(kind & 2))
+            _, node, says, kind = stack[-1]
+            if kind & 1:
+                says &= ~ARTICLE_HEADER  # the title
+            block = Block(node, says, bool(kind & 1), bool(kind & 2))
             out.append(block)
         piece = html.unescape(piece) if "&" in piece else piece
         block.parts.append(piece)
         n = len(piece)
         block.size += n
-        if stack[-1][4] & 4:
+        if stack[-1][3] & 4:
             block.linked += n
 
     while at < end:
@@ -142,9 +180,9 @@ def blocks_of(page: str) -> list[Block]:
         if tag not in INLINE:
             block = None
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k][0] == tag:
-                    del stack[k:]
+                    cut(k)
                     break
                 if tag in INLINE and stack[k][0] not in INLINE:
                     break
@@ -164,22 +202,22 @@ def blocks_of(page: str) -> list[Block]:
             shut = ("p",) if tag in _CLOSES_P else ("dt", "dd", "p") if tag in ("dt", "dd") else (tag, "p")
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in shut:
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k][0] not in INLINE:
                     break
             while tag in _CLOSES_P and stack[-1][0] in INLINE and stack[-1][0] != "a":
-                stack.pop()  # an inline element left open does not reach over blocks
-        number += 1
-        _, _, worst, best, kind = stack[-1]
+                cut(len(stack) - 1)  # an inline element left open does not reach over blocks
+        _, node, says, kind = stack[-1]
         if tag == "a":
             kind |= 4
         elif tag in HEADINGS:
             kind |= 1
         elif tag == "li":
             kind |= 2
-        says = _says(tag, attributes, best > 0 and worst >= 0)
-        stack.append((tag, number, min(worst, says), max(best, says), kind))
+        in_content = bool(says & IN_CONTENT) and not says & (IN_BOILER | BAD_NAME)
+        stack.append((tag, node if tag in INLINE else Node(node), says | _says(tag, attributes, in_content), kind))
+        opened[tag] += 1
     kept = []
     for b in out:
         b.text = " ".join("".join(b.parts).split())
@@ -188,26 +226,30 @@ def blocks_of(page: str) -> list[Block]:
     return kept
 
 
-def _log_odds(b: Block, shape: tuple[float, ...]) -> float:
-    says = b.odds
-    if says == -1.0:  # a header within the article: its headings are content
-        says = 4.0 if b.heading else -4.0
-    return says + max(-4.0, min(4.0, sum(w * x for w, x in zip(shape, b.shape()))))
+def log_odds(blocks: list[Block], weights: tuple[float, ...]) -> list[float]:
+    if not blocks:
+        return []
+    return (np.array([b.features() for b in blocks]) @ np.array(weights)).tolist()
+
+
+def _steps(a: Node, b: Node) -> int:
+    """Steps between two elements in the DOM, FAR + 1 at most."""
+    n = 0
+    while a is not b and n <= FAR:
+        if a.depth >= b.depth:
+            a, n = a.parent, n + 1
+        else:
+            b, n = b.parent, n + 1
+    return n
 
 
 def _edges(blocks: list[Block]) -> list[tuple[int, int, float]]:
     """Smoothness: adjacent blocks and next blocks of the same parent, weaker along longer DOM ways."""
     out, last = [], {}
     for k, b in enumerate(blocks):
-        if k:
-            a = blocks[k - 1]
-            shared = 0
-            for x, y in zip(a.path, b.path):
-                if x != y:
-                    break
-                shared += 1
-            out.append((k - 1, k, SMOOTH * 2.0 ** -((len(a.path) - shared) + (len(b.path) - shared) - 2)))
-        parent = b.path[:-1]
+        if k and (n := _steps(blocks[k - 1].node, b.node)) <= FAR:
+            out.append((k - 1, k, SMOOTH * 4.0 ** (2 - max(2, n))))
+        parent = id(b.node.parent)
         if (j := last.get(parent)) is not None and j != k - 1:
             out.append((j, k, SMOOTH / 2))
         last[parent] = k
@@ -238,74 +280,125 @@ def min_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool
                 odds[j] += w if side[i] else -w
                 todo.append(j)
             near[i] = {}
-    if all(s is not None for s in side):
-        return side  # type: ignore[return-value]
     left = [i for i in range(n) if side[i] is None]
-    source, sink = n, n + 1
-    cap: dict[int, dict[int, float]] = {i: dict(near[i]) for i in left} | {source: {}, sink: {}}
-    for i in left:
-        if odds[i] > 0:
-            cap[source][i], cap[i][source] = odds[i], 0.0
-        elif odds[i] < 0:
-            cap[i][sink], cap[sink][i] = -odds[i], 0.0
+    for i, content in zip(left, _flow_sides(left, odds, near)):
+        side[i] = content
+    return side  # type: ignore[return-value]
+
+
+def _flow_sides(nodes: list[int], odds: list[float], cap: list[dict[int, float]]) -> list[bool]:
+    """Which nodes the source still reaches after a maximum flow: shortest ways first, all ways of a length at a time."""
+    least = 1e-12
+    give, take = {i: max(0.0, odds[i]) for i in nodes}, {i: max(0.0, -odds[i]) for i in nodes}
     while True:
-        before, queue = {source: source}, deque([source])
-        while queue and sink not in before:
+        level = {i: 0 for i in nodes if give[i] > least}
+        queue, found = deque(level), False
+        while queue:
             i = queue.popleft()
+            found = found or take[i] > least
             for j, c in cap[i].items():
-                if c > 1e-12 and j not in before:
-                    before[j] = i
+                if c > least and j not in level:
+                    level[j] = level[i] + 1
                     queue.append(j)
-        if sink not in before:
-            break
-        path, j = [], sink
-        while j != source:
-            path.append((before[j], j))
-            j = before[j]
-        flow = min(cap[i][j] for i, j in path)
-        for i, j in path:
-            cap[i][j] -= flow
-            cap[j][i] = cap[j].get(i, 0.0) + flow
-    for i in left:
-        side[i] = i in before
-    return side  # type: ignore[return-value]
+        if not found:
+            return [i in level for i in nodes]
+        ways = {i: list(cap[i]) for i in level}
+        for start in [i for i in level if not level[i]]:
+            path = [start]
+            while path and give[start] > least:
+                i = path[-1]
+                if take[i] > least:
+                    flow = min(give[start], take[i], *(cap[a][b] for a, b in zip(path, path[1:])))
+                    give[start] -= flow
+                    take[i] -= flow
+                    for a, b in zip(path, path[1:]):
+                        cap[a][b] -= flow
+                        cap[b][a] += flow
+                    while len(path) > 1 and (take[path[-1]] <= least or cap[path[-2]][path[-1]] <= least):
+                        if cap[path[-2]][path[-1]] > least:
+                            break
+                        path.pop()
+                    if any(cap[a][b] <= least for a, b in zip(path, path[1:])):
+                        path = [start]
+                    continue
+                while ways[i] and not (cap[i][ways[i][-1]] > least and level.get(ways[i][-1]) == level[i] + 1):
+                    ways[i].pop()
+                if ways[i]:
+                    path.append(ways[i][-1])
+                else:
+                    path.pop()
+                    if path:
+                        ways[path[-1]].pop()
+
+
+def label(page: str | None, weights: tuple[float, ...] = PRIOR) -> tuple[list[Block], list[bool]]:
+    """A page's blocks, and which of them the cut calls content.
+
+    Where it keeps none, as of an article of a few words, blocks in article or
+    main that no container speaks against are the content.
+    """
+    blocks = blocks_of(page or "")
+    side = min_cut(log_odds(blocks, weights), _edges(blocks))
+    if not any(side):
+        side = [bool(b.says & IN_CONTENT) and not b.says & (IN_BOILER | BAD_NAME | HIDDEN | ARTICLE_HEADER) for b in blocks]
+    return blocks, side
 
 
-def main_text(page: str | None, shape: tuple[float, ...] = DEFAULT_SHAPE) -> str:
-    blocks = blocks_of(page or "")
-    keep = min_cut([_log_odds(b, shape) for b in blocks], _edges(blocks))
-    return " ".join(b.text for b, k in zip(blocks, keep) if k)
+def main_text(page: str | None, weights: tuple[float, ...] = PRIOR) -> str:
+    return " ".join(b.text for b, k in zip(*label(page, weights)) if k)
 
 
-def fit_shape(pages: DataFrame, seed: int = 7) -> tuple[float, ...]:
-    """The shape model's weights, from at most FIT_PAGES pages that the hash of their ids picks.
+def fit_rows(blocks: list[Block]) -> list[tuple[float, ...]]:
+    """Training rows (features, label) of a page's blocks that a semantic element labels: with their containers' evidence and without."""
+    own = [b for b in blocks if bool(b.says & IN_CONTENT) != bool(b.says & (IN_BOILER | BAD_NAME | HIDDEN)) or b.says & IN_BOILER]
+    rows = []
+    for k in sorted({int(x) for x in np.linspace(0, len(own) - 1, FIT_BLOCKS)}) if own else ():
+        x, y = own[k].features(), float(not own[k].says & (IN_BOILER | BAD_NAME | HIDDEN))
+        rows += [(*x, y), (*(0.0,) * EVIDENCE, *x[EVIDENCE:], y)]
+    return rows
 
-    Where fewer than 50 blocks of either kind are found, DEFAULT_SHAPE stays.
-    """
+
+def fit_weights(rows: np.ndarray) -> tuple[float, ...]:
+    """Ridge logistic regression by Newton steps that are halved until they better the fit; PRIOR where fewer than 50 rows are of either label."""
+    rows = np.asarray(rows, float).reshape(-1, len(FEATURES) + 1)
+    y = rows[:, -1]
+    if min(y.sum(), (1 - y).sum()) < 50:
+        return PRIOR
+    rows = rows[np.lexsort(rows.T)]
+    x, y, prior = rows[:, :-1], rows[:, -1], np.array(PRIOR)
+    ridge = RIDGE * len(y)
+
+    def loss(w):
+        z = x @ w
+        return np.sum(np.logaddexp(0, z) - y * z) + ridge / 2 * np.sum((w - prior) ** 2)
+
+    w = prior
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (p - y) + ridge * (w - prior)
+        step, size, now = np.linalg.solve((x.T * (p * (1 - p))) @ x + ridge * np.eye(len(w)), slope), 1.0, loss(w)
+        while size > 1e-4 and loss(w - size * step) > now - 1e-4 * size * (slope @ step):
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-6:
+            break
+    return tuple(round(float(v), 6) for v in w)
+
+
+def fit(pages: DataFrame, seed: int = 7) -> tuple[float, ...]:
+    """The classifier's weights, from at most FIT_PAGES pages that the hash of their ids picks."""
     few = pages.select("page_id", F.xxhash64("page_id", F.lit(seed)).alias("h")).orderBy("h", "page_id").limit(FIT_PAGES).select("page_id").distinct()
     sample = pages.select("page_id", "html").join(F.broadcast(few), "page_id", "left_semi")
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for page in texts_of(batch, "html"):
-                own = [(*b.shape(), float(b.odds > 0)) for b in blocks_of(page) if abs(b.odds) >= NAME_ODDS]
-                rows += [own[k] for k in sorted({int(x) for x in np.linspace(0, len(own) - 1, FIT_BLOCKS)})] if own else []
+            rows = [r for page in texts_of(batch, "html") for r in fit_rows(blocks_of(page))]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], ["x"])
 
-    got = np.array([r.x for r in sample.limit(FIT_PAGES).mapInArrow(run, "x array<double>").collect()]).reshape(-1, 7)
-    y = got[:, 6]
-    if min(y.sum(), (1 - y).sum()) < 50:
-        return DEFAULT_SHAPE
-    order = np.lexsort(got.T)
-    x, y, w = got[order, :6], y[order], np.array(DEFAULT_SHAPE)
-    for _ in range(25):  # Newton steps of ridge logistic regression
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w = w - np.linalg.solve((x.T * (p * (1 - p))) @ x + 5.0 * np.eye(6), x.T @ (p - y) + 5.0 * (w - np.array(DEFAULT_SHAPE)))
-    return tuple(round(float(v), 6) for v in w)
+    return fit_weights([r.x for r in sample.limit(FIT_PAGES).mapInArrow(run, "x array<double>").collect()])
 
 
-def extract(pages: DataFrame, shape: tuple[float, ...] = DEFAULT_SHAPE) -> DataFrame:
+def extract(pages: DataFrame, weights: tuple[float, ...] = PRIOR) -> DataFrame:
     """page_id, url, text, n_chars, n_blocks, n_kept per row of pages.
 
     A null or empty page gives the empty text; markup that is cut off is read as
@@ -318,8 +411,7 @@ def extract(pages: DataFrame, shape: tuple[float, ...] = DEFAULT_SHAPE) -> DataF
         for batch in slices(batches, 256, "html"):
             texts, n, kept = [], [], []
             for page in texts_of(batch, "html"):
-                blocks = blocks_of(page)
-                keep = min_cut([_log_odds(b, shape) for b in blocks], _edges(blocks))
+                blocks, keep = label(page, weights)
                 texts.append(" ".join(b.text for b, k in zip(blocks, keep) if k))
                 n.append(len(blocks))
                 kept.append(sum(keep))
@@ -333,4 +425,4 @@ def extract(pages: DataFrame, shape: tuple[float, ...] = DEFAULT_SHAPE) -> DataF
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return extract(pages, fit_shape(pages))
+    return extract(pages, fit(pages))

@@ -53,7 +53,82 @@ def test_extract_frame(spark):
     got = html_mincut.extract(pages).collect()
     assert [(r.page_id, r.url, r.n_chars) for r in got] == [(1, "u", n), (1, "u", n), (2, None, 0), (None, "v", 0)]
     assert html_mincut.extract(pages.limit(0)).count() == 0
-    assert html_mincut.fit_shape(pages) == html_mincut.DEFAULT_SHAPE
+    assert html_mincut.fit(pages) == html_mincut.PRIOR
+
+
+def test_what_is_shown_counts():
+    page = "<main><p>Let <math><mi>x</mi><annotation>TeX</annotation></math> be one, an <object>old</object> thing.</p><noscript>Turn it on, please.</noscript><svg><text>icon</text></svg></main>"
+    assert html_mincut.main_text(page) == "Let x be one, an old thing."
+
+
+def test_states_of_a_page_are_no_names():
+    page = '<div class="page has-comments with-sidebar"><p>A text of some words, and more of them.</p></div>'
+    assert html_mincut.main_text(page) == "A text of some words, and more of them."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # no semantic markup at all: link lists, short labels and copyright lines go
+        ('<div><a href="/a">Home</a></div><div><a href="/b">News</a></div><div><h2>A title of a text</h2><p>The first sentence, with a comma, is here. It goes on.</p><p>And then another one, as long as the first.</p></div><div>© 2020 x</div>', "A title of a text The first sentence, with a comma, is here. It goes on. And then another one, as long as the first."),
+        # names instead of elements
+        ('<div class="top-menu">One | Two</div><div id="main-content"><p>Here it says, at length, what is the matter.</p><p>Short one</p><p>It goes on, and on, with more words to read.</p></div><div class="comment-list"><p>I do not think so, as I said before, and will again.</p></div>', "Here it says, at length, what is the matter. Short one It goes on, and on, with more words to read."),
+        # a list in the text stays, a list of links beside it goes
+        ("<article><p>What is needed, in this order:</p><ul><li>flour and water</li><li>salt</li></ul><p>Mix it all, then wait for an hour.</p></article><aside><ul><li><a href=x>More of it</a></li></ul></aside>", "What is needed, in this order: flour and water salt Mix it all, then wait for an hour."),
+        ("<article><header><h1>The title</h1><p>By someone</p></header><p>The text, as it stands, has one paragraph.</p><footer>Tags: a, b, c.</footer></article>", "The title The text, as it stands, has one paragraph."),
+    ],
+    ids=["nothing named", "names", "lists", "header"],
+)
+def test_main_text_of_other_pages(page, text):
+    assert html_mincut.main_text(page) == text
+
+
+def test_the_cut_decides():
+    """Blocks that by themselves look like boilerplate are content among content, and the other way round."""
+    page = "<div>" + "".join(f"<p>{t}</p>" for t in ("A long first paragraph, of many words, that says what it is about.", "two words", "A long last paragraph, of many words, that says how it ends.")) + "</div>"
+    blocks, side = html_mincut.label(page)
+    odds = html_mincut.log_odds(blocks, html_mincut.PRIOR)
+    assert odds[1] < 0 and side == [True, True, True]
+    page = '<ul><li><a href="/a">Home</a></li><li>And more, here.</li><li><a href="/b">News</a></li><li><a href="/c">Jobs</a></li></ul>'
+    blocks, side = html_mincut.label(page)
+    assert html_mincut.log_odds(blocks, html_mincut.PRIOR)[1] > 0 and not any(side)
+
+
+def test_fit_stays_finite_and_learns_shape():
+    page = "<nav><ul>" + "<li><a href=x>Go</a></li>" * 6 + "</ul></nav><article>" + "<p>Some words, and some more, of a text. And then some.</p>" * 6 + "</article><footer>© us, 2020</footer>"
+    weights = html_mincut.fit_weights(html_mincut.fit_rows(html_mincut.blocks_of(page)) * 200)
+    assert max(map(abs, weights)) < 15
+    bare = page.replace("<nav>", "<div>").replace("</nav>", "</div>").replace("article>", "div>").replace("footer>", "div>")
+    assert html_mincut.main_text(bare, weights) == " ".join(["Some words, and some more, of a text. And then some."] * 6)
+
+
+@pytest.mark.parametrize("page", ["<div>a b" * 20_000, "<div>" * 20_000 + "<p>x y, z.</p>" + "</div>" * 20_000, "<div>" * 20_000 + "</x>" * 20_000, "<p>word</p>" * 20_000, "<div><p>word, word</p></div>" * 10_000], ids=["open", "nested", "unmatched", "wide", "pairs"])
+def test_many_elements_take_little_time(page):
+    import time
+
+    began = time.process_time()
+    html_mincut.main_text(page)
+    assert time.process_time() - began < 1.5  # 0.1 to 0.3 seconds on an idle machine
+
+
+def test_flow_of_many_nodes():
+    import time
+
+    r = random.Random(5)
+    n = 20_000
+    odds = [r.uniform(-1, 1) for _ in range(n)]
+    edges = [(k - 1, k, r.uniform(0, 2)) for k in range(1, n)] + [(k - 7, k, r.uniform(0, 1)) for k in range(7, n, 5)]
+    began = time.process_time()
+    side = html_mincut.min_cut(odds, edges)
+    assert time.process_time() - began < 30
+    # no single node nor pair of neighbours betters the cut
+    near = [[] for _ in range(n)]
+    for i, j, w in edges:
+        near[i].append((j, w))
+        near[j].append((i, w))
+    for i in range(n):
+        own = (odds[i] if side[i] else -odds[i]) - sum(w if side[i] != side[j] else -w for j, w in near[i])
+        assert own >= -1e-9
 
 
 @pytest.mark.parametrize("minimum", [0, 5])
