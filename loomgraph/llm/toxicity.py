@@ -1,24 +1,29 @@
 """Toxicity by nearest labelled examples (operator 4).
 
 Exact TF-IDF cosine over a block-max inverted index of labelled examples. The
-vocabulary holds the words and word beginnings that go with the label (signed
-log-likelihood ratio), so that chance agreement in rare words does not decide
-who is near. One more term, the start of the text, is in all of them, the heavier
-the longer the text: so the direction of a vector tells how much of the other
-terms a text holds, not only which. Each term's postings are cut into blocks of examples with the
-block's largest weight; a query bounds every block by them and opens blocks
-from the highest bound down until no bound reaches the k-th best cosine. Votes
-of the neighbours (all that tie with the k-th included) weigh their cosine; a
-logistic curve fitted on examples that are not in the index turns them into
-calibrated scores. The neighbours are the evidence.
+terms of a text are all its words and, of longer words, their first 3 to 8
+letters; the index holds every term of every example. A term weighs its
+inverse document frequency times its relevance, the square root of its
+log-likelihood ratio between the labels (0 for a term that both labels use
+alike): so chance agreement in rare words does not decide who is near, and no
+term is left out of a vector or its length. Alike examples stand next to each
+other; each term's postings are cut into blocks of examples with the block's
+largest weight. A query bounds every block by them, opens those with the
+highest bounds and then all whose bound reaches the k-th best cosine so far.
+Terms that many examples hold have whole rows instead of postings, so a batch
+of queries is multiplied with them at once before the bounds are taken. The
+nearest are then computed once more in double precision. Votes of the neighbours (all that tie with the k-th included) weigh their
+cosine; a logistic curve fitted on examples that are not in the index turns
+them into calibrated scores. The neighbours are the evidence.
 """
 
 from __future__ import annotations
 
+import io
 import math
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,118 +31,291 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import slices, small_batches, table, texts_of
+from . import shingles as S
+from .shared import open_read, open_write, shared_path, slices, small_batches, table, texts_of
+
+#: The most labelled documents that the model is fitted on (picked by a hash of doc_id).
+FIT_ROWS = 4000
+#: Examples that vote, examples in a block, blocks opened before the bounds are looked at again.
+NEIGHBOURS, BLOCK, FIRST_BLOCKS = 15, 64, 8
+#: A term that one in so many examples holds has a whole row; rounding that bounds allow for.
+ROW_SHARE, SLACK = 16, 1e-5
+#: Groups of alike examples that their order follows; votes that the base rate stands for; ridge of the calibration.
+GROUPS, PRIOR_WEIGHT, RIDGE = 16, 1.0, 4.0
+#: Letters of the beginnings that are terms.
+BEGINNINGS = range(3, 9)
+#: Scores that a worker remembers, for texts of equal terms.
+_REMEMBERED = 50_000
+_OTHER = re.compile(r"[^\w\x00-\x7f]+")
+_IS_WORD = np.zeros(128, bool)
+_IS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), 95]] = True
 
-#: The most labelled rows that the model is fitted on (picked by a hash of doc_id) and terms of its vocabulary.
-FIT_ROWS, MAX_TERMS = 20_000, 5_000
-#: Signed log-likelihood ratio that a term must reach, examples of label 1 that must hold it, and their share of all that do.
-MIN_RATIO, MIN_EXAMPLES, MIN_SHARE = 25.0, 4, 0.4
-#: Weight of the start of a text of few words, and words by which it grows (as a square root).
-START_WEIGHT, START_WORDS = 5.0, 200
-NEIGHBOURS, BLOCK, PRIOR_WEIGHT = 15, 64, 1.0
-_WORD = re.compile(r"\w+")
-#: Words whose terms a worker remembers.
-_REMEMBERED = 400_000
 
+def fold(doc_id) -> Column:
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
-def terms_of(word: str) -> tuple[str, ...]:
-    """A word's terms: itself and, where it is longer, its first 3 to 8 letters."""
-    return (word, *(word[:n] + "*" for n in range(3, min(9, len(word)))))
 
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places starts[i], starts[i] + 1 ... of every run, one after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
 
-def fold(doc_id) -> Column:
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
+
+def term_counts(texts: list[str], vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, term, count) of each distinct term of each text, by text and term.
+
+    A term is a 64-bit hash, or its place in a sorted vocabulary of hashes;
+    then terms that it does not hold are left out.
+    """
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64 if vocabulary is None else np.int64), np.zeros(0, np.int64)
+    parts = [t.lower() for t in texts]
+    parts = [t if t.isascii() else _OTHER.sub(" ", t) for t in parts]
+    size = np.array([len(p) + 1 for p in parts], np.int64)
+    code = np.frombuffer("\n".join([*parts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(code):
+        return none
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], (code >= 128) | _IS_WORD[np.minimum(code, 127)], [False]]).astype(np.int8)))
+    begin, end = edge[::2], edge[1::2]
+    if not len(begin):
+        return none
+    total = np.concatenate([[np.uint64(0)], np.cumsum((code.astype(np.uint64) + np.uint64(1)) * S._power(S._P, len(code)), dtype=np.uint64)])
+    back = S._power(S._INVERSE, len(code))
+    length = end - begin
+    _, one, word = np.unique(S.mix(((total[end] - total[begin]) * back[begin]) ^ length.astype(np.uint64)), return_index=True, return_inverse=True)
+    # the terms of each distinct word: itself, and its beginnings
+    b, n = begin[one], length[one]
+    terms, owner = [S.mix(((total[b + n] - total[b]) * back[b]) ^ n.astype(np.uint64))], [np.arange(len(one))]
+    for k in BEGINNINGS:
+        longer = np.flatnonzero(n > k)
+        at = b[longer]
+        terms.append(S.mix(((total[at + k] - total[at]) * back[at]) ^ np.uint64(k | 1 << 40)))
+        owner.append(longer)
+    terms, owner = np.concatenate(terms), np.concatenate(owner)
+    if vocabulary is None:
+        values, number = np.unique(terms, return_inverse=True)
+    else:
+        number = np.searchsorted(vocabulary, terms)
+        known = vocabulary[np.minimum(number, len(vocabulary) - 1)] == terms if len(vocabulary) else np.zeros(len(terms), bool)
+        number, owner = number[known], owner[known]
+    order = np.argsort(owner, kind="stable")
+    number = number[order]
+    many = np.bincount(owner, minlength=len(one))
+    first = np.cumsum(many) - many
+    text = np.searchsorted(np.cumsum(size), begin, side="right")
+    key = np.repeat(text.astype(np.uint64), many[word]) << np.uint64(32) | number[_spread(first[word], many[word])].astype(np.uint64)
+    key, count = np.unique(key, return_counts=True)
+    number = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return (key >> np.uint64(32)).astype(np.int64), values[number] if vocabulary is None else number, count
+
+
+def relevance(with_1: np.ndarray, with_0: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Log-likelihood ratio of terms that with_1 of n1 and with_0 of n0 examples hold."""
+
+    def part(k, n):
+        k = np.asarray(k, float)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(k > 0, k * np.log(k / n), 0.0) + np.where(n - k > 0, (n - k) * np.log(1 - k / n), 0.0)
+
+    return np.maximum(0.0, 2 * (part(with_1, n1) + part(with_0, n0) - part(with_1 + with_0, n1 + n0)))
 
 
 class Index:
-    """Labelled sparse vectors: equal ones are one entry with counts of both labels."""
-
-    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int | None, dict[int, int], int]]):
-        self.terms, self.idf = {t: k for k, t in enumerate(terms)}, idf
-        groups: dict[tuple, list] = defaultdict(lambda: [0, 0, []])
-        for doc_id, tf, label in examples:
-            g = groups[tuple(sorted(tf.items()))]
-            g[label] += 1
+    """Labelled TF-IDF vectors: equal ones are one entry with counts of both labels."""
+
+    _ARRAYS = ("terms", "weight", "votes", "ids", "entry", "value", "block_begin", "block", "top", "block_at", "row_of", "rows", "entry_begin", "entry_term", "entry_value", "settings")
+
+    def __init__(self, examples: list[tuple[int | None, np.ndarray, np.ndarray, int]]):
+        """examples: doc_id, sorted distinct terms, their counts, label."""
+        label = np.array([e[3] for e in examples], float)
+        n1, n0 = float(label.sum()), float(len(label) - label.sum())
+        self.base, self.slope, self.shift = n1 / max(1.0, n1 + n0), 1.0, 0.0
+        sizes = np.array([len(e[1]) for e in examples], np.int64)
+        flat = np.concatenate([e[1] for e in examples]) if examples else np.zeros(0, np.uint64)
+        self.terms, number = np.unique(flat, return_inverse=True)
+        df, df1 = np.bincount(number, minlength=len(self.terms)), np.bincount(number, np.repeat(label, sizes), minlength=len(self.terms))
+        idf = np.log((1 + n1 + n0) / (1 + df)) + 1
+        self.weight = idf * np.sqrt(relevance(df1, df - df1, n1, n0)) if n1 and n0 else np.zeros(len(self.terms))
+        first = np.cumsum(sizes) - sizes
+        groups: dict[tuple[bytes, bytes], list] = {}
+        for k, (doc_id, terms, counts, y) in enumerate(examples):
+            g = groups.setdefault((terms.tobytes(), np.asarray(counts, np.int64).tobytes()), [k, [0, 0], []])
+            g[1][y] += 1
             if doc_id is not None:
                 g[2].append(doc_id)
-        self.entries = sorted(groups.items(), key=lambda g: (g[0][1:], g[0]))  # alike ones next to each other: blocks with low bounds
-        self.votes = np.array([g[1][:2] for g in self.entries], float).reshape(-1, 2)
+        rows = []
+        for k, votes, ids in groups.values():
+            mine, value = self.vector(number[first[k] : first[k] + sizes[k]], np.asarray(examples[k][2]))
+            rows.append((mine, value, votes, (sorted(ids) + [-1] * 3)[:3]))
+        self._build(rows)
+        rows = [rows[k] for k in self._alike()]
+        self._build(rows)
+        self.k = int(max(3, min(NEIGHBOURS, n1 // 8)))  # no more than examples of label 1 can answer
+
+    def _build(self, rows: list) -> None:
+        n, v = len(rows), len(self.terms)
+        self.votes = np.array([r[2] for r in rows], float).reshape(-1, 2)
+        self.ids = np.array([r[3] for r in rows], np.int64).reshape(-1, 3)
+        sizes = np.array([len(r[0]) for r in rows], np.int64)
+        self.entry_begin = np.concatenate([[0], np.cumsum(sizes)])
+        self.entry_term = term = (np.concatenate([r[0] for r in rows]) if n else np.zeros(0)).astype(np.int32)
+        self.entry_value = value = (np.concatenate([r[1] for r in rows]) if n else np.zeros(0)).astype(np.float32)
+        entry = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        # whole rows of the terms that many entries hold
+        often = np.bincount(term, minlength=v) > max(1, n // ROW_SHARE)
+        self.row_of = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
+        self.rows = np.zeros((int(often.sum()), -(-n // BLOCK) * BLOCK), np.float32)
+        mine = often[term]
+        self.rows[self.row_of[term[mine]], entry[mine]] = value[mine]
+        # postings of the others, and the runs of one term in one block with the largest weight of each
+        term, entry, value = term[~mine], entry[~mine], value[~mine]
+        order = np.argsort(term, kind="stable")
+        term, self.entry, self.value = term[order], entry[order], value[order]
+        block = self.entry // BLOCK
+        new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
+        self.block, self.block_at = block[new], np.concatenate([new, [len(term)]])
+        self.top = np.maximum.reduceat(self.value, new) if len(new) else np.zeros(0, np.float32)
+        self.block_begin = np.searchsorted(term[new], np.arange(v + 1))
+        self._ready()
+
+    def _ready(self) -> None:
         self.size = self.votes.sum(1)
-        self.ids = [sorted(g[1][2])[:3] for g in self.entries]
-        self.base = self.votes[:, 1].sum() / max(1.0, self.votes.sum())
-        self.blocks = -(-len(self.entries) // BLOCK)
-        postings: dict[int, list] = defaultdict(list)
-        for k, (key, _) in enumerate(self.entries):
-            for t, w in self.weights(dict(key)).items():
-                postings[t].append((k, w))
-        self.k = int(max(3, min(NEIGHBOURS, self.votes[:, 1].sum() // 8)))  # no more than examples of label 1 can answer
-        self.postings = {}
-        for t, p in postings.items():
-            at, w = np.array([x[0] for x in p]), np.array([x[1] for x in p])
-            top = np.zeros(self.blocks)
-            np.maximum.at(top, at // BLOCK, w)
-            self.postings[t] = (at, w, top, np.searchsorted(at, np.arange(self.blocks + 1) * BLOCK))
-        self.slope, self.shift = 1.0, 0.0
-
-    def weights(self, tf: dict[int, int]) -> dict[int, float]:
-        raw = {t: (1 + math.log(n)) * self.idf[t] if t else n / 1000 for t, n in sorted(tf.items())}
-        norm = math.sqrt(sum(w * w for w in raw.values()))
-        return {t: w / norm for t, w in raw.items()}
-
-    def search(self, tf: dict[int, int], k: int | None = None) -> list[tuple[float, int]]:
-        """(cosine, entry) of the nearest entries until they stand for k examples, all ties with the last included; cosines over 0."""
-        query = [(w, self.postings[t]) for t, w in self.weights(tf).items() if t in self.postings] if tf else []
-        if not query:
-            return []
-        bound = np.zeros(self.blocks)
-        for w, (_, _, top, _) in query:
-            bound += w * top
-        k, least = k or self.k, 1e-9
-        cosine, entry = np.zeros(0), np.zeros(0, int)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] + 1e-9 < least:
-                break
-            score = np.zeros(min(BLOCK, len(self.entries) - b * BLOCK))
-            for w, (at, weight, _, cut) in query:
-                mine = slice(cut[b], cut[b + 1])
-                score[at[mine] - b * BLOCK] += w * weight[mine]
-            score = np.round(score, 9)
-            new = np.flatnonzero(score >= least)
-            if not len(new):
-                continue
-            cosine, entry = np.concatenate([cosine, score[new]]), np.concatenate([entry, new + b * BLOCK])
-            order = np.lexsort((entry, -cosine))
-            cosine, entry = cosine[order], entry[order]
+        self.blocks = -(-len(self.votes) // BLOCK)
+        self.seen: dict[bytes, tuple[float, list[int]]] = {}
+        self.scratch = np.zeros(len(self.terms))
+
+    def exact(self, terms: np.ndarray, w: np.ndarray, entries: np.ndarray) -> np.ndarray:
+        """Cosines of these entries in double precision."""
+        self.scratch[terms] = w
+        size = self.entry_begin[entries + 1] - self.entry_begin[entries]
+        at = _spread(self.entry_begin[entries], size)
+        part = self.entry_value[at] * self.scratch[self.entry_term[at]]
+        self.scratch[terms] = 0.0
+        return np.round(np.add.reduceat(part, np.cumsum(size) - size) if len(part) else np.zeros(len(entries)), 9)
+
+    def _alike(self) -> np.ndarray:
+        """An order of the entries by the nearest of some of them, so that blocks hold alike ones."""
+        n = len(self.votes)
+        if not n:
+            return np.zeros(0, np.int64)
+        seeds = np.unique(np.linspace(0, n - 1, GROUPS).astype(int))
+        mine = lambda k: slice(self.entry_begin[k], self.entry_begin[k + 1])
+        of = np.array([self.exact(self.entry_term[mine(k)], self.entry_value[mine(k)], np.arange(n)) for k in seeds])
+        return np.lexsort((of.max(0), of.argmax(0)))
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Terms (places in the vocabulary) and weights of length 1; nothing if no term has a weight."""
+        w = (1 + np.log(counts)) * self.weight[terms]
+        some = w > 0
+        w = w[some]
+        return terms[some], w / math.sqrt(float(w @ w)) if len(w) else w
+
+    def of_rows(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the terms with whole rows add to the cosines of each query (terms, weights) with every entry."""
+        weights = np.zeros((len(queries), len(self.rows)), np.float32)
+        for k, (terms, w) in enumerate(queries):
+            row = self.row_of[terms]
+            weights[k, row[row >= 0]] = w[row >= 0]
+        return weights @ self.rows
+
+    def search(self, terms: np.ndarray, w: np.ndarray, base: np.ndarray, k: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines and entries of the nearest entries until they stand for k examples, all ties with the last included; cosines over 0."""
+        k, n = k or self.k, len(self.votes)
+        few = self.row_of[terms] < 0
+        rare, weight = terms[few], w[few]
+        many = self.block_begin[rare + 1] - self.block_begin[rare]
+        runs = _spread(self.block_begin[rare], many)
+        weight, block = np.repeat(weight, many), self.block[runs]
+        bound = base.reshape(-1, BLOCK).max(1) + np.bincount(block, weight * self.top[runs], minlength=self.blocks)
+        left, chosen, least = np.ones(self.blocks, bool), np.argsort(-bound, kind="stable")[:FIRST_BLOCKS], SLACK
+        near, entry = np.zeros(0), np.zeros(0, np.int64)
+        while len(chosen):
+            opened = np.zeros(self.blocks, bool)
+            opened[chosen] = True
+            left &= ~opened
+            mine = opened[block]
+            begin = self.block_at[runs[mine]]
+            size = self.block_at[runs[mine] + 1] - begin
+            at = _spread(begin, size)
+            score = base + np.bincount(self.entry[at], np.repeat(weight[mine], size) * self.value[at], minlength=len(base))
+            new = (chosen[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            new = new[(score[new] >= least - SLACK) & (new < n)]
+            near, entry = np.concatenate([near, score[new]]), np.concatenate([entry, new])
+            order = np.argsort(-near, kind="stable")
+            near, entry = near[order], entry[order]
             have = np.cumsum(self.size[entry])
-            if have[-1] >= k:
-                least = max(least, cosine[np.searchsorted(have, k)])
-                keep = np.searchsorted(-cosine, -least, side="right")
-                cosine, entry = cosine[:keep], entry[:keep]
-        return list(zip(cosine.tolist(), entry.tolist()))
-
-    def vote(self, tf: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
-        """Share of label 1 in the votes by cosine, drawn to the base rate."""
-        near = self.search(tf)
-        no, yes = (np.array([s for s, _ in near])[:, None] * self.votes[[e for _, e in near]]).sum(0) if near else (0.0, 0.0)
-        return (yes + PRIOR_WEIGHT * self.base) / (no + yes + PRIOR_WEIGHT), near
-
-    def calibrate(self, examples: list[tuple[dict[int, int], int]]) -> None:
-        """Fit the logistic curve over the votes' log-odds; a ridge draws it to the votes as they are."""
+            if len(have) and have[-1] >= k:
+                least = max(least, near[np.searchsorted(have, k)] - SLACK)
+                keep = np.searchsorted(-near, -least, side="right")
+                near, entry = near[:keep], entry[:keep]
+            chosen = np.flatnonzero(left & (bound + SLACK >= least))
+        cosine = self.exact(terms, w, entry)
+        order = np.lexsort((entry, -cosine))
+        order = order[cosine[order] > 0]
+        cosine, entry = cosine[order], entry[order]
+        have = np.cumsum(self.size[entry])
+        if len(have) and have[-1] > k:
+            keep = np.searchsorted(-cosine, -cosine[np.searchsorted(have, k)], side="right")
+            cosine, entry = cosine[:keep], entry[:keep]
+        return cosine, entry
+
+    def votes_of(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, np.ndarray]]:
+        """For each text (terms, counts) the share of label 1 in the votes by cosine, drawn to the base rate, and the entries that vote."""
+        for at in range(0, len(texts), 64):
+            queries = [self.vector(t, c) for t, c in texts[at : at + 64]]
+            for (terms, w), base in zip(queries, self.of_rows(queries)):
+                cosine, entry = self.search(terms, w, base) if len(terms) else (np.zeros(0), np.zeros(0, np.int64))
+                no, yes = (cosine @ self.votes[entry]).tolist() if len(entry) else (0.0, 0.0)
+                yield (yes + PRIOR_WEIGHT * self.base) / (no + yes + PRIOR_WEIGHT), entry
+
+    def calibrate(self, examples: list[tuple[np.ndarray, np.ndarray, int]]) -> None:
+        """Fit the logistic curve over the votes' log-odds (terms, counts, label); a ridge draws it to the votes as they are."""
         if not examples:
             return
-        x = np.array([_logit(self.vote(tf)[0]) for tf, _ in examples])
-        y = np.array([float(label) for _, label in examples])
+        x = np.array([_logit(share) for share, _ in self.votes_of([e[:2] for e in examples])])
+        y = np.array([float(label) for *_, label in examples])
         a, w = np.stack([x, np.ones_like(x)], 1), np.array([1.0, 0.0])
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-            w = w - np.linalg.solve((a.T * (p * (1 - p))) @ a + 10 * np.eye(2), a.T @ (p - y) + 10 * (w - np.array([1.0, 0.0])))
+            w = w - np.linalg.solve((a.T * (p * (1 - p))) @ a + RIDGE * np.eye(2), a.T @ (p - y) + RIDGE * (w - np.array([1.0, 0.0])))
         if np.isfinite(w).all() and w[0] > 0:
             self.slope, self.shift = float(w[0]), float(w[1])
 
-    def score(self, tf: dict[int, int]) -> tuple[float, list[int]]:
-        share, near = self.vote(tf)
-        p = 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * _logit(share) + self.shift))))
-        return p, [i for _, e in near[:3] for i in self.ids[e]][:3] if len(tf) > 1 else []
+    def scores_of(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]]]:
+        """The score of each text (terms as places in the vocabulary, counts), and doc_ids of its nearest examples."""
+        if len(self.seen) > _REMEMBERED:
+            self.seen.clear()
+        keys = [t.tobytes() + c.tobytes() for t, c in texts]
+        new = {key: text for key, text in zip(keys, texts) if key not in self.seen}
+        for key, (share, entry) in zip(new, self.votes_of(list(new.values()))):
+            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * _logit(share) + self.shift))))
+            ids = self.ids[entry[:3]].ravel()
+            self.seen[key] = p, ids[ids >= 0][:3].tolist()
+        return [self.seen[key] for key in keys]
+
+    def scores(self, texts: list[str]) -> list[tuple[float, list[int]]]:
+        text, term, count = term_counts(texts, self.terms)
+        cut = np.searchsorted(text, np.arange(len(texts) + 1))
+        return self.scores_of([(term[a:b], count[a:b]) for a, b in zip(cut, cut[1:])])
+
+    def save(self, path: str) -> None:
+        self.settings = np.array([self.base, self.slope, self.shift, self.k])
+        held = io.BytesIO()
+        np.savez(held, **{name: getattr(self, name) for name in self._ARRAYS})
+        with open_write(path) as file:
+            file.write(held.getvalue())
+
+
+@lru_cache(1)
+def load(path: str) -> Index:
+    """The index of a file, once for all tasks of a Python worker."""
+    index = Index.__new__(Index)
+    with open_read(path) as file, np.load(io.BytesIO(file.read())) as held:
+        for name in Index._ARRAYS:
+            setattr(index, name, held[name])
+    base, slope, shift, k = index.settings.tolist()
+    index.base, index.slope, index.shift, index.k = base, slope, shift, int(k)
+    index._ready()
+    return index
 
 
 def _logit(p: float) -> float:
@@ -145,115 +323,44 @@ def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def _tree(tails: list[str]) -> str:
-    """A pattern of the given strings, alike beginnings written once; a string that begins others stands for them."""
-    if "" in tails:
-        return ""
-    by: dict[str, list[str]] = defaultdict(list)
-    for t in tails:
-        by[t[0]].append(t[1:])
-    parts = [re.escape(c) + _tree(rest) for c, rest in sorted(by.items())]
-    return f"(?:{'|'.join(parts)})"
-
-
-class Counted(dict):
-    """word -> numbers of its vocabulary terms. Only words that begin as some term does are looked at."""
-
-    def __init__(self, terms: dict[str, int]):
-        self.vocabulary = terms
-        begins = {t.rstrip("*")[:8] for t in terms if t}
-        self.some = re.compile(r"\b" + _tree(list(begins)) + r"\w*") if begins else None
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > _REMEMBERED:
-            self.clear()
-        self[word] = out = tuple(self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary)
-        return out
-
-    def count(self, text: str) -> dict[int, int]:
-        """Term counts; at 0, the weight of the text's start in thousandths."""
-        text = text.lower()
-        tf = Counter(t for word in (self.some.findall(text) if self.some else ()) for t in self[word])
-        tf[0] = round(1000 * START_WEIGHT * math.sqrt(1 + len(_WORD.findall(text)) / START_WORDS)) if tf else 1000
-        return tf
-
-
-def _ratio(a: float, b: float, n1: float, n0: float) -> float:
-    """Signed log-likelihood ratio of a term in a of n1 and b of n0 examples."""
-    def part(k, n, p):
-        return (k * math.log(p) if k else 0.0) + ((n - k) * math.log(1 - p) if n - k else 0.0)
-
-    p = (a + b) / (n1 + n0)
-    if p in (0.0, 1.0):
-        return 0.0
-    g = 2 * (part(a, n1, a / n1) + part(b, n0, b / n0) - part(a, n1, p) - part(b, n0, p))
-    return g if a / n1 > b / n0 else -g
-
-
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Index:
-    """The index, from labelled documents outside fold 0: at most `rows` doc_ids, picked by hash.
+    """The index, from labelled documents outside fold 0: at most `rows` doc_ids, picked by hash, one text of each (the least).
 
     Null labels and doc_ids are left out; of several labels for a doc_id the
     highest counts. Fold 1 calibrates, the other folds are indexed. Without
     examples of both labels the score is their base rate (0 without any).
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     ids = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold("doc_id") != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     picked = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).where("label IN (0, 1)")
     # at most `rows` pairs of numbers
-    mine = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label", fold("doc_id").alias("fold")).where("text IS NOT NULL")
+    mine = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text IS NOT NULL")
+    mine = mine.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[int]] = {}
-        total = [0, 0]
-
-        def out():
-            keys = list(held)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([held[k][1] for k in keys], pa.int64()), pa.array([held[k][0] for k in keys], pa.int64())], ["term", "n1", "n0"])
-
-        for batch in slices(batches, 256):
-            for text, label in zip(texts_of(batch, "text"), batch.column("label").to_pylist()):
-                total[label] += 1
-                for t in {t for w in set(_WORD.findall(text.lower())) for t in terms_of(w)}:
-                    held.setdefault(t, [0, 0])[label] += 1
-            if len(held) > 500_000:
-                yield out()
-                held.clear()
-        held["\n"] = total  # no word: the number of examples
-        yield out()
-
-    counts = mine.where("fold <> 1").select("text", "label").mapInArrow(count, "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    kept = counts.where(F.col("term") == "\n").collect()
-    n1, n0 = (kept[0].n1, kept[0].n0) if kept else (0, 0)
-    if not n1 or not n0:
-        index = Index([""], np.ones(1), [])
-        index.base = n1 / max(1, n1 + n0)
-        return index
-    # terms that cannot reach the ratio even if no example of label 0 holds them are left behind
-    found = counts.where((F.col("term") != "\n") & (F.col("n1") >= MIN_EXAMPLES) & (F.col("n1") * n0 > F.col("n0") * n1) & (F.col("n1") >= MIN_SHARE * (F.col("n1") + F.col("n0"))))
-    share = lambda k, n: F.when((k > 0) & (k < n), k * F.log(k / n) + (n - k) * F.log(1 - k / n)).otherwise(F.lit(0.0))
-    a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
-    both = F.lit(float(n1 + n0))
-    ratio = 2 * (share(a, F.lit(float(n1))) + share(b, F.lit(float(n0))) - share(a + b, both))
-    top = found.withColumn("ratio", ratio).where(F.col("ratio") >= MIN_RATIO).orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).collect()
-    terms = ["", *(r.term for r in top)]
-    idf = np.array([1.0, *(math.log((1 + n1 + n0) / (1 + r.n1 + r.n0)) + 1 for r in top)])
-    vocabulary = {t: k for k, t in enumerate(terms)}
-
-    def vectors(batches):
-        counted = Counted(vocabulary)
         for batch in slices(batches, 256):
-            tf = [counted.count(t) for t in texts_of(batch, "text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label"), batch.column("fold"), pa.array([list(c.keys()) for c in tf], pa.list_(pa.int32())), pa.array([list(c.values()) for c in tf], pa.list_(pa.int32()))],
-                ["doc_id", "label", "fold", "terms", "counts"],
-            )
-
-    got = mine.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(vectors, "doc_id long, label int, fold long, terms array<int>, counts array<int>").collect()
-    got.sort(key=lambda r: (r.doc_id, r.terms, r.counts))
-    index = Index(terms, idf, [(r.doc_id, dict(zip(r.terms, r.counts)), r.label) for r in got if r.fold != 1])
-    index.calibrate([(dict(zip(r.terms, r.counts)), r.label) for r in got if r.fold == 1])
+            n = batch.num_rows
+            text, term, many = term_counts(texts_of(batch, "text"))
+            cut = pa.array(np.searchsorted(text, np.arange(n + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cut, pa.array(term.view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(many.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *lists], ["doc_id", "label", "terms", "counts"])
+
+    counted = mine.mapInArrow(count, "doc_id long, label int, terms array<long>, counts array<int>")
+    got = counted.withColumn("fold", fold("doc_id")).toArrow().combine_chunks().sort_by("doc_id")
+    lists = {}
+    for name in ("terms", "counts"):
+        column = got.column(name).combine_chunks() if got.num_rows else None
+        flat, cut = (column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.diff(column.offsets.to_numpy()))])) if got.num_rows else (np.zeros(0), [0])
+        lists[name] = [flat[a:b] for a, b in zip(cut, cut[1:])]
+    examples = list(zip(got.column("doc_id").to_pylist(), (t.view(np.uint64) for t in lists["terms"]), lists["counts"], got.column("label").to_pylist(), got.column("fold").to_pylist()))
+    index = Index([e[:4] for e in examples if e[4] != 1])
+    known = []
+    for _, terms, counts, label, f in examples:
+        if f == 1 and len(index.terms):
+            at = np.minimum(np.searchsorted(index.terms, terms), len(index.terms) - 1)
+            have = index.terms[at] == terms
+            known.append((at[have], counts[have], label))
+    index.calibrate(known)
     return index
 
 
@@ -262,24 +369,19 @@ def score_column(docs: DataFrame, index: Index, prefix: str = "") -> DataFrame:
 
     A null or empty text has the score of a text without any term. Own columns
     of these names, the prefix before them, give way to the results. The score
-    depends on the text only.
+    depends on the text only. The index goes to the workers by a file in the
+    shared folder.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     new = tuple(prefix + x for x in ("score", "predicted", "evidence"))
     docs = docs.drop(*new)
+    path = shared_path(spark, "toxicity-index")
+    index.save(path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted, seen = Counted(index.terms), {}
         for batch in slices(batches, 256):
-            out = []
-            for text in texts_of(batch, "text"):
-                tf = counted.count(text)
-                key = tuple(sorted(tf.items()))
-                if key not in seen:
-                    if len(seen) > 50_000:
-                        seen.clear()
-                    seen[key] = index.score(tf)
-                out.append(seen[key])
+            out = load(path).scores(texts_of(batch, "text"))
             for name, column in zip(new, (pa.array([p for p, _ in out], pa.float64()), pa.array([int(p >= 0.5) for p, _ in out], pa.int32()), pa.array([e for _, e in out], pa.list_(pa.int64())))):
                 batch = batch.append_column(name, column)
             yield batch
