@@ -10,6 +10,7 @@ the frames of the documents that it is asked for and decompresses no others.
 
 from __future__ import annotations
 
+import itertools
 import re
 import struct
 import uuid
@@ -20,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .chunks import ChunkTable
 from .shared import make_folder, open_read, open_write, shared_path, slices, small_batches, table, texts_of
@@ -31,6 +33,10 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 
 FRAME_IDS = 1 << 20
+#: Compressed bytes and documents after which a task begins another file: they bound what writer and reader hold of one.
+FILE_BYTES, FILE_DOCS = 256 << 20, 1 << 20
+#: Documents that a reader gives at a time.
+READ_DOCS = 5000
 SUFFIX = ".ids.zst"
 #: Texts with white space other than blanks and line ends, or with special tokens, are encoded whole.
 _ODD = re.compile(r"[^\S \n]|[\x1c-\x1f\x85᠎​-‏﻿]|<\|")
@@ -73,7 +79,7 @@ class SeekableWriter:
         self.compressor = zstandard.ZstdCompressor(level=level)
         self.frames: list[tuple[int, int, int]] = []
         self.docs: list[tuple[int | None, int, int]] = []
-        self.tokens = 0
+        self.tokens = self.bytes = 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         import xxhash
@@ -82,6 +88,7 @@ class SeekableWriter:
         for raw in parts:
             packed = self.compressor.compress(raw)
             self.file.write(packed)
+            self.bytes += len(packed)
             self.frames.append((len(packed), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
         self.docs.append((doc_id, len(ids) // 4, len(parts)))
         self.tokens += len(ids) // 4
@@ -151,11 +158,12 @@ class SeekableReader:
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 2) -> list[tuple[str, int, int]]:
     """Encode and write the documents in ascending doc_id order; (path, documents, ids) of each file, in order.
 
-    Rows are dealt by ranges of doc_id and sorted (null doc_ids first, equal
-    ones by text); each task writes one file under a name of its own attempt,
-    and only files of tasks that ended well are returned, so lost executors
-    leave no half files behind in the list. A null text is the empty text: the
-    end id alone. An empty table gives no files.
+    Rows are dealt by ranges of doc_id and a hash of the text, so that one
+    hot doc_id is divided too, and sorted (null doc_ids first, equal ones by
+    that hash and the text). A task writes files of bounded size under names of
+    its own attempt, and only files of tasks that ended well are returned, so
+    lost executors leave no half files behind in the list. A null text is the
+    empty text: the end id alone. An empty table gives no files.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -166,25 +174,32 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, out = None, None
+        part, number, out, encoder = TaskContext.get().partitionId(), 0, None, encoder_for(tokenizer_path)
+
+        def closed() -> pa.RecordBatch:
+            out.close()
+            return pa.RecordBatch.from_pydict({"path": [out.path], "n_docs": [len(out.docs)], "n_ids": [out.tokens], "part": [part], "number": [number]})
+
         for batch in slices(batches, 2000, most=8 << 20):
-            if out is None:
-                encoder = encoder_for(tokenizer_path)
-                out = SeekableWriter(f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}{SUFFIX}")
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts_of(batch, "text"))):
+                if out is None:
+                    out = SeekableWriter(f"{folder}/part-{part:06d}-{number:06d}-{uuid.uuid4().hex}{SUFFIX}")
                 out.add(doc_id, ids + end)
+                if out.bytes >= FILE_BYTES or len(out.docs) >= FILE_DOCS:
+                    yield closed()
+                    out, number = None, number + 1
         if out is not None:
-            out.close()
-            yield pa.RecordBatch.from_pydict({"path": [out.path], "n_docs": [len(out.docs)], "n_ids": [out.tokens], "part": [TaskContext.get().partitionId()]})
+            yield closed()
 
     files = (
-        docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-        .repartitionByRange(parts, "doc_id")
-        .sortWithinPartitions("doc_id", "text")
-        .mapInArrow(run, "path string, n_docs long, n_ids long, part long")
+        docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64("text").alias("_h"), "text")
+        .repartitionByRange(parts, "doc_id", "_h")
+        .sortWithinPartitions("doc_id", "_h", "text")
+        .select("doc_id", "text")
+        .mapInArrow(run, "path string, n_docs long, n_ids long, part long, number long")
     )
     # one row for each file, not for each document
-    return [(r.path, r.n_docs, r.n_ids) for r in sorted(files.collect(), key=lambda r: r.part)]
+    return [(r.path, r.n_docs, r.n_ids) for r in sorted(files.collect(), key=lambda r: (r.part, r.number))]
 
 
 def read_token_files(spark: SparkSession, files: list[tuple[str, int, int]]) -> DataFrame:
@@ -195,15 +210,20 @@ def read_token_files(spark: SparkSession, files: list[tuple[str, int, int]]) ->
         start += n
 
     def run(batches):
+        names = ["doc_id", "start", "n_tokens", "ids_crc32"]
         for batch in batches:
             for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist()):
-                reader, out = SeekableReader(path), []
-                for doc_id, ids in reader.documents():
-                    out.append((doc_id, base, len(ids) // 4, zlib.crc32(ids)))
-                    base += len(ids) // 4
+                reader = SeekableReader(path)
+                documents = reader.documents()
+                while True:
+                    out = []
+                    for doc_id, ids in itertools.islice(documents, READ_DOCS):
+                        out.append((doc_id, base, len(ids) // 4, zlib.crc32(ids)))
+                        base += len(ids) // 4
+                    if not out:
+                        break
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
                 reader.close()
-                cols = list(zip(*out)) or [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     listed = spark.createDataFrame(rows, "path string, base long").repartition(max(1, len(rows)))
     return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

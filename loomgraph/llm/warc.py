@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
 
 from .shared import file_size, list_files, make_folder, open_read, open_write, shared_path, slices, small_batches, table, texts_of, written
 
@@ -31,6 +31,8 @@ _MEMBER = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x0c\0sl\x08\0"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = "record_type string, record_id string, target_uri string, date string, page_id long, payload_digest string, payload_bytes long, refers_to long, http_status int, payload binary"
 SPLIT_BYTES = 64 << 20
+#: A file that lists the archives of a folder: those of tasks that ended well, and no others.
+LIST = "archives.txt"
 _COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
 _HEADER_COLUMNS = frozenset(("record_type", "record_id", "target_uri", "date", "page_id", "payload_digest"))
 
@@ -106,7 +108,20 @@ def write_pages(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, date:
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "n": pa.array([n], pa.int64())})
 
-    return [(r.path, r.n) for r in decided.select("page_id", "url", "html", "sha1", "refers_to").mapInArrow(run, "path string, n long").collect()]
+    files = [(r.path, r.n) for r in decided.select("page_id", "url", "html", "sha1", "refers_to").mapInArrow(run, "path string, n long").collect()]
+    with open_write(f"{folder}/{LIST}") as file:
+        file.write("\n".join(path for path, _ in files).encode())
+    return files
+
+
+def archives(path: str) -> list[str]:
+    """The archives of a folder, by its own list if it has one, or the archive itself."""
+    if path.endswith(SUFFIX):
+        return list_files(path, SUFFIX)
+    if list_files(path, LIST):
+        with open_read(f"{path.rstrip('/')}/{LIST}") as file:
+            return file.read().decode().split("\n") if file_size(f"{path.rstrip('/')}/{LIST}") else []
+    return list_files(path, SUFFIX)
 
 
 class Range(InputPartition):
@@ -116,12 +131,13 @@ class Range(InputPartition):
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.paths = options["path"].split("\n")
+        self.path = options["path"]
         self.payload = options.get("payload", "none")
         if self.payload not in ("none", "check", "full"):
             raise ValueError(f"payload is none, check or full, not {self.payload!r}")
         self.split = int(options.get("split_bytes", SPLIT_BYTES))
         self.wanted: list[tuple[str, frozenset]] = []
+        self.present: list[str] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         for f in filters:
@@ -130,15 +146,16 @@ class WarcReader(DataSourceReader):
                 self.wanted.append((column, frozenset((f.value,))))
             elif column in _HEADER_COLUMNS and isinstance(f, In):
                 self.wanted.append((column, frozenset(f.value)))
+            elif column in _HEADER_COLUMNS and isinstance(f, IsNotNull):
+                self.present.append(column)
             else:
                 yield f
 
     def partitions(self) -> list[Range]:
         out = []
-        for path in self.paths:
-            for f in list_files(path, SUFFIX):
-                size = file_size(f)
-                out += [Range(f, at, min(size, at + self.split)) for at in range(0, size, self.split)]
+        for f in archives(self.path):
+            size = file_size(f)
+            out += [Range(f, at, min(size, at + self.split)) for at in range(0, size, self.split)]
         return out or [Range("", 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
@@ -179,7 +196,7 @@ class WarcReader(DataSourceReader):
         digest = head.get("warc-payload-digest", "").removeprefix("sha1:") or None
         record_id = head.get("warc-record-id")
         row = {"record_type": head.get("warc-type"), "record_id": record_id, "target_uri": head.get("warc-target-uri"), "date": head.get("warc-date"), "page_id": _page(record_id), "payload_digest": digest}
-        if any(row[c] not in values for c, values in self.wanted):
+        if any(row[c] not in values for c, values in self.wanted) or any(row[c] is None for c in self.present):
             return None
         rest = text[cut + 4 :]
 
@@ -267,11 +284,19 @@ def read_archives(spark: SparkSession, folder: str, payload: str = "none", split
     return spark.read.format("warc").option("payload", payload).option("split_bytes", split_bytes).load(folder)
 
 
+def verified_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of all archives: of responses the payloads are decoded and held against their digests, of revisits the headers are read alone.
+
+    The record type is pushed into each of the two scans.
+    """
+    responses = read_archives(spark, folder, payload="check").where("record_type = 'response'")
+    return responses.unionByName(read_archives(spark, folder).where("record_type = 'revisit'"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "warc")
-    files = write_pages(table(spark, sf_dir, "pages"), folder)
-    records = read_archives(spark, "\n".join(path for path, _ in files) or folder, payload="check")
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    write_pages(table(spark, sf_dir, "pages"), folder)
+    return verified_records(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def oracle() -> str:

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -41,18 +42,32 @@ def test_token_files_round_trip(spark):
     t = Tokenizer.from_file(path)
     files = token_store.write_token_files(frame(spark, TEXTS), path, shared_path(spark, "t"))
     got = token_store.read_token_files(spark, files).orderBy("start").collect()
-    order = sorted(range(len(TEXTS)), key=lambda k: (k != 3, k // 2 * 7, TEXTS[k] is not None, (TEXTS[k] or "").encode()))
-    start = 0
-    for row, k in zip(got, order, strict=True):
-        ids = [*t.encode(TEXTS[k] or "", add_special_tokens=False).ids, 2]
-        assert (row.doc_id, row.start, row.n_tokens) == (None if k == 3 else k // 2 * 7, start, len(ids))
-        assert row.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
-        start += len(ids)
+    want = Counter()
+    for k, x in enumerate(TEXTS):
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 2]
+        want[None if k == 3 else k // 2 * 7, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    ids = [r.doc_id for r in got]
+    assert ids[0] is None and ids[1:] == sorted(ids[1:])
     some = [b for p, _, _ in files for d, b in token_store.SeekableReader(p).documents({7})]
     assert len(some) == 1 and len(some[0]) % 4 == 0  # the other row of this id has none
     assert token_store.read_token_files(spark, token_store.write_token_files(frame(spark, []), path, shared_path(spark, "t"))).count() == 0
 
 
+def test_token_files_are_of_bounded_size(spark, monkeypatch):
+    """A hot doc_id in many files, each of few documents, read in slices."""
+    path = token_store.default_tokenizer()
+    docs = spark.createDataFrame([(7 if k % 3 else k, f"text number {k}") for k in range(400)], "doc_id long, text string")
+    monkeypatch.setattr(token_store, "FILE_DOCS", 30)
+    monkeypatch.setattr(token_store, "READ_DOCS", 7)
+    files = token_store.write_token_files(docs, path, shared_path(spark, "t"))
+    assert max(n for _, n, _ in files) <= 30 and sum(n for _, n, _ in files) == 400
+    got = token_store.read_token_files(spark, files).orderBy("start").collect()
+    assert len(got) == 400 and [r.doc_id for r in got] == sorted(r.doc_id for r in got)
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+
+
 def test_token_files_split_frames_and_checksum(tmp_path, monkeypatch):
     monkeypatch.setattr(token_store, "FRAME_IDS", 10)
     w = token_store.SeekableWriter(str(tmp_path / "a.ids.zst"))

@@ -164,3 +164,20 @@ def test_reader_skips_what_filters_reject(tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "digest_of", lambda p: seen.append(len(p)) or base64.b32encode(hashlib.sha1(p).digest()).decode())
     (batch,) = [b for p in reader.partitions() for b in reader.read(p)]
     assert batch.column("page_id").to_pylist() == [3] and seen == [350_000]
+
+
+def test_record_types_are_pushed_into_the_scans(spark):
+    pages = spark.createDataFrame([(k, "u", f"text {k // 2}") for k in range(20)], "page_id long, url string, html string")
+    folder = shared_path(spark, "w")
+    files = warc.write_pages(pages, folder)
+    records = warc.verified_records(spark, folder)
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan warc") == 2 and "Filter" not in plan.replace("PushedFilters", "")
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in records.collect()) == sorted((k, "response" if k % 2 else "revisit", None if k % 2 else k + 1) for k in range(20))
+    # a file that no task has answered for is not read
+    with open(files[0][0].removeprefix("file:"), "rb") as a, open(f"{folder.removeprefix('file:')}/part-lost.warc.gz", "wb") as b:
+        b.write(a.read())
+    assert warc.read_archives(spark, folder).count() == 20
+    empty = shared_path(spark, "w")
+    warc.write_pages(pages.limit(0), empty)
+    assert warc.verified_records(spark, empty).count() == 0
