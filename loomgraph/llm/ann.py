@@ -35,7 +35,7 @@ from .shared import drop_path, small_batches, table, written
 PART_ROWS, FAN, FIT_ROWS = 128, 32, 4096
 GRAPH, HIDDEN, EPOCHS = 10, 128, 40
 RECALL = 0.98
-#: Levels of parts; vectors of a task that routes, and of a block of an undivided part.
+#: Levels of parts; vectors or queries that a task routes or searches, and vectors of a block of an undivided part.
 MAX_DEPTH, ROUTE_ROWS, BLOCK = 8, 20_000, 4000
 #: The share of a sample that is held back from a network to set how far queries go.
 HELD_BACK = 0.2
@@ -301,26 +301,46 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, report: dict | Non
     if report is not None:
         pairs = routed.join(sizes, "node").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         report |= {"levels": depth, "parts": sizes.count(), "vectors": total, "share": pairs / max(1, queries.count() * total)}
-    placed = placed.join(sizes, "node").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).select("embedding", "ids", "node", "block")
-    routed = routed.join(sizes, "node").select("embedding", "query", "node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    # parts are searched by shards of many: a query gets k + 1 rows of a shard, not of each part in it
+    shard = F.pmod(F.xxhash64("node", "block"), max(1, -(-total // ROUTE_ROWS))).cast("int").alias("shard")
+    placed = placed.join(sizes, "node").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).select("embedding", "ids", "node", "block", shard)
+    routed = routed.join(sizes, "node").select("query", "node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).select("query", "node", "block", shard)
+    routed = written(routed.groupBy("query", "shard").agg(F.collect_list(F.struct("node", "block")).alias("to")), "ann-routed", made)
+    salts = F.ceil(F.count(F.lit(1)) / ROUTE_ROWS).cast("int").alias("salts")
+    salts = written(routed.groupBy("shard").agg(salts), "ann-salts", made)
+    routed = routed.join(queries.select("query", "embedding"), "query").join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("query"), F.col("salts")).cast("int")).drop("salts")
+    placed = placed.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = {"query": [], "score": [], "vec_id": []}
         if len(left) and len(right):
-            v, ids = np.array(left["embedding"].tolist(), float), left["ids"].tolist()
-            q_all, number = np.array(right["embedding"].tolist(), float), right["query"].to_numpy()
-            for at in range(0, len(q_all), 256):
-                q = q_all[at : at + 256]
-                for i, some in enumerate(nearest_rows(v, q, k + 1)):
-                    exact = distances(v[some], q[i])
-                    pairs = sorted((s, x) for j, s in zip(some, exact.tolist()) for x in ids[j])[: k + 1]
-                    out["query"] += [number[at + i]] * len(pairs)
-                    out["score"] += [s for s, _ in pairs]
-                    out["vec_id"] += [x for _, x in pairs]
+            vectors_, number = right["embedding"].tolist(), right["query"].to_numpy()
+            asked_by: dict[tuple[str, int], list[int]] = {}
+            for i, to in enumerate(right["to"]):
+                for x in to:
+                    asked_by.setdefault((x["node"], x["block"]), []).append(i)
+            best: list[list[tuple[float, int]]] = [[] for _ in number]
+            for place, rows_ in left.groupby(["node", "block"], sort=True):
+                mine = asked_by.get(place, ())
+                if not mine:
+                    continue
+                v, ids = np.array(rows_["embedding"].tolist(), float), rows_["ids"].tolist()
+                for at in range(0, len(mine), 256):
+                    q = np.array([vectors_[i] for i in mine[at : at + 256]], float)
+                    for i, some in zip(range(len(q)), nearest_rows(v, q, k + 1)):
+                        exact, own = distances(v[some], q[i]), mine[at + i]
+                        best[own] += [(s, x) for j, s in zip(some, exact.tolist()) for x in ids[j]]
+                        if len(best[own]) > 8 * (k + 1):
+                            best[own] = sorted(best[own])[: k + 1]
+            for i, pairs in enumerate(best):
+                pairs = sorted(pairs)[: k + 1]
+                out["query"] += [number[i]] * len(pairs)
+                out["score"] += [s for s, _ in pairs]
+                out["vec_id"] += [x for _, x in pairs]
         return pd.DataFrame(out)
 
-    found = placed.groupBy("node", "block").cogroup(routed.groupBy("node", "block")).applyInPandas(rank, "query long, score double, vec_id long")
-    # a block gives a query k + 1 rows at most; they are merged in two steps, so no task holds all of a query's
+    found = placed.groupBy("shard", "salt").cogroup(routed.groupBy("shard", "salt")).applyInPandas(rank, "query long, score double, vec_id long")
+    # they are merged in two steps, so no task holds all of a query's
     top = lambda c: F.slice(F.sort_array(c), 1, k + 1)
     some = found.groupBy("query", F.pmod(F.xxhash64("vec_id"), 16).alias("_s")).agg(top(F.collect_list(F.struct("score", "vec_id"))).alias("near"))
     best = some.groupBy("query").agg(top(F.flatten(F.collect_list("near"))).alias("near"))
