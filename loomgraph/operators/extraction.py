@@ -84,11 +84,16 @@ NAMED_PATTERNS = [
     ("SPOUSE_OF", r"(?i)(Marie Antoinette)\s+married\s+(Louis XVI)"),
     ("PARENT_OF", r"(?i)(Louis XIV)\s+.*(?:father|parent)\s+of\s+(Louis XV)"),
     ("PARENT_OF", r"(?i)(Louis XIII)\s+.*(?:father|parent)\s+of\s+(Louis XIV)"),
+    ("REIGNED_AFTER", r"(?i)(Louis XIV)\s+(?:reigned|succeeded|ruled)\s+(?:after|following)\s+(Louis XIII)"),
 ]
+#: The people that those patterns name.
+NAMED_PEOPLE = ["Louis XIV", "Maria Theresa of Spain", "Marie Antoinette", "Louis XVI", "Louis XV", "Louis XIII"]
 
 
 def named_relations(docs: DataFrame, key: str, patterns: list[tuple[str, str]] = NAMED_PATTERNS) -> DataFrame:
-    """Relations whose ends a pattern's two groups capture, confidence 0.95 (EXT-9)."""
+    """Relations whose ends a pattern's two groups capture, confidence 0.95, in texts that name two people at least (EXT-9)."""
+    named = lambda n: F.lower("text").contains(n.lower()).cast("int")
+    docs = docs.where(sum((named(n) for n in NAMED_PEOPLE), F.lit(0)) > 1)
     rows = [F.struct(F.lit(k).alias("relation_type"), F.regexp_extract_all("text", F.lit(p), F.lit(1)).alias("h"), F.regexp_extract_all("text", F.lit(p), F.lit(2)).alias("t")) for k, p in patterns]
     each = docs.select(key, F.explode(F.array(*rows)).alias("r")).select(key, "r.relation_type", F.explode(F.arrays_zip("r.h", "r.t")).alias("z"))
     return each.select(key, F.col("z.h").alias("head"), "relation_type", F.col("z.t").alias("tail"), F.lit(0.95).alias("confidence"))

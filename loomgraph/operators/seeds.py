@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import windows
@@ -18,18 +19,48 @@ def cosine(a: str | Column, b: str | Column) -> Column:
     return F.when(length == 0, 0.0).otherwise(dot(a, b) / length)
 
 
-def link(mentions: DataFrame, base: DataFrame, least: float = 0.5, k: int = 10, by: str | None = None) -> DataFrame:
+#: Vectors of one side that a task multiplies with those of the other.
+LINK_ROWS = 4096
+
+
+def link(mentions: DataFrame, base: DataFrame, least: float = 0.5, k: int = 10) -> DataFrame:
     """The k most alike knowledge-base vectors of each mention, of at least a cosine (JOIN-16, TOP-1, SEED-1).
 
-    by: a column of both sides, such as a type or a learned part, that limits
-    who meets whom. Without it every mention meets all of the base, which must
-    then be a dictionary of bounded size.
+    Both sides are dealt to blocks; a task multiplies a block of mentions with
+    one of the base and gives k rows a mention, so no pairs are made but those
+    that can be among the best. Null vectors and those without length link to
+    nothing; vectors meet those of the same dimension. Cosines count to six
+    digits, ties go to the smaller id.
     """
-    m = mentions.select(F.col("vec_id").alias("mention"), F.col("embedding").alias("_a"), *([by] if by else []))
-    b = base.select(F.col("vec_id").alias("kb_id"), F.col("embedding").alias("_b"), *([by] if by else []))
-    pairs = m.join(b, by) if by else m.join(b, F.size("_a") == F.size("_b"))
-    scored = pairs.select("mention", "kb_id", F.round(cosine("_a", "_b"), 6).alias("score")).where(F.col("score") >= least)
-    return windows.top_per(scored, ["mention"], [F.desc("score"), "kb_id"], k)
+    ok = lambda c: c.isNotNull() & F.forall(c, lambda x: x.isNotNull()) & F.exists(c, lambda x: x != 0)
+    v = F.col("embedding").cast("array<double>")
+    m = mentions.select(F.col("vec_id").cast("long").alias("mention"), v.alias("_v")).where(ok(F.col("_v"))).withColumn("_d", F.size("_v"))
+    b = base.select(F.col("vec_id").cast("long").alias("kb_id"), v.alias("_v")).where(ok(F.col("_v"))).withColumn("_d", F.size("_v"))
+    n = lambda rows, name: rows.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / LINK_ROWS)).cast("int").alias(name))
+    sizes = n(m, "_nm").crossJoin(n(b, "_nb"))  # one row
+    deal = lambda rows, id_, own, own_n, other, other_n: rows.crossJoin(F.broadcast(sizes)).select("_d", id_, "_v", F.pmod(F.xxhash64(id_), own_n).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)).alias(other))
+    m, b = deal(m, "mention", "_x", F.col("_nm"), "_y", "_nb"), deal(b, "kb_id", "_y", F.col("_nb"), "_x", "_nm")
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        out = {"mention": [], "kb_id": [], "score": []}
+        if len(left) and len(right):
+            a, c = (np.array(x["_v"].tolist(), float) for x in (left, right))
+            c, ids = c[np.argsort(right["kb_id"], kind="stable")], np.sort(right["kb_id"].to_numpy())
+            a, c = (x / np.sqrt((x * x).sum(1, keepdims=True)) for x in (a, c))
+            for at in range(0, len(a), 512):
+                score = np.round(a[at : at + 512] @ c.T, 6)
+                for i, row in enumerate(score):
+                    top = np.lexsort((ids, -row))[:k]
+                    top = top[row[top] >= least]
+                    out["mention"] += [left["mention"].iloc[at + i]] * len(top)
+                    out["kb_id"] += ids[top].tolist()
+                    out["score"] += row[top].tolist()
+        return pd.DataFrame(out)
+
+    found = m.groupBy("_d", "_x", "_y").cogroup(b.groupBy("_d", "_x", "_y")).applyInPandas(best, "mention long, kb_id long, score double")
+    return windows.top_per(found, ["mention"], [F.desc("score"), "kb_id"], k)
 
 
 def candidates(seed: DataFrame, n: int = 40) -> DataFrame:

@@ -46,6 +46,16 @@ def token_set(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.trim(text)), r"\s+"), lambda x: x != ""))
 
 
+def jaccard_pairs(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """a, b, jaccard of all texts that share a word (SET-3): pairs meet by their words, sizes are counted once."""
+    words = rows.select(key, F.explode(F.array_distinct(F.filter(F.split(F.lower(F.trim(text)), r"\s+"), lambda x: x != ""))).alias("_w"))
+    size = words.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    side = lambda s: words.select(F.col(key).alias(s), "_w")
+    both = side("a").join(side("b"), "_w").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("_both"))
+    both = both.join(size.select(F.col(key).alias("a"), F.col("_n").alias("_na")), "a").join(size.select(F.col(key).alias("b"), F.col("_n").alias("_nb")), "b")
+    return both.select("a", "b", (F.col("_both") / (F.col("_na") + F.col("_nb") - F.col("_both"))).alias("jaccard"))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Tokens in common over tokens in either (SET-3)."""
     x, y = token_set(a), token_set(b)

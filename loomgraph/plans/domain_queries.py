@@ -89,9 +89,9 @@ def _(spark, d):
     return w.join(heads, F.col("token") == F.col("head")).groupBy("doc_id", "head").agg(F.min("spot").cast("long").alias("root"))
 
 
-@query("agg13_question_accuracy", "WITH q AS (SELECT DISTINCT item_id, lower(text) AS t FROM benchmark), n AS (SELECT DISTINCT lower(w) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents WHERE doc_id % 97 = 0) WHERE regexp_full_match(w, '\\p{L}{6,}')), h AS (SELECT DISTINCT item_id FROM q JOIN n ON contains(t, n) AND list_contains(regexp_split_to_array(t, '[^\\p{L}\\p{N}_]+'), n)) SELECT count(*) AS questions, count(h.item_id) AS matched, round(count(h.item_id) / count(*), 6) AS accuracy FROM q LEFT JOIN h USING (item_id)")
+@query("agg13_question_accuracy", "WITH q AS (SELECT DISTINCT item_id, lower(text) AS t FROM benchmark), n AS (SELECT DISTINCT lower(w) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) WHERE regexp_full_match(w, '\\p{L}{6,}')), h AS (SELECT DISTINCT item_id FROM q JOIN n ON contains(t, n)) SELECT count(*) AS questions, count(h.item_id) AS matched, round(count(h.item_id) / count(*), 6) AS accuracy FROM q LEFT JOIN h USING (item_id)")
 def _(spark, d):
-    names = document_words(spark, d).where(F.col("name").rlike(r"^\p{L}{6,}$"))
+    names = document_words(spark, d).where(F.col("name").rlike(r"^\p{L}{6,}\z"))
     q = table(spark, d, "benchmark").select("item_id", "text").distinct()
     hit = J.matched_questions(q, names, "text").select("item_id", F.lit(1).alias("_hit"))
     n = F.count(F.lit(1))

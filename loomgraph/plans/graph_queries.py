@@ -122,7 +122,14 @@ def _(spark, d):
     return o.select("o_orderkey", F.array_join(F.transform(L.valid_positions(tokens), lambda x: x.cast("string")), ",").alias("p"))
 
 
-@query("flt13_overlap_dedup")
+_SPAN = r"\p{Lu}\p{Ll}+(?: \p{L}+){0,2}"
+
+
+@query("flt13_overlap_dedup", f"""WITH RECURSIVE f AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{_SPAN}', 0))) AS t, text AS whole FROM documents), a AS (SELECT doc_id, instr(whole, t) AS start, instr(whole, t) + length(t) - 1 AS stop, t FROM f),
+b AS (SELECT * FROM a UNION ALL SELECT doc_id, start + 3, stop + 3, t FROM a), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, stop, t) AS r FROM b),
+w AS (SELECT doc_id, 0::BIGINT AS r, []::STRUCT(start BIGINT, stop BIGINT, t VARCHAR)[] AS kept FROM (SELECT DISTINCT doc_id FROM o)
+UNION ALL SELECT w.doc_id, o.r, CASE WHEN len(list_filter(kept, lambda k: least(k.stop, o.stop) > greatest(k.start, o.start) AND (least(k.stop, o.stop) - greatest(k.start, o.start) + 1) / (o.stop - o.start + 1) > 0.5)) > 0 THEN kept ELSE list_append(kept, {{'start': o.start, 'stop': o.stop, 't': o.t}}) END FROM w JOIN o ON o.doc_id = w.doc_id AND o.r = w.r + 1)
+SELECT doc_id, k.start::INTEGER AS start, k.stop::INTEGER AS stop, k.t AS text FROM (SELECT doc_id, unnest(kept) AS k FROM (SELECT doc_id, max_by(kept, r) AS kept FROM w GROUP BY doc_id))""")
 def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.explode(X.spans("text", r"\p{Lu}\p{Ll}+(?: \p{L}+){0,2}")).alias("s")).select("doc_id", "s.*")
     shifted = docs.unionByName(docs.select("doc_id", (F.col("start") + 3).alias("start"), (F.col("stop") + 3).alias("stop"), "text"))
@@ -179,9 +186,9 @@ def document_words(spark, d) -> DataFrame:
     return table(spark, d, "documents").select(F.explode(F.array_distinct(F.split("text", " "))).alias("name")).distinct()
 
 
-@query("join13_matched_questions", "WITH q AS (SELECT DISTINCT item_id, lower(text) AS t FROM benchmark), n AS (SELECT DISTINCT lower(w) AS n FROM (SELECT unnest(string_split(text, ' '))[1:99] AS w FROM documents WHERE doc_id % 97 = 0) WHERE regexp_full_match(w, '\\p{L}{4,}')) SELECT DISTINCT item_id FROM q JOIN n ON contains(t, n) AND list_contains(regexp_split_to_array(t, '[^\\p{L}\\p{N}_]+'), n)")
+@query("join13_matched_questions", "WITH q AS (SELECT DISTINCT item_id, lower(text) AS t FROM benchmark), n AS (SELECT DISTINCT lower(w) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) WHERE regexp_full_match(w, '\\p{L}{4,}')) SELECT DISTINCT item_id FROM q JOIN n ON contains(t, n)")
 def _(spark, d):
-    names = document_words(spark, d).where(F.col("name").rlike(r"^\p{L}{4,}$"))
+    names = document_words(spark, d).where(F.col("name").rlike(r"^\p{L}{4,}\z"))
     return J.matched_questions(table(spark, d, "benchmark").select("item_id", "text").distinct(), names, "text").select("item_id")
 
 
@@ -324,11 +331,10 @@ def _(spark, d):
     return S.code_sets(e.where("ord % 2 = 0").select("c"), e.where("confidence > 0.5").select("c"))
 
 
-@query("set3_jaccard", "SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / greatest(len(list_distinct(list_concat(a.w, b.w))), 1), 6) AS jaccard FROM (SELECT DISTINCT item_id, list_distinct(list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda x: x <> '')) AS w FROM benchmark) a JOIN (SELECT DISTINCT item_id, list_distinct(list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda x: x <> '')) AS w FROM benchmark) b ON b.item_id = a.item_id + 1")
+@query("set3_jaccard", "SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / greatest(len(list_distinct(list_concat(a.w, b.w))), 1), 6) AS jaccard FROM (SELECT DISTINCT item_id, list_distinct(list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda x: x <> '')) AS w FROM benchmark) a JOIN (SELECT DISTINCT item_id, list_distinct(list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda x: x <> '')) AS w FROM benchmark) b ON a.item_id < b.item_id AND len(list_intersect(a.w, b.w)) > 0")
 def _(spark, d):
     b = table(spark, d, "benchmark").select("item_id", "text").distinct()
-    other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("b"), F.col("text").alias("text_b"))
-    return b.join(other, "item_id").select(F.col("item_id").alias("a"), "b", F.round(S.jaccard(F.col("text"), F.col("text_b")), 6).alias("jaccard"))
+    return S.jaccard_pairs(b, "item_id", "text").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query("set4_remaining_positions", "SELECT o_orderkey, array_to_string(list_filter([1,2,3,4,5], lambda x: x <> o_orderkey % 5 AND x <> o_custkey % 5), ',') AS p FROM orders")

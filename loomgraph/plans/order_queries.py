@@ -19,11 +19,11 @@ from .registry import query
 
 
 def seed(spark, d):
-    t = J.triples(star_kg(spark, d)).where("head_kb IS NOT NULL AND relation_type <> 'ORDERED'")
+    t = J.triples(star_kg(spark, d)).where("head_kb IS NOT NULL")
     return t.select(F.col("head_kb").alias("head_kb_id"), F.col("head_text").alias("head"), F.col("relation_type").alias("relation"), F.col("tail_text").alias("tail"), F.col("confidence").alias("score"))
 
 
-SEED = f"{SQL}, seed AS (SELECT head_kb AS head_kb_id, head_text AS head, relation_type AS relation, tail_text AS tail, confidence AS score FROM ({TRIPLES}) WHERE head_kb IS NOT NULL AND relation_type <> 'ORDERED')"
+SEED = f"{SQL}, seed AS (SELECT head_kb AS head_kb_id, head_text AS head, relation_type AS relation, tail_text AS tail, confidence AS score FROM ({TRIPLES}) WHERE head_kb IS NOT NULL)"
 
 
 @query("win1_score_buckets", f"{SEED}, r AS (SELECT *, row_number() OVER (PARTITION BY relation ORDER BY score DESC, head, tail) AS r, count(*) OVER (PARTITION BY relation) AS n FROM seed), b AS (SELECT *, CAST(ceil(r / greatest(1, n // 3)) AS INTEGER) AS bucket FROM r) SELECT relation, bucket, count(*) AS n, min(score) AS least, max(score) AS most FROM b WHERE bucket <= 3 GROUP BY ALL")
@@ -87,13 +87,13 @@ def _(spark, d):
 
 
 
-LINKS = """WITH e AS (SELECT vec_id, label, embedding FROM embeddings), p AS (SELECT m.vec_id AS mention, b.vec_id AS kb_id, round(list_cosine_similarity(m.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM e m JOIN e b ON m.label = b.label WHERE m.vec_id % 10 = 0 AND b.vec_id % 10 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY score DESC, kb_id) AS r FROM p WHERE score >= 0.05)"""
+LINKS = """WITH e AS (SELECT vec_id, label, embedding FROM embeddings), p AS (SELECT m.vec_id AS mention, b.vec_id AS kb_id, round(list_cosine_similarity(m.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM e m JOIN e b ON m.vec_id % 10 = 0 AND b.vec_id % 10 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY score DESC, kb_id) AS r FROM p WHERE score >= 0.05)"""
 
 
 @query("join16_nearest_links", f"{LINKS} SELECT mention, kb_id, score FROM r WHERE r <= 5")
 def _(spark, d):
     e = table(spark, d, "embeddings")
-    return D.link(e.where("vec_id % 10 = 0"), e.where("vec_id % 10 <> 0"), 0.05, 5, by="label")
+    return D.link(e.where("vec_id % 10 = 0"), e.where("vec_id % 10 <> 0"), 0.05, 5)
 
 
 @query("top2_seed_candidates", f"{SEED}, r AS (SELECT *, row_number() OVER (PARTITION BY head_kb_id ORDER BY score DESC, head, relation, tail) AS r FROM seed) SELECT head_kb_id, relation, tail, score FROM r WHERE r <= 4")
@@ -139,7 +139,7 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 32).alias("batch"))
 
 
-NATION_EDGES = "SELECT head AS src, tail AS dst FROM relations WHERE relation_type IN ('LOCATED_IN', 'PART_OF') AND head NOT LIKE 'C:%7'"
+NATION_EDGES = "SELECT head AS src, tail AS dst FROM relations WHERE relation_type IN ('LOCATED_IN', 'PART_OF')"
 
 
 def place_edges(spark, d):
@@ -185,10 +185,9 @@ def _(spark, d):
     return g
 
 
-@query("viz1_circular_layout", f"{SQL} SELECT id, round(cos(2*pi()*(row_number() OVER (PARTITION BY label ORDER BY ord) - 1) / count(*) OVER (PARTITION BY label)), 6) + 0 AS x, round(sin(2*pi()*(row_number() OVER (PARTITION BY label ORDER BY ord) - 1) / count(*) OVER (PARTITION BY label)), 6) + 0 AS y FROM entities WHERE label IN ('REGION', 'NATION', 'SUPPLIER')")
+@query("viz1_circular_layout", f"{SQL} SELECT id, round(cos(2*pi()*(row_number() OVER (PARTITION BY label ORDER BY ord) - 1) / count(*) OVER (PARTITION BY label)), 6) + 0 AS x, round(sin(2*pi()*(row_number() OVER (PARTITION BY label ORDER BY ord) - 1) / count(*) OVER (PARTITION BY label)), 6) + 0 AS y FROM entities")
 def _(spark, d):
-    e = star_kg(spark, d).entities.where("label IN ('REGION', 'NATION', 'SUPPLIER')")
-    return G.circular(e, "label", "ord").select("id", (F.col("x") + 0).alias("x"), (F.col("y") + 0).alias("y"))
+    return G.circular(star_kg(spark, d).entities, "label", "ord").select("id", (F.col("x") + 0).alias("x"), (F.col("y") + 0).alias("y"))
 
 
 @query("viz1_rings", f"{SQL}, e AS ({NATION_EDGES}), one AS (SELECT src AS id FROM e WHERE dst = 'R:1'), two AS (SELECT DISTINCT src AS id FROM e WHERE dst IN (SELECT id FROM one)) SELECT 0 AS ring, 1::BIGINT AS n UNION ALL SELECT 1, count(*) FROM one UNION ALL SELECT 2, count(*) FROM two")

@@ -18,7 +18,15 @@ from .registry import query
 PROSE = [("NAME", r"\p{Lu}\p{Ll}{2,}(?: \p{Lu}\p{Ll}+)+"), ("NUMBER", r"[0-9]{2,}(?:\.[0-9]+)*"), ("TERM", r"\p{Lu}\p{Ll}{9,}")]
 
 
-def prose(spark, d, mod: int = 10) -> DataFrame:
+def _case(rows: list[tuple[str, str]], default: str) -> str:
+    return "CASE " + " ".join(f"WHEN {a} THEN {b}" for a, b in rows) + f" ELSE {default} END"
+
+
+def _rx(column: str, pattern: str) -> str:
+    return f"regexp_matches({column}, '{pattern}')"
+
+
+def prose(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "text")
 
 
@@ -52,7 +60,7 @@ def _(spark, d):
     return t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
 
 
-@query("join5_cooccurring_pairs", f"{FOUND}, o AS (SELECT doc_id, text, start, row_number() OVER (PARTITION BY doc_id ORDER BY start, text) AS ord FROM m WHERE type='TERM') SELECT a.doc_id, count(*) AS pairs, min(a.text || '/' || b.text) AS first FROM o a JOIN o b ON a.doc_id=b.doc_id AND a.ord < b.ord WHERE a.ord <= 12 AND b.ord <= 12 GROUP BY a.doc_id")
+@query("join5_cooccurring_pairs", f"{FOUND}, o AS (SELECT doc_id, text, start, row_number() OVER (PARTITION BY doc_id ORDER BY start, text) AS ord FROM m WHERE type='TERM') SELECT a.doc_id, count(*) AS pairs, min(a.text || '/' || b.text) AS first FROM o a JOIN o b ON a.doc_id=b.doc_id AND a.ord < b.ord GROUP BY a.doc_id")
 def _(spark, d):
     return J.pair_counts(terms(spark, d), "doc_id")
 
@@ -82,12 +90,18 @@ def _(spark, d):
     return J.sentence_pairs(prose(spark, d), terms(spark, d), "doc_id", X.sentences("text"))
 
 
-@query("ext10_sentence_relations")
+_PAIRS = f"""{FOUND}, o AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY start, text) AS ord FROM m WHERE type='TERM'), s0 AS (SELECT doc_id, {SENT} AS l FROM documents), s AS (SELECT doc_id, unnest(l) AS s, unnest(range(len(l))) AS no FROM s0),
+x AS (SELECT s.doc_id, no, o.text, row_number() OVER (PARTITION BY s.doc_id, no ORDER BY ord, o.text) AS r FROM s JOIN o ON o.doc_id=s.doc_id AND contains(s, o.text)), p AS (SELECT doc_id, no, max(CASE WHEN r=1 THEN text END) AS head, max(CASE WHEN r=2 THEN text END) AS tail FROM x WHERE r<=2 GROUP BY ALL),
+q AS (SELECT doc_id, head, tail, min(no) AS no FROM p WHERE tail IS NOT NULL GROUP BY ALL), z AS (SELECT q.*, s.s FROM q JOIN s USING (doc_id, no))"""
+_KIND = _case([(f"regexp_matches(s, '{p}')", f"'{k}'") for k, p in E.SENTENCE_PATTERNS], "'ASSOCIATED_WITH'")
+
+
+@query("ext10_sentence_relations", f"{_PAIRS} SELECT doc_id, head, {_KIND} AS relation_type, tail, CASE WHEN {_KIND} = 'ASSOCIATED_WITH' THEN 0.5 ELSE 0.7 END::DOUBLE AS confidence FROM z")
 def _(spark, d):
     return E.sentence_relations(prose(spark, d), terms(spark, d), "doc_id")
 
 
-@query("ext8_pair_relations", f"{FOUND}, o AS (SELECT doc_id, text, start, row_number() OVER (PARTITION BY doc_id ORDER BY start, text) AS ord FROM m WHERE type='TERM'), p AS (SELECT a.doc_id, a.text AS head, b.text AS tail FROM o a JOIN o b ON a.doc_id=b.doc_id AND a.ord < b.ord AND a.ord <= 8 AND b.ord <= 8) SELECT doc_id, count(*) AS n, count(DISTINCT head) AS heads FROM p GROUP BY doc_id")
+@query("ext8_pair_relations", f"{FOUND}, o AS (SELECT doc_id, text, start, row_number() OVER (PARTITION BY doc_id ORDER BY start, text) AS ord FROM m WHERE type='TERM'), p AS (SELECT a.doc_id, a.text AS head, b.text AS tail FROM o a JOIN o b ON a.doc_id=b.doc_id AND a.ord < b.ord) SELECT doc_id, count(*) AS n, count(DISTINCT head) AS heads FROM p GROUP BY doc_id")
 def _(spark, d):
     r = E.pair_relations(prose(spark, d), terms(spark, d), "doc_id")
     return r.groupBy("doc_id").agg(F.count("relation_type").alias("n"), F.count_distinct("head").alias("heads"))
@@ -112,14 +126,6 @@ def ruled(spark, d) -> DataFrame:
     return table(spark, d, "orders").selectExpr("o_orderkey AS k", f"{_H} AS head", f"{_T} AS tail", f"{_C} AS context")
 
 
-def _case(rows: list[tuple[str, str]], default: str) -> str:
-    return "CASE " + " ".join(f"WHEN {a} THEN {b}" for a, b in rows) + f" ELSE {default} END"
-
-
-def _rx(column: str, pattern: str) -> str:
-    return f"regexp_matches({column}, '{pattern}')"
-
-
 TYPE_SQL = lambda c: _case([(_rx(f"lower({c})", R.any_word(w)), f"'{k}'") for k, w in R.ENTITY_WORDS], "'UNKNOWN'")
 REL_SQL = _case([(_rx("lower(context)", R.any_phrase(p)), f"'{k}'") for k, p in R.RELATION_PHRASES], "'UNKNOWN_RELATION'")
 VALID_SQL = f"(head <> '' AND tail <> '' AND head <> tail AND {_case([(f'''rel = '{k}' ''', f'({_rx('lower(head)', R.any_word(h))} AND {_rx('lower(tail)', R.any_word(t))})') for k, h, t in R.ENDS], 'true')})"
@@ -182,11 +188,15 @@ def _(spark, d):
     return s.select("relation_type", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
-@query("conf5_significance")
+_VALIDITY = f"CASE WHEN rel = 'TREATS' AND ht = 'DRUG' AND tt = 'DISEASE' THEN 'yes' WHEN rel = 'CAUSES' AND ht = 'DISEASE' AND tt = 'DISEASE' THEN 'yes' WHEN rel = 'ASSOCIATED_WITH' THEN 'maybe' ELSE 'no' END"
+_VALIDITY_OF = f"({_VALIDITY})"
+
+
+@query("conf5_significance", f"{RULED}, v AS (SELECT CASE {_VALIDITY_OF} WHEN 'yes' THEN 1.0 WHEN 'maybe' THEN 0.5 ELSE 0.0 END::DOUBLE AS s FROM (SELECT {REL_SQL} AS rel, {TYPE_SQL('head')} AS ht, {TYPE_SQL('tail')} AS tt FROM t)), m AS (SELECT count(*) AS n, avg(s) AS m, stddev_samp(s) AS d FROM v) SELECT n, round(m, 6) AS mean, round((m - 0.5) / (d / sqrt(n)), 6) AS statistic, round((m - 0.5) / d, 6) AS effect FROM m")
 def _(spark, d):
     t = ruled(spark, d)
     scores = t.select(V.verdict_score(R.validity(R.entity_type(F.col("head")), R.relation_type(F.col("context")), R.entity_type(F.col("tail")))).alias("score"))
-    return V.one_sample_t(scores, "score", 0.5)
+    return V.one_sample_t(scores, "score", 0.5).select("n", "mean", "statistic", "effect")
 
 
 @query("val4_ontology", f"{RULED} SELECT k, {_case([(f'''rel = '{k}' ''', ' AND '.join(f'''(list_contains({list(a)}, '*') OR list_has_any(types, {list(a)}))''' for a in v)) for k, v in R.COMPATIBLE.items()], 'false')} AS ok FROM (SELECT *, {REL_SQL} AS rel, [['Disease'], ['Finding', 'Other'], ['Pharmacologic Substance', 'Disease']][(k % 3)::INTEGER + 1] AS types FROM t)")
@@ -210,7 +220,6 @@ def _(spark, d):
     return V.kb_validity(J.triples(star_kg(spark, d)), ["SUPPLIES", "LOCATED_IN"]).groupBy("relation_type", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
-_VALIDITY = f"CASE WHEN rel = 'TREATS' AND ht = 'DRUG' AND tt = 'DISEASE' THEN 'yes' WHEN rel = 'CAUSES' AND ht = 'DISEASE' AND tt = 'DISEASE' THEN 'yes' WHEN rel = 'ASSOCIATED_WITH' THEN 'maybe' ELSE 'no' END"
 
 
 @query("eval4_triple_validity", f"{RULED} SELECT k, {_VALIDITY} AS verdict FROM (SELECT k, {REL_SQL} AS rel, {TYPE_SQL('head')} AS ht, {TYPE_SQL('tail')} AS tt FROM t)")
@@ -237,12 +246,24 @@ def _(spark, d):
     return V.local_search(star_kg(spark, d), "supplier in India: is it located?", 10)
 
 
-@query("conf6_graphrag_score")
+#: The ten best triples for terms, as SQL.
+def _found_sql(terms: list[str]) -> str:
+    quoted = ", ".join(f"'{t}'" for t in terms)
+    hits = lambda c: f"len(list_filter([{quoted}], lambda t: contains(lower({c}), t))) / {len(terms)}.0"
+    head, tail, link = hits("h.text || ' ' || h.label"), hits("e.text || ' ' || e.label"), hits("r.relation_type || ' ' || r.head || ' ' || r.tail")
+    score = f"{head} * 0.4 + {tail} * 0.4 + {link} * 0.2"
+    return f"SELECT * FROM (SELECT r.head, r.relation_type, r.tail, round({score}, 6) AS score FROM relations r JOIN entities h ON h.id=r.head JOIN entities e ON e.id=r.tail) WHERE score > 0.1 ORDER BY score DESC, head, relation_type, tail LIMIT 10"
+
+
+_ANSWER = "SELECT count(*) AS n, CASE WHEN count(*) = 0 THEN 0.0::DOUBLE ELSE round(least(count(*) / 10.0, 1.0) * 0.6 + least(sum(length(head || ' ' || lower(relation_type) || ' ' || tail) + 2) / 100.0, 1.0) * 0.4, 6) END AS score"
+
+
+@query("conf6_graphrag_score", f"{SQL} {_ANSWER} FROM ({_found_sql(['supplier', 'india', 'located'])})")
 def _(spark, d):
     return V.graphrag_score(V.local_search(star_kg(spark, d), "supplier india located", 10), 10)
 
 
-@query("agg18_graphrag_dataset")
+@query("agg18_graphrag_dataset", f"{SQL} SELECT count(*) AS questions, round(avg(score), 6) AS mean FROM ({' UNION ALL '.join(f'({_ANSWER} FROM ({_found_sql(t)}))' for t in (['supplier', 'india', 'located'], ['region', 'asia'], ['nothing', 'xyzzy']))})")
 def _(spark, d):
     kg = star_kg(spark, d)
     return V.graphrag_dataset(kg, ["supplier india located", "region asia", "nothing xyzzy"], 10)
@@ -272,10 +293,17 @@ def _(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), R.property_relation(F.concat(F.lit("P"), (F.col("o_orderkey") % 800).cast("string"))).alias("rel"))
 
 
-@query("ext9_named_relations")
+#: A sentence of named people for each document, by its id; they stand before its text.
+TOLD = ["Louis XIV married Maria Theresa of Spain. Louis XIII was the father of Louis XIV.", "marie antoinette married louis xvi", "Louis XIV succeeded after Louis XIII, and Louis XIV is a parent of Louis XV", "nobody married anybody", "Louis XIV alone"]
+_TOLD = ", ".join(f"'{x}'" for x in TOLD)
+_NAMED_SQL = " UNION ALL ".join(f"SELECT doc_id, t, '{k}' AS relation_type, unnest(regexp_extract_all(t, '{p}', 1)) AS head, unnest(regexp_extract_all(t, '{p}', 2)) AS tail FROM t" for k, p in E.NAMED_PATTERNS)
+_NAME_SQL = "(SELECT count(*) FROM (VALUES " + ", ".join(f"('{n}')" for n in E.NAMED_PEOPLE) + ") v(n) WHERE contains(lower(t), lower(n))) > 1"
+
+
+@query("ext9_named_relations", f"WITH t AS (SELECT doc_id, [{_TOLD}][(doc_id % 5)::INTEGER + 1] || ' ' || coalesce(text, '') AS t FROM documents), r AS ({_NAMED_SQL}) SELECT doc_id, head, relation_type, tail, 0.95::DOUBLE AS confidence FROM r WHERE {_NAME_SQL}")
 def _(spark, d):
-    t = spark.createDataFrame([(1, "Louis XIV married Maria Theresa of Spain. Louis XIII was the father of Louis XIV."), (2, "marie antoinette married louis xvi")], "doc_id long, text string")
-    return E.named_relations(t, "doc_id")
+    told = f"concat(element_at(array({_TOLD}), cast(doc_id % 5 as int) + 1), ' ', coalesce(text, '')) AS text"
+    return E.named_relations(table(spark, d, "documents").selectExpr("doc_id", told), "doc_id")
 
 
 @query("ext12_tail_names", "SELECT o_orderkey AS k, array_to_string(list_transform([o_orderkey, o_custkey, 7], lambda t: 'entity_' || t), ' ') AS names FROM orders")
@@ -284,7 +312,12 @@ def _(spark, d):
     return t.select(F.col("o_orderkey").alias("k"), F.array_join(E.tail_names(F.array("o_orderkey", "o_custkey", F.lit(7).cast("long"))), " ").alias("names"))
 
 
-@query("ext14_triple_context")
+_LOW = "list_filter(l, lambda s: contains(lower(s), lower({0})){1})"
+
+
+@query("ext14_triple_context", f"""{FOUND}, o AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY start, text) AS ord FROM m WHERE type='TERM'), s0 AS (SELECT doc_id, {SENT} AS l FROM documents), p AS (SELECT DISTINCT a.doc_id, a.text AS head, b.text AS tail FROM o a JOIN o b ON a.doc_id = b.doc_id AND a.ord < b.ord),
+c AS (SELECT p.*, list_filter(l, lambda s: contains(lower(s), lower(head)) AND contains(lower(s), lower(tail))) AS b, list_filter(l, lambda s: contains(lower(s), lower(head)) OR contains(lower(s), lower(tail))) AS e FROM p JOIN s0 USING (doc_id))
+SELECT doc_id, head, 'RELATED_TO' AS relation_type, tail, array_to_string((CASE WHEN len(b) > 0 THEN b ELSE e END)[1:5], ' ') AS context FROM c WHERE len(e) > 0""")
 def _(spark, d):
     docs = prose(spark, d)
     t = J.pairs(terms(spark, d), "doc_id").select("doc_id", F.col("a_text").alias("head"), F.lit("RELATED_TO").alias("relation_type"), F.col("b_text").alias("tail"))
