@@ -8,11 +8,12 @@ log-likelihood ratio between the labels (0 for a term that both labels use
 alike): so chance agreement in rare words does not decide who is near, and no
 term is left out of a vector or its length. Alike examples stand next to each
 other; each term's postings are cut into blocks of examples with the block's
-largest weight. A query bounds every block by them, opens those with the
-highest bounds and then all whose bound reaches the k-th best cosine so far.
-Terms that many examples hold have whole rows instead of postings, so a batch
-of queries is multiplied with them at once before the bounds are taken. The
-nearest are then computed once more in double precision. Votes of the neighbours (all that tie with the k-th included) weigh their
+largest weight. Terms that many examples hold have whole rows instead, with
+which a batch of queries is multiplied at once: that gives the k-th best cosine
+a lower bound and, with the blocks' weights, every block an upper one. Only
+blocks whose bound reaches the former are opened. The nearest are then summed
+once more in double precision. Votes of the neighbours (all that tie with the
+k-th included) weigh their
 cosine; a logistic curve fitted on examples that are not in the index turns
 them into calibrated scores. The neighbours are the evidence.
 """
@@ -35,9 +36,9 @@ from . import shingles as S
 from .shared import open_read, open_write, shared_path, slices, small_batches, table, texts_of
 
 #: The most labelled documents that the model is fitted on (picked by a hash of doc_id).
-FIT_ROWS = 4000
-#: Examples that vote, examples in a block, blocks opened before the bounds are looked at again.
-NEIGHBOURS, BLOCK, FIRST_BLOCKS = 15, 64, 8
+FIT_ROWS = 3000
+#: Examples that vote, examples in a block, runs of postings that a batch of queries may have.
+NEIGHBOURS, BLOCK, BATCH_RUNS = 15, 64, 200_000
 #: A term that one in so many examples holds has a whole row; rounding that bounds allow for.
 ROW_SHARE, SLACK = 16, 1e-5
 #: Groups of alike examples that their order follows; votes that the base rate stands for; ridge of the calibration.
@@ -122,7 +123,7 @@ def relevance(with_1: np.ndarray, with_0: np.ndarray, n1: float, n0: float) -> n
 class Index:
     """Labelled TF-IDF vectors: equal ones are one entry with counts of both labels."""
 
-    _ARRAYS = ("terms", "weight", "votes", "ids", "entry", "value", "block_begin", "block", "top", "block_at", "row_of", "rows", "entry_begin", "entry_term", "entry_value", "settings")
+    _ARRAYS = ("terms", "weight", "votes", "ids", "entry", "value", "block_begin", "block", "top", "block_at", "row_of", "rows", "settings")
 
     def __init__(self, examples: list[tuple[int | None, np.ndarray, np.ndarray, int]]):
         """examples: doc_id, sorted distinct terms, their counts, label."""
@@ -142,37 +143,35 @@ class Index:
             g[1][y] += 1
             if doc_id is not None:
                 g[2].append(doc_id)
-        rows = []
+        entries = []
         for k, votes, ids in groups.values():
             mine, value = self.vector(number[first[k] : first[k] + sizes[k]], np.asarray(examples[k][2]))
-            rows.append((mine, value, votes, (sorted(ids) + [-1] * 3)[:3]))
-        self._build(rows)
-        rows = [rows[k] for k in self._alike()]
-        self._build(rows)
+            entries.append((mine, value, votes, (sorted(ids) + [-1] * 3)[:3]))
+        self._build(entries)
+        self._build([entries[k] for k in self._alike(entries)])
         self.k = int(max(3, min(NEIGHBOURS, n1 // 8)))  # no more than examples of label 1 can answer
 
-    def _build(self, rows: list) -> None:
-        n, v = len(rows), len(self.terms)
-        self.votes = np.array([r[2] for r in rows], float).reshape(-1, 2)
-        self.ids = np.array([r[3] for r in rows], np.int64).reshape(-1, 3)
-        sizes = np.array([len(r[0]) for r in rows], np.int64)
-        self.entry_begin = np.concatenate([[0], np.cumsum(sizes)])
-        self.entry_term = term = (np.concatenate([r[0] for r in rows]) if n else np.zeros(0)).astype(np.int32)
-        self.entry_value = value = (np.concatenate([r[1] for r in rows]) if n else np.zeros(0)).astype(np.float32)
+    def _build(self, entries: list) -> None:
+        n, v = len(entries), len(self.terms)
+        self.votes = np.array([e[2] for e in entries], float).reshape(-1, 2)
+        self.ids = np.array([e[3] for e in entries], np.int64).reshape(-1, 3)
+        sizes = np.array([len(e[0]) for e in entries], np.int64)
+        term = (np.concatenate([e[0] for e in entries]) if n else np.zeros(0)).astype(np.int32)
+        value = (np.concatenate([e[1] for e in entries]) if n else np.zeros(0)).astype(np.float32)
         entry = np.repeat(np.arange(n, dtype=np.int32), sizes)
-        # whole rows of the terms that many entries hold
+        # rows of the terms that many entries hold, one column for each
         often = np.bincount(term, minlength=v) > max(1, n // ROW_SHARE)
         self.row_of = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
-        self.rows = np.zeros((int(often.sum()), -(-n // BLOCK) * BLOCK), np.float32)
+        self.rows = np.zeros((-(-n // BLOCK) * BLOCK, int(often.sum())), np.float32)
         mine = often[term]
-        self.rows[self.row_of[term[mine]], entry[mine]] = value[mine]
+        self.rows[entry[mine], self.row_of[term[mine]]] = value[mine]
         # postings of the others, and the runs of one term in one block with the largest weight of each
         term, entry, value = term[~mine], entry[~mine], value[~mine]
         order = np.argsort(term, kind="stable")
         term, self.entry, self.value = term[order], entry[order], value[order]
         block = self.entry // BLOCK
         new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, np.int64)
-        self.block, self.block_at = block[new], np.concatenate([new, [len(term)]])
+        self.block, self.block_at = block[new].astype(np.int32), np.concatenate([new, [len(term)]])
         self.top = np.maximum.reduceat(self.value, new) if len(new) else np.zeros(0, np.float32)
         self.block_begin = np.searchsorted(term[new], np.arange(v + 1))
         self._ready()
@@ -181,25 +180,14 @@ class Index:
         self.size = self.votes.sum(1)
         self.blocks = -(-len(self.votes) // BLOCK)
         self.seen: dict[bytes, tuple[float, list[int]]] = {}
-        self.scratch = np.zeros(len(self.terms))
-
-    def exact(self, terms: np.ndarray, w: np.ndarray, entries: np.ndarray) -> np.ndarray:
-        """Cosines of these entries in double precision."""
-        self.scratch[terms] = w
-        size = self.entry_begin[entries + 1] - self.entry_begin[entries]
-        at = _spread(self.entry_begin[entries], size)
-        part = self.entry_value[at] * self.scratch[self.entry_term[at]]
-        self.scratch[terms] = 0.0
-        return np.round(np.add.reduceat(part, np.cumsum(size) - size) if len(part) else np.zeros(len(entries)), 9)
-
-    def _alike(self) -> np.ndarray:
+
+    def _alike(self, entries: list) -> np.ndarray:
         """An order of the entries by the nearest of some of them, so that blocks hold alike ones."""
-        n = len(self.votes)
+        n = len(entries)
         if not n:
             return np.zeros(0, np.int64)
         seeds = np.unique(np.linspace(0, n - 1, GROUPS).astype(int))
-        mine = lambda k: slice(self.entry_begin[k], self.entry_begin[k + 1])
-        of = np.array([self.exact(self.entry_term[mine(k)], self.entry_value[mine(k)], np.arange(n)) for k in seeds])
+        of = self.cosines([(entries[k][0], entries[k][1]) for k in seeds])[0][:, :n]
         return np.lexsort((of.max(0), of.argmax(0)))
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,63 +197,67 @@ class Index:
         w = w[some]
         return terms[some], w / math.sqrt(float(w @ w)) if len(w) else w
 
-    def of_rows(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """What the terms with whole rows add to the cosines of each query (terms, weights) with every entry."""
-        weights = np.zeros((len(queries), len(self.rows)), np.float32)
-        for k, (terms, w) in enumerate(queries):
-            row = self.row_of[terms]
-            weights[k, row[row >= 0]] = w[row >= 0]
-        return weights @ self.rows
+    def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cosines of each query (terms, weights) with every entry, those in blocks that cannot hold one of the k nearest left short (k 0: none).
 
-    def search(self, terms: np.ndarray, w: np.ndarray, base: np.ndarray, k: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines and entries of the nearest entries until they stand for k examples, all ties with the last included; cosines over 0."""
+        Also what the postings gave of them, and the queries' weights of the terms with rows.
+        """
+        m, e = len(queries), len(self.rows)
+        weights = np.zeros((m, self.rows.shape[1]), np.float32)
+        rare = []
+        for i, (terms, w) in enumerate(queries):
+            row = self.row_of[terms]
+            weights[i, row[row >= 0]] = w[row >= 0]
+            rare.append((terms[row < 0], w[row < 0]))
+        base = weights @ self.rows.T
+        terms, w = np.concatenate([t for t, _ in rare]), np.concatenate([x for _, x in rare])
+        many = self.block_begin[terms + 1] - self.block_begin[terms]
+        runs = _spread(self.block_begin[terms], many)
+        query = np.repeat(np.repeat(np.arange(m, dtype=np.int64), [len(t) for t, _ in rare]), many)
+        w, place = np.repeat(w, many), query * self.blocks + self.block[runs]
+        if k and e > k:
+            bound = base.reshape(m, -1, BLOCK).max(2) + np.bincount(place, w * self.top[runs], minlength=m * self.blocks).reshape(m, -1)
+            least = np.partition(base, e - k, axis=1)[:, e - k]
+            mine = (bound + SLACK >= least[:, None]).ravel()[place]
+            runs, query, w = runs[mine], query[mine], w[mine]
+        begin = self.block_at[runs]
+        size = self.block_at[runs + 1] - begin
+        at = _spread(begin, size)
+        posted = np.bincount(np.repeat(query * e, size) + self.entry[at], np.repeat(w, size) * self.value[at], minlength=m * e).reshape(m, e)
+        return base + posted, posted, weights
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query the cosines and entries of its nearest entries until they stand for k examples, all ties with the last included; cosines over 0."""
         k, n = k or self.k, len(self.votes)
-        few = self.row_of[terms] < 0
-        rare, weight = terms[few], w[few]
-        many = self.block_begin[rare + 1] - self.block_begin[rare]
-        runs = _spread(self.block_begin[rare], many)
-        weight, block = np.repeat(weight, many), self.block[runs]
-        bound = base.reshape(-1, BLOCK).max(1) + np.bincount(block, weight * self.top[runs], minlength=self.blocks)
-        left, chosen, least = np.ones(self.blocks, bool), np.argsort(-bound, kind="stable")[:FIRST_BLOCKS], SLACK
-        near, entry = np.zeros(0), np.zeros(0, np.int64)
-        while len(chosen):
-            opened = np.zeros(self.blocks, bool)
-            opened[chosen] = True
-            left &= ~opened
-            mine = opened[block]
-            begin = self.block_at[runs[mine]]
-            size = self.block_at[runs[mine] + 1] - begin
-            at = _spread(begin, size)
-            score = base + np.bincount(self.entry[at], np.repeat(weight[mine], size) * self.value[at], minlength=len(base))
-            new = (chosen[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            new = new[(score[new] >= least - SLACK) & (new < n)]
-            near, entry = np.concatenate([near, score[new]]), np.concatenate([entry, new])
-            order = np.argsort(-near, kind="stable")
-            near, entry = near[order], entry[order]
-            have = np.cumsum(self.size[entry])
-            if len(have) and have[-1] >= k:
-                least = max(least, near[np.searchsorted(have, k)] - SLACK)
-                keep = np.searchsorted(-near, -least, side="right")
-                near, entry = near[:keep], entry[:keep]
-            chosen = np.flatnonzero(left & (bound + SLACK >= least))
-        cosine = self.exact(terms, w, entry)
-        order = np.lexsort((entry, -cosine))
-        order = order[cosine[order] > 0]
-        cosine, entry = cosine[order], entry[order]
-        have = np.cumsum(self.size[entry])
-        if len(have) and have[-1] > k:
-            keep = np.searchsorted(-cosine, -cosine[np.searchsorted(have, k)], side="right")
-            cosine, entry = cosine[:keep], entry[:keep]
-        return cosine, entry
+        runs = np.array([int((self.block_begin[t + 1] - self.block_begin[t]).sum()) for t, _ in queries], np.int64)
+        at = 0
+        while at < len(queries):
+            end = max(at + 1, int(np.searchsorted(np.cumsum(runs[at:]), BATCH_RUNS, side="right")) + at)
+            end = min(end, at + 64)
+            near, posted, weights = self.cosines(queries[at:end], k)
+            near = near[:, :n]
+            least = np.partition(near, n - k, axis=1)[:, n - k] if n > k else np.zeros(len(near))
+            for score, own, w, low in zip(near, posted, weights, least):
+                entry = np.flatnonzero(score >= max(low - SLACK, 1e-9))
+                cosine = np.round(self.rows[entry] @ w.astype(float) + own[entry], 9)
+                order = np.lexsort((entry, -cosine))
+                order = order[cosine[order] > 0]
+                cosine, entry = cosine[order], entry[order]
+                have = np.cumsum(self.size[entry])
+                if len(have) and have[-1] > k:
+                    keep = np.searchsorted(-cosine, -cosine[np.searchsorted(have, k)], side="right")
+                    cosine, entry = cosine[:keep], entry[:keep]
+                yield cosine, entry
+            at = end
 
     def votes_of(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, np.ndarray]]:
         """For each text (terms, counts) the share of label 1 in the votes by cosine, drawn to the base rate, and the entries that vote."""
-        for at in range(0, len(texts), 64):
-            queries = [self.vector(t, c) for t, c in texts[at : at + 64]]
-            for (terms, w), base in zip(queries, self.of_rows(queries)):
-                cosine, entry = self.search(terms, w, base) if len(terms) else (np.zeros(0), np.zeros(0, np.int64))
-                no, yes = (cosine @ self.votes[entry]).tolist() if len(entry) else (0.0, 0.0)
-                yield (yes + PRIOR_WEIGHT * self.base) / (no + yes + PRIOR_WEIGHT), entry
+        if not len(self.votes):
+            yield from ((self.base, np.zeros(0, np.int64)) for _ in texts)
+            return
+        for cosine, entry in self.nearest([self.vector(t, c) for t, c in texts]):
+            no, yes = (cosine @ self.votes[entry]).tolist() if len(entry) else (0.0, 0.0)
+            yield (yes + PRIOR_WEIGHT * self.base) / (no + yes + PRIOR_WEIGHT), entry
 
     def calibrate(self, examples: list[tuple[np.ndarray, np.ndarray, int]]) -> None:
         """Fit the logistic curve over the votes' log-odds (terms, counts, label); a ridge draws it to the votes as they are."""
