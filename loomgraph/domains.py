@@ -10,7 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .operators import extraction, rules
+from .functions import text as X
+from .kg import KG
+from .operators import aggregates, extraction, rules
+from .sources.files import complete
+from .sources.knowledge import KnowledgeBase
 
 # Words that end the name of an entity of each type.
 NAME_ENDS = [
@@ -42,6 +46,52 @@ class Domain:
     relation_type: Callable[[Column], Column]
     relation_confidence: Callable[[Column, Column, Column, Column], Column]
     types: dict[str, dict[str, str]] = field(default_factory=dict)
+    valid_entity: Callable[[Column, Column], Column] = rules.plain_entity
+    valid_relation: Callable[[Column, Column, Column], Column] = rules.plain_relation
+    entity_type: Callable[[Column], Column] | None = None
+    prompts: dict[str, str] = field(default_factory=dict)
+
+    def prompt(self, task: str, text: Column) -> Column:
+        """What a model is asked for a task about a text; a task that the domain has no words for is an error."""
+        if task not in self.prompts:
+            raise ValueError(f"domain {self.name!r} has no prompt for {task!r}")
+        return F.concat(F.lit(self.prompts[task] + "\nTypes: " + ", ".join(sorted(self.types)) + "\nText: "), text)
+
+    def validated(self, kg: KG) -> KG:
+        """The entities and relations that the domain's rules accept; relations whose ends go, go with them."""
+        e = kg.entities.where(self.valid_entity(F.col("text"), F.col("label")))
+        ends = e.select("id")
+        r = kg.relations.where(self.valid_relation(F.col("head"), F.col("relation_type"), F.col("tail")))
+        r = r.join(ends.withColumnRenamed("id", "head"), "head", "left_semi").join(ends.withColumnRenamed("id", "tail"), "tail", "left_semi")
+        return KG(e, r.select(*kg.relations.columns), kg.metadata)
+
+    def metrics(self, kg: KG) -> DataFrame:
+        """Numbers of a graph by type of entity (AGG-7)."""
+        return aggregates.domain_metrics(kg.entities)
+
+    def linked(self, mentions: DataFrame, base: KnowledgeBase) -> DataFrame:
+        return base.link(mentions)
+
+    def seed_triples(self, entities: DataFrame, base: KnowledgeBase) -> DataFrame:
+        """Seed triples of linked entities from a knowledge base (EXT-15)."""
+        return extraction.seed_expansion(entities, base.relations)
+
+    def model_entities(self, docs: DataFrame, key: str, backend=None) -> DataFrame:
+        """key, text, type, start, stop, confidence, by: entities that a model names, one in a line of its reply (EXT-5).
+
+        Their confidence is 0.7 and their type the domain's rule; start is the
+        first place in the text, 1 for a name that is not in it. Where the
+        model fails, or there is none, the domain's own patterns are used.
+        """
+        asked = complete(docs.select(key, "text", self.prompt("entity_discovery", F.coalesce("text", F.lit(""))).alias("prompt")), backend)
+        named = asked.where("error IS NULL").select(key, F.col("text").alias("_t"), F.explode(F.array_distinct(X.parse_entities("reply"))).alias("text"))
+        at = F.coalesce(F.call_function("locate", F.col("text"), F.col("_t")), F.lit(0))
+        start = F.greatest(at, F.lit(1))
+        kind = self.entity_type(F.col("text")) if self.entity_type else F.lit("UNKNOWN")
+        named = named.select(key, "text", kind.alias("type"), start.alias("start"), (start + F.length("text") - 1).alias("stop"), F.lit(0.7).alias("confidence"), F.lit("model").alias("by"))
+        rest = docs.join(asked.where("error IS NOT NULL").select(key).distinct(), key, "left_semi")
+        own = self.entities(rest, key).select(key, "text", "type", "start", "stop", "confidence", F.lit("rule").alias("by"))
+        return named.unionByName(own)
 
     def entities(self, docs: DataFrame, key: str) -> DataFrame:
         return extraction.mentions(docs, key, self.patterns, self.entity_confidence)
@@ -55,8 +105,10 @@ class Domain:
         return spark.createDataFrame(rows, "type string, domain string, category string")
 
 
-GENERAL = Domain("general", rules.GENERAL, rules.name_confidence, rules.relation_type, rules.relation_confidence, {k: {"category": "name"} for k, _ in rules.GENERAL})
-CLINICAL = Domain("clinical", clinical_patterns(), rules.entity_confidence, rules.relation_type, rules.relation_confidence, {k: {"category": "clinical"} for k, _ in NAME_ENDS})
+# What a model is asked for.
+_ASK = {"entity_discovery": "List the entities in this text, one on a line.", "relation_matching": "Relate the entities in this text, one relation on a line: A -> RELATION -> B."}
+GENERAL = Domain("general", rules.GENERAL, rules.name_confidence, rules.relation_type, rules.relation_confidence, {k: {"category": "name"} for k, _ in rules.GENERAL}, prompts=_ASK)
+CLINICAL = Domain("clinical", clinical_patterns(), rules.entity_confidence, rules.relation_type, rules.relation_confidence, {k: {"category": "clinical"} for k, _ in NAME_ENDS}, rules.valid_entity, rules.valid_relation, rules.entity_type, _ASK)
 
 
 class Registry:
@@ -93,7 +145,11 @@ def default_registry() -> Registry:
 
 
 def extract_with(docs: DataFrame, key: str, fn: Callable[[str], list[str]]) -> DataFrame:
-    """key, names, error: a caller's function of each text; a text that fails has its error (UDF-3)."""
+    """key, names, error: a caller's function of each text; a text that fails has its error (UDF-3).
+
+    The function is the caller's and runs text by text in Python: the one slow
+    path of the engine, for what patterns cannot say.
+    """
     kind = docs.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -142,3 +142,8 @@ def cross_entropy(rows: DataFrame) -> DataFrame:
     z = F.log(F.aggregate("logits", F.lit(0.0), lambda a, x: a + F.exp(x - top))) + top
     loss = z - F.element_at("logits", F.col("label").cast("int") + 1)
     return rows.where("label <> -100").agg(F.round(F.avg(loss), 6).alias("loss"), F.count(F.lit(1)).alias("n"))
+
+
+def partial_and_final(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs and chars of a collection (AGG-21): each task counts its own, then the counts are added."""
+    return docs.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.length(text)), F.lit(0).cast("long")).alias("chars"))

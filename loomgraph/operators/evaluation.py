@@ -1,14 +1,18 @@
-"""Factuality, validity and graph search scores (AGG-9..18, EVAL-1..4, CONF-4..6, JOIN-15)."""
+"""Factuality, validity, question and graph search scores (AGG-9..18, EVAL-1..4, CONF-4..6, JOIN-15)."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..kg import KG
+from ..sources.files import complete
 from . import joins, rules
 
 
@@ -29,6 +33,57 @@ def validity_score(verdicts: DataFrame) -> DataFrame:
     return verdicts.agg(n.alias("total"), *(count(v).alias(v) for v in ("yes", "maybe", "no")), F.coalesce(F.round(count("yes") / F.nullif(n, F.lit(0)), 6), F.lit(0.0)).alias("score"))
 
 
+def support_prompt(head: Column, kind: Column, tail: Column, context: Column) -> Column:
+    """What a model is asked about a triple and its context (EVAL-2)."""
+    return F.concat(F.lit("Is this relationship supported by the context?\n\nRelationship: "), head, F.lit(" --["), kind, F.lit("]--> "), tail, F.lit("\n\nContext: "), context, F.lit("\n\nAnswer YES or NO only:"))
+
+
+def validity_prompt(head: Column, kind: Column, tail: Column) -> Column:
+    """What a model is asked about a triple alone (EVAL-2)."""
+    return F.concat(F.lit("Is this relationship valid: do the types of its ends fit it, does it make sense, does nothing known contradict it?\n\nRelationship: "), head, F.lit(" --["), kind, F.lit("]--> "), tail, F.lit("\n\nAnswer YES, MAYBE or NO with a brief reason:"))
+
+
+def model_support(triples: DataFrame, backend=None) -> DataFrame:
+    """triples (head, relation_type, tail, context, ...) with supported and by (EVAL-2).
+
+    A reply that begins with yes supports the triple, any other does not; where
+    the model fails, or there is none, the keyword rule decides (EVAL-1).
+    """
+    head, kind, tail, context = map(F.col, ("head", "relation_type", "tail", "context"))
+    asked = complete(triples.withColumn("prompt", support_prompt(head, kind, tail, context)), backend)
+    said = F.startswith(F.lower(F.trim("reply")), F.lit("yes"))
+    ok = F.when(F.col("error").isNull(), said).otherwise(F.coalesce(rules.supported(head, kind, tail, context), F.lit(False)))
+    return asked.select(*triples.columns, ok.alias("supported"), F.when(F.col("error").isNull(), "model").otherwise("rule").alias("by"))
+
+
+def model_validity(triples: DataFrame, backend=None) -> DataFrame:
+    """triples (head, relation_type, tail, ...) with verdict: yes, no or, for any other reply, maybe; unknown where the model fails (EVAL-2)."""
+    asked = complete(triples.withColumn("prompt", validity_prompt(F.col("head"), F.col("relation_type"), F.col("tail"))), backend)
+    low = F.lower(F.trim("reply"))
+    verdict = F.when(F.col("error").isNotNull(), "unknown").when(F.startswith(low, F.lit("yes")), "yes").when(F.startswith(low, F.lit("no")), "no").otherwise("maybe")
+    return asked.select(*triples.columns, verdict.alias("verdict"))
+
+
+# What question kinds and skills keep of the accuracy (AGG-13).
+QUESTION_FACTORS = [("reasoning", 0.8), ("knowledge", 0.9), ("diagnosis", 0.9), ("treatment", 0.85), ("symptoms", 0.95), ("complications", 0.8)]
+
+
+def question_scores(questions: DataFrame, names: DataFrame, column: str) -> DataFrame:
+    """questions, matched, accuracy and what each kind of question keeps of it (AGG-13); zeros without questions."""
+    keys = questions.columns
+    hit = joins.matched_questions(questions, names, column).select(*keys, F.lit(1).alias("_hit"))
+    n = F.count(F.lit(1))
+    on = [F.col(f"q.{c}").eqNullSafe(F.col(f"h.{c}")) for c in keys]
+    s = questions.alias("q").join(hit.distinct().alias("h"), on, "left").agg(n.alias("questions"), F.count("h._hit").alias("matched"), F.coalesce(F.count("h._hit") / F.nullif(n, F.lit(0)), F.lit(0.0)).alias("_a"))
+    return s.select("questions", "matched", F.round("_a", 6).alias("accuracy"), *(F.round(F.col("_a") * f, 6).alias(k) for k, f in QUESTION_FACTORS))
+
+
+def combined_accuracy(*scores: DataFrame) -> DataFrame:
+    """accuracy: the mean of one-row accuracies (AGG-14)."""
+    each = reduce(DataFrame.unionByName, [s.select(F.col("accuracy").cast("double").alias("accuracy")) for s in scores])
+    return each.agg(F.round(F.avg("accuracy"), 6).alias("accuracy"))
+
+
 def verdict_score(verdict: Column) -> Column:
     return F.when(verdict == "yes", 1.0).when(verdict == "maybe", 0.5).otherwise(0.0)
 
@@ -64,27 +119,53 @@ def chi_tail(x: float) -> float:
     return math.erfc(math.sqrt(max(0.0, x) / 2))
 
 
-def _numbers(scores: DataFrame, column: str) -> tuple[int, float, float]:
-    r = scores.agg(F.count(column).alias("n"), F.avg(column).alias("m"), F.stddev_samp(column).alias("s")).first()  # one row
-    return r.n, r.m or 0.0, r.s or 0.0
+def _with_p(tests: DataFrame, tail: Callable[[float, float], float], alpha: float) -> DataFrame:
+    """One row (statistic, df, ...) with p_value and significant in place of df; nothing runs until it is asked for."""
+    names = [c for c in tests.columns if c != "df"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = [round(tail(t, df), 9) for t, df in zip(batch.column("statistic").to_pylist(), batch.column("df").to_pylist())]
+            batch = batch.select(names).append_column("p_value", pa.array(p, pa.float64()))
+            yield batch.append_column("significant", pa.array([x < alpha for x in p], pa.bool_()))
+
+    kept = T.StructType([f for f in tests.schema.fields if f.name != "df"])
+    return tests.mapInArrow(run, T.StructType([*kept.fields, T.StructField("p_value", T.DoubleType()), T.StructField("significant", T.BooleanType())]))
+
+
+def _moments(scores: DataFrame, column: str, tag: str = "") -> DataFrame:
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return scores.agg(F.count(column).alias(f"n{tag}"), zero(F.avg(column)).alias(f"m{tag}"), zero(F.stddev_samp(column)).alias(f"s{tag}"))
 
 
 def one_sample_t(scores: DataFrame, column: str, against: float = 0.5, alpha: float = 0.05) -> DataFrame:
-    """One row: n, mean, statistic, p_value, effect, significant of a t-test against a mean (CONF-5)."""
-    n, m, s = _numbers(scores, column)
-    t = (m - against) / (s / math.sqrt(n)) if n > 1 and s > 0 else 0.0
-    p = t_tail(t, n - 1) if n > 1 and s > 0 else 1.0
-    return scores.sparkSession.createDataFrame([(n, round(m, 6), round(t, 6), round(p, 9), round((m - against) / s, 6) if s else 0.0, p < alpha)], "n long, mean double, statistic double, p_value double, effect double, significant boolean")
+    """One row: n, mean, statistic, effect, p_value, significant of a t-test against a mean (CONF-5); 0 and 1 where scores do not vary."""
+    n, m, s = F.col("n"), F.col("m"), F.col("s")
+    t = F.when((n > 1) & (s > 0), (m - against) / (s / F.sqrt(n.cast("double")))).otherwise(0.0)
+    effect = F.when(s > 0, (m - against) / s).otherwise(0.0)
+    row = _moments(scores, column).select("n", F.round(m, 6).alias("mean"), F.round(t, 6).alias("statistic"), F.round(effect, 6).alias("effect"), F.when((n > 1) & (s > 0), n - 1).otherwise(0).cast("double").alias("df"))
+    return _with_p(row, t_tail, alpha)
 
 
 def two_sample_t(a: DataFrame, b: DataFrame, column: str, alpha: float = 0.05) -> DataFrame:
-    """One row: a pooled t-test of two sets of scores (CONF-5)."""
-    (n1, m1, s1), (n2, m2, s2) = _numbers(a, column), _numbers(b, column)
+    """One row: difference, statistic, effect, p_value, significant of a pooled t-test of two sets of scores (CONF-5)."""
+    both = _moments(a, column, "1").crossJoin(_moments(b, column, "2"))  # one row each
+    n1, n2, s1, s2 = (F.col(c).cast("double") for c in ("n1", "n2", "s1", "s2"))
     df = n1 + n2 - 2
-    pooled = math.sqrt(((n1 - 1) * s1 * s1 + (n2 - 1) * s2 * s2) / df) if df > 0 else 0.0
-    t = (m1 - m2) / (pooled * math.sqrt(1 / n1 + 1 / n2)) if pooled else 0.0
-    p = t_tail(t, df) if pooled else 1.0
-    return a.sparkSession.createDataFrame([(round(m1 - m2, 6), round(t, 6), round(p, 9), round((m1 - m2) / pooled, 6) if pooled else 0.0, p < alpha)], "difference double, statistic double, p_value double, effect double, significant boolean")
+    pooled = F.when(df > 0, F.sqrt(((n1 - 1) * s1 * s1 + (n2 - 1) * s2 * s2) / df)).otherwise(0.0)
+    d = F.col("m1") - F.col("m2")
+    t = F.when(pooled > 0, d / (pooled * F.sqrt(1 / n1 + 1 / n2))).otherwise(0.0)
+    row = both.select(F.round(d, 6).alias("difference"), F.round(t, 6).alias("statistic"), F.round(F.when(pooled > 0, d / pooled).otherwise(0.0), 6).alias("effect"), F.when(pooled > 0, df).otherwise(0.0).alias("df"))
+    return _with_p(row, t_tail, alpha)
+
+
+def even_split_chi(verdicts: DataFrame, column: str, alpha: float = 0.05) -> DataFrame:
+    """One row: yes, others, statistic, p_value, significant of a chi-square test of yes against an even split (CONF-5)."""
+    yes, n = F.count_if(F.col(column) == "yes"), F.count(F.lit(1))
+    row = verdicts.agg(yes.alias("yes"), (n - yes).alias("others"), n.cast("double").alias("_n"))
+    statistic = F.when(F.col("_n") > 0, 2 * F.pow(F.col("yes") - F.col("_n") / 2, F.lit(2.0)) / (F.col("_n") / 2)).otherwise(0.0)
+    row = row.select("yes", "others", F.round(statistic, 6).alias("statistic"), F.lit(1.0).alias("df"))
+    return _with_p(row, lambda x, _: chi_tail(x), alpha)
 
 
 def query_terms(text: str) -> list[str]:

@@ -127,3 +127,17 @@ def seed_expansion(entities: DataFrame, kb_relations: DataFrame) -> DataFrame:
     """Seed triples of linked entities from a knowledge base's relations, score 0.7 (EXT-15)."""
     linked = entities.where("kb_id IS NOT NULL").select("text", F.col("kb_id").alias("src_kb_id"))
     return linked.join(kb_relations, "src_kb_id").select(F.col("text").alias("head"), rules.property_relation(F.col("relation_name")).alias("relation_type"), F.col("dst_kb_id").alias("tail"), F.lit(0.7).alias("score"))
+
+
+def normalized_name(text: Column) -> Column:
+    """A name in lower case without its article and the word for its kind (EXT-3)."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "^(the|a|an) ", ""), " (disease|disorder|syndrome)$", ""))
+
+
+def gazetteer(docs: DataFrame, names: DataFrame, key: str, confidence: float = 0.95) -> DataFrame:
+    """key, text, confidence: the names of a fixed gazetteer (name) that a text holds (EXT-4).
+
+    names is a constant of the domain, tens of rows; it is broadcast for that.
+    """
+    hit = docs.select(key, F.col("text").alias("_t")).join(F.broadcast(names), F.col("_t").contains(F.col("name")))
+    return hit.select(key, F.col("name").alias("text"), F.lit(confidence).alias("confidence"))

@@ -3,22 +3,14 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..kg import KG
+from . import windows
 from .filters import induced, touched
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that driver and executors share; one of our own only where none is set."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix=f"loomgraph-{uuid.uuid4().hex[:8]}-"))
-    return df.checkpoint()
+from .lineage import checkpointed
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -80,9 +72,9 @@ def simplify(kg: KG, nodes: int, edges: int, least: float = 0.0) -> KG:
 
 def circular(nodes: DataFrame, by: str, order: str) -> DataFrame:
     """x, y on a circle for each group of nodes (VIZ-1)."""
-    w = Window.partitionBy(by)
-    angle = 2 * math.pi * (F.row_number().over(w.orderBy(order)) - 1) / F.count(F.lit(1)).over(w)
-    return nodes.withColumn("x", F.round(F.cos(angle), 6)).withColumn("y", F.round(F.sin(angle), 6))
+    p = windows.placed(nodes, [by], [order], "_place")
+    angle = 2 * math.pi * (F.col("_place") - 1) / F.col("_place_of")
+    return p.withColumn("x", F.round(F.cos(angle), 6)).withColumn("y", F.round(F.sin(angle), 6)).drop("_place", "_place_of")
 
 
 def rings(edges: DataFrame, centre: str, most: int) -> DataFrame:
@@ -99,8 +91,43 @@ def rings(edges: DataFrame, centre: str, most: int) -> DataFrame:
     return known
 
 
-def spring(nodes: DataFrame, edges: DataFrame, by: str, steps: int = 50) -> DataFrame:
-    """x, y by forces, for each group's graph in one task (VIZ-1): for graphs small enough to draw."""
+def median_degree(kg: KG) -> DataFrame:
+    """One row: the median number of neighbours of a graph's nodes."""
+    return degrees(kg).agg(F.median("degree").alias("_median"))
+
+
+def bipartite(kg: KG) -> DataFrame:
+    """id, side, x, y: nodes of more neighbours than the median to the right, the others to the left, each side in order of ids (VIZ-1)."""
+    d = degrees(kg).crossJoin(median_degree(kg)).select("id", (F.col("degree") > F.col("_median")).alias("side"))  # one row
+    d = windows.placed(d, ["side"], ["id"], "_place").withColumn("_n", F.col("_place_of"))
+    y = F.when(F.col("_n") > 1, 2.0 * (F.col("_place") - 1) / (F.col("_n") - 1) - 1.0).otherwise(0.0)
+    return d.select("id", "side", F.when(F.col("side"), 1.0).otherwise(-1.0).alias("x"), F.round(y, 6).alias("y"))
+
+
+def shells(edges: DataFrame, centre: str, most: int) -> DataFrame:
+    """id, ring, x, y: rings around a centre, half a unit apart, each in order of ids (VIZ-1)."""
+    r = windows.placed(rings(edges, centre, most), ["ring"], ["id"], "_place")
+    angle = 2 * math.pi * (F.col("_place") - 1) / F.col("_place_of")
+    return r.select("id", "ring", (F.round(F.cos(angle) * 0.5 * F.col("ring"), 6) + 0).alias("x"), (F.round(F.sin(angle) * 0.5 * F.col("ring"), 6) + 0).alias("y"))
+
+
+def hierarchical(edges: DataFrame, root: str, most: int) -> DataFrame:
+    """id, depth, x, y: levels below a root, half a unit apart, each spread over -1 to 1 in order of ids (VIZ-1)."""
+    r = windows.placed(rings(edges, root, most).withColumnRenamed("ring", "depth"), ["depth"], ["id"], "_place")
+    x = F.when(F.col("_place_of") > 1, 2.0 * (F.col("_place") - 1) / (F.col("_place_of") - 1) - 1.0).otherwise(0.0)
+    return r.select("id", "depth", F.round(x, 6).alias("x"), (F.col("depth") * -0.5 + 0).alias("y"))
+
+
+#: The most nodes of a graph that forces lay out: all of it is in one task.
+SPRING_NODES = 2000
+
+
+def spring(nodes: DataFrame, edges: DataFrame, by: str, steps: int = 100) -> DataFrame:
+    """x, y by forces, for each group's graph in one task (VIZ-1): for graphs small enough to draw.
+
+    A graph of over SPRING_NODES nodes is refused with an error; draw a
+    simplified one (simplify) or use another layout.
+    """
     import pandas as pd
 
     def place(left: "pd.DataFrame", right: "pd.DataFrame") -> "pd.DataFrame":
@@ -108,6 +135,8 @@ def spring(nodes: DataFrame, edges: DataFrame, by: str, steps: int = 50) -> Data
 
         left = left.sort_values("id").reset_index(drop=True)
         n = len(left)
+        if n > SPRING_NODES:
+            raise ValueError(f"a graph of {n} nodes is too large for forces; at most {SPRING_NODES}")
         at = {k: i for i, k in enumerate(left["id"])}
         angle = 2 * np.pi * np.arange(n) / max(1, n)
         xy = np.stack([np.cos(angle), np.sin(angle)], 1)
@@ -174,3 +203,14 @@ def chain_distances(spark: SparkSession, roots: int = ROOTS, leaves: int = LEAVE
     b = node.select(F.col("id").alias("dst"), F.col("root").alias("q"), "leaf")
     # a fixed table of roots x nodes, the same for every text; built once
     return a.join(b, F.col("q") >= F.col("r")).where("src <> dst").select("src", "dst", (F.col("q") - F.col("r") + F.col("leaf")).alias("hops"))
+
+
+#: Colours of types in drawings (VIZ-2).
+COLOURS = {"REGION": "#1f77b4", "NATION": "#2ca02c"}
+OTHER_COLOUR = "#7f7f7f"
+
+
+def colour(label: Column, colours: dict[str, str] = COLOURS, other: str = OTHER_COLOUR) -> Column:
+    """A type's colour, or that of all others (VIZ-2)."""
+    table = F.create_map(*(F.lit(x) for p in colours.items() for x in p))
+    return F.coalesce(F.element_at(table, label), F.lit(other))

@@ -129,6 +129,21 @@ def matched_questions(questions: DataFrame, names: DataFrame, column: str) -> Da
     return questions.join(hit.select(*questions.columns).distinct(), questions.columns, "left_semi")
 
 
+def root_positions(tokens: DataFrame, heads: DataFrame, key: str) -> DataFrame:
+    """key, head, root: the first token (spot, token) of a text that holds each head (JOIN-11).
+
+    Distinct tokens meet distinct heads by the heads' first letters, up to
+    three, among all runs of that many letters of a token, so the pairs to
+    test are few; texts come in only then, by equal tokens.
+    """
+    most = 3
+    h = heads.select(F.lower("head").alias("head")).where("head <> ''").distinct().withColumn("_g", F.substring("head", 1, most))
+    t = tokens.select("token").where("token <> ''").distinct()
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.substr(F.col("token"), i, n))))
+    hit = t.select("token", F.explode(F.array_distinct(grams)).alias("_g")).join(h, "_g").where(F.col("token").contains(F.col("head"))).select("token", "head").distinct()
+    return tokens.join(hit, "token").groupBy(key, "head").agg(F.min("spot").cast("long").alias("root"))
+
+
 def both_linked(kg: KG) -> DataFrame:
     """Triples both of whose ends have a knowledge-base id (JOIN-14)."""
     return triples(kg).where("head_kb IS NOT NULL AND tail_kb IS NOT NULL")

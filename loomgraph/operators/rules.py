@@ -239,3 +239,17 @@ def wilson(share: Column, n: Column, z: float = 1.959963984540054) -> tuple[Colu
     half = z * F.sqrt(share * (1 - share) / n + z**2 / (4 * n * n)) / (1 + z**2 / n)
     none = (n == 0) | n.isNull()
     return F.when(none, 0.0).otherwise(F.greatest(F.lit(0.0), mid - half)), F.when(none, 0.0).otherwise(F.least(F.lit(1.0), mid + half))
+
+
+# Relations that texts of no domain may have.
+PLAIN_RELATIONS = ["ASSOCIATED_WITH", "MARRIED_TO", "PARENT_OF", "LOCATED_IN", "REIGNED", "IS_OF"]
+
+
+def plain_entity(text: Column, kind: Column) -> Column:
+    """Whether a name is long enough to be one, whatever its type (UDF-1)."""
+    return F.length(text) >= 2
+
+
+def plain_relation(head: Column, kind: Column, tail: Column) -> Column:
+    """Whether a relation is of a kind that texts of no domain may have (UDF-1)."""
+    return kind.isin(*PLAIN_RELATIONS) | F.startswith(kind, F.lit("RELATED"))

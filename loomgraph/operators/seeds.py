@@ -79,8 +79,9 @@ def select_for_injection(links: DataFrame, seed: DataFrame, key: str, least: flo
     """
     linked = links.select(key, F.col("kb_id").alias("head_kb_id")).distinct()
     many = linked.groupBy(key).agg(F.count(F.lit(1)).alias("_linked"))
-    t = linked.join(seed.where(F.col("score") >= least), "head_kb_id")
-    t = t.groupBy(key, "head_kb_id", "relation", "tail").agg(F.max("score").alias("score"), F.min("head").alias("head"))
+    # once each before the join: what is repeated in the seed must not meet every text
+    best = seed.where(F.col("score") >= least).groupBy("head_kb_id", "relation", "tail").agg(F.max("score").alias("score"), F.min("head").alias("head"))
+    t = linked.join(best, "head_kb_id")
     t = windows.score_buckets(t, [key], [F.desc("score"), "head_kb_id", "relation", "tail"], score_buckets)
     best = windows.top_per(t, [key, "bucket", "relation"], [F.desc("score"), "head_kb_id", "tail"], 1)
     rare = t.groupBy(key, "bucket", "relation").agg(F.count(F.lit(1)).alias("_n"))
@@ -90,10 +91,11 @@ def select_for_injection(links: DataFrame, seed: DataFrame, key: str, least: flo
     return best.select(key, "ord", "head_kb_id", "head", "relation", "tail", "score")
 
 
-def chosen_sequences(docs: DataFrame, order: str, total: int, ratio: float) -> DataFrame:
-    """The first bround(ratio x total) texts in order (SEED-7)."""
-    n = docs.sparkSession.range(1).select(F.bround(F.lit(total) * ratio).cast("long")).first()[0]
-    return docs.orderBy(order).limit(int(n))
+def chosen_sequences(docs: DataFrame, order: str, ratio: float, entities: DataFrame | None = None) -> DataFrame:
+    """Of the first bround(ratio x number) texts in order, those with entities (order column), or all without a table of them (SEED-7)."""
+    p = windows.placed(docs.withColumn("_all", F.lit(0)), ["_all"], [order], "_place")
+    first = p.where(F.col("_place") <= F.bround(F.col("_place_of") * F.lit(ratio))).select(*docs.columns)
+    return first if entities is None else first.join(entities.select(order).distinct(), order, "left_semi")
 
 
 def injected_valid(text: Column, head: Column, tail: Column) -> Column:

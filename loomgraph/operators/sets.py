@@ -68,3 +68,8 @@ def filter_and_dedup(triples: DataFrame, text: Column, least: float, order: list
     one = triples.groupBy(*keys).agg(F.min_by("confidence", F.struct(*order)).alias("confidence"))
     s = one.withColumn("_s", jaccard(F.col("tail_text"), text)).where(F.col("_s") >= least)
     return s.withColumn("confidence", F.col("confidence") * F.col("_s")).drop("_s")
+
+
+def remaining_positions(taken: Column, last: int) -> Column:
+    """Positions 1 to last that are not taken, in order (SET-4)."""
+    return F.array_except(F.array(*map(F.lit, range(1, last + 1))), taken)

@@ -5,11 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import checkpointed
+
 
 def ranked(rows: DataFrame, keys: list[str], order: list, name: str = "rank") -> DataFrame:
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
+#: Slices that the rows of a key are cut into before they are numbered.
+SLICES = 64
+
+
+def placed(rows: DataFrame, keys: list[str], order: list, name: str = "place") -> DataFrame:
+    """rows with their place from 1 within each key, in order, and <name>_of, how many there are.
+
+    No key is numbered in one task: rows are cut into ranges of the whole
+    order, numbered within, and each range begins after the rows of its key in
+    the ranges before it, which only counts decide. The order must be total
+    but for rows that are alike.
+    """
+    cut = rows.repartitionByRange(SLICES, *keys, *order).withColumn("_slice", F.spark_partition_id())
+    cut = checkpointed(cut)
+    counts = cut.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys)  # SLICES rows of a key at most
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(w.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn(f"{name}_of", F.sum("_c").over(w)).drop("_c")
+    own = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order))
+    numbered = cut.withColumn("_own", own).join(counts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_slice").alias("_s"), "_before", f"{name}_of"), [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_slice") == F.col("_s")])
+    return numbered.withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_own", "_before", "_slice", "_s", *(f"_k{i}" for i in range(len(keys))))
+
+
 def top_per(rows: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     """The first n rows of each key (TOP-1, TOP-2); Catalyst limits groups before it shuffles them."""
     return ranked(rows, keys, order, "_rank").where(F.col("_rank") <= n).drop("_rank")
@@ -71,8 +95,25 @@ def tuned_batch(samples: DataFrame, key: str, step: str, seconds: str, memory: s
     return s.withColumn("batch", F.when(F.col("_n") >= 3, F.greatest(F.lit(1), b)).otherwise(F.lit(size)).cast("int")).drop("_n", "_v")
 
 
-def shuffled(rows: DataFrame, order: Column, share: float, batch: int, by: list[str]) -> DataFrame:
+def shuffled(rows: DataFrame, order: list, share: float, batch: int, by: list[str]) -> DataFrame:
     """place in a pseudo-random order within each group, whether in the training share, and batch (TOP-8, TOP-9)."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    r = rows.withColumn("_n", n).withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
-    return r.withColumn("train", F.col("place") <= F.bround(F.col("_n") * share)).withColumn("batch", F.floor((F.col("place") - 1) / batch).cast("int")).drop("_n")
+    r = placed(rows, by, order)
+    return r.withColumn("train", F.col("place") <= F.bround(F.col("place_of") * share)).withColumn("batch", F.floor((F.col("place") - 1) / batch).cast("int")).drop("place_of")
+
+
+def batches(rows: DataFrame, order: list, size: int) -> DataFrame:
+    """rows with place and batch: consecutive batches of a size, in order (TOP-9)."""
+    r = placed(rows.withColumn("_all", F.lit(0)), ["_all"], order)
+    return r.withColumn("batch", F.floor((F.col("place") - 1) / size).cast("long")).drop("_all", "place_of")
+
+
+def first_values(rows: DataFrame, key: str, value: str, n: int) -> DataFrame:
+    """key, firsts: the n least values of each key, in order (TOP-3); groups are cut to n before they are gathered."""
+    some = top_per(rows.select(key, value), [key], [value], n)
+    return some.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("firsts"))
+
+
+def top_indexes(values: Column, n: int) -> Column:
+    """The places, from 0, of an array's n largest values, the first of equals first (TOP-4)."""
+    pairs = F.transform(values, lambda x, i: F.struct((-x).alias("v"), i.alias("i")))
+    return F.transform(F.slice(F.sort_array(pairs), 1, n), lambda s: s["i"])

@@ -8,16 +8,22 @@ from .. import domains
 from ..functions import text as X
 from ..kg import SQL, star_kg, table
 from ..operators import aggregates as A
+from ..operators import evaluation as V
+from ..operators import extraction as E
 from ..operators import graph_algorithms as G
 from ..operators import joins as J
 from ..operators import rules as R
 from ..operators import training as T
 from ..operators import windows as W
+from ..sources import export
+from ..streaming import events
 from .graph_queries import TRIPLES, document_words
-from .order_queries import SEED, TOKENS, seed, tokens
+from .order_queries import SEED, TOKENS, _draw, seed, tokens
 from .registry import query
 from .text_queries import FOUND, RULED, _rx, found, prose, ruled
 
+#: Every word of every text, with its place from 0.
+ALL_TOKENS = "SELECT doc_id, unnest(range(len(w))) AS spot, unnest(w) AS token FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') AS w FROM documents)"
 NOTE = ["Alpha Beta disease with pain", "Metformin treats Diabetes mellitus", "Gamma kinase and Delta gene", "no names here", "Omega virus in Liver tissue"]
 _Q = ", ".join(f"'{x}'" for x in NOTE)
 NOTES = f"WITH t AS (SELECT o_orderkey AS k, [{_Q}][(o_orderkey % 5)::INTEGER + 1] || '. ' || [{_Q}][(o_custkey % 5)::INTEGER + 1] AS t FROM orders)"
@@ -40,8 +46,7 @@ def _(spark, d):
 
 @query("ext3_normalized_names", f"{_clinical_sql()} SELECT k, trim(regexp_replace(regexp_replace(lower(text), '^(the|a|an) ', ''), ' (disease|disorder|syndrome)$', '')) AS name, count(*) AS n FROM m GROUP BY 1, 2")
 def _(spark, d):
-    name = F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), "^(the|a|an) ", ""), " (disease|disorder|syndrome)$", ""))
-    return domains.CLINICAL.entities(notes(spark, d), "k").groupBy("k", name.alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return domains.CLINICAL.entities(notes(spark, d), "k").groupBy("k", E.normalized_name(F.col("text")).alias("name")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("ext4_gazetteer_entities", f"{SQL}, g AS (SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region), p AS (SELECT p_partkey AS k, p_name || ' from ' || n_name AS t FROM part JOIN nation ON n_nationkey = p_partkey % 25) SELECT k, name AS text, 0.95::DOUBLE AS confidence FROM p JOIN g ON contains(t, name)")
@@ -49,8 +54,8 @@ def _(spark, d):
     """Names of a fixed gazetteer of 30 rows in texts: a broadcast whose bound is known."""
     names = table(spark, d, "nation").select(F.col("n_name").alias("name")).union(table(spark, d, "region").select("r_name"))
     nation = table(spark, d, "nation").select("n_nationkey", "n_name")
-    p = table(spark, d, "part").join(F.broadcast(nation), F.col("p_partkey") % 25 == F.col("n_nationkey")).select(F.col("p_partkey").alias("k"), F.concat("p_name", F.lit(" from "), "n_name").alias("t"))
-    return p.join(F.broadcast(names), F.col("t").contains(F.col("name"))).select("k", F.col("name").alias("text"), F.lit(0.95).alias("confidence"))
+    p = table(spark, d, "part").join(F.broadcast(nation), F.col("p_partkey") % 25 == F.col("n_nationkey")).select(F.col("p_partkey").alias("k"), F.concat("p_name", F.lit(" from "), "n_name").alias("text"))
+    return E.gazetteer(p, names, "k")
 
 
 @query("ext7_head_entities", f"{_clinical_sql()}, w AS (SELECT k, unnest(list_transform(regexp_split_to_array(t, '\\s+'), lambda x: regexp_replace(x, '[^\\p{{L}}]', '', 'g'))) AS w FROM t WHERE k NOT IN (SELECT k FROM m)), u AS (SELECT k, text FROM m UNION ALL SELECT k, w FROM w WHERE length(w) > 3 AND (regexp_matches(w, '^\\p{{Lu}}') OR regexp_matches(lower(w), 'name'))) SELECT k, count(*) AS n, min(text) AS first FROM u GROUP BY k")
@@ -58,7 +63,7 @@ def _(spark, d):
     return domains.head_entities(notes(spark, d), "k", domains.CLINICAL, ["name"]).groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("first"))
 
 
-@query("udf3_extraction_hook")
+@query("udf3_extraction_hook", "SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE least(3, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))) END::INTEGER AS n, CASE WHEN coalesce(text, '') = '' THEN 'empty text' END AS error FROM documents")
 def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     return domains.extract_with(docs, "doc_id", first_words).select("doc_id", F.size("names").alias("n"), "error")
@@ -81,50 +86,61 @@ def _(spark, d):
     return ruled(spark, d).agg(*(F.count_if(low("head", h) & low("tail", t)).alias(k.lower()) for k, h, t in R.ENDS))
 
 
-@query("join11_root_position", f"WITH t AS ({TOKENS.replace('length(x) * 31 + unicode(x)', 'x')}), h AS (SELECT DISTINCT token AS head FROM t WHERE length(token) = 9) SELECT doc_id, head, min(spot)::BIGINT AS root FROM t JOIN h ON token = head GROUP BY ALL")
+@query("join11_root_position", f"WITH t AS ({ALL_TOKENS}), h AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1))[1:4] AS head FROM part UNION SELECT lower(n_name) FROM nation) SELECT doc_id, head, min(spot)::BIGINT AS root FROM t JOIN h ON contains(token, head) GROUP BY ALL")
 def _(spark, d):
-    """A triple goes to the first token that is its head; equal words meet by a hash join."""
-    w = table(spark, d, "documents").select("doc_id", F.posexplode(F.slice(X.words("text"), 1, 128)).alias("spot", "token"))
-    heads = w.where(F.length("token") == 9).select(F.col("token").alias("head")).distinct()
-    return w.join(heads, F.col("token") == F.col("head")).groupBy("doc_id", "head").agg(F.min("spot").cast("long").alias("root"))
+    """A triple goes to the first token of the whole text that holds its head."""
+    w = table(spark, d, "documents").select("doc_id", F.posexplode(X.words("text")).alias("spot", "token"))
+    heads = table(spark, d, "part").select(F.substring(F.lower(F.split("p_name", " ")[0]), 1, 4).alias("head")).union(table(spark, d, "nation").select(F.lower("n_name"))).distinct()
+    return J.root_positions(w, heads, "doc_id")
 
 
 @query("agg13_question_accuracy", "WITH q AS (SELECT DISTINCT item_id, lower(text) AS t FROM benchmark), n AS (SELECT DISTINCT lower(w) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) WHERE regexp_full_match(w, '\\p{L}{6,}')), h AS (SELECT DISTINCT item_id FROM q JOIN n ON contains(t, n)) SELECT count(*) AS questions, count(h.item_id) AS matched, round(count(h.item_id) / count(*), 6) AS accuracy FROM q LEFT JOIN h USING (item_id)")
 def _(spark, d):
     names = document_words(spark, d).where(F.col("name").rlike(r"^\p{L}{6,}\z"))
     q = table(spark, d, "benchmark").select("item_id", "text").distinct()
-    hit = J.matched_questions(q, names, "text").select("item_id", F.lit(1).alias("_hit"))
-    n = F.count(F.lit(1))
-    return q.join(hit, "item_id", "left").agg(n.alias("questions"), F.count("_hit").alias("matched"), F.round(F.count("_hit") / n, 6).alias("accuracy"))
+    return V.question_scores(q, names, "text").select("questions", "matched", "accuracy")
 
 
-@query("agg14_combined_benchmark", f"{SQL}, k AS (SELECT DISTINCT kb_id AS c FROM entities WHERE kb_id IS NOT NULL AND ord % 2 = 0), b AS (SELECT DISTINCT kb_id AS c FROM entities WHERE kb_id IS NOT NULL AND confidence > 0.4), s AS (SELECT count(*) FILTER (k.c IS NOT NULL AND b.c IS NOT NULL) AS tp, count(*) AS n FROM k FULL JOIN b ON k.c = b.c) SELECT round((tp / (n + 1e-8) + 0.5) / 2, 6) AS score FROM s")
+@query("agg13_question_kinds", "WITH q AS (SELECT DISTINCT item_id, lower(text) AS t FROM benchmark), n AS (SELECT DISTINCT lower(w) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) WHERE regexp_full_match(w, '\\p{L}{16,}')), a AS (SELECT (SELECT count(DISTINCT item_id) FROM q JOIN n ON contains(t, n)) / (SELECT count(*) FROM q) AS a) SELECT " + ", ".join(f"round(a * {f}::DOUBLE, 6) AS {k}" for k, f in V.QUESTION_FACTORS) + " FROM a")
+def _(spark, d):
+    names = document_words(spark, d).where(F.col("name").rlike(r"^\p{L}{16,}\z"))
+    return V.question_scores(table(spark, d, "benchmark").select("item_id", "text").distinct(), names, "text").select(*(k for k, _ in V.QUESTION_FACTORS))
+
+
+@query("agg14_combined_benchmark", f"{SQL}, w AS (SELECT DISTINCT item_id, lower(text) AS t FROM benchmark), v AS (SELECT DISTINCT lower(x) AS n FROM (SELECT unnest(string_split(text, ' ')) AS x FROM documents) WHERE regexp_full_match(x, '\\p{{L}}{{16,}}')), a AS (SELECT (SELECT count(DISTINCT item_id) FROM w JOIN v ON contains(t, n)) / (SELECT count(*) FROM w) AS a), k AS (SELECT DISTINCT kb_id AS c FROM entities WHERE kb_id IS NOT NULL AND ord % 2 = 0), b AS (SELECT DISTINCT kb_id AS c FROM entities WHERE kb_id IS NOT NULL AND confidence > 0.4), s AS (SELECT count(*) FILTER (k.c IS NOT NULL AND b.c IS NOT NULL) AS tp, count(*) AS n FROM k FULL JOIN b ON k.c = b.c) SELECT round((round(tp / (n + 1e-8), 6) + (SELECT round(a, 6) FROM a)) / 2, 6) AS accuracy FROM s")
 def _(spark, d):
     e = star_kg(spark, d).entities.where("kb_id IS NOT NULL")
     s = A.code_scores(e.where("ord % 2 = 0").select(F.col("kb_id").alias("code")), e.where("confidence > 0.4").select(F.col("kb_id").alias("code")))
-    return s.select(F.round((F.col("tp") / (F.col("tp") + F.col("fp") + F.col("fn") + 1e-8) + 0.5) / 2, 6).alias("score"))
+    codes = s.select(F.round(F.col("tp") / (F.col("tp") + F.col("fp") + F.col("fn") + 1e-8), 6).alias("accuracy"))
+    names = document_words(spark, d).where(F.col("name").rlike(r"^\p{L}{16,}\z"))
+    return V.combined_accuracy(codes, V.question_scores(table(spark, d, "benchmark").select("item_id", "text").distinct(), names, "text"))
 
 
 @query("strf5_vocabulary", "WITH w AS (SELECT doc_id, unnest(range(len(w))) AS spot, unnest(w) AS w FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') AS w FROM documents)), f AS (SELECT w, count(*) AS n FROM w GROUP BY w HAVING count(*) >= 20) SELECT w AS token, n, row_number() OVER (ORDER BY n DESC, w) + 4 AS id FROM f")
 def _(spark, d):
-    """Words of at least 20 uses by frequency, ids from 5 on: pre-aggregated before the one ordered pass over the vocabulary."""
+    """Words of at least 20 uses by frequency, ids from 5 on: counted first, then numbered by ranges of the vocabulary."""
     w = table(spark, d, "documents").select(F.explode(X.words("text")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
-    return W.ranked(w.withColumn("_one", F.lit(0)), ["_one"], [F.desc("n"), "token"], "id").select("token", "n", (F.col("id") + 4).cast("long").alias("id"))
+    return W.placed(w.withColumn("_one", F.lit(0)), ["_one"], [F.desc("n"), "token"], "id").select("token", "n", (F.col("id") + 4).cast("long").alias("id"))
 
 
-@query("strf6_masks", "SELECT doc_id, sum(CASE WHEN token % 7 <> 0 THEN 1 ELSE 0 END)::BIGINT AS ones, count(*) AS n FROM (" + TOKENS + ") GROUP BY doc_id")
+@query("strf6_masks", "SELECT doc_id, sum(CASE WHEN (length(token) * 31 + unicode(token)) % 7 <> 0 THEN 1 ELSE 0 END)::BIGINT AS ones, count(*) AS n FROM (" + ALL_TOKENS + ") GROUP BY doc_id")
 def _(spark, d):
-    w = F.slice(X.words("text"), 1, 128)
+    w = X.words("text")
     ids = F.transform(w, lambda x: (F.length(x) * 31 + F.ascii(x)).cast("long") % 7)
     mask = X.mask_of(ids)
     return table(spark, d, "documents").where(F.size(w) > 0).select("doc_id", F.aggregate(mask, F.lit(0).cast("long"), lambda a, x: a + x).alias("ones"), F.size(mask).cast("long").alias("n"))
 
 
-@query("strf4_padded_ids", "SELECT o_orderkey AS k, '3,1,5,0,0' AS ids FROM orders")
+#: Ids of some words that the documents use.
+VOCABULARY = {"the": 5, "and": 6, "der": 7, "de": 8, "of": 9}
+_WORD_ID = "CASE x " + " ".join(f"WHEN '{w}' THEN {i}" for w, i in VOCABULARY.items()) + " ELSE 1 END"
+
+
+@query("strf4_padded_ids", f"SELECT doc_id, array_to_string(list_concat(ids, list_transform(range(64 - len(ids)), lambda i: 0)), ',') AS ids FROM (SELECT doc_id, list_transform(w[1:64], lambda x: {_WORD_ID}) AS ids FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '') AS w FROM documents))")
 def _(spark, d):
-    vocabulary = F.create_map(F.lit("a"), F.lit(3), F.lit("b"), F.lit(5))
-    ids = X.padded_ids(F.array(F.lit("a"), F.lit("zz"), F.lit("b")), vocabulary, 5)
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("ids"))
+    vocabulary = F.create_map(*(F.lit(x) for p in VOCABULARY.items() for x in p))
+    ids = X.padded_ids(X.words("text"), vocabulary, 64)
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("ids"))
 
 
 @query("seed4_inject_best", f"{SEED}, r AS (SELECT *, row_number() OVER (PARTITION BY head_kb_id ORDER BY score DESC, head, relation, tail) AS r FROM seed) SELECT head_kb_id, relation, tail, score FROM r WHERE r = 1 AND score >= 0.7")
@@ -132,20 +148,25 @@ def _(spark, d):
     return A.best_per(seed(spark, d), ["head_kb_id"], "score", ["head", "relation", "tail"], 0.7).select("head_kb_id", "relation", "tail", "score")
 
 
-@query("trn1_training_rows")
+@query("trn1_training_rows", f"""WITH t AS ({TOKENS}), l AS (SELECT doc_id, list(token ORDER BY spot) AS w FROM t GROUP BY doc_id), r AS (SELECT doc_id, w, list_transform(range(1, 129), lambda i: coalesce(w[i], 0)) AS roots FROM l),
+x AS (SELECT doc_id, list_concat(roots, flatten(list_transform(range(1, 129), lambda i: [CASE WHEN i <= len(w) AND w[i] % 2 = 0 THEN w[i] ELSE 0 END, 0, 0, 0, 0, 0, 0]))) AS ids, list_concat(list_transform(range(1, 129), lambda i: CASE WHEN i <= len(w) THEN 1 ELSE 0 END), flatten(list_transform(range(1, 129), lambda i: list_transform(range(7), lambda j: CASE WHEN i <= len(w) AND w[i] % 2 = 0 THEN 1 ELSE 0 END)))) AS mask FROM r)
+SELECT doc_id, len(ids)::INTEGER AS length, md5(array_to_string(ids, ',')) AS ids, md5(array_to_string(mask, ',')) AS mask FROM x""")
 def _(spark, d):
-    """doc_id, ids, mask of chain graphs with a leaf row injected at each root whose token is even."""
+    """doc_id, length, digests of ids and mask of chain graphs with a leaf row injected at each root whose token is even."""
     t = tokens(spark, d).withColumnRenamed("at", "root_ix")
     docs = table(spark, d, "documents").where(F.size(X.words("text")) > 0)
     roots = G.chain(docs, "doc_id", F.transform(X.words("text"), lambda x: (F.length(x) * 31 + F.ascii(x)).cast("long")))
     into = t.where("token % 2 = 0").select("doc_id", "root_ix", F.lit(1).alias("ord"), F.lit("r").alias("relation"), F.array("token").alias("tail_tokens"))
-    return G.sequence(G.inject(roots, "doc_id", into), "doc_id")
+    s = G.sequence(G.inject(roots, "doc_id", into), "doc_id")
+    digest = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), ",")).alias(c)
+    return s.select("doc_id", F.size("ids").alias("length"), digest("ids"), digest("mask"))
 
 
-@query("trn3_masked_leaves")
+@query("trn3_masked_leaves", f"WITH t AS ({TOKENS}), c AS (SELECT *, count(CASE WHEN token % 2 = 0 THEN 1 END) OVER (PARTITION BY doc_id) AS v, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN token % 2 = 0 THEN {_draw('doc_id', 'spot', 3)} END NULLS LAST, spot) AS r FROM t) SELECT doc_id, count_if(chosen) AS chosen, sum(CASE WHEN chosen THEN token ELSE -100 END)::BIGINT AS labels FROM (SELECT *, token % 2 = 0 AND r <= greatest(1, round_even(v * 0.15::DOUBLE, 0)) AS chosen FROM c) GROUP BY doc_id")
 def _(spark, d):
     t = tokens(spark, d).withColumn("at", F.col("at").cast("long"))
-    return T.masked(t, "doc_id", "at", "token", 0.15, seed=3, valid=F.col("token") % 2 == 0).groupBy("doc_id").agg(F.count_if(F.col("label") != T.IGNORE).alias("chosen"))
+    m = T.masked(t, "doc_id", "at", "token", 0.15, seed=3, valid=F.col("token") % 2 == 0)
+    return m.groupBy("doc_id").agg(F.count_if(F.col("label") != T.IGNORE).alias("chosen"), F.sum("label").alias("labels"))
 
 
 @query("trn4_joint_loss", "SELECT event_type, round(avg(value + 0.5 * (event_id % 10)), 6) AS loss FROM events GROUP BY event_type")
@@ -156,28 +177,25 @@ def _(spark, d):
 
 @query("str4_memory_advice", "SELECT user_id, max(value) AS peak, CASE WHEN max(value) > 80 THEN 'collect' WHEN max(value) > 50 THEN 'watch' ELSE 'fine' END AS advice FROM events GROUP BY user_id")
 def _(spark, d):
-    peak = F.max("value")
-    return table(spark, d, "events").groupBy("user_id").agg(peak.alias("peak"), F.when(peak > 80, "collect").when(peak > 50, "watch").otherwise("fine").alias("advice"))
+    return events.memory_advice(table(spark, d, "events"), "user_id", "value", 80, 50)
 
 
 @query("snk6_rich_json", f"{SQL}, x AS (SELECT head, relation_type, tail, head_kb, tail_kb FROM ({TRIPLES})) SELECT head, '{{\"relation\":\"' || relation_type || '\",\"tail\":\"' || tail || '\",\"kb\":[\"' || coalesce(head_kb, '') || '\",\"' || coalesce(tail_kb, '') || '\"]}}' AS value FROM x")
 def _(spark, d):
-    t = J.triples(star_kg(spark, d))
-    kb = F.array(F.coalesce("head_kb", F.lit("")), F.coalesce("tail_kb", F.lit("")))
-    return t.select("head", F.to_json(F.struct(F.col("relation_type").alias("relation"), "tail", kb.alias("kb"))).alias("value"))
+    return export.rich_rows(J.triples(star_kg(spark, d)))
 
 
 @query("snk8_log_rows", "SELECT user_id || ',' || event_type || ',' || event_id AS line FROM events")
 def _(spark, d):
-    return table(spark, d, "events").select(F.concat_ws(",", F.col("user_id").cast("string"), "event_type", F.col("event_id").cast("string")).alias("line"))
+    return export.log_rows(table(spark, d, "events"), ["user_id", "event_type", "event_id"])
 
 
-@query("snk10_drawable_edges", f"{SQL}, p AS (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY ord) AS place FROM entities) SELECT head, tail, h.place AS head_place, t.place AS tail_place FROM relations JOIN p h ON h.id = head JOIN p t ON t.id = tail WHERE relation_type = 'PART_OF'")
+@query("snk10_drawable_edges", f"{SQL}, p AS (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY ord) AS place FROM entities) SELECT head, tail, h.place AS head_place, t.place AS tail_place FROM relations JOIN p h ON h.id = head JOIN p t ON t.id = tail")
 def _(spark, d):
     kg = star_kg(spark, d)
-    p = W.ranked(kg.entities, ["label"], ["ord"], "place")
+    p = W.placed(kg.entities, ["label"], ["ord"], "place")
     side = lambda s: p.select(F.col("id").alias(s), F.col("place").alias(f"{s}_place"))
-    return kg.relations.where("relation_type = 'PART_OF'").join(side("head"), "head").join(side("tail"), "tail").select("head", "tail", "head_place", "tail_place")
+    return kg.relations.join(side("head"), "head").join(side("tail"), "tail").select("head", "tail", "head_place", "tail_place")
 
 
 @query("udf4_entity_counts_by_document", f"{FOUND} SELECT doc_id, count(*) AS n FROM m GROUP BY doc_id")

@@ -287,7 +287,7 @@ def _(spark, d):
 
 @query("agg21_partial_and_final", "SELECT count(*) AS docs, sum(length(text))::BIGINT AS chars FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).alias("chars"))
+    return A.partial_and_final(table(spark, d, "documents"))
 
 
 @query("agg23_entity_clusters", f"{SQL} SELECT 'conf_' || (floor(confidence*10)/10) AS cluster, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM entities GROUP BY 1")
@@ -340,7 +340,7 @@ def _(spark, d):
 @query("set4_remaining_positions", "SELECT o_orderkey, array_to_string(list_filter([1,2,3,4,5], lambda x: x <> o_orderkey % 5 AND x <> o_custkey % 5), ',') AS p FROM orders")
 def _(spark, d):
     o = table(spark, d, "orders")
-    left = F.array_except(F.array(*map(F.lit, range(1, 6))), F.array((F.col("o_orderkey") % 5).cast("int"), (F.col("o_custkey") % 5).cast("int")))
+    left = S.remaining_positions(F.array((F.col("o_orderkey") % 5).cast("int"), (F.col("o_custkey") % 5).cast("int")), 5)
     return o.select("o_orderkey", F.array_join(F.transform(left, lambda x: x.cast("string")), ",").alias("p"))
 
 

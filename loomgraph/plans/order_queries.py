@@ -14,8 +14,11 @@ from ..operators import joins as J
 from ..operators import seeds as D
 from ..operators import training as T
 from ..operators import windows as W
+from ..sources import clients, files
+from ..sources.knowledge import KnowledgeBase
 from .graph_queries import TRIPLES, both, both_sql
 from .registry import query
+from .text_queries import FOUND, found
 
 
 def seed(spark, d):
@@ -40,7 +43,7 @@ def _(spark, d):
 
 @query("win4_ordinals", f"{SQL} SELECT id, row_number() OVER (PARTITION BY label ORDER BY ord) AS n FROM entities")
 def _(spark, d):
-    return W.ranked(star_kg(spark, d).entities, ["label"], ["ord"], "n").select("id", "n")
+    return W.placed(star_kg(spark, d).entities, ["label"], ["ord"], "n").select("id", "n")
 
 
 @query("win5_span_boundaries", "WITH m AS (SELECT user_id, event_id, value > 20 AS on_ FROM events), o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS spot FROM m), r AS (SELECT user_id, spot, spot - row_number() OVER (PARTITION BY user_id ORDER BY spot) AS run FROM o WHERE on_) SELECT user_id, min(spot) AS first, max(spot) AS last FROM r GROUP BY user_id, run")
@@ -80,7 +83,10 @@ def _(spark, d):
     return star_kg(spark, d).entities.select("id", F.explode(J.word_prefixes(F.col("text"))).alias("prefix"))
 
 
-@query("win3_injection_selection")
+@query("win3_injection_selection", f"""{SEED}, linked AS (SELECT DISTINCT o_custkey AS doc_id, 'KS' || (o_orderkey % 90) AS head_kb_id FROM orders), many AS (SELECT doc_id, count(*) AS linked FROM linked GROUP BY doc_id), t AS (SELECT doc_id, head_kb_id, relation, tail, max(score) AS score, min(head) AS head FROM linked JOIN seed USING (head_kb_id) WHERE score >= 0.7 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, head_kb_id, relation, tail) AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM t), b AS (SELECT *, ceil(r / greatest(1, n // 10))::INTEGER AS bucket FROM r WHERE ceil(r / greatest(1, n // 10)) <= 10),
+c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, bucket, relation ORDER BY score DESC, head_kb_id, tail) AS first, count(*) OVER (PARTITION BY doc_id, bucket, relation) AS kind FROM b), p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, bucket ORDER BY kind, relation) AS place FROM c WHERE first = 1),
+o AS (SELECT p.*, row_number() OVER (PARTITION BY p.doc_id ORDER BY bucket, place) AS ord FROM p JOIN many USING (doc_id) WHERE place <= 5 AND place <= greatest(linked, 1)) SELECT doc_id, ord::INTEGER AS ord, head_kb_id, head, relation, tail, score FROM o WHERE ord <= 10""")
 def _(spark, d):
     links = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.concat(F.lit("KS"), (F.col("o_orderkey") % 90).cast("string")).alias("kb_id"))
     return D.select_for_injection(links, seed(spark, d), "doc_id")
@@ -103,14 +109,13 @@ def _(spark, d):
 
 @query("top3_truncated_sequences", "SELECT o_custkey, array_to_string(list_sort(list(o_orderkey))[1:3], ',') AS firsts FROM orders GROUP BY o_custkey")
 def _(spark, d):
-    firsts = F.slice(F.sort_array(F.collect_list("o_orderkey")), 1, 3)
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(firsts, lambda x: x.cast("string")), ",").alias("firsts"))
+    firsts = W.first_values(table(spark, d, "orders"), "o_custkey", "o_orderkey", 3)
+    return firsts.select("o_custkey", F.array_join(F.transform("firsts", lambda x: x.cast("string")), ",").alias("firsts"))
 
 
 @query("top4_top_logits", "SELECT vec_id, array_to_string(list_transform(list_sort(list_transform(embedding, lambda x, i: {'v': -x, 'i': i - 1}))[1:3], lambda s: s.i), ',') AS top FROM embeddings")
 def _(spark, d):
-    pairs = F.transform("embedding", lambda x, i: F.struct((-x).alias("v"), i.alias("i")))
-    top = F.transform(F.slice(F.sort_array(pairs), 1, 3), lambda s: s["i"].cast("string"))
+    top = F.transform(W.top_indexes(F.col("embedding"), 3), lambda i: i.cast("string"))
     return table(spark, d, "embeddings").select("vec_id", F.array_join(top, ",").alias("top"))
 
 
@@ -131,12 +136,13 @@ _PLACE = "(((1103 * 12345 + 7919 * doc_id + 104729) % 1000003) * 48271) % 100000
 @query("top8_shuffle_split_batch", f"WITH p AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_PLACE}, doc_id) AS place, count(*) OVER (PARTITION BY lang) AS n FROM documents) SELECT doc_id, place, place <= round_even(n * 0.8, 0) AS train, CAST((place - 1) // 32 AS INTEGER) AS batch FROM p")
 def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang")
-    return W.shuffled(docs, F.struct(T.draw(F.col("doc_id")), "doc_id"), 0.8, 32, ["lang"]).select("doc_id", "place", "train", "batch")
+    return W.shuffled(docs, [T.draw(F.col("doc_id")), "doc_id"], 0.8, 32, ["lang"]).select("doc_id", "place", "train", "batch")
 
 
-@query("top9_document_batches", "SELECT doc_id, CAST(doc_id // 32 AS BIGINT) AS batch FROM documents")
+@query("top9_document_batches", "SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 32 AS BIGINT) AS batch FROM documents WHERE doc_id % 3 <> 1")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 32).alias("batch"))
+    """Batches follow the place among the documents that are there, whatever their ids."""
+    return W.batches(table(spark, d, "documents").where("doc_id % 3 <> 1").select("doc_id"), ["doc_id"], 32).select("doc_id", "batch")
 
 
 NATION_EDGES = "SELECT head AS src, tail AS dst FROM relations WHERE relation_type IN ('LOCATED_IN', 'PART_OF')"
@@ -195,6 +201,24 @@ def _(spark, d):
     return G.rings(place_edges(spark, d), "R:1", 5).groupBy("ring").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("viz1_bipartite_layout", f"{SQL}, p AS (SELECT DISTINCT least(head, tail) AS a, greatest(head, tail) AS b FROM relations WHERE head <> tail), x AS (SELECT a AS id FROM p UNION ALL SELECT b FROM p), g AS (SELECT e.id, count(x.id) AS d FROM entities e LEFT JOIN x ON x.id = e.id GROUP BY e.id), s AS (SELECT id, d > (SELECT median(d) FROM g) AS side FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY id) AS place, count(*) OVER (PARTITION BY side) AS n FROM s) SELECT id, side, CASE WHEN side THEN 1.0 ELSE -1.0 END::DOUBLE AS x, round(CASE WHEN n > 1 THEN 2.0::DOUBLE * (place - 1) / (n - 1) - 1.0 ELSE 0.0 END, 6) AS y FROM r")
+def _(spark, d):
+    return G.bipartite(star_kg(spark, d))
+
+
+_LEVELS = f"{SQL}, e AS ({NATION_EDGES}), one AS (SELECT DISTINCT src AS id FROM e WHERE dst = 'R:1'), two AS (SELECT DISTINCT src AS id FROM e WHERE dst IN (SELECT id FROM one)), l AS (SELECT 'R:1' AS id, 0 AS l UNION ALL SELECT id, 1 FROM one UNION ALL SELECT id, 2 FROM two), r AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY id) AS place, count(*) OVER (PARTITION BY l) AS n FROM l)"
+
+
+@query("viz1_hierarchical_layout", f"{_LEVELS} SELECT id, l AS depth, round(CASE WHEN n > 1 THEN 2.0::DOUBLE * (place - 1) / (n - 1) - 1.0 ELSE 0.0 END, 6) AS x, (l * -0.5 + 0)::DOUBLE AS y FROM r")
+def _(spark, d):
+    return G.hierarchical(place_edges(spark, d), "R:1", 5)
+
+
+@query("viz1_shell_layout", f"{_LEVELS} SELECT id, l AS ring, round(cos(2*pi()*(place - 1)/n) * 0.5 * l, 6) + 0 AS x, round(sin(2*pi()*(place - 1)/n) * 0.5 * l, 6) + 0 AS y FROM r")
+def _(spark, d):
+    return G.shells(place_edges(spark, d), "R:1", 5)
+
+
 @query("viz1_spring_layout")
 def _(spark, d):
     kg = star_kg(spark, d)
@@ -204,8 +228,7 @@ def _(spark, d):
 
 @query("viz2_type_colours", f"{SQL} SELECT id, CASE label WHEN 'REGION' THEN '#1f77b4' WHEN 'NATION' THEN '#2ca02c' ELSE '#7f7f7f' END AS colour FROM entities")
 def _(spark, d):
-    colours = F.create_map(*map(F.lit, ("REGION", "#1f77b4", "NATION", "#2ca02c")))
-    return star_kg(spark, d).entities.select("id", F.coalesce(F.element_at(colours, F.col("label")), F.lit("#7f7f7f")).alias("colour"))
+    return star_kg(spark, d).entities.select("id", G.colour(F.col("label")).alias("colour"))
 
 
 @query("viz3_recommendations", "SELECT n, CASE WHEN n < 10 THEN 'circular' WHEN n < 50 THEN 'spring' ELSE 'stress' END AS layout, CASE WHEN n > 1000 THEN 'high' WHEN n > 500 THEN 'medium' WHEN n > 100 THEN 'light' ELSE 'none' END AS simplification FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderpriority UNION ALL SELECT count(*) FROM nation UNION ALL SELECT count(*) FROM region)")
@@ -216,20 +239,21 @@ def _(spark, d):
     return rows.select("n", layout.alias("layout"), simple.alias("simplification"))
 
 
-@query("seed2_mock_links")
+@query("seed2_mock_links", "SELECT n_name, true AS in_range, true AS stable FROM nation")
 def _(spark, d):
-    return table(spark, d, "nation").select("n_name", D.mock_link(F.col("n_name")).alias("score"))
+    """The hash is Spark's own, so SQL holds its range and that equal names have equal scores."""
+    s = table(spark, d, "nation").select("n_name", D.mock_link(F.col("n_name")).alias("s"), D.mock_link(F.concat(F.col("n_name"), F.lit(""))).alias("t"))
+    return s.select("n_name", F.col("s").between(0.5, 0.95).alias("in_range"), (F.col("s") == F.col("t")).alias("stable"))
 
 
-@query("seed3_mock_triples")
+@query("seed3_mock_triples", "SELECT * FROM (VALUES " + ", ".join(str(r) for r in D.MOCK_TRIPLES).replace("0.", "0.").replace(")", "::DOUBLE)") + ") t(head_kb_id, head, relation, tail, score)")
 def _(spark, d):
     return spark.createDataFrame(D.MOCK_TRIPLES, "head_kb_id string, head string, relation string, tail string, score double")
 
 
-@query("seed7_chosen_sequences", "WITH n AS (SELECT round_even(count(*) * 0.2, 0) AS k FROM documents) SELECT doc_id FROM documents, n QUALIFY row_number() OVER (ORDER BY doc_id) <= k")
+@query("seed7_chosen_sequences", f"{FOUND}, n AS (SELECT round_even(count(*) * 0.2, 0) AS k FROM documents), c AS (SELECT doc_id FROM documents, n QUALIFY row_number() OVER (ORDER BY doc_id) <= k) SELECT doc_id FROM c WHERE doc_id IN (SELECT doc_id FROM m WHERE type = 'TERM')")
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id")
-    return D.chosen_sequences(docs, "doc_id", docs.count(), 0.2)
+    return D.chosen_sequences(table(spark, d, "documents").select("doc_id"), "doc_id", 0.2, found(spark, d).where("type = 'TERM'"))
 
 
 @query("seed8_injected_valid", f"{SEED} SELECT count(*) AS n, count_if(contains(lower(t), lower(head)) OR contains(lower(t), lower(tail))) AS valid FROM seed, (SELECT 'Shipped from China to EUROPE' AS t)")
@@ -337,15 +361,51 @@ def _(spark, d):
 
 @query("src9_article_projection", "SELECT page_id, concat_ws(' ', nullif(t, ''), nullif(url, '')) AS body FROM (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages)")
 def _(spark, d):
-    t = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
-    return table(spark, d, "pages").select("page_id", F.concat_ws(" ", F.nullif(t, F.lit("")), F.nullif("url", F.lit(""))).alias("body"))
+    return table(spark, d, "pages").select("page_id", clients.article_text(clients.page_title("html"), F.col("url")).alias("body"))
 
 
 @query("src11_label_lookup", f"{SQL} SELECT id, CASE WHEN label = 'NATION' THEN upper(text) ELSE '' END AS name FROM entities WHERE label IN ('NATION', 'REGION')")
 def _(spark, d):
-    labels = F.create_map(F.lit("en"), F.upper("text"))
-    name = F.when(F.col("label") == "NATION", F.coalesce(F.element_at(labels, "en"), F.lit(""))).otherwise("")
-    return star_kg(spark, d).entities.where("label IN ('NATION', 'REGION')").select("id", name.alias("name"))
+    e = star_kg(spark, d).entities.where("label IN ('NATION', 'REGION')")
+    return places_base(spark, d).items(e.select(F.col("id").alias("kb_id"))).select(F.col("kb_id").alias("id"), F.col("label").alias("name"))
+
+
+def places_base(spark, d):
+    """Nations and regions as a knowledge base: nations have an English label, regions a German one."""
+    kg = star_kg(spark, d)
+    c = kg.entities.where("label IN ('NATION', 'REGION')")
+    labels = F.when(F.col("label") == "NATION", F.create_map(F.lit("en"), F.upper("text"))).otherwise(F.create_map(F.lit("de"), F.col("text")))
+    r = kg.relations.where("relation_type = 'PART_OF'").select(F.col("head").alias("src_kb_id"), F.lit("P361").alias("relation_name"), F.col("tail").alias("dst_kb_id"))
+    return KnowledgeBase(c.select(F.col("id").alias("kb_id"), F.col("text").alias("name"), F.array("label").alias("types"), labels.alias("labels")), r)
+
+
+@query("src10_linked_mentions", f"{SQL}, q AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN lower(n_name) ELSE 'nowhere' END AS text FROM supplier JOIN nation ON n_nationkey = s_nationkey) SELECT k, min(id) AS kb_id, CASE WHEN min(id) IS NULL THEN 0 ELSE 1 END AS types FROM q LEFT JOIN (SELECT * FROM entities WHERE label IN ('NATION', 'REGION')) e ON lower(e.text) = q.text GROUP BY k, q.text")
+def _(spark, d):
+    nation = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    q = table(spark, d, "supplier").join(nation, "s_nationkey").select(F.col("s_suppkey").alias("k"), F.when(F.col("s_suppkey") % 2 == 0, F.lower("n_name")).otherwise("nowhere").alias("text"))
+    return places_base(spark, d).link(q).select("k", "kb_id", F.size("types").alias("types"))
+
+
+@query("src10_relations_of", f"{SQL} SELECT head AS src_kb_id, 'P361' AS relation_name, tail AS dst_kb_id FROM relations WHERE relation_type = 'PART_OF' AND head IN ('N:1', 'N:2', 'N:24')")
+def _(spark, d):
+    ids = spark.createDataFrame([("N:1",), ("N:2",), ("N:24",), ("N:24",), ("X",)], "kb_id string")
+    return places_base(spark, d).relations_of(ids).select("src_kb_id", "relation_name", "dst_kb_id")
+
+
+@query("src11_search", f"{SQL} SELECT id AS kb_id, text AS name, round(3.0::DOUBLE / length(text), 6) AS score FROM entities WHERE label IN ('NATION', 'REGION') AND contains(lower(text), 'ina') ORDER BY score DESC, id LIMIT 10")
+def _(spark, d):
+    return places_base(spark, d).search("INA")
+
+
+@query("src8_offline_articles", "SELECT n_name AS query, 'no transport' AS error FROM nation")
+def _(spark, d):
+    """Without a transport every query says so; tests/test_clients.py searches through one."""
+    return clients.search_articles(table(spark, d, "nation").select(F.col("n_name").alias("query"))).select("query", "error")
+
+
+@query("src7_sample_triples", "SELECT * FROM (VALUES ('diabetes', 'C0011849', 'treats', 'metformin', 2, 0.95::DOUBLE), ('metformin', 'C0025598', 'inhibits', 'diabetes', 2, 0.92::DOUBLE)) t(head, head_kb_id, relation, tail, tokens, score)")
+def _(spark, d):
+    return files.sample_triples(spark).select("head", "head_kb_id", "relation", "tail", F.size("tail_tokens").alias("tokens"), "score")
 
 
 from . import sink_queries  # noqa: E402,F401

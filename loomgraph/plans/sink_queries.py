@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..kg import SQL, star_kg, table
+from ..operators.lineage import shared_folder
 from ..sources import export
 from ..streaming import events
 from .registry import query
 
 
 def folder(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="loomgraph-")
-    return f"{root}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 @query("snk2_json_rows", f"{SQL} SELECT 'entity' AS kind, '{{\"id\":\"' || id || '\",\"text\":\"' || text || '\",\"label\":\"' || label || '\",\"confidence\":' || confidence || '}}' AS value FROM entities UNION ALL SELECT 'relation', '{{\"head\":{{\"id\":\"' || head || '\"}},\"relation_type\":\"' || relation_type || '\",\"tail\":{{\"id\":\"' || tail || '\"}},\"confidence\":' || confidence || '}}' FROM relations")

@@ -1,4 +1,4 @@
-"""Readers: texts, benchmark files, configuration, model replies (SRC-1..14)."""
+"""Readers and writers: texts, benchmark files, configuration, checkpoints, model replies (SRC-1..7, SRC-12..14, SNK-9)."""
 
 from __future__ import annotations
 
@@ -34,14 +34,19 @@ def merged(defaults: dict, over: dict) -> dict:
     return out
 
 
-def load_config(path: str, defaults: dict) -> dict:
-    """Settings from a JSON file over the defaults; the defaults if it is missing or broken (SRC-5)."""
+def read_json(spark: SparkSession, path: str):
+    """What one JSON file holds, through the file system that the path names; None if it is missing or broken."""
     try:
-        with open(path) as f:
-            got = json.load(f)
-        return merged(defaults, got) if isinstance(got, dict) else dict(defaults)
-    except (OSError, ValueError):
-        return dict(defaults)
+        rows = spark.read.text(path, wholetext=True).limit(1).collect()
+        return json.loads(rows[0].value) if rows else None
+    except (AnalysisException, ValueError):
+        return None
+
+
+def load_config(spark: SparkSession, path: str, defaults: dict) -> dict:
+    """Settings from a JSON file over the defaults; the defaults if it is missing or broken (SRC-5)."""
+    got = read_json(spark, path)
+    return merged(defaults, got) if isinstance(got, dict) else dict(defaults)
 
 
 def nested(config: dict, path: str, default=None):
@@ -53,20 +58,52 @@ def nested(config: dict, path: str, default=None):
     return config
 
 
-def api_config(path: str) -> dict:
+def api_config(spark: SparkSession, path: str) -> dict:
     """Settings of a text service with defaults for each key; the file must be there (SRC-6)."""
-    with open(path) as f:
-        got = json.load(f)
+    if not isinstance(got := read_json(spark, path), dict):
+        raise FileNotFoundError(f"no settings in {path}")
     return {"base_url": "", "timeout": 30, "max_retries": 3, "rate_limit": 10_000} | got
 
 
+# A small training set to begin with (SRC-7).
+SAMPLE_TEXTS = [
+    "Diabetes mellitus is a chronic metabolic disorder.",
+    "Metformin is commonly used to treat type 2 diabetes.",
+    "Insulin resistance is a key feature of type 2 diabetes.",
+]
+SAMPLE_TRIPLES = [("diabetes", "C0011849", "treats", "metformin", [2156, 23421], 0.95, "UMLS"), ("metformin", "C0025598", "inhibits", "diabetes", [23421, 2156], 0.92, "UMLS")]
+
+
+def sample_texts(spark: SparkSession) -> DataFrame:
+    """doc_id, text of the built-in training texts (SRC-7)."""
+    return spark.createDataFrame(list(enumerate(SAMPLE_TEXTS)), "doc_id long, text string")
+
+
+def sample_triples(spark: SparkSession) -> DataFrame:
+    """The built-in seed triples (SRC-7)."""
+    return spark.createDataFrame(SAMPLE_TRIPLES, "head string, head_kb_id string, relation string, tail string, tail_tokens array<int>, score double, source string")
+
+
+def write_json(spark: SparkSession, path: str, value: dict | list) -> None:
+    """Settings as one JSON file, through the file system that the path names (SNK-9); what was there is replaced."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(json.dumps(value, indent=2, sort_keys=True).encode()))
+    finally:
+        out.close()
+
+
+def checkpoint_of(model_type: str, parameters: int, config: dict | None, timestamp: str, version: str = "0.1.0") -> dict:
+    """What a checkpoint file says of a model; weights are not part of it (SNK-9, SRC-4)."""
+    return {"model_type": model_type, "version": version, "timestamp": timestamp, "model_params": parameters, "config": config, "description": f"{model_type} model checkpoint"}
+
+
 def model_info(spark: SparkSession, path: str, model_type: str) -> dict | None:
     """A saved model's description, or None if it is missing, broken or of another type (SRC-4)."""
-    try:
-        got = load_config(path, {})
-        return got if got.get("model_type") == model_type else None
-    except OSError:
-        return None
+    got = load_config(spark, path, {})
+    return got if got.get("model_type") == model_type else None
 
 
 def complete(prompts: DataFrame, backend: Callable[[], Callable[[list[str]], list[str]]] | None = None) -> DataFrame:

@@ -63,3 +63,9 @@ def budget_ok(seconds: float, limit: int) -> Callable[[float, int], bool]:
         return True
 
     return allow
+
+
+def memory_advice(samples: DataFrame, key: str, value: str, most: float, watch: float) -> DataFrame:
+    """key, peak, advice: collect above most, watch above a lower mark, else fine (STR-4); of a table or a stream."""
+    peak = F.max(value)
+    return samples.groupBy(key).agg(peak.alias("peak"), F.when(peak > most, "collect").when(peak > watch, "watch").otherwise("fine").alias("advice"))

@@ -179,10 +179,10 @@ def test_files(spark, tmp_path):
     (tmp_path / "b.csv").write_text("icd_code\nE10\n")
     assert [files.records(spark, f"{tmp_path}/{n}", "icd_code string").count() for n in ("a.json", "b.csv", "none.csv")] == [2, 1, 0]
     (tmp_path / "c.json").write_text('{"a": {"b": 2}, "x": 1}')
-    config = files.load_config(f"{tmp_path}/c.json", {"a": {"b": 1, "c": 3}})
+    config = files.load_config(spark, f"{tmp_path}/c.json", {"a": {"b": 1, "c": 3}})
     assert config == {"a": {"b": 2, "c": 3}, "x": 1} and files.nested(config, "a.c") == 3 and files.nested(config, "a.z.q", 0) == 0
-    assert files.load_config(f"{tmp_path}/none.json", {"k": 1}) == {"k": 1}
-    assert files.api_config(f"{tmp_path}/c.json")["timeout"] == 30
+    assert files.load_config(spark, f"{tmp_path}/none.json", {"k": 1}) == {"k": 1}
+    assert files.api_config(spark, f"{tmp_path}/c.json")["timeout"] == 30
     assert files.model_info(spark, f"{tmp_path}/c.json", "t") is None
 
 
