@@ -20,6 +20,7 @@ them into calibrated scores. The neighbours are the evidence.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import math
 import re
@@ -276,7 +277,7 @@ class Index:
         """The score of each text (terms as places in the vocabulary, counts), and doc_ids of its nearest examples."""
         if len(self.seen) > _REMEMBERED:
             self.seen.clear()
-        keys = [t.tobytes() + c.tobytes() for t, c in texts]
+        keys = [hashlib.blake2b(t.tobytes() + c.tobytes(), digest_size=16).digest() for t, c in texts]
         new = {key: text for key, text in zip(keys, texts) if key not in self.seen}
         for key, (share, entry) in zip(new, self.votes_of(list(new.values()))):
             p = 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * _logit(share) + self.shift))))
