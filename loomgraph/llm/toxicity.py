@@ -24,6 +24,7 @@ import hashlib
 import io
 import math
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import shingles as S
-from .shared import open_read, open_write, shared_path, slices, small_batches, table, texts_of
+from .shared import open_read, open_write, release, shared_path, slices, small_batches, table, texts_of
 
 #: The most labelled documents that the model is fitted on (picked by a hash of doc_id).
 FIT_ROWS = 3000
@@ -316,14 +317,39 @@ def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Index:
-    """The index, from labelled documents outside fold 0: at most `rows` doc_ids, picked by hash, one text of each (the least).
+def built(batches: Iterable[pa.RecordBatch]) -> Index:
+    """The index of all examples (doc_id, label, fold, terms, counts): fold 1 calibrates, the others are indexed."""
+    rows: list[tuple[int, np.ndarray, np.ndarray, int, int]] = []
+    for batch in batches:
+        lists = []
+        for name, kind in (("terms", np.uint64), ("counts", np.int64)):
+            column = batch.column(name)
+            flat, cut = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(kind), column.offsets.to_numpy()
+            lists.append([flat[x:y] for x, y in zip(cut - cut[0], cut[1:] - cut[0])])
+        rows += zip(batch.column("doc_id").to_pylist(), *lists, batch.column("label").to_pylist(), batch.column("fold").to_pylist())
+    rows.sort(key=lambda r: r[0])
+    index = Index([r[:4] for r in rows if r[4] != 1])
+    known = []
+    for _, terms, counts, label, f in rows:
+        if f == 1 and len(index.terms):
+            at = np.minimum(np.searchsorted(index.terms, terms), len(index.terms) - 1)
+            have = index.terms[at] == terms
+            known.append((at[have], counts[have], label))
+    index.calibrate(known)
+    return index
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> str:
+    """The file of the index, from labelled documents outside fold 0: at most `rows` doc_ids, picked by hash, one text of each (the least).
 
     Null labels and doc_ids are left out; of several labels for a doc_id the
     highest counts. Fold 1 calibrates, the other folds are indexed. Without
-    examples of both labels the score is their base rate (0 without any).
+    examples of both labels the score is their base rate (0 without any). One
+    task builds the index of the bounded sample and writes it to the shared
+    folder under a name of its own attempt; load() reads it.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     ids = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(fold("doc_id") != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     picked = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).where("label IN (0, 1)")
     # at most `rows` pairs of numbers
@@ -338,43 +364,36 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Index:
             lists = [pa.ListArray.from_arrays(cut, pa.array(term.view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(many.astype(np.int32)))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *lists], ["doc_id", "label", "terms", "counts"])
 
-    counted = mine.mapInArrow(count, "doc_id long, label int, terms array<long>, counts array<int>")
-    got = counted.withColumn("fold", fold("doc_id")).toArrow().combine_chunks().sort_by("doc_id")
-    lists = {}
-    for name in ("terms", "counts"):
-        column = got.column(name).combine_chunks() if got.num_rows else None
-        flat, cut = (column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(np.diff(column.offsets.to_numpy()))])) if got.num_rows else (np.zeros(0), [0])
-        lists[name] = [flat[a:b] for a, b in zip(cut, cut[1:])]
-    examples = list(zip(got.column("doc_id").to_pylist(), (t.view(np.uint64) for t in lists["terms"]), lists["counts"], got.column("label").to_pylist(), got.column("fold").to_pylist()))
-    index = Index([e[:4] for e in examples if e[4] != 1])
-    known = []
-    for _, terms, counts, label, f in examples:
-        if f == 1 and len(index.terms):
-            at = np.minimum(np.searchsorted(index.terms, terms), len(index.terms) - 1)
-            have = index.terms[at] == terms
-            known.append((at[have], counts[have], label))
-    index.calibrate(known)
-    return index
+    counted = mine.mapInArrow(count, "doc_id long, label int, terms array<long>, counts array<int>").withColumn("fold", fold("doc_id"))
+    path = shared_path(spark, "toxicity-index")
 
+    def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = f"{path}-{uuid.uuid4().hex}"
+        built(batches).save(own)
+        release()
+        yield pa.RecordBatch.from_pydict({"path": [own]})
 
-def score_column(docs: DataFrame, index: Index, prefix: str = "") -> DataFrame:
+    done = counted.repartition(1).mapInArrow(build, "path string").collect()
+    if not done:  # no partition at all: nothing was labelled
+        Index([]).save(path)
+    return done[0].path if done else path
+
+
+def score_column(docs: DataFrame, index: str, prefix: str = "") -> DataFrame:
     """docs with score, predicted and evidence (doc_ids of the nearest examples) after its own columns.
 
     A null or empty text has the score of a text without any term. Own columns
     of these names, the prefix before them, give way to the results. The score
-    depends on the text only. The index goes to the workers by a file in the
-    shared folder.
+    depends on the text only. index is the file that fit() gives; each worker
+    reads it once.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     new = tuple(prefix + x for x in ("score", "predicted", "evidence"))
     docs = docs.drop(*new)
-    path = shared_path(spark, "toxicity-index")
-    index.save(path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
-            out = load(path).scores(texts_of(batch, "text"))
+            out = load(index).scores(texts_of(batch, "text"))
             for name, column in zip(new, (pa.array([p for p, _ in out], pa.float64()), pa.array([int(p >= 0.5) for p, _ in out], pa.int32()), pa.array([e for _, e in out], pa.list_(pa.int64())))):
                 batch = batch.append_column(name, column)
             yield batch

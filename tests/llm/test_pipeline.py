@@ -30,7 +30,7 @@ def test_pipeline_equals_plain_version(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
 
     source = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    index = toxicity.fit(source, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    index = toxicity.load(toxicity.fit(source, spark.read.parquet(f"{tmp_path}/labels.parquet")))
     rows = [(x.doc_id, x.text) for x in source.collect()]
     rows = [(i, t) for i, t in rows if index.scores([t or ""])[0][0] < 0.5]
     dropped = len(docs) - len(rows)

@@ -111,11 +111,11 @@ def test_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     index = toxicity.fit(docs, labels)
     assert toxicity.score_column(docs, index).count() == 0
-    score = index.scores(["some text", ""])[0][0]
+    score = toxicity.load(index).scores(["some text", ""])[0][0]
     assert score < 0.5 and math.isfinite(score)
 
 
 def test_repeated_labelled_rows_are_one_example(spark):
     docs = spark.createDataFrame([(k % 4, f"text {k % 4} of some words") for k in range(4000)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(4)], "doc_id long, toxic int")
-    assert toxicity.fit(docs, labels).votes.sum() <= 4
+    assert toxicity.load(toxicity.fit(docs, labels)).votes.sum() <= 4
