@@ -165,9 +165,10 @@ ROOTS, LEAVES, PAD = 128, 7, 0
 
 def chain(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
     """key, root_ix, token_id, is_pad of a text's chain: ROOTS roots, filled up with PAD (GRF-5)."""
-    ids = F.slice(tokens, 1, ROOTS)
-    full = F.concat(ids, F.array_repeat(F.lit(PAD).cast("long"), ROOTS - F.size(ids)))
-    return docs.select(key, F.size(ids).alias("_n"), F.posexplode(full).alias("root_ix", "token_id")).select(key, "root_ix", "token_id", (F.col("root_ix") >= F.col("_n")).alias("is_pad"))
+    # the ids are settled in a row of their own: beside an explode they would be made for each of its rows
+    rows = docs.select(key, F.slice(tokens, 1, ROOTS).alias("_ids")).withColumn("_n", F.size("_ids"))
+    full = F.concat("_ids", F.array_repeat(F.lit(PAD).cast("long"), ROOTS - F.col("_n")))
+    return rows.select(key, "_n", F.posexplode(full).alias("root_ix", "token_id")).select(key, "root_ix", "token_id", (F.col("root_ix") >= F.col("_n")).alias("is_pad"))
 
 
 def inject(roots: DataFrame, key: str, triples: DataFrame) -> DataFrame:
