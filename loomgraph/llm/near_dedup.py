@@ -10,8 +10,10 @@
 5. Where the members of a family (nodes tied by candidates, verified or not)
    still lie in several classes, a link between two of them may have been
    missed. Those families are compared whole, in blocks of bounded size: all
-   nodes outside the family's largest class against all. Blocks are verified
-   exactly and give only the links that join classes.
+   nodes outside the family's largest class against all. A family with many
+   such nodes is first cut by its rarest shingles into those that can be linked
+   at all (an exact bound). Blocks are verified exactly and give only the links
+   that join classes.
 6. Classes are the connected components of all verified links.
 """
 
@@ -21,7 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shingles as S
@@ -206,13 +208,43 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return out
 
 
+def _blocks(both: DataFrame) -> DataFrame:
+    """family, main (its largest class), and into how many blocks the members and the others of that class go, for families of several classes."""
+    size = both.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = size.groupBy("family").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    return sizes.select("family", F.col("main.label").alias("main"), F.ceil(F.col("main.n") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).cast("int").alias("rests"))
+
+
+def _closer(both: DataFrame, sets: DataFrame, threshold: float, made: list[str]) -> DataFrame:
+    """node, label, family: the families cut into those whose members can be linked at all.
+
+    A link's texts share the threshold of either's weight, so, shingles taken
+    from the rarest of the family on, the first that they share lies in both
+    texts' beginnings of 1 - threshold of their weight. Members that share
+    none of these with another class are left out; the others are tied by them.
+    """
+    weight = lambda c: 1.0 + F.log(c.cast("double"))
+    total = F.aggregate("counts", F.lit(0.0), lambda a, c: a + weight(c))
+    full = both.join(sets.withColumnRenamed("key", "node"), "node").select("family", "node", "label", total.alias("total"), F.explode(F.arrays_zip("hashes", "counts")).alias("z"))
+    each = written(full.select("family", "node", "label", "total", F.col("z.hashes").alias("h"), weight(F.col("z.counts")).alias("w")), "near-each", made)
+    held = each.groupBy("family", "h").agg(F.count(F.lit(1)).alias("n"), (F.min("label") != F.max("label")).alias("mixed"))
+    before = F.sum("w").over(Window.partitionBy("node").orderBy("n", "h").rowsBetween(Window.unboundedPreceding, -1))
+    begin = each.join(held, ["family", "h"]).withColumn("before", F.coalesce(before, F.lit(0.0)))
+    begin = written(begin.where(F.col("mixed") & (F.col("before") <= (1 - threshold + 1e-9) * F.col("total"))).select("family", "h", "node"), "near-begin", made)
+    hub = begin.groupBy("family", "h").agg(F.min("node").alias("hub"))
+    ties = begin.join(hub, ["family", "h"]).where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    return both.select("node", "label").join(components(ties, "near-closer").select("node", F.col("label").alias("family")), "node")
+
+
 def _missed(label: DataFrame, family: DataFrame, sets: DataFrame, threshold: float, made: list[str]) -> DataFrame:
     """Links between classes of one family that the leaders did not show."""
     both = written(label.join(family, "node"), "near-both", made)
-    size = both.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
-    sizes = size.groupBy("family").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    blocks = sizes.select("family", F.col("main.label").alias("main"), F.ceil(F.col("main.n") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).cast("int").alias("rests"))
-    blocks = written(blocks, "near-blocks", made)
+    blocks = written(_blocks(both), "near-blocks", made)
+    wide = blocks.where("rests > 1").select("family")
+    if wide.limit(1).count():  # only families of many members outside the largest class are worth another look
+        closer = _closer(both.join(wide, "family", "left_semi"), sets, threshold, made)
+        both = written(both.join(wide, "family", "left_anti").select("node", "label", "family").unionByName(closer), "near-closer", made)
+        blocks = written(_blocks(both), "near-blocks", made)
     placed = both.join(blocks, "family")
     rest = F.col("label") != F.col("main")
     mine = F.pmod(F.xxhash64("node"), F.when(rest, F.col("rests")).otherwise(F.col("mains"))).cast("int")

@@ -125,5 +125,22 @@ def test_classes_equal_brute_force(spark, monkeypatch):
     assert all(r.doc_id == r.class_id for r in kept)
 
 
+def test_wide_families_are_cut_by_rare_shingles(spark):
+    """Texts of one template with contents of their own cannot be linked, however many; near copies among them stay together."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    template = [word() for _ in range(60)]
+    texts = [" ".join(template + [word() for _ in range(30)]) for _ in range(80)]
+    texts += [texts[3] + " one more", texts[9].replace(" ", " x ", 1), "z " + texts[3]]
+    at, h, keys = shingles.shingle_hashes(texts)
+    at, h, count = shingles.weighted(at, h)
+    sets = spark.createDataFrame([(bytearray(keys[k]), h[at == k].view(np.int64).tolist(), count[at == k].tolist()) for k in range(len(texts))], "key binary, hashes array<long>, counts array<int>")
+    both = spark.createDataFrame([(bytearray(k), bytearray(k), bytearray(b"f")) for k in keys], "node binary, label binary, family binary")
+    got = {}
+    for x in near_dedup._closer(both, sets, 0.8, []).collect():
+        got.setdefault(bytes(x.family), set()).add(keys.index(bytes(x.node)))
+    assert sorted(map(sorted, got.values())) == [[3, 80, 82], [9, 81]]
+
+
 def test_no_documents(spark):
     assert near_dedup.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
