@@ -193,11 +193,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     label = components(links, "near-classes")
     label = written(company.select(F.col("key").alias("node")).join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "near-labels", made)
     family = components(pairs, "near-families").withColumnRenamed("label", "family")
-    links = links.unionByName(_missed(label, family, sets, threshold, made))
-    label = components(links, "near-all")
+    more = _missed(label, family, sets, threshold, made)
+    if more.limit(1).count():  # they tie few classes: those are joined, not all links gone through again
+        of = lambda end: label.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
+        ties = more.join(of("a"), "a").join(of("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
+        tied = components(ties, "near-all").select(F.col("node").alias("label"), F.col("label").alias("new"))
+        label = written(label.join(tied, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "near-labels", made)
+        links = links.unionByName(more)
     degree = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n_links"))
 
-    known = label.join(degree, "node").select(F.col("node").alias("key"), "label", "n_links")
+    known = label.join(degree, "node", "left").select(F.col("node").alias("key"), "label", "n_links")
     owner = members.select("doc_id", FILE, AT, "key").join(known, "key", "left").select("doc_id", FILE, AT, F.coalesce("label", "key").alias("label"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     owner = written(owner, "near-owner")
     least = written(owner.groupBy("label").agg(first), "near-least")
