@@ -26,7 +26,6 @@ import math
 import re
 import uuid
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -122,6 +121,10 @@ def relevance(with_1: np.ndarray, with_0: np.ndarray, n1: float, n0: float) -> n
     return np.maximum(0.0, 2 * (part(with_1, n1) + part(with_0, n0) - part(with_1 + with_0, n1 + n0)))
 
 
+def _digest(terms: np.ndarray, counts: np.ndarray) -> bytes:
+    return hashlib.blake2b(terms.tobytes() + counts.tobytes(), digest_size=16).digest()
+
+
 class Index:
     """Labelled TF-IDF vectors: equal ones are one entry with counts of both labels."""
 
@@ -133,22 +136,23 @@ class Index:
         n1, n0 = float(label.sum()), float(len(label) - label.sum())
         self.base, self.slope, self.shift = n1 / max(1.0, n1 + n0), 1.0, 0.0
         sizes = np.array([len(e[1]) for e in examples], np.int64)
-        flat = np.concatenate([e[1] for e in examples]) if examples else np.zeros(0, np.uint64)
-        self.terms, number = np.unique(flat, return_inverse=True)
+        self.terms, number = np.unique(np.concatenate([e[1] for e in examples]) if examples else np.zeros(0, np.uint64), return_inverse=True)
+        number = number.astype(np.int32)
         df, df1 = np.bincount(number, minlength=len(self.terms)), np.bincount(number, np.repeat(label, sizes), minlength=len(self.terms))
         idf = np.log((1 + n1 + n0) / (1 + df)) + 1
         self.weight = idf * np.sqrt(relevance(df1, df - df1, n1, n0)) if n1 and n0 else np.zeros(len(self.terms))
         first = np.cumsum(sizes) - sizes
-        groups: dict[tuple[bytes, bytes], list] = {}
+        groups: dict[bytes, list] = {}
         for k, (doc_id, terms, counts, y) in enumerate(examples):
-            g = groups.setdefault((terms.tobytes(), np.asarray(counts, np.int64).tobytes()), [k, [0, 0], []])
+            g = groups.setdefault(_digest(terms, np.asarray(counts, np.int64)), [k, [0, 0], []])
             g[1][y] += 1
             if doc_id is not None:
                 g[2].append(doc_id)
         entries = []
         for k, votes, ids in groups.values():
             mine, value = self.vector(number[first[k] : first[k] + sizes[k]], np.asarray(examples[k][2]))
-            entries.append((mine, value, votes, (sorted(ids) + [-1] * 3)[:3]))
+            entries.append((mine, value.astype(np.float32), votes, (sorted(ids) + [-1] * 3)[:3]))
+        del number
         self._build(entries)
         self._build([entries[k] for k in self._alike(entries)])
         self.k = int(max(3, min(NEIGHBOURS, n1 // 8)))  # no more than examples of label 1 can answer
@@ -278,7 +282,7 @@ class Index:
         """The score of each text (terms as places in the vocabulary, counts), and doc_ids of its nearest examples."""
         if len(self.seen) > _REMEMBERED:
             self.seen.clear()
-        keys = [hashlib.blake2b(t.tobytes() + c.tobytes(), digest_size=16).digest() for t, c in texts]
+        keys = [_digest(t, c) for t, c in texts]
         new = {key: text for key, text in zip(keys, texts) if key not in self.seen}
         for key, (share, entry) in zip(new, self.votes_of(list(new.values()))):
             p = 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * _logit(share) + self.shift))))
@@ -299,9 +303,8 @@ class Index:
             file.write(held.getvalue())
 
 
-@lru_cache(1)
 def load(path: str) -> Index:
-    """The index of a file, once for all tasks of a Python worker."""
+    """The index of a file. A task holds it while it runs: workers live on, and later stages share their memory."""
     index = Index.__new__(Index)
     with open_read(path) as file, np.load(io.BytesIO(file.read())) as held:
         for name in Index._ARRAYS:
@@ -392,11 +395,15 @@ def score_column(docs: DataFrame, index: str, prefix: str = "") -> DataFrame:
     docs = docs.drop(*new)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = None
         for batch in slices(batches, 256):
-            out = load(index).scores(texts_of(batch, "text"))
+            model = model or load(index)
+            out = model.scores(texts_of(batch, "text"))
             for name, column in zip(new, (pa.array([p for p, _ in out], pa.float64()), pa.array([int(p >= 0.5) for p, _ in out], pa.int32()), pa.array([e for _, e in out], pa.list_(pa.int64())))):
                 batch = batch.append_column(name, column)
             yield batch
+        del model
+        release()
 
     added = [T.StructField(n, t) for n, t in zip(new, (T.DoubleType(), T.IntegerType(), T.ArrayType(T.LongType())))]
     schema = T.StructType([*docs.schema.fields, *added])
