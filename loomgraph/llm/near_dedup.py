@@ -32,8 +32,8 @@ from .shared import AT, FILE, Lookup, drop_path, lookup_table, slices, small_bat
 
 BANDS, ROWS = 20, 5
 THRESHOLD = 0.8
-#: Nodes in a block of a family that is compared whole.
-BLOCK = 256
+#: Nodes in a block of a family that is compared whole; blocks outside its largest class beyond which a family is cut first.
+BLOCK, WIDE = 256, 8
 
 
 def _sketches(rows: DataFrame) -> DataFrame:
@@ -245,7 +245,7 @@ def _missed(label: DataFrame, family: DataFrame, sets: DataFrame, threshold: flo
     """Links between classes of one family that the leaders did not show."""
     both = written(label.join(family, "node"), "near-both", made)
     blocks = written(_blocks(both), "near-blocks", made)
-    wide = blocks.where("rests > 1").select("family")
+    wide = blocks.where(F.col("rests") > WIDE).select("family")
     if wide.limit(1).count():  # only families of many members outside the largest class are worth another look
         closer = _closer(both.join(wide, "family", "left_semi"), sets, threshold, made)
         both = written(both.join(wide, "family", "left_anti").select("node", "label", "family").unionByName(closer), "near-closer", made)

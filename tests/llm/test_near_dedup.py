@@ -113,8 +113,10 @@ def test_block_links_equal_brute_force():
             assert top(keys[i]) == top(keys[j])
 
 
-def test_classes_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("wide", [0, 100])
+def test_classes_equal_brute_force(spark, monkeypatch, wide):
     monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    monkeypatch.setattr(near_dedup, "WIDE", wide)
     rows = families()
     docs = spark.createDataFrame([(d, t, "k", 0) for d, t in rows], "doc_id long, text string, key string, _row int")
     got = near_dedup.classes(docs).collect()
