@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch sent to Python: bound a worker's memory when texts are long.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -250,7 +250,7 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
 
 
 #: Bytes of text that an operator works on at a time; one longer text is worked on alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int, column: str = "text", most: int = SLICE_BYTES) -> Iterable[pa.RecordBatch]:

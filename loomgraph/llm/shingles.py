@@ -31,7 +31,7 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     have = _powers.get(int(base))
     if have is None or len(have) < n:
         have = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(max(n, 1 << 16), base, np.uint64)]))
-        if n <= 1 << 22:  # tables for one very long text are not kept
+        if n <= 1 << 21:  # tables for one very long text are not kept
             _powers[int(base)] = have
     return have[:n]
 
