@@ -19,6 +19,9 @@ _MODULES = {
     "op8_pii": "pii",
     "op9_licenses": "licenses",
     "op10_sentencepiece": "sentencepiece_codec",
+    "op11_mixing": "mixing",
+    "op12_repair": "repair",
+    "op13_prefix_trie": "trie",
 }
 
 
