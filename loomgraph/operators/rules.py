@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 # Words that name a type of entity, in the order in which they are tried.
 ENTITY_WORDS = [
-    ("DISEASE", "disease disorder syndrome condition illness pathology"),
-    ("DRUG", "drug medication medicine pharmaceutical therapeutic treatment"),
-    ("PROTEIN", "protein enzyme receptor antibody hormone kinase phosphatase"),
-    ("GENE", "gene genetic allele mutation variant polymorphism"),
-    ("ANATOMY", "organ tissue muscle bone nerve vessel gland organelle"),
-    ("SYMPTOM", "symptom sign manifestation complaint pain fever nausea"),
-    ("PROCEDURE", "procedure surgery operation treatment therapy intervention"),
-    ("ORGANISM", "bacteria virus fungus parasite microorganism pathogen"),
-    ("CHEMICAL", "chemical compound molecule substance element ion"),
-    ("CELL_TYPE", "cell tissue line culture strain"),
+    ("DISEASE", ("disease", "disorder", "syndrome", "condition", "illness", "pathology")),
+    ("DRUG", ("drug", "medication", "medicine", "pharmaceutical", "therapeutic", "treatment")),
+    ("PROTEIN", ("protein", "enzyme", "receptor", "antibody", "hormone", "kinase", "phosphatase")),
+    ("GENE", ("gene", "genetic", "allele", "mutation", "variant", "polymorphism")),
+    ("ANATOMY", ("organ", "tissue", "muscle", "bone", "nerve", "vessel", "gland", "organelle")),
+    ("SYMPTOM", ("symptom", "sign", "manifestation", "complaint", "pain", "fever", "nausea")),
+    ("PROCEDURE", ("procedure", "surgery", "operation", "treatment", "therapy", "intervention")),
+    ("ORGANISM", ("bacteria", "virus", "fungus", "parasite", "microorganism", "pathogen")),
+    ("CHEMICAL", ("chemical", "compound", "molecule", "substance", "element", "ion")),
+    ("CELL_TYPE", ("cell", "tissue", "line", "culture", "strain")),
 ]
 
 # Phrases that name a relation, in the order in which they are tried.
@@ -47,29 +47,39 @@ RELATION_PHRASES = [
     ("COMPONENT_OF", "component of|constituent of|element of|part of"),
 ]
 
-# Words that the head and the tail of a relation must hold; relations not named take any.
+# Words or phrases that the head and the tail of a relation must hold; those of a relation without any take all.
 ENDS = [
-    ("TREATS", "drug medication medicine treatment therapy", "disease disorder syndrome condition illness"),
-    ("CAUSES", "virus bacteria gene mutation factor condition", "disease symptom disorder syndrome condition"),
-    ("PREVENTS", "vaccine drug medication treatment prevention", "disease disorder syndrome condition illness"),
-    ("INHIBITS", "drug medication protein enzyme inhibitor", "protein enzyme receptor pathway process"),
-    ("ACTIVATES", "drug medication protein enzyme activator", "protein enzyme receptor pathway process"),
-    ("BINDS_TO", "drug medication protein ligand molecule", "receptor protein enzyme target binding site"),
-    ("REGULATES", "gene protein enzyme hormone factor", "gene protein enzyme pathway process"),
-    ("EXPRESSES", "gene genetic allele mutation", "protein enzyme receptor hormone"),
-    ("LOCATED_IN", "organ tissue cell protein molecule", "organ tissue cell compartment location"),
-    ("PART_OF", "component part element subunit", "organ tissue cell structure system"),
-    ("DERIVED_FROM", "protein molecule compound product", "gene protein precursor source"),
-    ("CONTRAINDICATED_WITH", "drug medication medicine treatment", "disease disorder syndrome condition illness"),
-    ("INDICATES", "symptom sign manifestation marker", "disease disorder syndrome condition illness"),
-    ("MANIFESTS_AS", "disease disorder syndrome condition illness", "symptom sign manifestation presentation"),
-    ("ADMINISTERED_FOR", "drug medication medicine treatment", "disease disorder syndrome condition illness"),
-    ("TARGETS", "drug medication medicine treatment", "protein enzyme receptor pathway process"),
-    ("METABOLIZED_BY", "drug medication medicine compound", "enzyme protein cytochrome metabolizing"),
-    ("TRANSPORTED_BY", "molecule compound drug medication", "transporter protein carrier pump"),
-    ("SECRETED_BY", "hormone protein enzyme molecule", "gland organ tissue cell secretory"),
-    ("PRODUCED_BY", "protein hormone enzyme molecule", "gene cell tissue organ producer"),
+    ("TREATS", ("drug", "medication", "medicine", "treatment", "therapy"), ("disease", "disorder", "syndrome", "condition", "illness")),
+    ("CAUSES", ("virus", "bacteria", "gene", "mutation", "factor", "condition"), ("disease", "symptom", "disorder", "syndrome", "condition")),
+    ("ASSOCIATED_WITH", (), ()),
+    ("PREVENTS", ("vaccine", "drug", "medication", "treatment", "prevention"), ("disease", "disorder", "syndrome", "condition", "illness")),
+    ("INHIBITS", ("drug", "medication", "protein", "enzyme", "inhibitor"), ("protein", "enzyme", "receptor", "pathway", "process")),
+    ("ACTIVATES", ("drug", "medication", "protein", "enzyme", "activator"), ("protein", "enzyme", "receptor", "pathway", "process")),
+    ("BINDS_TO", ("drug", "medication", "protein", "ligand", "molecule"), ("receptor", "protein", "enzyme", "target", "binding site")),
+    ("INTERACTS_WITH", (), ()),
+    ("REGULATES", ("gene", "protein", "enzyme", "hormone", "factor"), ("gene", "protein", "enzyme", "pathway", "process")),
+    ("EXPRESSES", ("gene", "genetic", "allele", "mutation"), ("protein", "enzyme", "receptor", "hormone")),
+    ("LOCATED_IN", ("organ", "tissue", "cell", "protein", "molecule"), ("organ", "tissue", "cell", "compartment", "location")),
+    ("PART_OF", ("component", "part", "element", "subunit"), ("organ", "tissue", "cell", "structure", "system")),
+    ("DERIVED_FROM", ("protein", "molecule", "compound", "product"), ("gene", "protein", "precursor", "source")),
+    ("SYNONYMOUS_WITH", (), ()),
+    ("CONTRAINDICATED_WITH", ("drug", "medication", "medicine", "treatment"), ("disease", "disorder", "syndrome", "condition", "illness")),
+    ("INDICATES", ("symptom", "sign", "manifestation", "marker"), ("disease", "disorder", "syndrome", "condition", "illness")),
+    ("MANIFESTS_AS", ("disease", "disorder", "syndrome", "condition", "illness"), ("symptom", "sign", "manifestation", "presentation")),
+    ("ADMINISTERED_FOR", ("drug", "medication", "medicine", "treatment"), ("disease", "disorder", "syndrome", "condition", "illness")),
+    ("TARGETS", ("drug", "medication", "medicine", "treatment"), ("protein", "enzyme", "receptor", "pathway", "process")),
+    ("METABOLIZED_BY", ("drug", "medication", "medicine", "compound"), ("enzyme", "protein", "cytochrome", "metabolizing")),
+    ("TRANSPORTED_BY", ("molecule", "compound", "drug", "medication"), ("transporter", "protein", "carrier", "pump")),
+    ("SECRETED_BY", ("hormone", "protein", "enzyme", "molecule"), ("gland", "organ", "tissue", "cell", "secretory")),
+    ("PRODUCED_BY", ("protein", "hormone", "enzyme", "molecule"), ("gene", "cell", "tissue", "organ", "producer")),
+    ("CONTAINS", ("organ", "tissue", "cell", "compartment", "structure"), ("component", "part", "element", "molecule", "protein")),
+    ("COMPONENT_OF", ("component", "part", "element", "subunit", "molecule"), ("organ", "tissue", "cell", "structure", "system")),
 ]
+# Further names of relations that are known; they take all ends.
+OPEN_RELATIONS = [
+    "CREATED_BY", "WORKED_AT", "BORN_IN", "DIED_IN", "FOUNDED", "LED", "INFLUENCED", "DEVELOPED", "INVENTED", "DISCOVERED", "WROTE", "PAINTED", "COMPOSED", "DIRECTED", "ACTED_IN",
+    "OCCURRED_IN", "HAPPENED_DURING", "PART_OF_EVENT", "RELATED_TO", "SIMILAR_TO", "OPPOSITE_OF", "PRECEDED_BY", "FOLLOWED_BY",
+]
 
 # Keywords of a relation that support a triple; other relations stand for their own name.
 KEYWORDS = {
@@ -108,12 +118,13 @@ GENERAL = [
     ("NUMBER", r"\d+(?:,\d{3})*(?:\.\d+)?\s*(?:years?|days?|months?|centuries?)?"),
 ]
 
-SPECIFIC = "specific precise exact definitive"
-DOMAIN = "medical clinical biomedical scientific"
+SPECIFIC = ("specific", "precise", "exact", "definitive")
+DOMAIN = ("medical", "clinical", "biomedical", "scientific")
 
 
-def any_word(words: str) -> str:
-    return r"\b(?:" + "|".join(words.split()) + r")\b"
+def any_word(words: tuple[str, ...]) -> str:
+    """A pattern of texts that hold one of the words or phrases, as whole words; letters of all scripts count."""
+    return r"(?:^|[^\p{L}\p{N}_])(?:" + "|".join(words) + r")(?:$|[^\p{L}\p{N}_])"
 
 
 def any_phrase(phrases: str) -> str:
@@ -151,12 +162,18 @@ def valid_entity(text: Column, kind: Column) -> Column:
 
 
 def valid_relation(head: Column, kind: Column, tail: Column, strict: bool = True) -> Column:
-    """Ends that differ, are not empty and hold their words (VAL-2, VAL-3); not strict: or are longer than one character."""
+    """Ends that differ, are not empty and hold their words (VAL-2, VAL-3).
+
+    Strict, an unknown relation takes any ends. Not strict, it takes none, and
+    known ones also take ends that are longer than one character.
+    """
     ok = F.lit(True)
     for k, h, t in ENDS:
-        ok = F.when(kind == k, F.lower(head).rlike(any_word(h)) & F.lower(tail).rlike(any_word(t))).otherwise(ok)
+        if h:
+            ok = F.when(kind == k, F.lower(head).rlike(any_word(h)) & F.lower(tail).rlike(any_word(t))).otherwise(ok)
     if not strict:
-        ok = ok | ((F.length(head) > 1) & (F.length(tail) > 1))
+        known = F.upper(kind).isin([k for k, _, _ in ENDS] + OPEN_RELATIONS)
+        ok = known & (ok | ((F.length(head) > 1) & (F.length(tail) > 1)))
     return (head != "") & (tail != "") & (head != tail) & ok
 
 

@@ -12,26 +12,76 @@ def ranked(rows: DataFrame, keys: list[str], order: list, name: str = "rank") ->
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-#: Slices that the rows of a key are cut into before they are numbered.
-SLICES = 64
+def slices(rows: DataFrame) -> int:
+    """Ranges that a table is cut into: as many as the session's shuffles have partitions, so they follow the cluster and the data."""
+    return max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def sliced(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """rows with _slice, their range of the whole order by keys; checkpointed, as ranges are drawn anew by each run."""
+    cut = rows.repartitionByRange(slices(rows), *keys, *order).withColumn("_slice", F.spark_partition_id())
+    return checkpointed(cut)
+
+
+_FOLDS = {"sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))), "max": (F.max, F.greatest), "min": (F.min, F.least)}
+
+
+def running(cut: DataFrame, keys: list[str], order: list, folds: dict[str, tuple[str, Column]], totals: dict[str, str] | None = None) -> DataFrame:
+    """sliced() rows with running sums, maxima or minima (name: (fold, column)) of their key up to each row.
+
+    No key is folded in one task: rows are folded within their range, and what
+    the ranges before bring is folded over one row of a key and range. The
+    order must be total but for rows that are alike. totals: further columns
+    with a fold's value over the whole key, by the name of the fold.
+    """
+    own = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = cut.groupBy(*keys, "_slice").agg(*(_FOLDS[f][0](c).alias(f"_t_{n}") for n, (f, c) in folds.items()))
+    w = Window.partitionBy(*keys)  # a row for each range of a key
+    before = w.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(
+        *(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)),
+        F.col("_slice").alias("_s"),
+        *(_FOLDS[f][0](f"_t_{n}").over(before).alias(f"_b_{n}") for n, (f, _) in folds.items()),
+        *(_FOLDS[folds[n][0]][0](f"_t_{n}").over(w).alias(f"_a_{n}") for n in (totals or {})),
+    )
+    rows = cut.select("*", *(_FOLDS[f][0](c).over(own).alias(f"_o_{n}") for n, (f, c) in folds.items()))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_slice") == F.col("_s")]
+    out = [_FOLDS[f][1](F.col(f"_b_{n}"), F.col(f"_o_{n}")).alias(n) for n, (f, _) in folds.items()]
+    return rows.join(parts, same).select(*cut.columns, *out, *(F.col(f"_a_{n}").alias(t) for n, t in (totals or {}).items()))
 
 
 def placed(rows: DataFrame, keys: list[str], order: list, name: str = "place") -> DataFrame:
-    """rows with their place from 1 within each key, in order, and <name>_of, how many there are.
+    """rows with their place from 1 within each key, in order, and <name>_of, how many there are; no key is numbered in one task."""
+    cut = sliced(rows, keys, order)
+    one = F.lit(1).cast("long")
+    return running(cut, keys, order, {name: ("sum", one)}, {name: f"{name}_of"}).drop("_slice")
+
+
+def next_row(rows: DataFrame, keys: list[str], at: str, id_: str, ahead: int) -> DataFrame:
+    """id, next: for each row the first row of its key, by (at, id), that is at least so far ahead; null if there is none."""
+    both = rows.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_real"), F.col(id_).alias("_id")).unionByName(rows.select(*keys, (F.col(at) + ahead).alias("_at"), F.lit(0).alias("_real"), F.col(id_).alias("_id")))
+    order = [F.desc("_at"), F.desc("_real"), F.desc("_id")]
+    ahead_of = running(sliced(both, keys, order), keys, order, {"_next": ("min", F.when(F.col("_real") == 1, F.struct("_at", "_id")))})
+    return ahead_of.where("_real = 0").select(F.col("_id").alias("id"), F.col("_next._id").alias("next"))
+
+
+def restarts(rows: DataFrame, keys: list[str], at: str, id_: str, length: int) -> DataFrame:
+    """id of the rows that begin a window: the first of each key, and the first at least a length after a window began.
 
-    No key is numbered in one task: rows are cut into ranges of the whole
-    order, numbered within, and each range begins after the rows of its key in
-    the ranges before it, which only counts decide. The order must be total
-    but for rows that are alike.
+    Each row points to the row that would begin the next window; the pointers
+    double with each round (pointer jumping), so a key with a million windows
+    takes twenty rounds, over all keys at once.
     """
-    cut = rows.repartitionByRange(SLICES, *keys, *order).withColumn("_slice", F.spark_partition_id())
-    cut = checkpointed(cut)
-    counts = cut.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys)  # SLICES rows of a key at most
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(w.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn(f"{name}_of", F.sum("_c").over(w)).drop("_c")
-    own = F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(*order))
-    numbered = cut.withColumn("_own", own).join(counts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_slice").alias("_s"), "_before", f"{name}_of"), [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_slice") == F.col("_s")])
-    return numbered.withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_own", "_before", "_slice", "_s", *(f"_k{i}" for i in range(len(keys))))
+    pointers = checkpointed(next_row(rows, keys, at, id_, length))
+    found = checkpointed(rows.groupBy(*keys).agg(F.min(F.struct(at, id_))[id_].alias("id")).select("id"))
+    while True:
+        more = found.join(pointers.where("next IS NOT NULL"), "id").select(F.col("next").alias("id"))
+        if not more.limit(1).count():
+            return found
+        after = checkpointed(found.unionByName(more).distinct())
+        onward = pointers.select(F.col("id").alias("next"), F.col("next").alias("_next"))
+        pointers = checkpointed(pointers.join(onward, "next", "left").select("id", F.col("_next").alias("next")))
+        found = after
 
 
 def top_per(rows: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
@@ -40,10 +90,9 @@ def top_per(rows: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
 
 
 def score_buckets(rows: DataFrame, by: list[str], order: list, buckets: int) -> DataFrame:
-    """bucket 1..buckets of equal sizes from the top within each group; what is left over goes (WIN-1)."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    size = F.greatest(F.lit(1), F.floor(n / buckets))
-    return ranked(rows, by, order, "_r").withColumn("bucket", F.ceil(F.col("_r") / size).cast("int")).where(F.col("bucket") <= buckets).drop("_r")
+    """bucket 1..buckets of equal sizes from the top within each group, whatever its size; what is left over goes (WIN-1)."""
+    size = F.greatest(F.lit(1), F.floor(F.col("_r_of") / buckets))
+    return placed(rows, by, order, "_r").withColumn("bucket", F.ceil(F.col("_r") / size).cast("int")).where(F.col("bucket") <= buckets).drop("_r", "_r_of")
 
 
 def frequency_buckets(rows: DataFrame, kind: str, buckets: int) -> DataFrame:

@@ -119,16 +119,20 @@ def _pick(values: list[str], column: str) -> tuple[str, str]:
 
 
 (_H, _HS), (_T, _TS), (_C, _CS) = _pick(HEADS, "o_orderkey"), _pick(TAILS, "o_custkey"), _pick(CONTEXTS, "(o_orderkey + o_custkey)")
-RULED = f"WITH t AS (SELECT o_orderkey AS k, {_HS} AS head, {_TS} AS tail, {_CS} AS context FROM orders)"
+_NEAR = "array_to_string(string_split(coalesce(text, ''), ' ')[{}:{}], ' ')"
+RULED = f"WITH t AS (SELECT o_orderkey AS k, {_HS} AS head, {_TS} AS tail, {_CS} AS context FROM orders UNION ALL SELECT -1 - doc_id, {_NEAR.format(1, 3)}, {_NEAR.format(4, 7)}, coalesce(text, '') FROM documents)"
 
 
 def ruled(spark, d) -> DataFrame:
-    return table(spark, d, "orders").selectExpr("o_orderkey AS k", f"{_H} AS head", f"{_T} AS tail", f"{_C} AS context")
+    """Made triples for each order, of the rules' words, and for each document its first words as ends and its whole text as context."""
+    made = table(spark, d, "orders").selectExpr("o_orderkey AS k", f"{_H} AS head", f"{_T} AS tail", f"{_C} AS context")
+    near = lambda at, n: f"array_join(slice(split(coalesce(text, ''), ' '), {at}, {n}), ' ')"
+    return made.unionByName(table(spark, d, "documents").selectExpr("-1 - doc_id AS k", f"{near(1, 3)} AS head", f"{near(4, 4)} AS tail", "coalesce(text, '') AS context"))
 
 
 TYPE_SQL = lambda c: _case([(_rx(f"lower({c})", R.any_word(w)), f"'{k}'") for k, w in R.ENTITY_WORDS], "'UNKNOWN'")
 REL_SQL = _case([(_rx("lower(context)", R.any_phrase(p)), f"'{k}'") for k, p in R.RELATION_PHRASES], "'UNKNOWN_RELATION'")
-VALID_SQL = f"(head <> '' AND tail <> '' AND head <> tail AND {_case([(f'''rel = '{k}' ''', f'({_rx('lower(head)', R.any_word(h))} AND {_rx('lower(tail)', R.any_word(t))})') for k, h, t in R.ENDS], 'true')})"
+VALID_SQL = f"(head <> '' AND tail <> '' AND head <> tail AND {_case([(f'''rel = '{k}' ''', f'({_rx('lower(head)', R.any_word(h))} AND {_rx('lower(tail)', R.any_word(t))})') for k, h, t in R.ENDS if h], 'true')})"
 
 
 @query("cls1_entity_type", f"{RULED} SELECT k, {TYPE_SQL('head')} AS head_type, {TYPE_SQL('tail')} AS tail_type FROM t")
@@ -147,13 +151,13 @@ def _(spark, d):
     return t.select("k", R.known_type(F.col("x"), ["DISEASE", "DRUG"], "UNKNOWN").alias("type"))
 
 
-@query("val1_valid_entity", f"{RULED} SELECT k, length(head) BETWEEN 2 AND 200 AND {_case([(f'''x = '{k}' ''', _rx('lower(head)', R.any_word(w))) for k, w in R.ENTITY_WORDS], 'true')} AS ok FROM (SELECT *, ['DRUG','GENE','UNKNOWN'][(k % 3)::INTEGER + 1] AS x FROM t)")
+@query("val1_valid_entity", f"{RULED} SELECT k, length(head) BETWEEN 2 AND 200 AND {_case([(f'''x = '{k}' ''', _rx('lower(head)', R.any_word(w))) for k, w in R.ENTITY_WORDS], 'true')} AS ok FROM (SELECT *, ['DRUG','GENE','UNKNOWN'][(abs(k) % 3)::INTEGER + 1] AS x FROM t)")
 def _(spark, d):
-    kind = F.expr("element_at(array('DRUG','GENE','UNKNOWN'), cast(k % 3 as int) + 1)")
+    kind = F.expr("element_at(array('DRUG','GENE','UNKNOWN'), cast(abs(k) % 3 as int) + 1)")
     return ruled(spark, d).select("k", R.valid_entity(F.col("head"), kind).alias("ok"))
 
 
-@query("val2_valid_relation", f"{RULED} SELECT k, {VALID_SQL} AS strict, head <> '' AND tail <> '' AND head <> tail AND ({VALID_SQL} OR (length(head) > 1 AND length(tail) > 1)) AS lenient FROM (SELECT *, {REL_SQL} AS rel FROM t)")
+@query("val2_valid_relation", f"{RULED} SELECT k, {VALID_SQL} AS strict, head <> '' AND tail <> '' AND head <> tail AND rel <> 'UNKNOWN_RELATION' AND ({VALID_SQL} OR (length(head) > 1 AND length(tail) > 1)) AS lenient FROM (SELECT *, {REL_SQL} AS rel FROM t)")
 def _(spark, d):
     t = ruled(spark, d).withColumn("rel", R.relation_type(F.col("context")))
     h, r, x = F.col("head"), F.col("rel"), F.col("tail")
@@ -199,9 +203,9 @@ def _(spark, d):
     return V.one_sample_t(scores, "score", 0.5).select("n", "mean", "statistic", "effect")
 
 
-@query("val4_ontology", f"{RULED} SELECT k, {_case([(f'''rel = '{k}' ''', ' AND '.join(f'''(list_contains({list(a)}, '*') OR list_has_any(types, {list(a)}))''' for a in v)) for k, v in R.COMPATIBLE.items()], 'false')} AS ok FROM (SELECT *, {REL_SQL} AS rel, [['Disease'], ['Finding', 'Other'], ['Pharmacologic Substance', 'Disease']][(k % 3)::INTEGER + 1] AS types FROM t)")
+@query("val4_ontology", f"{RULED} SELECT k, {_case([(f'''rel = '{k}' ''', ' AND '.join(f'''(list_contains({list(a)}, '*') OR list_has_any(types, {list(a)}))''' for a in v)) for k, v in R.COMPATIBLE.items()], 'false')} AS ok FROM (SELECT *, {REL_SQL} AS rel, [['Disease'], ['Finding', 'Other'], ['Pharmacologic Substance', 'Disease']][(abs(k) % 3)::INTEGER + 1] AS types FROM t)")
 def _(spark, d):
-    types = F.expr("element_at(array(array('Disease'), array('Finding', 'Other'), array('Pharmacologic Substance', 'Disease')), cast(k % 3 as int) + 1)")
+    types = F.expr("element_at(array(array('Disease'), array('Finding', 'Other'), array('Pharmacologic Substance', 'Disease')), cast(abs(k) % 3 as int) + 1)")
     return ruled(spark, d).select("k", R.compatible(types, R.relation_type(F.col("context")), types).alias("ok"))
 
 
