@@ -84,14 +84,18 @@ class Domain:
         model fails, or there is none, the domain's own patterns are used.
         """
         asked = complete(docs.select(key, "text", self.prompt("entity_discovery", F.coalesce("text", F.lit(""))).alias("prompt")), backend)
-        named = asked.where("error IS NULL").select(key, F.col("text").alias("_t"), F.explode(F.array_distinct(X.parse_entities("reply"))).alias("text"))
-        at = F.coalesce(F.call_function("locate", F.col("text"), F.col("_t")), F.lit(0))
+        # one reply of a text decides on one branch: the model is asked once, in the one pass over its replies
+        named = F.transform(F.array_distinct(X.parse_entities("reply")), lambda m: F.struct(m.alias("text"), F.lit(None).cast("string").alias("type")))
+        own = extraction.found_in(F.coalesce("text", F.lit("")), self.patterns)
+        found = asked.select(key, F.col("text").alias("_t"), F.col("error").isNull().alias("_by"), F.when(F.col("error").isNull(), named).otherwise(own).alias("_m"))
+        first = F.filter("_m", lambda m, i: F.array_position(F.transform("_m", lambda x: x["text"]), m["text"]) == i + 1)
+        found = found.select(key, "_t", "_by", F.explode(first).alias("_m"))
+        name = F.col("_m.text")
+        at = F.coalesce(F.call_function("locate", name, F.col("_t")), F.lit(0))
         start = F.greatest(at, F.lit(1))
-        kind = self.entity_type(F.col("text")) if self.entity_type else F.lit("UNKNOWN")
-        named = named.select(key, "text", kind.alias("type"), start.alias("start"), (start + F.length("text") - 1).alias("stop"), F.lit(0.7).alias("confidence"), F.lit("model").alias("by"))
-        rest = docs.join(asked.where("error IS NOT NULL").select(key).distinct(), key, "left_semi")
-        own = self.entities(rest, key).select(key, "text", "type", "start", "stop", "confidence", F.lit("rule").alias("by"))
-        return named.unionByName(own)
+        kind = F.when(F.col("_by"), self.entity_type(name) if self.entity_type else F.lit("UNKNOWN")).otherwise(F.col("_m.type"))
+        score = F.when(F.col("_by"), F.lit(0.7)).otherwise(self.entity_confidence(name, F.col("_m.type")))
+        return found.select(key, name.alias("text"), kind.alias("type"), start.alias("start"), (start + F.length(name) - 1).alias("stop"), score.alias("confidence"), F.when(F.col("_by"), "model").otherwise("rule").alias("by"))
 
     def entities(self, docs: DataFrame, key: str) -> DataFrame:
         return extraction.mentions(docs, key, self.patterns, self.entity_confidence)

@@ -9,16 +9,21 @@ from ..functions import text as X
 from . import joins, rules
 
 
+def found_in(text: Column, patterns: list[tuple[str, str]], least: int = 2) -> Column:
+    """An array of (text, type): each distinct match of a text once, under its first pattern, settled within the row."""
+    one = lambda kind, pattern: F.transform(
+        F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), lambda m: F.length(m) >= least), lambda m: F.struct(m.alias("text"), F.lit(kind).alias("type"))
+    )
+    return F.flatten(F.array(*(one(k, p) for k, p in patterns)))
+
+
 def mentions(docs: DataFrame, key: str, patterns: list[tuple[str, str]], confidence=rules.name_confidence, least: int = 2) -> DataFrame:
     """key, text, type, start, stop, confidence, ord: each distinct match once, under its first pattern (EXT-1, 2, 4).
 
     All patterns run in one pass over a text; nothing is shuffled, as a text's
     mentions are settled within its row. start is the first occurrence.
     """
-    one = lambda kind, pattern: F.transform(
-        F.filter(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))), lambda m: F.length(m) >= least), lambda m: F.struct(m.alias("text"), F.lit(kind).alias("type"))
-    )
-    every = docs.select(key, "text", F.flatten(F.array(*(one(k, p) for k, p in patterns))).alias("_all"))
+    every = docs.select(key, "text", found_in(F.col("text"), patterns, least).alias("_all"))
     every = every.withColumn("_texts", F.transform("_all", lambda m: m["text"]))
     first = F.filter("_all", lambda m, i: F.array_position("_texts", m["text"]) == i + 1)
     at = every.select(key, "text", F.posexplode(first).alias("ord", "m")).select(key, F.col("text").alias("_t"), (F.col("ord") + 1).alias("ord"), F.col("m.text").alias("text"), F.col("m.type").alias("type"))
