@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..kg import KG
+from . import graph_algorithms, windows
 
 
 def type_counts(kg: KG) -> DataFrame:
@@ -106,15 +108,64 @@ def summary(rows: DataFrame, by: str, value: str) -> DataFrame:
     return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.stddev_samp(value), 6).alias("std"))
 
 
-def clusters(entities: DataFrame, method: str) -> DataFrame:
-    """Entities grouped by type or by tenths of confidence (AGG-23): cluster, n, first_id, last_id."""
+def clusters(entities: DataFrame, method: str, relations: DataFrame | None = None) -> DataFrame:
+    """Entities grouped by type, by tenths of confidence or by component (AGG-23): cluster, n, first_id, last_id.
+
+    Components, of the graph of relations, are numbered from 1 by their first
+    entity in order.
+    """
+    ends = [F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id")]
+    if method == "connected_components":
+        if relations is None:
+            raise ValueError("components need relations")
+        found = entities.join(_components(KG(entities, relations)), "id").groupBy("component").agg(F.min("ord").alias("_first"), *ends)
+        numbered = windows.placed(found.withColumn("_all", F.lit(0)), ["_all"], ["_first"], "_p")
+        return numbered.select(F.concat(F.lit("component_"), F.col("_p").cast("string")).alias("cluster"), "n", "first_id", "last_id")
     if method == "entity_type":
         key = F.col("label")
     elif method == "confidence_bins":
         key = F.concat(F.lit("conf_"), (F.floor(F.col("confidence") * 10) / 10).cast("string"))
     else:
         raise ValueError(f"no clustering by {method!r}")
-    return entities.groupBy(key.alias("cluster")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    return entities.groupBy(key.alias("cluster")).agg(*ends)
+
+
+def _components(kg: KG) -> DataFrame:
+    edges = graph_algorithms.simple_edges(kg).where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return graph_algorithms.components(kg.entities.select("id"), edges)
+
+
+def _stat(df: DataFrame, statistic: str, value: Column, name: Column | None = None) -> DataFrame:
+    return df.select(F.lit(statistic).alias("statistic"), (name if name is not None else F.lit("")).alias("name"), value.cast("double").alias("value"))
+
+
+def statistics(kg: KG) -> DataFrame:
+    """statistic, name, value of a graph (AGG-5): num_entities, num_relations, entity_types and relation_types by name, num_components, is_connected (0 or 1) and average_degree; the last three only where there are entities."""
+    n = F.count(F.lit(1))
+    e, r = kg.entities, kg.relations
+    nodes = e.agg(n.alias("n"))
+    parts = _components(kg).agg(F.count_distinct("component").alias("n")).where("n > 0")
+    mean = graph_algorithms.degrees(kg).agg(F.avg("degree").alias("mean")).where("mean IS NOT NULL")
+    rows = [
+        _stat(nodes, "num_entities", F.col("n")),
+        _stat(r.agg(n.alias("n")), "num_relations", F.col("n")),
+        _stat(e.groupBy("label").agg(n.alias("n")), "entity_types", F.col("n"), F.col("label")),
+        _stat(r.groupBy("relation_type").agg(n.alias("n")), "relation_types", F.col("n"), F.col("relation_type")),
+        _stat(parts, "num_components", F.col("n")),
+        _stat(parts, "is_connected", (F.col("n") == 1).cast("int")),
+        _stat(mean, "average_degree", F.col("mean")),
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def drawing_summary(kg: KG) -> DataFrame:
+    """statistics() with mean, std, min and max of the confidence of entities and relations (AGG-6)."""
+    out = statistics(kg)
+    for kind, rows in (("entity", kg.entities), ("relation", kg.relations)):
+        c = rows.agg(F.avg("confidence").alias("mean"), F.stddev_samp("confidence").alias("std"), F.min("confidence").alias("min"), F.max("confidence").alias("max"))
+        long = c.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(k).cast("double").alias("v")) for k in ("mean", "std", "min", "max")))).alias("x")).where("x.v IS NOT NULL")
+        out = out.unionByName(long.select(F.concat(F.lit(f"{kind}_confidence_"), F.col("x.k")).alias("statistic"), F.lit("").alias("name"), F.col("x.v").alias("value")))
+    return out
 
 
 def best_per(rows: DataFrame, keys: list[str], score: str, order: list[str], least: float | None = None) -> DataFrame:

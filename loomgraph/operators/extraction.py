@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from . import joins, rules
+from . import joins, phrases, rules
 
 
 def found_in(text: Column, patterns: list[tuple[str, str]], least: int = 2) -> Column:
@@ -140,9 +140,5 @@ def normalized_name(text: Column) -> Column:
 
 
 def gazetteer(docs: DataFrame, names: DataFrame, key: str, confidence: float = 0.95) -> DataFrame:
-    """key, text, confidence: the names of a fixed gazetteer (name) that a text holds (EXT-4).
-
-    names is a constant of the domain, tens of rows; it is broadcast for that.
-    """
-    hit = docs.select(key, F.col("text").alias("_t")).join(F.broadcast(names), F.col("_t").contains(F.col("name")))
-    return hit.select(key, F.col("name").alias("text"), F.lit(confidence).alias("confidence"))
+    """key, text, confidence: the names of a gazetteer (name) of any size that a text holds (EXT-4)."""
+    return phrases.contained(docs, names, key).select(key, F.col("name").alias("text"), F.lit(confidence).alias("confidence"))

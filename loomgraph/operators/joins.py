@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kg import KG
+from . import phrases
 
 
 def triples(kg: KG, inner_tail: bool = True) -> DataFrame:
@@ -83,10 +84,18 @@ def word_prefixes(text: Column) -> Column:
 
 
 def fuzzy_lookup(names: DataFrame, entities: DataFrame) -> DataFrame:
-    """name -> id of the entity one of whose word prefixes the name is; of several, the first in order (JOIN-8)."""
+    """name -> id of the entity one of whose word prefixes the name is; of several, the first in order (JOIN-8).
+
+    A name that is no such prefix goes to the first entity in order whose
+    lower-cased name holds it. names are in lower case, empty ones find nothing.
+    """
     index = entities.select("id", "ord", F.explode(word_prefixes(F.col("text"))).alias("name"))
     best = index.groupBy("name").agg(F.min_by("id", "ord").alias("id"))
-    return names.join(best, "name")
+    exact = names.join(best, "name")
+    rest = names.join(best.select("name"), "name", "left_anti")
+    held = phrases.contained(entities.select("id", F.lower("text").alias("text")), rest, "id").join(entities.select("id", "ord"), "id")
+    within = held.groupBy("name").agg(F.min_by("id", "ord").alias("id"))
+    return exact.unionByName(rest.join(within, "name").select(exact.columns))
 
 
 def semi(seed: DataFrame, linked: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from ..operators import graph_algorithms as G
 from ..operators import joins as J
 from ..operators import rules as R
 from ..operators import training as T
+from ..operators import vocabulary as VB
 from ..operators import windows as W
 from ..sources import export
 from ..streaming import events
@@ -51,13 +52,25 @@ def _(spark, d):
 
 @query("ext4_gazetteer_entities", f"{SQL}, g AS (SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region), p AS (SELECT p_partkey AS k, p_name || ' from ' || n_name AS t FROM part JOIN nation ON n_nationkey = p_partkey % 25) SELECT k, name AS text, 0.95::DOUBLE AS confidence FROM p JOIN g ON contains(t, name)")
 def _(spark, d):
-    """Names of a fixed gazetteer of 30 rows in texts: a broadcast whose bound is known."""
+    """Names of a fixed gazetteer in texts made of part and nation names."""
     names = table(spark, d, "nation").select(F.col("n_name").alias("name")).union(table(spark, d, "region").select("r_name"))
     nation = table(spark, d, "nation").select("n_nationkey", "n_name")
     p = table(spark, d, "part").join(F.broadcast(nation), F.col("p_partkey") % 25 == F.col("n_nationkey")).select(F.col("p_partkey").alias("k"), F.concat("p_name", F.lit(" from "), "n_name").alias("text"))
     return E.gazetteer(p, names, "k")
 
 
+_RUNS = "\\p{Lu}\\p{Ll}+ \\p{Lu}\\p{Ll}+"
+
+
+@query("ext4_names_of_documents", f"WITH g AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{_RUNS}', 0)) AS name FROM documents UNION SELECT unnest(string_split(p_name, ' ')) FROM part UNION SELECT n_name FROM nation) SELECT doc_id, name AS text, 0.95::DOUBLE AS confidence FROM documents JOIN g ON name <> '' AND contains(text, name)")
+def _(spark, d):
+    """A gazetteer that grows with the tables: runs of two capitalised words of all texts, words of part names and nations, sought in all texts."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    runs = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+"), F.lit(0))).alias("name"))
+    names = runs.union(table(spark, d, "part").select(F.explode(F.split("p_name", " ")))).union(table(spark, d, "nation").select("n_name"))
+    return E.gazetteer(docs, names, "doc_id")
+
+
 @query("ext7_head_entities", f"{_clinical_sql()}, w AS (SELECT k, unnest(list_transform(regexp_split_to_array(t, '\\s+'), lambda x: regexp_replace(x, '[^\\p{{L}}]', '', 'g'))) AS w FROM t WHERE k NOT IN (SELECT k FROM m)), u AS (SELECT k, text FROM m UNION ALL SELECT k, w FROM w WHERE length(w) > 3 AND (regexp_matches(w, '^\\p{{Lu}}') OR regexp_matches(lower(w), 'name'))) SELECT k, count(*) AS n, min(text) AS first FROM u GROUP BY k")
 def _(spark, d):
     return domains.head_entities(notes(spark, d), "k", domains.CLINICAL, ["name"]).groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("first"))
@@ -160,11 +173,17 @@ def _(spark, d):
     return V.combined_accuracy(codes, V.question_scores(table(spark, d, "benchmark").select("item_id", "text").distinct(), names, "text"))
 
 
-@query("strf5_vocabulary", "WITH w AS (SELECT doc_id, unnest(range(len(w))) AS spot, unnest(w) AS w FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') AS w FROM documents)), f AS (SELECT w, count(*) AS n FROM w GROUP BY w HAVING count(*) >= 20) SELECT w AS token, n, row_number() OVER (ORDER BY n DESC, w) + 4 AS id FROM f")
+_VOCABULARY = f"a AS ({ALL_TOKENS}), f AS (SELECT token, row_number() OVER (ORDER BY min(doc_id * 1000000 + spot)) + 4 AS id FROM a GROUP BY token), v AS (SELECT token, id FROM f WHERE id < 30522 UNION ALL SELECT * FROM (VALUES ('<pad>', 0), ('<unk>', 1), ('<cls>', 2), ('<sep>', 3), ('<mask>', 4)) s(token, id))"
+
+
+def vocabulary(spark, d):
+    return VB.build(table(spark, d, "documents"), "doc_id", X.words("text"))
+
+
+@query("strf5_vocabulary", f"WITH {_VOCABULARY} SELECT token, id FROM v")
 def _(spark, d):
-    """Words of at least 20 uses by frequency, ids from 5 on: counted first, then numbered by ranges of the vocabulary."""
-    w = table(spark, d, "documents").select(F.explode(X.words("text")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
-    return W.placed(w.withColumn("_one", F.lit(0)), ["_one"], [F.desc("n"), "token"], "id").select("token", "n", (F.col("id") + 4).cast("long").alias("id"))
+    """Special tokens, then words of all texts in order of their first appearance, up to the vocabulary's size."""
+    return vocabulary(spark, d)
 
 
 @query("strf6_masks", "SELECT doc_id, sum(CASE WHEN (length(token) * 31 + unicode(token)) % 7 <> 0 THEN 1 ELSE 0 END)::BIGINT AS ones, count(*) AS n FROM (" + ALL_TOKENS + ") GROUP BY doc_id")
@@ -175,16 +194,43 @@ def _(spark, d):
     return table(spark, d, "documents").where(F.size(w) > 0).select("doc_id", F.aggregate(mask, F.lit(0).cast("long"), lambda a, x: a + x).alias("ones"), F.size(mask).cast("long").alias("n"))
 
 
-#: Ids of some words that the documents use.
-VOCABULARY = {"the": 5, "and": 6, "der": 7, "de": 8, "of": 9}
-_WORD_ID = "CASE x " + " ".join(f"WHEN '{w}' THEN {i}" for w, i in VOCABULARY.items()) + " ELSE 1 END"
+@query("strf4_padded_ids", f"WITH {_VOCABULARY}, i AS (SELECT a.doc_id, list(coalesce(v.id, 1) ORDER BY spot) AS ids FROM a LEFT JOIN v ON v.token = a.token WHERE spot < 64 GROUP BY a.doc_id), j AS (SELECT d.doc_id, coalesce(ids, []) AS ids FROM documents d LEFT JOIN i USING (doc_id)) SELECT doc_id, array_to_string(list_concat(ids, list_transform(range(64 - len(ids)), lambda i: 0)), ',') AS ids FROM j")
+def _(spark, d):
+    """The encoder's row of each text: 64 ids of the built vocabulary."""
+    ids = VB.encode(table(spark, d, "documents"), "doc_id", X.words("text"), vocabulary(spark, d), 64, pad=True)
+    return ids.select("doc_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@query("strf4_round_trip", f"WITH {_VOCABULARY}, e AS (SELECT a.doc_id, count(*) AS n, count_if(v.id IS NULL) AS unknown, string_agg(CASE WHEN v.id > 4 THEN a.token END, ' ' ORDER BY spot) AS text FROM a LEFT JOIN v ON v.token = a.token GROUP BY a.doc_id) SELECT doc_id, coalesce(n, 0) AS n, coalesce(unknown, 0)::BIGINT AS unknown, md5(coalesce(e.text, '')) AS text FROM documents d LEFT JOIN e USING (doc_id)")
+def _(spark, d):
+    """Whole texts as ids of the built vocabulary and back; unknown words are special and go."""
+    words = vocabulary(spark, d)
+    ids = VB.encode(table(spark, d, "documents"), "doc_id", X.words("text"), words)
+    counts = ids.select("doc_id", F.size("ids").cast("long").alias("n"), F.size(F.filter("ids", lambda x: x == 1)).cast("long").alias("unknown"))
+    return counts.join(VB.decode(ids, "doc_id", words), "doc_id").select("doc_id", "n", "unknown", F.md5("text").alias("text"))
+
+
+@query("strf6_positions", f"SELECT doc_id, count(*) AS n, max(spot)::BIGINT AS last, sum(spot)::BIGINT AS total, 0::BIGINT AS types FROM ({ALL_TOKENS}) GROUP BY doc_id")
+def _(spark, d):
+    """Positions and token types of each word of whole texts."""
+    w = table(spark, d, "documents").select("doc_id", X.words("text").alias("w")).where(F.size("w") > 0)
+    add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
+    return w.select("doc_id", F.size("w").cast("long").alias("n"), F.array_max(VB.positions(F.col("w"))).cast("long").alias("last"), add(VB.positions(F.col("w"))).alias("total"), add(VB.token_types(F.col("w"))).alias("types"))
+
+
+@query("strf6_pair_mask", f"WITH a AS ({ALL_TOKENS}), t AS (SELECT doc_id, spot FROM a WHERE spot < 16 AND length(token) % 5 <> 0) SELECT x.doc_id, x.spot::INTEGER AS i, y.spot::INTEGER AS j, 0.0::DOUBLE AS value FROM t x JOIN t y ON y.doc_id = x.doc_id")
+def _(spark, d):
+    """Pairs of places that may attend to each other, in the encoder's rows of 16 ids; words of 5, 10, ... letters stand for padding."""
+    ids = F.transform(F.slice(X.words("text"), 1, 16), lambda x: F.length(x) % 5)
+    return VB.pair_mask(table(spark, d, "documents").select("doc_id", ids.alias("ids")), "doc_id")
 
 
-@query("strf4_padded_ids", f"SELECT doc_id, array_to_string(list_concat(ids, list_transform(range(64 - len(ids)), lambda i: 0)), ',') AS ids FROM (SELECT doc_id, list_transform(w[1:64], lambda x: {_WORD_ID}) AS ids FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '') AS w FROM documents))")
+@query("strf6_batch_masks", f"WITH a AS ({ALL_TOKENS}), n AS (SELECT d.doc_id, count(a.token) AS n FROM documents d LEFT JOIN a USING (doc_id) GROUP BY d.doc_id) SELECT doc_id, doc_id // 32 AS batch, n AS ones, max(n) OVER (PARTITION BY doc_id // 32) AS length FROM n")
 def _(spark, d):
-    vocabulary = F.create_map(*(F.lit(x) for p in VOCABULARY.items() for x in p))
-    ids = X.padded_ids(X.words("text"), vocabulary, 64)
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("ids"))
+    """Whole texts filled up to the longest of their batch of 32 ids."""
+    ids = table(spark, d, "documents").select("doc_id", F.transform(X.words("text"), lambda x: F.length(x).cast("long")).alias("ids")).withColumn("ids", F.coalesce("ids", F.array().cast("array<long>")))
+    full = VB.batch_padded(ids, "doc_id", F.floor(F.col("doc_id") / 32).cast("long"))
+    return full.select("doc_id", "batch", F.aggregate("mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("ones"), F.size("ids").cast("long").alias("length"))
 
 
 @query("seed4_inject_best", f"{SEED}, r AS (SELECT *, row_number() OVER (PARTITION BY head_kb_id ORDER BY score DESC, head, relation, tail) AS r FROM seed) SELECT head_kb_id, relation, tail, score FROM r WHERE r = 1 AND score >= 0.7")

@@ -11,6 +11,7 @@ from ..kg import SQL, star_kg, table
 from ..operators import aggregates as A
 from ..operators import graph_algorithms as G
 from ..operators import joins as J
+from ..operators import masking as MK
 from ..operators import seeds as D
 from ..operators import training as T
 from ..operators import windows as W
@@ -145,23 +146,22 @@ def _(spark, d):
     return W.batches(table(spark, d, "documents").where("doc_id % 3 <> 1").select("doc_id"), ["doc_id"], 32).select("doc_id", "batch")
 
 
-NATION_EDGES = "SELECT head AS src, tail AS dst FROM relations WHERE relation_type IN ('LOCATED_IN', 'PART_OF')"
+ALL_EDGES = "SELECT head AS src, tail AS dst FROM relations"
 
 
-def place_edges(spark, d):
-    r = star_kg(spark, d).relations.where("relation_type IN ('LOCATED_IN', 'PART_OF')")
-    return r.select(F.col("head").alias("src"), F.col("tail").alias("dst"))
+def all_edges(spark, d):
+    return star_kg(spark, d).relations.select(F.col("head").alias("src"), F.col("tail").alias("dst"))
 
 
-@query("grf1_components", f"{SQL}, e AS ({NATION_EDGES}), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), w AS (SELECT id, id AS seen FROM entities WHERE id LIKE 'R:%' UNION SELECT w.id, b.dst FROM w JOIN b ON b.src = w.seen), c AS (SELECT seen AS id, min(id) AS r FROM w GROUP BY seen), n AS (SELECT id, coalesce(r, id) AS comp FROM entities LEFT JOIN c USING (id)) SELECT comp_min AS component, count(*) AS n FROM (SELECT id, min(id) OVER (PARTITION BY comp) AS comp_min FROM n) GROUP BY comp_min")
+@query("grf1_components", f"{SQL}, e AS ({ALL_EDGES}), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), w AS (SELECT id, id AS seen FROM entities WHERE id LIKE 'R:%' UNION SELECT w.id, b.dst FROM w JOIN b ON b.src = w.seen), c AS (SELECT seen AS id, min(id) AS r FROM w GROUP BY seen), n AS (SELECT id, coalesce(r, id) AS comp FROM entities LEFT JOIN c USING (id)) SELECT comp_min AS component, count(*) AS n FROM (SELECT id, min(id) OVER (PARTITION BY comp) AS comp_min FROM n) GROUP BY comp_min")
 def _(spark, d):
-    c = G.components(star_kg(spark, d).entities, place_edges(spark, d))
+    c = G.components(star_kg(spark, d).entities, all_edges(spark, d))
     return c.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("grf2_shortest_paths", f"{SQL}, e AS ({NATION_EDGES}), two AS (SELECT DISTINCT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src) SELECT hops, count(*) AS n, min(src || dst) AS first FROM (SELECT DISTINCT src, dst, 1 AS hops FROM e UNION ALL SELECT src, dst, 2 FROM two WHERE src <> dst AND (src, dst) NOT IN (SELECT (src, dst) FROM e)) GROUP BY hops")
+@query("grf2_shortest_paths", f"{SQL}, e AS ({ALL_EDGES}), two AS (SELECT DISTINCT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src) SELECT hops, count(*) AS n, min(src || dst) AS first FROM (SELECT DISTINCT src, dst, 1 AS hops FROM e UNION ALL SELECT src, dst, 2 FROM two WHERE src <> dst AND (src, dst) NOT IN (SELECT (src, dst) FROM e)) GROUP BY hops")
 def _(spark, d):
-    return G.distances(place_edges(spark, d), 4).groupBy("hops").agg(F.count(F.lit(1)).alias("n"), F.min(F.concat("src", "dst")).alias("first"))
+    return G.distances(all_edges(spark, d), 4).groupBy("hops").agg(F.count(F.lit(1)).alias("n"), F.min(F.concat("src", "dst")).alias("first"))
 
 
 @query("grf2_chain_distances", "WITH n AS (SELECT i, CASE WHEN i < 128 THEN i ELSE (i - 128) // 7 END AS root, CASE WHEN i < 128 THEN 0 ELSE 1 END AS leaf FROM range(1024) t(i)) SELECT b.root - a.root + b.leaf AS hops, count(*) AS n FROM n a JOIN n b ON a.leaf = 0 AND b.root >= a.root AND a.i <> b.i GROUP BY 1")
@@ -191,14 +191,43 @@ def _(spark, d):
     return g
 
 
+_PARTS = f"p AS (SELECT DISTINCT least(head, tail) AS a, greatest(head, tail) AS b FROM relations WHERE head <> tail), y AS (SELECT a AS src, b AS dst FROM p UNION ALL SELECT b, a FROM p), w AS (SELECT id, id AS seen FROM entities WHERE label = 'REGION' UNION SELECT w.id, y.dst FROM w JOIN y ON y.src = w.seen), c AS (SELECT e.id, e.ord, coalesce(min(w.id), e.id) AS comp FROM entities e LEFT JOIN w ON w.seen = e.id GROUP BY e.id, e.ord)"
+_STATISTICS = f"""SELECT 'num_entities' AS statistic, '' AS name, count(*)::DOUBLE AS value FROM entities UNION ALL SELECT 'num_relations', '', count(*) FROM relations UNION ALL SELECT 'entity_types', label, count(*) FROM entities GROUP BY label UNION ALL SELECT 'relation_types', relation_type, count(*) FROM relations GROUP BY relation_type
+UNION ALL SELECT 'num_components', '', count(DISTINCT comp) FROM c UNION ALL SELECT 'is_connected', '', CASE WHEN count(DISTINCT comp) = 1 THEN 1 ELSE 0 END FROM c UNION ALL SELECT 'average_degree', '', round((SELECT 2.0::DOUBLE * count(*) FROM p) / (SELECT count(*) FROM entities), 6)"""
+
+
+@query("agg5_full_statistics", f"{SQL}, {_PARTS} {_STATISTICS}")
+def _(spark, d):
+    """Counts, histograms of types, components and degree of the whole graph."""
+    return A.statistics(star_kg(spark, d)).withColumn("value", F.round("value", 6))
+
+
+_CONFIDENCES = " UNION ALL ".join(f"SELECT '{k}_confidence_{n}', '', round({f}(confidence), 6) FROM {t}" for k, t in (("entity", "entities"), ("relation", "relations")) for n, f in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max")))
+
+
+@query("agg6_drawing_summary", f"{SQL}, {_PARTS} {_STATISTICS} UNION ALL {_CONFIDENCES}")
+def _(spark, d):
+    return A.drawing_summary(star_kg(spark, d)).withColumn("value", F.round("value", 6))
+
+
+@query("agg23_component_clusters", f"{SQL}, {_PARTS}, g AS (SELECT comp, min(ord) AS first, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM c GROUP BY comp) SELECT 'component_' || row_number() OVER (ORDER BY first) AS cluster, n, first_id, last_id FROM g")
+def _(spark, d):
+    kg = star_kg(spark, d)
+    return A.clusters(kg.entities, "connected_components", kg.relations)
+
+
 @query("viz1_circular_layout", f"{SQL} SELECT id, round(cos(2*pi()*(row_number() OVER (PARTITION BY label ORDER BY ord) - 1) / count(*) OVER (PARTITION BY label)), 6) + 0 AS x, round(sin(2*pi()*(row_number() OVER (PARTITION BY label ORDER BY ord) - 1) / count(*) OVER (PARTITION BY label)), 6) + 0 AS y FROM entities")
 def _(spark, d):
     return G.circular(star_kg(spark, d).entities, "label", "ord").select("id", (F.col("x") + 0).alias("x"), (F.col("y") + 0).alias("y"))
 
 
-@query("viz1_rings", f"{SQL}, e AS ({NATION_EDGES}), one AS (SELECT src AS id FROM e WHERE dst = 'R:1'), two AS (SELECT DISTINCT src AS id FROM e WHERE dst IN (SELECT id FROM one)) SELECT 0 AS ring, 1::BIGINT AS n UNION ALL SELECT 1, count(*) FROM one UNION ALL SELECT 2, count(*) FROM two")
+#: Hops from a region along all relations, either way; a BFS of distinct (node, hops) pairs.
+_BFS = f"{SQL}, e AS ({ALL_EDGES} UNION SELECT tail, head FROM relations), w(id, l) AS (SELECT 'R:1', 0 UNION SELECT e.dst, l + 1 FROM w JOIN e ON e.src = w.id WHERE l < 9), l AS (SELECT id, min(l) AS l FROM w GROUP BY id)"
+
+
+@query("viz1_rings", f"{_BFS} SELECT l::INTEGER AS ring, count(*) AS n FROM l GROUP BY l")
 def _(spark, d):
-    return G.rings(place_edges(spark, d), "R:1", 5).groupBy("ring").agg(F.count(F.lit(1)).alias("n"))
+    return G.rings(all_edges(spark, d), "R:1", 9).groupBy("ring").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("viz1_bipartite_layout", f"{SQL}, p AS (SELECT DISTINCT least(head, tail) AS a, greatest(head, tail) AS b FROM relations WHERE head <> tail), x AS (SELECT a AS id FROM p UNION ALL SELECT b FROM p), g AS (SELECT e.id, count(x.id) AS d FROM entities e LEFT JOIN x ON x.id = e.id GROUP BY e.id), s AS (SELECT id, d > (SELECT median(d) FROM g) AS side FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY id) AS place, count(*) OVER (PARTITION BY side) AS n FROM s) SELECT id, side, CASE WHEN side THEN 1.0 ELSE -1.0 END::DOUBLE AS x, round(CASE WHEN n > 1 THEN 2.0::DOUBLE * (place - 1) / (n - 1) - 1.0 ELSE 0.0 END, 6) AS y FROM r")
@@ -206,24 +235,24 @@ def _(spark, d):
     return G.bipartite(star_kg(spark, d))
 
 
-_LEVELS = f"{SQL}, e AS ({NATION_EDGES}), one AS (SELECT DISTINCT src AS id FROM e WHERE dst = 'R:1'), two AS (SELECT DISTINCT src AS id FROM e WHERE dst IN (SELECT id FROM one)), l AS (SELECT 'R:1' AS id, 0 AS l UNION ALL SELECT id, 1 FROM one UNION ALL SELECT id, 2 FROM two), r AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY id) AS place, count(*) OVER (PARTITION BY l) AS n FROM l)"
+_LEVELS = f"{_BFS}, r AS (SELECT *, row_number() OVER (PARTITION BY l ORDER BY id) AS place, count(*) OVER (PARTITION BY l) AS n FROM l)"
 
 
-@query("viz1_hierarchical_layout", f"{_LEVELS} SELECT id, l AS depth, round(CASE WHEN n > 1 THEN 2.0::DOUBLE * (place - 1) / (n - 1) - 1.0 ELSE 0.0 END, 6) AS x, (l * -0.5 + 0)::DOUBLE AS y FROM r")
+@query("viz1_hierarchical_layout", f"{_LEVELS} SELECT id, l::INTEGER AS depth, round(CASE WHEN n > 1 THEN 2.0::DOUBLE * (place - 1) / (n - 1) - 1.0 ELSE 0.0 END, 6) AS x, (l * -0.5 + 0)::DOUBLE AS y FROM r")
 def _(spark, d):
-    return G.hierarchical(place_edges(spark, d), "R:1", 5)
+    return G.hierarchical(all_edges(spark, d), "R:1", 9)
 
 
-@query("viz1_shell_layout", f"{_LEVELS} SELECT id, l AS ring, round(cos(2*pi()*(place - 1)/n) * 0.5 * l, 6) + 0 AS x, round(sin(2*pi()*(place - 1)/n) * 0.5 * l, 6) + 0 AS y FROM r")
+@query("viz1_shell_layout", f"{_LEVELS} SELECT id, l::INTEGER AS ring, round(cos(2*pi()*(place - 1)/n) * 0.5 * l, 6) + 0 AS x, round(sin(2*pi()*(place - 1)/n) * 0.5 * l, 6) + 0 AS y FROM r")
 def _(spark, d):
-    return G.shells(place_edges(spark, d), "R:1", 5)
+    return G.shells(all_edges(spark, d), "R:1", 9)
 
 
 @query("viz1_spring_layout")
 def _(spark, d):
     kg = star_kg(spark, d)
     n = kg.entities.where("label IN ('REGION', 'NATION')").withColumn("g", F.lit(0))
-    return G.spring(n, place_edges(spark, d).where("src LIKE 'N:%'").withColumn("g", F.lit(0)), "g")
+    return G.spring(n, all_edges(spark, d).where("src LIKE 'N:%'").withColumn("g", F.lit(0)), "g")
 
 
 @query("viz2_type_colours", f"{SQL} SELECT id, CASE label WHEN 'REGION' THEN '#1f77b4' WHEN 'NATION' THEN '#2ca02c' ELSE '#7f7f7f' END AS colour FROM entities")
@@ -275,10 +304,36 @@ def _draw(first: str, second: str, seed_: int) -> str:
     return f"(((((({start} * 1103 + {first} * 7919 + 104729) % 1000003) * 1103 + {second} * 7919 + 104729) % 1000003) * 48271) % 1000003) / 1000003.0::DOUBLE"
 
 
-@query("trn2_masked_tokens", f"WITH t AS ({TOKENS}), c AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY {_draw('doc_id', 'spot', 0)}, spot) AS r FROM t), m AS (SELECT *, r <= greatest(1, round_even(n * 0.15::DOUBLE, 0)) AS chosen, {_draw('spot', 'doc_id', 1)} AS how, floor({_draw('doc_id', 'spot', 2)} * 30522)::BIGINT AS other FROM c) SELECT doc_id, count_if(chosen) AS chosen, count_if(chosen AND how < 0.8) AS masked, sum(CASE WHEN NOT chosen THEN token WHEN how < 0.8 THEN 103 WHEN how < 0.9 THEN other ELSE token END)::BIGINT AS total FROM m GROUP BY doc_id")
+WHOLE = "SELECT doc_id, unnest(range(len(w))) AS spot, unnest(list_transform(w, lambda x: length(x) * 31 + unicode(x))) AS token, len(w) AS n FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') AS w FROM documents)"
+
+
+def whole_ids(spark, d):
+    """doc_id, ids of every word of each text."""
+    ids = F.transform(X.words("text"), lambda x: (F.length(x) * 31 + F.ascii(x)).cast("long"))
+    return table(spark, d, "documents").select("doc_id", ids.alias("ids")).where(F.size("ids") > 0)
+
+
+@query("trn2_masked_tokens", f"WITH t AS ({WHOLE}), c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {_draw('doc_id', 'spot', 0)}, spot) AS r FROM t), m AS (SELECT *, r <= greatest(1, round_even(n * 0.15::DOUBLE, 0)) AS chosen, {_draw('spot', 'doc_id', 1)} AS how, floor({_draw('doc_id', 'spot', 2)} * 30522)::BIGINT AS other FROM c) SELECT doc_id, count_if(chosen) AS chosen, count_if(chosen AND how < 0.8) AS masked, sum(CASE WHEN NOT chosen THEN token WHEN how < 0.8 THEN 103 WHEN how < 0.9 THEN other ELSE token END)::BIGINT AS total FROM m GROUP BY doc_id")
 def _(spark, d):
-    m = T.masked(tokens(spark, d).withColumn("at", F.col("at").cast("long")), "doc_id", "at", "token")
-    return m.groupBy("doc_id").agg(F.count_if(F.col("label") != T.IGNORE).alias("chosen"), F.count_if((F.col("label") != T.IGNORE) & (F.col("input") == T.MASK)).alias("masked"), F.sum("input").alias("total"))
+    """Single words of whole texts, masked within the row."""
+    m = MK.masked_texts(whole_ids(spark, d), "doc_id", "ids", "singles")
+    return m.select("doc_id", F.size("starts").cast("long").alias("chosen"), F.size(F.filter(F.arrays_zip("input", "label"), lambda x: (x["label"] != T.IGNORE) & (x["input"] == T.MASK))).cast("long").alias("masked"), F.aggregate("input", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+_SPANS = f"""WITH t AS ({WHOLE}), n AS (SELECT DISTINCT doc_id, n, CAST(round_even(n * 0.15::DOUBLE, 0) AS BIGINT) AS target FROM t), j AS (SELECT doc_id, n, target, unnest(range(target)) AS j FROM n),
+l AS (SELECT *, 1 + CAST(floor({_draw('doc_id', 'j', 5)} * 5) AS BIGINT) AS len FROM j), u AS (SELECT *, sum(len) OVER (PARTITION BY doc_id ORDER BY j) AS upto FROM l), k AS (SELECT doc_id, n, j, len - greatest(0, upto - n) AS len FROM u WHERE upto - len < target AND len - greatest(0, upto - n) > 0),
+f AS (SELECT *, n - sum(len) OVER (PARTITION BY doc_id) AS free, sum(len) OVER (PARTITION BY doc_id ORDER BY j) - len AS before FROM k), p AS (SELECT *, CAST(floor({_draw('doc_id', 'j', 6)} * (free + 1)) AS BIGINT) AS place FROM f),
+a AS (SELECT doc_id, j, len, before, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS r FROM p), b AS (SELECT doc_id, place, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS r FROM p), s AS (SELECT a.doc_id, a.r, b.place + a.before AS start, a.len FROM a JOIN b USING (doc_id, r)),
+x AS (SELECT doc_id, unnest(range(start::BIGINT, (start + len)::BIGINT)) AS spot FROM s), m AS (SELECT t.doc_id, t.spot, t.token, x.spot IS NOT NULL AS chosen, {_draw('t.spot', 't.doc_id', 7)} AS how, floor({_draw('t.doc_id', 't.spot', 8)} * 30522)::BIGINT AS other FROM t LEFT JOIN x ON x.doc_id = t.doc_id AND x.spot = t.spot)"""
+
+
+@query("trn2_masked_spans", f"{_SPANS}, g AS (SELECT doc_id, string_agg(start || ':' || len, ',' ORDER BY r) AS spans FROM s GROUP BY doc_id) SELECT m.doc_id, md5(coalesce(any_value(g.spans), '')) AS spans, count_if(chosen) AS covered, sum(CASE WHEN NOT chosen THEN token WHEN how < 0.8 THEN 103 WHEN how < 0.9 THEN other ELSE token END)::BIGINT AS total, sum(CASE WHEN chosen THEN token ELSE -100 END)::BIGINT AS labels FROM m LEFT JOIN g ON g.doc_id = m.doc_id GROUP BY m.doc_id")
+def _(spark, d):
+    """Spans of one to five words of whole texts, masked within the row."""
+    m = MK.masked_texts(whole_ids(spark, d), "doc_id", "ids", "spans", seed=5)
+    add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    spans = F.array_join(F.transform(F.arrays_zip("starts", "lengths"), lambda x: F.concat(x["starts"].cast("string"), F.lit(":"), x["lengths"].cast("string"))), ",")
+    return m.select("doc_id", F.md5(spans).alias("spans"), add("lengths").alias("covered"), add("input").alias("total"), add("label").alias("labels"))
 
 
 @query("grf5_chain_sequences", f"WITH t AS ({TOKENS}) SELECT doc_id, 1024::BIGINT AS length, sum(token)::BIGINT AS total, count(*) AS roots FROM t GROUP BY doc_id")
