@@ -13,8 +13,11 @@ evidence, not single names) and of its shape. It is trained on a bounded sample
 of pages: blocks in article or main against those in nav, footer or aside, each
 with and without its containers' evidence, so that shape is weighed for pages
 that name nothing. A ridge that grows with the sample draws the weights to the
-prior ones: they stay finite on data that a weight alone could part, and costs
-of containers, shape and edges are of one order.
+prior ones: they stay finite on data that a weight alone could part, and few
+pages move them little. The edges' weight is the one of a few that errs least
+on other pages of the sample, read without their containers' names: so costs of
+shape and edges are of one scale, and neighbours overrule blocks whose shape
+alone misleads.
 
 What is shown counts as text: mathematics and the contents of object, video,
 audio and canvas do. Drawings (svg) and other encodings (annotation) do not.
@@ -69,6 +72,12 @@ PRIOR = (2.2, -6.0, 1.2, -6.0, -12.0, -4.0, 0.7, -3.0, 3.0, 1.0, -1.0, -4.0, -1.
 SMOOTH = 1.2
 #: A ridge of this weight for each row of the sample draws the fit to PRIOR.
 RIDGE = 0.02
+#: Rows that count for PRIOR besides those of the sample.
+RIDGE_ROWS = 100
+#: Weights of the edges that are tried.
+SMOOTHS = (0.0, 0.3, 0.6, SMOOTH, 1.8, 2.4, 3.6)
+#: Errors by which another weight than SMOOTH must do better.
+PRIOR_ERRORS = 5
 #: The most pages, and blocks of one page, that the model is fitted on.
 FIT_PAGES, FIT_BLOCKS = 2000, 40
 #: Steps in the DOM beyond which two blocks are not tied.
@@ -138,14 +147,21 @@ def blocks_of(page: str) -> list[Block]:
     # tag, nearest element that is not inline, evidence so far, kind: 1 heading, 2 list item, 4 link
     stack: list[tuple[str, Node, int, int]] = [("#", Node(None), 0, 0)]
     opened: Counter[str] = Counter()
+    # places in the stack of elements that are not inline, and the inline elements that are open in the last of each
+    bases, inside = [0], [Counter()]
     block: Block | None = None
     at = 0
     end = len(page)
 
     def cut(k: int) -> None:
-        for e in stack[k:]:
-            opened[e[0]] -= 1
-        del stack[k:]
+        while len(stack) > k:
+            tag = stack.pop()[0]
+            opened[tag] -= 1
+            if len(stack) == bases[-1]:
+                bases.pop()
+                inside.pop()
+            else:
+                inside[-1][tag] -= 1
 
     def text(piece: str) -> None:
         nonlocal block
@@ -180,12 +196,12 @@ def blocks_of(page: str) -> list[Block]:
         if tag not in INLINE:
             block = None
         if closing:
-            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
-                if stack[k][0] == tag:
-                    cut(k)
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+            # what is passed on the way to the element goes with it, so all ways together are as long as the page
+            if inside[-1][tag] if tag in INLINE else opened[tag]:
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                cut(k)
             continue
         if tag in RAW:
             if attributes.endswith("/"):
@@ -200,12 +216,8 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in _CLOSES_P or tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
             shut = ("p",) if tag in _CLOSES_P else ("dt", "dd", "p") if tag in ("dt", "dd") else (tag, "p")
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in shut:
-                    cut(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
+            if stack[bases[-1]][0] in shut:
+                cut(bases[-1])
             while tag in _CLOSES_P and stack[-1][0] in INLINE and stack[-1][0] != "a":
                 cut(len(stack) - 1)  # an inline element left open does not reach over blocks
         _, node, says, kind = stack[-1]
@@ -216,6 +228,11 @@ def blocks_of(page: str) -> list[Block]:
         elif tag == "li":
             kind |= 2
         in_content = bool(says & IN_CONTENT) and not says & (IN_BOILER | BAD_NAME)
+        if tag in INLINE:
+            inside[-1][tag] += 1
+        else:
+            bases.append(len(stack))
+            inside.append(Counter())
         stack.append((tag, node if tag in INLINE else Node(node), says | _says(tag, attributes, in_content), kind))
         opened[tag] += 1
     kept = []
@@ -243,15 +260,15 @@ def _steps(a: Node, b: Node) -> int:
     return n
 
 
-def _edges(blocks: list[Block]) -> list[tuple[int, int, float]]:
+def _edges(blocks: list[Block], smooth: float = SMOOTH) -> list[tuple[int, int, float]]:
     """Smoothness: adjacent blocks and next blocks of the same parent, weaker along longer DOM ways."""
     out, last = [], {}
     for k, b in enumerate(blocks):
         if k and (n := _steps(blocks[k - 1].node, b.node)) <= FAR:
-            out.append((k - 1, k, SMOOTH * 4.0 ** (2 - max(2, n))))
+            out.append((k - 1, k, smooth * 4.0 ** (2 - max(2, n))))
         parent = id(b.node.parent)
         if (j := last.get(parent)) is not None and j != k - 1:
-            out.append((j, k, SMOOTH / 2))
+            out.append((j, k, smooth / 2))
         last[parent] = k
     return out
 
@@ -331,42 +348,38 @@ def _flow_sides(nodes: list[int], odds: list[float], cap: list[dict[int, float]]
                         ways[path[-1]].pop()
 
 
-def label(page: str | None, weights: tuple[float, ...] = PRIOR) -> tuple[list[Block], list[bool]]:
-    """A page's blocks, and which of them the cut calls content.
-
-    Where it keeps none, as of an article of a few words, blocks in article or
-    main that no container speaks against are the content.
-    """
+def label(page: str | None, weights: tuple[float, ...] = PRIOR, smooth: float = SMOOTH) -> tuple[list[Block], list[bool]]:
+    """A page's blocks, and which of them the cut calls content."""
     blocks = blocks_of(page or "")
-    side = min_cut(log_odds(blocks, weights), _edges(blocks))
-    if not any(side):
-        side = [bool(b.says & IN_CONTENT) and not b.says & (IN_BOILER | BAD_NAME | HIDDEN | ARTICLE_HEADER) for b in blocks]
-    return blocks, side
+    return blocks, min_cut(log_odds(blocks, weights), _edges(blocks, smooth))
+
 
+def main_text(page: str | None, weights: tuple[float, ...] = PRIOR, smooth: float = SMOOTH) -> str:
+    return " ".join(b.text for b, k in zip(*label(page, weights, smooth)) if k)
 
-def main_text(page: str | None, weights: tuple[float, ...] = PRIOR) -> str:
-    return " ".join(b.text for b, k in zip(*label(page, weights)) if k)
+
+def _labelled(b: Block) -> bool | None:
+    """What a semantic element says of a block: content, boilerplate or nothing."""
+    bad = bool(b.says & (IN_BOILER | BAD_NAME | HIDDEN))
+    return not bad if bool(b.says & IN_CONTENT) != bad or b.says & IN_BOILER else None
 
 
 def fit_rows(blocks: list[Block]) -> list[tuple[float, ...]]:
     """Training rows (features, label) of a page's blocks that a semantic element labels: with their containers' evidence and without."""
-    own = [b for b in blocks if bool(b.says & IN_CONTENT) != bool(b.says & (IN_BOILER | BAD_NAME | HIDDEN)) or b.says & IN_BOILER]
+    own = [b for b in blocks if _labelled(b) is not None]
     rows = []
     for k in sorted({int(x) for x in np.linspace(0, len(own) - 1, FIT_BLOCKS)}) if own else ():
-        x, y = own[k].features(), float(not own[k].says & (IN_BOILER | BAD_NAME | HIDDEN))
+        x, y = own[k].features(), float(_labelled(own[k]))
         rows += [(*x, y), (*(0.0,) * EVIDENCE, *x[EVIDENCE:], y)]
     return rows
 
 
 def fit_weights(rows: np.ndarray) -> tuple[float, ...]:
-    """Ridge logistic regression by Newton steps that are halved until they better the fit; PRIOR where fewer than 50 rows are of either label."""
+    """Ridge logistic regression by Newton steps that are halved until they better the fit; without rows the weights are PRIOR, with few near it."""
     rows = np.asarray(rows, float).reshape(-1, len(FEATURES) + 1)
-    y = rows[:, -1]
-    if min(y.sum(), (1 - y).sum()) < 50:
-        return PRIOR
     rows = rows[np.lexsort(rows.T)]
     x, y, prior = rows[:, :-1], rows[:, -1], np.array(PRIOR)
-    ridge = RIDGE * len(y)
+    ridge = RIDGE * (len(y) + RIDGE_ROWS)
 
     def loss(w):
         z = x @ w
@@ -385,20 +398,47 @@ def fit_weights(rows: np.ndarray) -> tuple[float, ...]:
     return tuple(round(float(v), 6) for v in w)
 
 
+def bare_errors(blocks: list[Block], weights: tuple[float, ...], smooths: tuple[float, ...] = SMOOTHS) -> list[int]:
+    """Labelled blocks that the cut gets wrong with each weight of the edges, when it is not told what their containers say."""
+    if not any(_labelled(b) is not None for b in blocks):
+        return [0] * len(smooths)
+    x = np.array([b.features() for b in blocks])
+    x[:, :EVIDENCE] = 0
+    odds, want = (x @ np.array(weights)).tolist(), [_labelled(b) for b in blocks]
+    return [sum(y is not None and y != k for y, k in zip(want, min_cut(odds, _edges(blocks, smooth)))) for smooth in smooths]
+
+
+def _sample(pages: DataFrame, seed: int) -> DataFrame:
+    """html and fold (0 or 1) of at most FIT_PAGES pages that the hash of their ids picks."""
+    few = pages.select("page_id", F.xxhash64("page_id", F.lit(seed)).alias("h")).orderBy("h", "page_id").limit(FIT_PAGES).select("page_id", F.pmod("h", F.lit(2)).cast("int").alias("fold")).distinct()
+    return pages.select("page_id", "html").join(F.broadcast(few), "page_id").select("html", "fold").limit(FIT_PAGES)
+
+
 def fit(pages: DataFrame, seed: int = 7) -> tuple[float, ...]:
-    """The classifier's weights, from at most FIT_PAGES pages that the hash of their ids picks."""
-    few = pages.select("page_id", F.xxhash64("page_id", F.lit(seed)).alias("h")).orderBy("h", "page_id").limit(FIT_PAGES).select("page_id").distinct()
-    sample = pages.select("page_id", "html").join(F.broadcast(few), "page_id", "left_semi")
+    """The classifier's weights, from one half of the sample."""
 
     def run(batches):
         for batch in batches:
             rows = [r for page in texts_of(batch, "html") for r in fit_rows(blocks_of(page))]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], ["x"])
 
-    return fit_weights([r.x for r in sample.limit(FIT_PAGES).mapInArrow(run, "x array<double>").collect()])
+    return fit_weights([r.x for r in _sample(pages, seed).where("fold = 0").select("html").mapInArrow(run, "x array<double>").collect()])
+
+
+def calibrate(pages: DataFrame, weights: tuple[float, ...], seed: int = 7) -> float:
+    """The weight of the edges that errs least on the other half of the sample, its pages read as if no container had a name; SMOOTH, if none betters it by PRIOR_ERRORS."""
+
+    def run(batches):
+        for batch in batches:
+            errors = [bare_errors(blocks_of(page), weights) for page in texts_of(batch, "html")]
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in errors], pa.int64()) for k in range(len(SMOOTHS))], [f"e{k}" for k in range(len(SMOOTHS))])
+
+    errors = _sample(pages, seed).where("fold = 1").select("html").mapInArrow(run, ", ".join(f"e{k} long" for k in range(len(SMOOTHS))))
+    total = errors.agg(*(F.coalesce(F.sum(f"e{k}"), F.lit(0)) for k in range(len(SMOOTHS)))).first()
+    return min((e + PRIOR_ERRORS * (s != SMOOTH), s != SMOOTH, s) for e, s in zip(total, SMOOTHS))[2]
 
 
-def extract(pages: DataFrame, weights: tuple[float, ...] = PRIOR) -> DataFrame:
+def extract(pages: DataFrame, weights: tuple[float, ...] = PRIOR, smooth: float = SMOOTH) -> DataFrame:
     """page_id, url, text, n_chars, n_blocks, n_kept per row of pages.
 
     A null or empty page gives the empty text; markup that is cut off is read as
@@ -411,7 +451,7 @@ def extract(pages: DataFrame, weights: tuple[float, ...] = PRIOR) -> DataFrame:
         for batch in slices(batches, 256, "html"):
             texts, n, kept = [], [], []
             for page in texts_of(batch, "html"):
-                blocks, keep = label(page, weights)
+                blocks, keep = label(page, weights, smooth)
                 texts.append(" ".join(b.text for b, k in zip(blocks, keep) if k))
                 n.append(len(blocks))
                 kept.append(sum(keep))
@@ -425,4 +465,5 @@ def extract(pages: DataFrame, weights: tuple[float, ...] = PRIOR) -> DataFrame:
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return extract(pages, fit(pages))
+    weights = fit(pages)
+    return extract(pages, weights, calibrate(pages, weights))
