@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
 
-from .shared import file_size, list_files, make_folder, open_read, open_write, shared_path, slices, small_batches, table, texts_of, written
+from .shared import AT, FILE, Lookup, drop_path, file_size, list_files, lookup_table, make_folder, open_read, open_write, shared_path, slices, small_batches, table, texts_of, with_buckets, with_row_ids, written
 
 SUFFIX = ".warc.gz"
 #: Start of each member: gzip with one extra field "sl" of 8 bytes.
@@ -77,38 +77,44 @@ def write_pages(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, date:
     null url gives no target URI. An empty table gives no files. Only files of
     tasks that ended well are listed.
 
-    Digests are grouped first, with partial aggregation; only those of several
-    rows are joined back to the pages. That join is broadcast only if the
-    written table is under Spark's threshold; else a hot digest's pages are
-    split by adaptive skew handling.
+    Digests are grouped first, with partial aggregation; only ids of rows and
+    their digests are joined to those of several rows. What the join says of a
+    row is looked up by its row id when the pages are read again and written,
+    so no page is shuffled.
     """
-    spark = pages.sparkSession
+    spark, made = pages.sparkSession, []
     small_batches(spark)
     make_folder(folder)
-    payload = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"))
-    keyed = rows.withColumn("sha1", F.sha1(F.encode("html", "UTF-8")))
-    many = keyed.where(F.octet_length("html") >= min_revisit_bytes).groupBy("sha1").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    many = written(many.where("n > 1 AND first_id IS NOT NULL").select("sha1", "first_id"), "warc-copies")
-    decided = keyed.join(many, "sha1", "left").withColumn("refers_to", F.when(~F.col("first_id").eqNullSafe(F.col("page_id")) & (F.octet_length("html") >= min_revisit_bytes), F.col("first_id")))
+    numbered = with_row_ids(pages, made)
+    rows = numbered.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"), FILE, AT)
+    rows = rows.withColumn("sha1", F.sha1(F.encode("html", "UTF-8")))
+    keyed = rows.where(F.octet_length("html") >= min_revisit_bytes).select(FILE, AT, "page_id", "sha1")
+    many = keyed.groupBy("sha1").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
+    many = written(many.where("n > 1 AND first_id IS NOT NULL").select("sha1", "first_id"), "warc-copies", made)
+    revisits = keyed.join(many, "sha1").where(~F.col("first_id").eqNullSafe(F.col("page_id"))).select(FILE, AT, F.col("first_id").alias("refers_to"))
+    decided = lookup_table(revisits, "warc-revisits", made)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        out, n, path = None, 0, ""
+        out, n, path, known = None, 0, "", Lookup(decided)
         for batch in slices(batches, 256, "html"):
-            if out is None:
-                path = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}{SUFFIX}"
-                out = open_write(path)
-            for page_id, url, sha1, refers_to, text in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "sha1", "refers_to")), texts_of(batch, "html")):
-                digest = base64.b32encode(bytes.fromhex(sha1)).decode()
-                out.write(_member(_record("response" if refers_to is None else "revisit", page_id, url, text.encode(), digest, refers_to, date), level))
-                n += 1
+            for part, found, at in known.pick(batch):
+                if out is None:
+                    path = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}{SUFFIX}"
+                    out = open_write(path)
+                refers = found.column("refers_to").take(at).to_pylist() if found is not None else [None] * part.num_rows
+                for page_id, url, sha1, refers_to, text in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "sha1")), refers, texts_of(part, "html")):
+                    digest = base64.b32encode(bytes.fromhex(sha1)).decode()
+                    out.write(_member(_record("response" if refers_to is None else "revisit", page_id, url, text.encode(), digest, refers_to, date), level))
+                    n += 1
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "n": pa.array([n], pa.int64())})
 
-    files = [(r.path, r.n) for r in decided.select("page_id", "url", "html", "sha1", "refers_to").mapInArrow(run, "path string, n long").collect()]
+    files = [(r.path, r.n) for r in with_buckets(rows).mapInArrow(run, "path string, n long").collect()]
+    for path in made:
+        drop_path(spark, path)
     with open_write(f"{folder}/{LIST}") as file:
         file.write("\n".join(path for path, _ in files).encode())
     return files
