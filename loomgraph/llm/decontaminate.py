@@ -156,14 +156,25 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     common = may.join(weights.select("item", "h", "k", "count"), "item").join(held, [*ROW, "h", "k"]).groupBy(*ROW, "item").agg(F.sum("count").alias("most"))
     may = written(common.join(totals, "item").where(F.col("most") >= (1 - slack) * F.col("all_b")).select(*ROW, "item"), "leak-may", made)
 
-    spots = hits.select(*ROW, "h", "k", "pos")
-    places = may.join(marks, "item").join(spots, [*ROW, "h", "k"]).select(*ROW, "item", (F.col("pos") - F.col("at")).alias("start"), "n", "k").distinct()
+    # the starts that a shingle's places in text and item give, or where these are more than that, all between the first and the last
+    spots = hits.join(may.select(*ROW).distinct(), ROW, "left_semi").groupBy(*ROW, "h", "k").agg(F.collect_list("pos").alias("p"))
+    at = marks.groupBy("item", "n", "h", "k").agg(F.collect_list("at").alias("a"))
+    low, high = F.array_min("p") - F.array_max("a"), F.array_max("p") - F.array_min("a")
+    each = F.flatten(F.transform("p", lambda x: F.transform("a", lambda y: x - y)))
+    starts = F.when(F.size("p").cast("long") * F.size("a") > high - low, F.sequence(low, high)).otherwise(each)
+    places = may.join(at, "item").join(spots, [*ROW, "h", "k"]).select(*ROW, "item", F.explode(starts).alias("start"), "n", "k").distinct()
     places = written(places, "leak-places", made)
+    inside_of = lambda words, start, n: F.slice(words, F.greatest(start, F.lit(0)) + 1, F.greatest(n + F.least(start, F.lit(0)), F.lit(0)))
     of_row = places.select(*ROW, "start", "n", "k").distinct().groupBy(*ROW).agg(F.collect_list(F.struct("start", "n", "k")).alias("places"))
     texts = rows.join(of_row, ROW).select(*ROW, "doc_id", "places", words(F.col("text")).alias("words"))
-    windows = texts.select(*ROW, "doc_id", "words", F.explode("places").alias("p")).select(*ROW, "doc_id", "p.start", "p.n", "p.k", F.slice("words", F.greatest(F.col("p.start"), F.lit(0)) + 1, F.col("p.n") + F.least(F.col("p.start"), F.lit(0))).alias("words"))
-    windows = written(windows.withColumn("window", F.md5(F.concat_ws(" ", F.col("n").cast("string"), "words"))), "leak-windows", made)
-    distinct = written(windows.groupBy("window").agg(F.first("words").alias("words"), F.first("n").alias("n"), F.first("k").alias("k")), "leak-distinct", made)
+    windows = texts.select(*ROW, "doc_id", "words", F.explode("places").alias("p")).select(*ROW, "doc_id", "p.start", "p.n", "p.k", inside_of(F.col("words"), F.col("p.start"), F.col("p.n")).alias("words"))
+    windows = written(windows.select(*ROW, "doc_id", "start", "n", "k", F.md5(F.concat_ws(" ", F.col("n").cast("string"), "words")).alias("window")), "leak-windows", made)
+    # the words of one window of equal ones
+    first_of = windows.groupBy("window").agg(F.min(F.struct(*ROW, "start", "n", "k")).alias("w")).select("window", "w.*")
+    of_row = first_of.groupBy(*ROW).agg(F.collect_list(F.struct("window", "start", "n", "k")).alias("places"))
+    texts = rows.join(of_row, ROW).select("places", words(F.col("text")).alias("words"))
+    distinct = texts.select("words", F.explode("places").alias("p")).select("p.window", inside_of(F.col("words"), F.col("p.start"), F.col("p.n")).alias("words"), "p.n", "p.k")
+    distinct = written(distinct, "leak-distinct", made)
     inside = None
     for k in sizes:
         own = _shingled(distinct.where(F.col("k") == k), "words", k, ["window"])

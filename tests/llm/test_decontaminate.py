@@ -95,3 +95,25 @@ def test_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(docs, none).count() == 0
     assert decontaminate.contaminated(docs.limit(0), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).count() == 0
+
+
+def test_repetitive_texts_have_no_more_windows_than_words(spark, monkeypatch):
+    """A text and an item of one word, and of two by turns: starts grow with the words, not with their product."""
+    counts = {}
+    old = decontaminate.written
+
+    def count(df, name, keep=None):
+        out = old(df, name, keep)
+        if name in ("leak-places", "leak-distinct"):
+            counts.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(decontaminate, "written", count)
+    for n in (300, 1200):
+        docs = [(1, "a " * n), (2, "a b " * n), (3, "x y z")]
+        items = [(1, "a " * (n // 2)), (2, "a b " * (n // 4))]
+        got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert {(r.doc_id, r.item_id) for r in got if r.similarity == 1} == {(1, 1), (2, 2)}
+    small, large = counts["leak-places"]
+    assert large < 6 * small  # 4 if linear, 16 with the product
+    assert counts["leak-distinct"][1] < 6 * counts["leak-distinct"][0]
