@@ -49,6 +49,12 @@ _GPL_NOTICE = (
     "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.\n\n"
     "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
 )
+_AGPL_NOTICE = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\n"
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.\n\n"
+    "You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
+)
+_EPL_NOTICE = "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"
 _UNLICENSE = (
     "This is free and unencumbered software released into the public domain.\n\n"
     "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\n"
@@ -62,7 +68,7 @@ _BOOST = (
     "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.\n\n"
     "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
 )
-SPDX_IDS = ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-3.0-only", "AGPL-3.0-only", "MPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
+SPDX_IDS = ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-3.0-only", "AGPL-3.0-only", "AGPL-3.0-or-later", "EPL-1.0", "EPL-2.0", "MPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
 KNOWN: list[tuple[str, str]] = [
     ("MIT", _MIT), ("MIT", "MIT License\n\n" + _MIT), ("MIT", "The MIT License (MIT)\n\n" + _MIT),
     ("ISC", _ISC), ("ISC", "ISC License\n\n" + _ISC),
@@ -75,6 +81,8 @@ KNOWN: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("Apache-2.0", "Released under the Apache License, Version 2.0."),
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."), ("GPL-3.0-only", "Licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-NC-4.0", "This work is licensed under CC BY-NC 4.0."),
+    ("AGPL-3.0-or-later", _AGPL_NOTICE), ("AGPL-3.0-only", "Licensed under the GNU Affero General Public License, version 3."), ("AGPL-3.0-only", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("EPL-2.0", _EPL_NOTICE), ("EPL-2.0", "Licensed under the Eclipse Public License, Version 2.0."), ("EPL-2.0", "Released under the Eclipse Public License, Version 2.0."), ("EPL-1.0", "Licensed under the Eclipse Public License, Version 1.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     *((x, f"SPDX-License-Identifier: {x}") for x in SPDX_IDS),
 ]
@@ -106,9 +114,15 @@ DIGESTS: list[tuple[str, int, str, str]] = [
 #: A line that states a copyright, of the text in lower case after a line end; a line that only speaks of copyright stays.
 STATEMENT = r"\n[^\p{L}\p{N}\n]*(?:(?:copyright[ \t]*(?:\(c\)|©|:|by |[0-9]{4}|<year>|\[yyyy\])|\(c\)[ \t]*(?:copyright|[0-9]{4})|©)[^\n]*|all rights reserved[^\p{L}\p{N}\n]*)"
 PUNCTUATION = r"[^\p{L}\p{N}\n]+"
-#: Spellings that mean the same, of words and of words beside each other.
-WORDS = [("licence", "license"), ("merchantibility", "merchantability"), ("acknowledgement", "acknowledgment"), ("https", "http")]
-PHRASES = [("sub license", "sublicense"), ("non infringement", "noninfringement"), ("copyright owner", "copyright holder")]
+# Spellings that mean the same, of parts of words and of words beside each other.
+WORDS = [
+    ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"), ("authoris", "authoriz"), ("calibre", "caliber"), ("cancelled", "canceled"), ("capitalis", "capitaliz"),
+    ("catalogue", "catalog"), ("categoris", "categoriz"), ("centre", "center"), ("emphasise", "emphasize"), ("favour", "favor"), ("fulfilment", "fulfillment"), ("https", "http"), ("initialis", "initializ"),
+    ("judgement", "judgment"), ("labelling", "labeling"), ("labour", "labor"), ("licence", "license"), ("maximis", "maximiz"), ("merchantibility", "merchantability"), ("modelled", "modeled"), ("modelling", "modeling"),
+    ("offence", "offense"), ("optimis", "optimiz"), ("organis", "organiz"), ("practise", "practice"), ("realis", "realiz"), ("recognis", "recogniz"), ("signalling", "signaling"), ("utilis", "utiliz"),
+    ("whilst", "while"), ("wilful", "willful"),
+]
+PHRASES = [("sub license", "sublicense"), ("non infringement", "noninfringement"), ("copyright owner", "copyright holder"), ("non commercial", "noncommercial"), ("per cent", "percent")]
 PARAGRAPH = r"\n\n+"
 #: The most known texts that one scan takes: their first paragraphs are constants of its plan.
 MAX_KNOWN = 10_000

@@ -2,18 +2,18 @@
 
 Exact TF-IDF cosine over a block-max inverted index of labelled examples. The
 terms of a text are all its words and, of longer words, their first 3 to 8
-letters; the index holds every term of every example. A term weighs its
-inverse document frequency times its relevance, the square root of its
-log-likelihood ratio between the labels (0 for a term that both labels use
-alike): so chance agreement in rare words does not decide who is near, and no
-term is left out of a vector or its length. Alike examples stand next to each
-other; each term's postings are cut into blocks of examples with the block's
-largest weight. Terms that many examples hold have whole rows instead, with
-which a batch of queries is multiplied at once: that gives the k-th best cosine
-a lower bound and, with the blocks' weights, every block an upper one. Only
-blocks whose bound reaches the former are opened. The nearest are then summed
-once more in double precision. Votes of the neighbours (all that tie with the
-k-th included) weigh their
+letters; the index holds every term of every example. Unlike in plain TF-IDF, a
+term weighs its inverse document frequency times its relevance, the square root
+of its log-likelihood ratio between the labels (0 for a term that both labels
+use alike): so chance agreement in rare words does not decide who is near, and
+no term is left out of a vector or its length. Alike examples stand next to
+each other; each term's postings are cut into blocks of examples with the
+block's largest weight. Terms that many examples hold have whole rows instead,
+with which a batch of queries is multiplied at once: that gives the k-th best
+cosine a lower bound and, with the blocks' weights, every block an upper one.
+Only blocks whose bound reaches the former are opened. The nearest are then
+summed once more in double precision, over weights held in single precision.
+Votes of the neighbours (all that tie with the k-th included) weigh their
 cosine; a logistic curve fitted on examples that are not in the index turns
 them into calibrated scores. The neighbours are the evidence.
 """
@@ -155,7 +155,7 @@ class Index:
         del number
         self._build(entries)
         self._build([entries[k] for k in self._alike(entries)])
-        self.k = int(max(3, min(NEIGHBOURS, n1 // 8)))  # no more than examples of label 1 can answer
+        self.k = NEIGHBOURS
 
     def _build(self, entries: list) -> None:
         n, v = len(entries), len(self.terms)
