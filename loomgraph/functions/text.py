@@ -112,6 +112,11 @@ def provenance(value: str | Column) -> Column:
     return F.struct(p[0].alias("document_id"), F.coalesce(F.when(F.size(p) > 1, p[1]), F.lit("0")).alias("segment_id"))
 
 
+def stable_number(word: Column) -> Column:
+    """A whole number below 2^60 that follows from a text's MD5: other engines have the same."""
+    return F.conv(F.substring(F.md5(word.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def hash_token(word: Column) -> Column:
     """A stable token number of a word (STR-F11): not the number that another system's hash gives."""
-    return F.pmod(F.xxhash64(word), F.lit(10000)) + 10
+    return F.pmod(stable_number(word), F.lit(10000)) + 10

@@ -206,6 +206,25 @@ def chain_distances(spark: SparkSession, roots: int = ROOTS, leaves: int = LEAVE
     return a.join(b, F.col("q") >= F.col("r")).where("src <> dst").select("src", "dst", (F.col("q") - F.col("r") + F.col("leaf")).alias("hops"))
 
 
+def chains_edges(rows: DataFrame, key: str, n: str, leaves: int = LEAVES) -> DataFrame:
+    """key, src, dst of a chain graph of n roots for each of rows (key, n): each root to the next and to its leaves (GRF-3)."""
+    r = rows.where(F.col(n) > 0).select(key, F.col(n).cast("long").alias("_n"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1)).alias("src"))
+    below = F.transform(F.sequence(F.lit(0), F.lit(leaves - 1)), lambda leaf: (F.col("_n") + F.col("src") * leaves + leaf).cast("long"))
+    after = F.when(F.col("src") + 1 < F.col("_n"), F.array(F.col("src") + 1)).otherwise(F.array().cast("array<long>"))
+    return r.select(key, "src", F.explode(F.concat(after, below)).alias("dst"))
+
+
+def chains_hops(rows: DataFrame, key: str, n: str, leaves: int = LEAVES) -> DataFrame:
+    """key, hops, pairs: how many pairs of nodes of a chain graph of n roots are so far apart, for each of rows (key, n) (GRF-2).
+
+    A root reaches the roots after it and their leaves, and its own leaves, so
+    the counts come in closed form: no distance is searched.
+    """
+    size = F.col(n).cast("long")
+    h = rows.where(size > 0).select(key, size.alias("_n"), F.explode(F.sequence(F.lit(1).cast("long"), size)).alias("hops"))
+    return h.select(key, "hops", ((F.col("_n") - F.col("hops")) + (F.col("_n") - F.col("hops") + 1) * leaves).alias("pairs"))
+
+
 #: Colours of types in drawings (VIZ-2).
 COLOURS = {"REGION": "#1f77b4", "NATION": "#2ca02c"}
 OTHER_COLOUR = "#7f7f7f"

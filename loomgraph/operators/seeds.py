@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from . import windows
 
 
@@ -82,7 +83,7 @@ def select_for_injection(links: DataFrame, seed: DataFrame, key: str, least: flo
     # once each before the join: what is repeated in the seed must not meet every text
     best = seed.where(F.col("score") >= least).groupBy("head_kb_id", "relation", "tail").agg(F.max("score").alias("score"), F.min("head").alias("head"))
     t = linked.join(best, "head_kb_id")
-    t = windows.score_buckets(t, [key], [F.desc("score"), "head_kb_id", "relation", "tail"], score_buckets)
+    t = windows.small_buckets(t, [key], [F.desc("score"), "head_kb_id", "relation", "tail"], score_buckets)
     best = windows.top_per(t, [key, "bucket", "relation"], [F.desc("score"), "head_kb_id", "tail"], 1)
     rare = t.groupBy(key, "bucket", "relation").agg(F.count(F.lit(1)).alias("_n"))
     best = windows.ranked(best.join(rare, [key, "bucket", "relation"]), [key, "bucket"], ["_n", "relation"], "_place").where(F.col("_place") <= relation_buckets)
@@ -106,7 +107,7 @@ def injected_valid(text: Column, head: Column, tail: Column) -> Column:
 
 def mock_link(names: Column, spread: int = 46) -> Column:
     """A stable stand-in for a linker's score, 0.50 to 0.95 (SEED-2)."""
-    return F.lit(0.5) + F.pmod(F.xxhash64(names), F.lit(spread)) / 100.0
+    return F.lit(0.5) + F.pmod(X.stable_number(names), F.lit(spread)) / 100.0
 
 
 #: Triples of a tiny stand-in knowledge base (SEED-3).

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kg import KG
+from .lineage import checkpointed
 
 KEYS = ["head", "relation_type", "tail"]
 
@@ -47,7 +48,7 @@ def token_set(text: Column) -> Column:
 
 
 def jaccard_pairs(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """a, b, jaccard of all texts that share a word (SET-3): pairs meet by their words, sizes are counted once."""
+    """a, b, jaccard of all texts that share a word (SET-3), for few texts: the result is as large as their pairs. similar_sets() is for many."""
     words = rows.select(key, F.explode(F.array_distinct(F.filter(F.split(F.lower(F.trim(text)), r"\s+"), lambda x: x != ""))).alias("_w"))
     size = words.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     side = lambda s: words.select(F.col(key).alias(s), "_w")
@@ -56,6 +57,33 @@ def jaccard_pairs(rows: DataFrame, key: str, text: str) -> DataFrame:
     return both.select("a", "b", (F.col("_both") / (F.col("_na") + F.col("_nb") - F.col("_both"))).alias("jaccard"))
 
 
+def similar_sets(rows: DataFrame, key: str, text: str, least: float = 0.5) -> DataFrame:
+    """a, b, jaccard of the pairs of different word sets that are at least so alike, each set under its least key, and of each further key with that of its set (SET-3).
+
+    Sets that are so alike share one of their rarest words: of n words the
+    n - ceil(least x n) + 1 that fewest sets have. Sets meet by these only, so
+    a word that all texts have brings none together. least is over 0.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("a likeness is over 0 and at most 1")
+    sets = rows.select(F.col(key).alias("_k"), F.sort_array(token_set(F.col(text))).alias("_w")).where(F.size("_w") > 0)
+    own = sets.groupBy("_w").agg(F.min("_k").alias("_id"), F.collect_set("_k").alias("_all"))
+    own = checkpointed(own)
+    words = own.select("_id", F.size("_w").alias("_n"), F.explode("_w").alias("_t"))
+    uses = words.groupBy("_t").agg(F.count(F.lit(1)).alias("_u"))
+    rare = Window.partitionBy("_id").orderBy("_u", "_t")  # the words of one text
+    need = F.ceil(F.col("_n") * least - 1e-9)
+    first = words.join(uses, "_t").withColumn("_r", F.row_number().over(rare)).where(F.col("_r") <= F.col("_n") - need + 1).select("_id", "_n", "_t")
+    side = lambda s: first.select(F.col("_id").alias(s), F.col("_n").alias(f"_n{s}"), "_t")
+    met = side("a").join(side("b"), "_t").where((F.col("a") < F.col("b")) & (F.least("_na", "_nb") >= F.greatest("_na", "_nb") * least - 1e-9)).select("a", "b").distinct()
+    for s in ("a", "b"):
+        met = met.join(own.select(F.col("_id").alias(s), F.col("_w").alias(f"_w{s}")), s)
+    both = F.size(F.array_intersect("_wa", "_wb"))
+    alike = met.select("a", "b", (both / (F.size("_wa") + F.size("_wb") - both)).alias("jaccard")).where(F.col("jaccard") >= least - 1e-9)
+    copies = own.where(F.size("_all") > 1).select(F.col("_id").alias("a"), F.explode("_all").alias("b"), F.lit(1.0).alias("jaccard")).where("a <> b")
+    return alike.unionByName(copies)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Tokens in common over tokens in either (SET-3)."""
     x, y = token_set(a), token_set(b)

@@ -55,6 +55,17 @@ def decay_mask(spark, n: int, kind: str = "exponential", rate: float = 0.6, caus
     return m
 
 
+def decay_masks(rows: DataFrame, key: str, n: str, kind: str = "exponential", rate: float = 0.6, causal: bool = False, normal: bool = False) -> DataFrame:
+    """key, i, j, v: a mask of n x n for each of rows (key, n) (MTH-2); rows of a mask are summed within the row that makes them."""
+    to = F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    i = rows.where(F.col(n) > 0).select(key, n, F.explode(to).alias("i"))
+    cell = lambda j: F.when(j <= F.col("i"), decay(F.col("i") - j, kind, rate)).otherwise(0.0) if causal else decay(F.col("i") - j, kind, rate)
+    m = i.select(key, "i", F.transform(to, cell).alias("_v"))
+    total = F.aggregate("_v", F.lit(0.0), lambda a, x: a + x)
+    m = m.select(key, "i", "_v", (total if normal else F.lit(1.0)).alias("_s"))
+    return m.select(key, "i", "_s", F.posexplode("_v").alias("j", "v")).select(key, "i", "j", (F.col("v") / F.col("_s")).alias("v"))
+
+
 def joint_loss(mlm: Column, mnm: Column, weight: float = 1.0) -> Column:
     return mlm + weight * mnm
 

@@ -95,6 +95,13 @@ def score_buckets(rows: DataFrame, by: list[str], order: list, buckets: int) ->
     return placed(rows, by, order, "_r").withColumn("bucket", F.ceil(F.col("_r") / size).cast("int")).where(F.col("bucket") <= buckets).drop("_r", "_r_of")
 
 
+def small_buckets(rows: DataFrame, by: list[str], order: list, buckets: int) -> DataFrame:
+    """score_buckets() for groups that are small, as the triples of one text are: one window, no ranges."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
+    size = F.greatest(F.lit(1), F.floor(n / buckets))
+    return ranked(rows, by, order, "_r").withColumn("bucket", F.ceil(F.col("_r") / size).cast("int")).where(F.col("bucket") <= buckets).drop("_r")
+
+
 def frequency_buckets(rows: DataFrame, kind: str, buckets: int) -> DataFrame:
     """bucket i holds the rows of the i rarest kinds (WIN-2). Kinds are few: they are counted first."""
     counts = rows.groupBy(kind).agg(F.count(F.lit(1)).alias("_n"))

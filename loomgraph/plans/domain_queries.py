@@ -88,9 +88,11 @@ def first_words(text: str) -> list[str]:
     return text.split()[:3]
 
 
-@query("cls4_type_table", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', 'clinical', 'clinical')" for k, _ in domains.NAME_ENDS) + ") t(type, domain, category)")
+@query("cls4_type_table", f"{_clinical_sql()}, c AS (SELECT type, count(*) AS n FROM m GROUP BY type) SELECT t.type, t.domain, t.category, coalesce(c.n, 0) AS n FROM (VALUES " + ", ".join(f"('{k}', 'clinical', 'clinical')" for k, _ in domains.NAME_ENDS) + ") t(type, domain, category) LEFT JOIN c USING (type)")
 def _(spark, d):
-    return domains.CLINICAL.type_table(spark)
+    """The domain's types, with the entities of each that its patterns find."""
+    found = domains.CLINICAL.entities(notes(spark, d), "k").groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    return domains.CLINICAL.type_table(spark).join(found, "type", "left").select("type", "domain", "category", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 # What each of the 25 relations asks of its head and its tail, as patterns of whole words.

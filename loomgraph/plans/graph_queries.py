@@ -331,10 +331,21 @@ def _(spark, d):
     return S.code_sets(e.where("ord % 2 = 0").select("c"), e.where("confidence > 0.5").select("c"))
 
 
-@query("set3_jaccard", "SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.w, b.w)) / greatest(len(list_distinct(list_concat(a.w, b.w))), 1), 6) AS jaccard FROM (SELECT DISTINCT item_id, list_distinct(list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda x: x <> '')) AS w FROM benchmark) a JOIN (SELECT DISTINCT item_id, list_distinct(list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda x: x <> '')) AS w FROM benchmark) b ON a.item_id < b.item_id AND len(list_intersect(a.w, b.w)) > 0")
+_SETS = "s AS (SELECT list_sort(w) AS w, min(k) AS k, list(DISTINCT k) AS all_k FROM (SELECT {} AS k, list_distinct(list_filter(regexp_split_to_array(lower(trim(text)), '\\s+'), lambda x: x <> '')) AS w FROM {}) WHERE len(w) > 0 GROUP BY 1), p AS (SELECT a.k AS a, b.k AS b, len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AS j FROM s a JOIN s b ON a.k < b.k AND least(len(a.w), len(b.w)) >= greatest(len(a.w), len(b.w)) * {} - 1e-9), c AS (SELECT k AS a, unnest(all_k) AS b FROM s)"
+_SIMILAR = "SELECT a, b, round(j, 6) AS jaccard FROM p WHERE j >= {} - 1e-9 UNION ALL SELECT a, b, 1.0::DOUBLE FROM c WHERE a <> b"
+
+
+@query("set3_jaccard", "WITH " + _SETS.format("item_id", "benchmark", 0.05) + " " + _SIMILAR.format(0.05))
+def _(spark, d):
+    """Benchmark items that share a twentieth of their words."""
+    b = table(spark, d, "benchmark").select("item_id", "text")
+    return S.similar_sets(b, "item_id", "text", 0.05).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query("set3_similar_texts", "WITH " + _SETS.format("doc_id", "documents", 0.7) + " " + _SIMILAR.format(0.7))
 def _(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", "text").distinct()
-    return S.jaccard_pairs(b, "item_id", "text").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    """All documents whose word sets agree in seven tenths."""
+    return S.similar_sets(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", 0.7).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query("set4_remaining_positions", "SELECT o_orderkey, array_to_string(list_filter([1,2,3,4,5], lambda x: x <> o_orderkey % 5 AND x <> o_custkey % 5), ',') AS p FROM orders")

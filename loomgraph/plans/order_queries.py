@@ -11,6 +11,7 @@ from ..kg import SQL, star_kg, table
 from ..operators import aggregates as A
 from ..operators import graph_algorithms as G
 from ..operators import joins as J
+from ..operators import layouts as LY
 from ..operators import masking as MK
 from ..operators import seeds as D
 from ..operators import training as T
@@ -164,14 +165,25 @@ def _(spark, d):
     return G.distances(all_edges(spark, d), 4).groupBy("hops").agg(F.count(F.lit(1)).alias("n"), F.min(F.concat("src", "dst")).alias("first"))
 
 
-@query("grf2_chain_distances", "WITH n AS (SELECT i, CASE WHEN i < 128 THEN i ELSE (i - 128) // 7 END AS root, CASE WHEN i < 128 THEN 0 ELSE 1 END AS leaf FROM range(1024) t(i)) SELECT b.root - a.root + b.leaf AS hops, count(*) AS n FROM n a JOIN n b ON a.leaf = 0 AND b.root >= a.root AND a.i <> b.i GROUP BY 1")
+_ROOTS = "r AS (SELECT doc_id, least(len(w), 128) AS n FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') AS w FROM documents))"
+
+
+def text_roots(spark, d):
+    """doc_id, n: the roots of each text's chain graph that hold a word."""
+    return table(spark, d, "documents").select("doc_id", F.least(F.size(X.words("text")), F.lit(G.ROOTS)).alias("n"))
+
+
+@query("grf2_chain_distances", f"WITH {_ROOTS}, a AS (SELECT doc_id, n, unnest(range(n)) AS i FROM r), b AS (SELECT n - i AS later, count(*) AS docs FROM a GROUP BY 1), h AS (SELECT docs, unnest(range(later)) AS apart FROM b) SELECT hops, sum(pairs)::BIGINT AS n FROM (SELECT apart AS hops, docs AS pairs FROM h WHERE apart > 0 UNION ALL SELECT apart + 1, docs * 7 FROM h) GROUP BY hops")
 def _(spark, d):
-    return G.chain_distances(spark).groupBy("hops").agg(F.count(F.lit(1)).alias("n"))
+    """How far apart the nodes of the chain graphs of all texts are."""
+    return G.chains_hops(text_roots(spark, d), "doc_id", "n").groupBy("hops").agg(F.sum("pairs").alias("n"))
 
 
-@query("grf3_chain_edges", "SELECT i AS src, i + 1 AS dst FROM range(127) t(i) UNION ALL SELECT i, 128 + i * 7 + l FROM range(128) t(i), range(7) u(l)")
+@query("grf3_chain_edges", f"WITH {_ROOTS}, e AS (SELECT doc_id, n, unnest(range(n)) AS src FROM r), x AS (SELECT doc_id, src, src + 1 AS dst FROM e WHERE src + 1 < n UNION ALL SELECT doc_id, src, n + src * 7 + l FROM e, range(7) t(l)) SELECT doc_id, count(*) AS n, sum(src * 3 + dst)::BIGINT AS total, max(dst) AS last FROM x GROUP BY doc_id")
 def _(spark, d):
-    return G.chain_edges(spark)
+    """The edges of the chain graphs of all texts."""
+    e = G.chains_edges(text_roots(spark, d), "doc_id", "n")
+    return e.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("src") * 3 + F.col("dst")).alias("total"), F.max("dst").alias("last"))
 
 
 @query("grf4_simple_edges", f"{SQL} SELECT least(head, tail) AS a, greatest(head, tail) AS b, max(relation_type) AS relation_type, count(*) AS parallel FROM relations GROUP BY 1, 2")
@@ -255,6 +267,18 @@ def _(spark, d):
     return G.spring(n, all_edges(spark, d).where("src LIKE 'N:%'").withColumn("g", F.lit(0)), "g")
 
 
+@query("viz1_spring_whole_graph")
+def _(spark, d):
+    """A few rounds of springs over the whole graph, whatever its size; tests hold the forces against exact ones."""
+    return LY.spring(star_kg(spark, d).entities.select("id"), all_edges(spark, d), steps=3)
+
+
+@query("viz1_stress_layout")
+def _(spark, d):
+    """Every node of the whole graph by its hops to sixteen pivots."""
+    return LY.stress(star_kg(spark, d).entities.select("id"), all_edges(spark, d))
+
+
 @query("viz2_type_colours", f"{SQL} SELECT id, CASE label WHEN 'REGION' THEN '#1f77b4' WHEN 'NATION' THEN '#2ca02c' ELSE '#7f7f7f' END AS colour FROM entities")
 def _(spark, d):
     return star_kg(spark, d).entities.select("id", G.colour(F.col("label")).alias("colour"))
@@ -268,16 +292,28 @@ def _(spark, d):
     return rows.select("n", layout.alias("layout"), simple.alias("simplification"))
 
 
-@query("seed2_mock_links", "SELECT n_name, true AS in_range, true AS stable FROM nation")
+@query("seed2_mock_links", f"{SQL} SELECT id, round(0.5::DOUBLE + (('0x' || md5(text)[1:15])::BIGINT % 46) / 100.0::DOUBLE, 6) AS score FROM entities")
 def _(spark, d):
-    """The hash is Spark's own, so SQL holds its range and that equal names have equal scores."""
-    s = table(spark, d, "nation").select("n_name", D.mock_link(F.col("n_name")).alias("s"), D.mock_link(F.concat(F.col("n_name"), F.lit(""))).alias("t"))
-    return s.select("n_name", F.col("s").between(0.5, 0.95).alias("in_range"), (F.col("s") == F.col("t")).alias("stable"))
+    """Scores of the stand-in linker for every name of the graph."""
+    return star_kg(spark, d).entities.select("id", F.round(D.mock_link(F.col("text")), 6).alias("score"))
 
 
-@query("seed3_mock_triples", "SELECT * FROM (VALUES " + ", ".join(str(r) for r in D.MOCK_TRIPLES).replace("0.", "0.").replace(")", "::DOUBLE)") + ") t(head_kb_id, head, relation, tail, score)")
+_MENTIONED = "(SELECT count(*) FROM documents WHERE contains(lower(text), t.head))"
+
+
+def mentioned(spark, d, heads):
+    """head, documents: how many texts hold each of heads."""
+    from ..operators import phrases
+
+    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
+    return phrases.contained(docs, heads, "doc_id", name="head").groupBy("head").agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query("seed3_mock_triples", "SELECT t.*, " + _MENTIONED + " AS documents FROM (VALUES " + ", ".join(str(r) for r in D.MOCK_TRIPLES).replace(")", "::DOUBLE)") + ", ('K', 'the', 'is', 'word', 0.5::DOUBLE)) t(head_kb_id, head, relation, tail, score)")
 def _(spark, d):
-    return spark.createDataFrame(D.MOCK_TRIPLES, "head_kb_id string, head string, relation string, tail string, score double")
+    """The stand-in triples and one more, with the number of texts that hold their heads."""
+    t = spark.createDataFrame([*D.MOCK_TRIPLES, ("K", "the", "is", "word", 0.5)], "head_kb_id string, head string, relation string, tail string, score double")
+    return t.join(mentioned(spark, d, t.select("head")), "head", "left").select("head_kb_id", "head", "relation", "tail", "score", F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
 @query("seed7_chosen_sequences", f"{FOUND}, n AS (SELECT round_even(count(*) * 0.2, 0) AS k FROM documents), c AS (SELECT doc_id FROM documents, n QUALIFY row_number() OVER (ORDER BY doc_id) <= k) SELECT doc_id FROM c WHERE doc_id IN (SELECT doc_id FROM m WHERE type = 'TERM')")
@@ -366,20 +402,33 @@ def _(spark, d):
     return e.select("vec_id", F.round(M.softmax(F.col("v"))[0], 6).alias("p"), F.round(M.sigmoid(F.col("v")[0]), 6).alias("s"), M.relu(F.col("v")[0]).alias("r"))
 
 
-@query("mth2_decay_mask", "WITH m AS (SELECT i, j, exp(-0.6 * abs(i - j)) AS v FROM range(64) a(i), range(64) b(j) WHERE j <= i) SELECT i, round(max(v / s), 9) AS top FROM (SELECT i, v, sum(v) OVER (PARTITION BY i) AS s FROM m) GROUP BY i")
+_MASKS = "WITH n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id), i AS (SELECT conv_id, n, unnest(range(n)) AS i FROM n), m AS (SELECT conv_id, i, j, CASE WHEN j <= i THEN exp(-0.6 * abs(i - j)) ELSE 0 END AS v FROM (SELECT conv_id, i, unnest(range(n)) AS j FROM i))"
+
+
+def turn_counts(spark, d):
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("mth2_decay_mask", f"{_MASKS} SELECT conv_id, i, round(max(v / s), 9) AS top FROM (SELECT conv_id, i, v, sum(v) OVER (PARTITION BY conv_id, i) AS s FROM m) GROUP BY conv_id, i")
 def _(spark, d):
-    m = T.decay_mask(spark, 64, causal=True, normal=True)
-    return m.groupBy("i").agg(F.round(F.max("v"), 9).alias("top"))
+    """Causal masks over the turns of each conversation, their rows summing to one."""
+    m = T.decay_masks(turn_counts(spark, d), "conv_id", "n", causal=True, normal=True)
+    return m.groupBy("conv_id", "i").agg(F.round(F.max("v"), 9).alias("top"))
 
 
-@query("agg19_attention_statistics", "WITH m AS (SELECT CASE WHEN j <= i THEN exp(-0.6 * abs(i - j)) ELSE 0 END AS v FROM range(64) a(i), range(64) b(j)) SELECT count(*) AS n, count_if(v <> 0) AS nonzero, count_if(v = 0) AS zero, round(min(v), 9) AS least, round(max(v), 9) AS most, round(avg(v), 9) AS mean, round(stddev_samp(v), 9) AS std FROM m")
+@query("agg19_attention_statistics", f"{_MASKS} SELECT count(*) AS n, count_if(v <> 0) AS nonzero, count_if(v = 0) AS zero, round(min(v), 9) AS least, round(max(v), 9) AS most, round(avg(v), 9) AS mean, round(stddev_samp(v), 9) AS std FROM m")
 def _(spark, d):
-    return A.attention_statistics(T.decay_mask(spark, 64, causal=True))
+    return A.attention_statistics(T.decay_masks(turn_counts(spark, d), "conv_id", "n", causal=True))
 
 
-@query("mth3_graph_decay", "WITH n AS (SELECT i, CASE WHEN i < 128 THEN i ELSE (i - 128) // 7 END AS root, CASE WHEN i < 128 THEN 0 ELSE 1 END AS leaf FROM range(1024) t(i)) SELECT a.i AS src, round(sum(exp(-0.6 * (b.root - a.root + b.leaf))), 6) AS total FROM n a JOIN n b ON a.leaf = 0 AND b.root >= a.root AND a.i <> b.i GROUP BY a.i")
+@query("mth3_graph_decay", "WITH RECURSIVE t AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations), x AS (SELECT a.conv_id, a.i AS src, b.i AS dst FROM t a JOIN t b ON b.conv_id = a.conv_id AND (b.i = a.i + 1 OR (b.i = a.i + 2 AND b.role = a.role))), w(conv_id, src, dst, hops) AS (SELECT conv_id, src, dst, 1 FROM x UNION SELECT w.conv_id, w.src, x.dst, hops + 1 FROM w JOIN x ON x.conv_id = w.conv_id AND x.src = w.dst), p AS (SELECT conv_id, src, dst, min(hops) AS hops FROM w GROUP BY ALL) SELECT conv_id, src, round(sum(exp(-0.6 * hops)), 6) AS total FROM p GROUP BY conv_id, src")
 def _(spark, d):
-    return G.chain_distances(spark).groupBy("src").agg(F.round(F.sum(T.decay(F.col("hops"))), 6).alias("total"))
+    """What each turn of a conversation hears of those that it leads to, by the length of the way."""
+    from ..operators import paths
+    from .model_queries import turn_edges
+
+    hops = paths.closure(turn_edges(spark, d), ["conv_id"])
+    return hops.groupBy("conv_id", "src").agg(F.round(F.sum(T.decay(F.col("hops"))), 6).alias("total"))
 
 
 @query("map1_nested_config", "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, coalesce(CAST(json_extract(props, '$.missing') AS INTEGER), -1) AS missing FROM events")
@@ -458,9 +507,11 @@ def _(spark, d):
     return clients.search_articles(table(spark, d, "nation").select(F.col("n_name").alias("query"))).select("query", "error")
 
 
-@query("src7_sample_triples", "SELECT * FROM (VALUES ('diabetes', 'C0011849', 'treats', 'metformin', 2, 0.95::DOUBLE), ('metformin', 'C0025598', 'inhibits', 'diabetes', 2, 0.92::DOUBLE)) t(head, head_kb_id, relation, tail, tokens, score)")
+@query("src7_sample_triples", "SELECT t.*, " + _MENTIONED + " AS documents FROM (VALUES ('diabetes', 'C0011849', 'treats', 'metformin', 2, 0.95::DOUBLE), ('metformin', 'C0025598', 'inhibits', 'diabetes', 2, 0.92::DOUBLE)) t(head, head_kb_id, relation, tail, tokens, score)")
 def _(spark, d):
-    return files.sample_triples(spark).select("head", "head_kb_id", "relation", "tail", F.size("tail_tokens").alias("tokens"), "score")
+    """The sample triples, with the number of texts that hold their heads."""
+    t = files.sample_triples(spark).select("head", "head_kb_id", "relation", "tail", F.size("tail_tokens").alias("tokens"), "score")
+    return t.join(mentioned(spark, d, t.select("head")), "head", "left").select(*t.columns, F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
 from . import sink_queries  # noqa: E402,F401

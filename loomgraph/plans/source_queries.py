@@ -34,29 +34,37 @@ def _(spark, d):
     return files.records(spark, path, "question string, answer string")
 
 
-@query("src4_checkpoint_round_trip", "SELECT * FROM (VALUES ('chain', 7, 64, true), ('other', NULL, NULL, false)) t(model_type, model_params, hidden, found)")
+@query("src4_checkpoint_round_trip", "SELECT c_mktsegment AS model_type, count(*)::INTEGER AS model_params, count(DISTINCT c_nationkey)::INTEGER AS hidden, true AS found FROM customer GROUP BY 1 UNION ALL SELECT 'other', NULL, NULL, false")
 def _(spark, d):
-    """A checkpoint is written (SNK-9) and read by its type (SRC-4); another type finds nothing."""
-    path = f"{folder(spark)}/model.json"
-    files.write_json(spark, path, files.checkpoint_of("chain", 7, {"hidden": 64}, "2020-01-01T00:00:00"))
-    got = [(k, files.model_info(spark, path, k)) for k in ("chain", "other")]
+    """A checkpoint for each market segment, sized by its customers, is written (SNK-9) and read by its type (SRC-4); another type finds nothing."""
+    root = folder(spark)
+    sizes = table(spark, d, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("c_nationkey").alias("hidden")).collect()  # five segments
+    for r in sizes:
+        files.write_json(spark, f"{root}/{r.c_mktsegment}.json", files.checkpoint_of(r.c_mktsegment, r.n, {"hidden": r.hidden}, "2020-01-01T00:00:00"))
+    names = [(r.c_mktsegment, r.c_mktsegment) for r in sizes] + [("other", sizes[0].c_mktsegment)] if sizes else []
+    got = [(k, files.model_info(spark, f"{root}/{file}.json", k)) for k, file in names]
     rows = [(k, m["model_params"] if m else None, files.nested(m, "config.hidden") if m else None, m is not None) for k, m in got]
     return spark.createDataFrame(rows, "model_type string, model_params int, hidden int, found boolean")
 
 
-@query("src5_merged_settings", "SELECT * FROM (VALUES ('model.size', '64'), ('model.depth', '3'), ('rate', '0.5'), ('none', 'default')) t(path, value)")
+@query("src5_merged_settings", "SELECT 'model.size' AS path, '64' AS value UNION ALL SELECT 'model.depth', (SELECT max(o_orderkey) FROM orders)::VARCHAR UNION ALL SELECT 'model.kinds', (SELECT count(DISTINCT event_type) FROM events)::VARCHAR UNION ALL SELECT 'none', 'default'")
 def _(spark, d):
-    """Settings of a file over the defaults, nested ones one by one; a path that is not there has the default."""
+    """Settings of a file, taken from the tables, over the defaults, nested ones one by one; a path that is not there has the default."""
     path = f"{folder(spark)}/config.json"
-    files.write_json(spark, path, {"model": {"depth": 3}, "rate": 0.5})
+    depth = table(spark, d, "orders").agg(F.max("o_orderkey")).first()[0]
+    kinds = table(spark, d, "events").agg(F.count_distinct("event_type")).first()[0]
+    files.write_json(spark, path, {"model": {"depth": depth, "kinds": kinds}})
     c = files.load_config(spark, path, {"model": {"size": 64, "depth": 2}, "rate": 0.1})
-    return spark.createDataFrame([(p, str(files.nested(c, p, "default"))) for p in ("model.size", "model.depth", "rate", "none")], "path string, value string")
+    return spark.createDataFrame([(p, str(files.nested(c, p, "default"))) for p in ("model.size", "model.depth", "model.kinds", "none")], "path string, value string")
 
 
-@query("src6_service_settings", "SELECT * FROM (VALUES ('base_url', 'http://x'), ('max_retries', '5'), ('rate_limit', '10000'), ('timeout', '30')) t(key, value)")
+@query("src6_service_settings", "SELECT 'base_url' AS key, 'http://' || (SELECT min(p_brand) FROM part) AS value UNION ALL SELECT 'max_retries', (SELECT count(DISTINCT o_orderpriority) FROM orders)::VARCHAR UNION ALL SELECT 'rate_limit', '10000' UNION ALL SELECT 'timeout', '30'")
 def _(spark, d):
+    """A service's settings, two of them taken from the tables; the others are the defaults."""
     path = f"{folder(spark)}/service.json"
-    files.write_json(spark, path, {"base_url": "http://x", "max_retries": 5})
+    brand = table(spark, d, "part").agg(F.min("p_brand")).first()[0]
+    tries = table(spark, d, "orders").agg(F.count_distinct("o_orderpriority")).first()[0]
+    files.write_json(spark, path, {"base_url": f"http://{brand}", "max_retries": tries})
     return spark.createDataFrame(sorted((k, str(v)) for k, v in files.api_config(spark, path).items()), "key string, value string")
 
 
@@ -92,11 +100,18 @@ def _(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.md5(domains.GENERAL.prompt("entity_discovery", F.col("o_orderpriority"))).alias("prompt"))
 
 
-@query("udf2_registry", "SELECT * FROM (VALUES ('clinical', true), ('general', false)) t(name, is_default)")
+def _domain_sql(name: str, patterns) -> str:
+    parts = " UNION ALL ".join(f"SELECT k, unnest(list_distinct(regexp_extract_all(t, '{pattern}', 0))) AS m FROM t" for _, pattern in patterns)
+    return f"SELECT '{name}' AS name, {'true' if name == 'clinical' else 'false'} AS is_default, count(*) AS n FROM (SELECT DISTINCT k, m FROM ({parts}) WHERE length(m) >= 2)"
+
+
+@query("udf2_registry", f"{NOTES} {_domain_sql('clinical', domains.clinical_patterns())} UNION ALL {_domain_sql('general', R.GENERAL)}")
 def _(spark, d):
+    """The domains of a registry by name, the default marked, each asked for the entities of the same texts."""
     r = domains.default_registry()
     r.set_default("clinical")
-    return spark.createDataFrame([(n, r.default() is r.get(n)) for n in r.names()], "name string, is_default boolean")
+    rows = [r.get(n).entities(notes(spark, d), "k").agg(F.lit(n).alias("name"), F.lit(r.default() is r.get(n)).alias("is_default"), F.count(F.lit(1)).alias("n")) for n in r.names()]
+    return rows[0].unionByName(rows[1])
 
 
 #: Sentences with names of all kinds that the general patterns know, by the numbers of orders.
@@ -165,3 +180,34 @@ def _(spark, d):
 def _(spark, d):
     v = ruled(spark, d).select(F.when(F.col("context").contains("treats"), "yes").otherwise("no").alias("verdict"))
     return V.even_split_chi(v, "verdict").select("yes", "others", "statistic")
+
+
+_ARTICLES = "a AS (SELECT page_id AS article_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS abstract, CAST(DATE '2019-06-01' + INTERVAL (page_id * 3 % 2000) DAY AS DATE) AS published FROM pages)"
+#: Queries with their bounds and orders.
+SEARCHES = [("the", "relevance", None, None), ("and of", "relevance", "2020-02-01", "2022-06-30"), ("der", "date", None, "2021-12-31"), ("xyzzy", "relevance", None, None), ("que la", "date", "2020-01-01", None)]
+
+
+def _search_sql(k: int, query_: str, sort: str, first: str | None, last: str | None) -> str:
+    words = query_.split()
+    held = " AND ".join([f"contains(abstract, '{w}')" for w in words] + ([f"published >= DATE '{first}'"] if first else []) + ([f"published <= DATE '{last}'"] if last else []))
+    score = " + ".join(f"(length(abstract) - length(replace(abstract, '{w}', ''))) / {len(w)}" for w in words)
+    order = "score DESC, article_id" if sort == "relevance" else "published DESC, article_id"
+    return f"SELECT * FROM (SELECT {k} AS query, row_number() OVER (ORDER BY {order}) AS rank, article_id, title, published, score FROM (SELECT *, CAST({score} AS BIGINT) AS score FROM a WHERE {held})) WHERE rank <= 50"
+
+
+@query("src8_article_search", f"WITH {_ARTICLES} " + " UNION ALL ".join(_search_sql(k, *s) for k, s in enumerate(SEARCHES)))
+def _(spark, d):
+    """All pages as an article store, searched through the data source: words and dates are its own filters."""
+    import datetime
+    from functools import reduce
+
+    from ..sources import articles
+
+    pages = table(spark, d, "pages")
+    body = F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), r"\s+", " "))
+    made = pages.select(F.col("page_id").alias("article_id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), body.alias("abstract"), "url", F.expr("date_add(DATE '2019-06-01', cast(page_id * 3 % 2000 as int))").alias("published"))
+    path = f"{folder(spark)}/articles"
+    articles.write_store(made, path)
+    day = lambda x: datetime.date.fromisoformat(x) if x else None
+    found = [articles.search(spark, path, q, 50, sort, day(first), day(last)).select(F.lit(k).alias("query"), "rank", "article_id", "title", "published", "score") for k, (q, sort, first, last) in enumerate(SEARCHES)]
+    return reduce(lambda a, b: a.unionByName(b), found)

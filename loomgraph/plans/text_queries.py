@@ -397,8 +397,8 @@ def _(spark, d):
     return p.groupBy("p.document_id", "p.segment_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("strf11_hash_tokens", "SELECT p_partkey, true AS in_range, true AS stable FROM part")
+@query("strf11_hash_tokens", "SELECT doc_id, count(*) AS n, sum(t)::BIGINT AS total, min(t) AS least FROM (SELECT doc_id, (('0x' || md5(w)[1:15])::BIGINT % 10000) + 10 AS t FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')) AS w FROM documents)) GROUP BY doc_id")
 def _(spark, d):
-    """The hash is Spark's own, so SQL holds its range and that equal words have equal tokens."""
-    t = table(spark, d, "part").select("p_partkey", X.hash_token(F.col("p_name")).alias("a"), X.hash_token(F.concat(F.col("p_name"), F.lit(""))).alias("b"))
-    return t.select("p_partkey", F.col("a").between(10, 10009).alias("in_range"), (F.col("a") == F.col("b")).alias("stable"))
+    """Stable numbers of all words of all texts."""
+    w = prose(spark, d).select("doc_id", F.explode(X.words("text")).alias("w"))
+    return w.select("doc_id", X.hash_token(F.col("w")).alias("t")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("total"), F.min("t").alias("least"))
