@@ -119,43 +119,69 @@ def _majorized(xy: np.ndarray, to: np.ndarray, d: np.ndarray, steps: int) -> np.
     return xy
 
 
+def _scaled(d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of points in the plane by their distances (classical scaling), and what gives others theirs: the mean squares and a matrix."""
+    square = d * d
+    mean = square.mean(0)
+    value, vector = np.linalg.eigh(-0.5 * (square - mean[:, None] - mean[None] + mean.mean()))
+    value, vector = np.maximum(value[::-1][:2], 0), vector[:, ::-1][:, :2]
+    vector = vector * np.where(vector[np.abs(vector).argmax(0), range(vector.shape[1])] < 0, -1, 1)  # one of the two signs
+    root = np.sqrt(value)
+    back = vector / np.where(root > 1e-9, root, np.inf)
+    two = lambda m: np.pad(m, ((0, 0), (0, 2 - m.shape[1])))
+    return two(vector * root), mean, two(back)
+
+
+def _spread(d: np.ndarray, many: int) -> list[int]:
+    """The first and then the farthest from those taken, up to so many."""
+    taken, near = [0], d[0].copy()
+    while len(taken) < min(many, len(d)):
+        near[taken] = -1
+        taken.append(int(near.argmax()))
+        near = np.minimum(near, d[taken[-1]])
+    return taken
+
+
 def stress(nodes: DataFrame, edges: DataFrame, pivots: int = 16, steps: int = 50) -> DataFrame:
     """id, x, y of a graph of any size: each node's distances to the pivots are as near to its hops as they come.
 
-    Pivots are the nodes of most neighbours, ties to the smaller id; edges
-    count both ways. The few pivots are laid out by the hops between them, and
-    then every node finds its place among them by itself, in one pass. Pivots
-    that a node does not reach are one hop beyond the longest way.
+    Candidates are the nodes of most neighbours and as many that a digest of
+    the ids picks, MAX_PIVOTS in all; pivots are the first of them and those
+    farthest apart. Edges count both ways. The few pivots are laid out by the
+    hops between them, and then every node finds its place among them by
+    itself, in one pass. Pivots that a node does not reach are one hop beyond
+    the longest way. Nodes of equal hops stand beside each other by their ids.
     """
     if not 2 <= pivots <= MAX_PIVOTS:
         raise ValueError(f"pivots are 2 to {MAX_PIVOTS}")
     both = checkpointed(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct())
     degree = nodes.select("id").distinct().join(both.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n")), "id", "left")
-    chosen = [r.id for r in degree.orderBy(F.desc_nulls_last("n"), "id").limit(pivots).collect()]
-    spark = nodes.sparkSession
+    first = [r.id for r in degree.orderBy(F.desc_nulls_last("n"), "id").limit(MAX_PIVOTS // 2).collect()]
+    some = [r.id for r in degree.select("id").orderBy(X.stable_number(F.col("id")), "id").limit(MAX_PIVOTS // 2).collect()]
+    chosen = list(dict.fromkeys(first + some))
     if not chosen:
         return nodes.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    hops = from_sources(nodes, both, spark.createDataFrame([(c,) for c in chosen], "id string"))
+    hops = from_sources(nodes, both, nodes.sparkSession.createDataFrame([(c,) for c in chosen], "id string"))
     order = F.array_position(F.array(*map(F.lit, chosen)), F.col("src"))
     known = checkpointed(hops.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), F.col("hops").cast("double").alias("h")))), lambda s: s["h"]).alias("d")))
     own = {r.id: r.d for r in known.where(F.col("id").isin(chosen)).collect()}
     d = np.array([own[c] for c in chosen])
     d = np.maximum(d, d.T)
-    angle = 2 * np.pi * np.arange(len(chosen)) / len(chosen)
-    fixed = np.stack([np.cos(angle), np.sin(angle)], 1) * max(1.0, d.max() / 2)
+    taken = _spread(d, pivots)
+    d = d[np.ix_(taken, taken)]
+    fixed, mean, back = _scaled(d)
     for _ in range(steps):
-        fixed = _majorized(fixed, fixed, d, 1) if len(chosen) > 1 else fixed * 0
-    places = {c: p for c, p in zip(chosen, fixed)}
+        fixed = _majorized(fixed, fixed, d, 1) if len(taken) > 1 else fixed
+    places = {chosen[c]: p for c, p in zip(taken, fixed)}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             ids = b.column("id").to_pylist()
-            far = b.column("d").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            far = b.column("d").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)[:, taken]
             spread = b.column("a").to_numpy(zero_copy_only=False)
-            w = 1 / np.maximum(far, 0.5) ** 2
-            at = (w @ fixed) / w.sum(1, keepdims=True) + 0.1 * np.stack([np.cos(spread), np.sin(spread)], 1)
+            at = -0.5 * (far * far - mean) @ back + 0.3 * np.stack([np.cos(spread), np.sin(spread)], 1)
             at = _majorized(at, fixed, far, steps)
             for k, i in enumerate(ids):
                 if i in places:
