@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 
 def softmax(x: Column) -> Column:
-    e = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    """Shares by exponentials; what all elements need is made once, as the variable of an outer lambda."""
+    top = F.array(F.struct(x.alias("v"), F.array_max(x).alias("m")))
+    e = F.transform(top, lambda s: F.transform(s["v"], lambda v: F.exp(v - s["m"])))
+    with_sum = F.transform(e, lambda v: F.struct(v.alias("e"), F.aggregate(v, F.lit(0.0), lambda a, b: a + b).alias("z")))
+    return F.transform(with_sum, lambda s: F.transform(s["e"], lambda v: v / s["z"]))[0]
 
 
 def sigmoid(x: Column) -> Column:

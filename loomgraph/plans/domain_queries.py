@@ -160,18 +160,18 @@ def _(spark, d):
     return V.question_scores(q, names, "text").select("questions", "matched", "accuracy")
 
 
-@query("agg13_question_kinds", "WITH q AS (SELECT DISTINCT item_id, lower(text) AS t FROM benchmark), n AS (SELECT DISTINCT lower(w) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) WHERE regexp_full_match(w, '\\p{L}{16,}')), a AS (SELECT (SELECT count(DISTINCT item_id) FROM q JOIN n ON contains(t, n)) / (SELECT count(*) FROM q) AS a) SELECT " + ", ".join(f"round(a * {f}::DOUBLE, 6) AS {k}" for k, f in V.QUESTION_FACTORS) + " FROM a")
+@query("agg13_question_kinds", "WITH q AS (SELECT DISTINCT item_id, lower(text) AS t FROM benchmark), n AS (SELECT DISTINCT lower(w) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) WHERE regexp_full_match(w, '\\p{L}{6,}')), a AS (SELECT (SELECT count(DISTINCT item_id) FROM q JOIN n ON contains(t, n)) / (SELECT count(*) FROM q) AS a) SELECT " + ", ".join(f"round(a * {f}::DOUBLE, 6) AS {k}" for k, f in V.QUESTION_FACTORS) + " FROM a")
 def _(spark, d):
-    names = document_words(spark, d).where(F.col("name").rlike(r"^\p{L}{16,}\z"))
+    names = document_words(spark, d).where(F.col("name").rlike(r"^\p{L}{6,}\z"))
     return V.question_scores(table(spark, d, "benchmark").select("item_id", "text").distinct(), names, "text").select(*(k for k, _ in V.QUESTION_FACTORS))
 
 
-@query("agg14_combined_benchmark", f"{SQL}, w AS (SELECT DISTINCT item_id, lower(text) AS t FROM benchmark), v AS (SELECT DISTINCT lower(x) AS n FROM (SELECT unnest(string_split(text, ' ')) AS x FROM documents) WHERE regexp_full_match(x, '\\p{{L}}{{16,}}')), a AS (SELECT (SELECT count(DISTINCT item_id) FROM w JOIN v ON contains(t, n)) / (SELECT count(*) FROM w) AS a), k AS (SELECT DISTINCT kb_id AS c FROM entities WHERE kb_id IS NOT NULL AND ord % 2 = 0), b AS (SELECT DISTINCT kb_id AS c FROM entities WHERE kb_id IS NOT NULL AND confidence > 0.4), s AS (SELECT count(*) FILTER (k.c IS NOT NULL AND b.c IS NOT NULL) AS tp, count(*) AS n FROM k FULL JOIN b ON k.c = b.c) SELECT round((round(tp / (n + 1e-8), 6) + (SELECT round(a, 6) FROM a)) / 2, 6) AS accuracy FROM s")
+@query("agg14_combined_benchmark", f"{SQL}, w AS (SELECT DISTINCT item_id, lower(text) AS t FROM benchmark), v AS (SELECT DISTINCT lower(x) AS n FROM (SELECT unnest(string_split(text, ' ')) AS x FROM documents) WHERE regexp_full_match(x, '\\p{{L}}{{6,}}')), a AS (SELECT (SELECT count(DISTINCT item_id) FROM w JOIN v ON contains(t, n)) / (SELECT count(*) FROM w) AS a), k AS (SELECT DISTINCT kb_id AS c FROM entities WHERE kb_id IS NOT NULL AND ord % 2 = 0), b AS (SELECT DISTINCT kb_id AS c FROM entities WHERE kb_id IS NOT NULL AND confidence > 0.4), s AS (SELECT count(*) FILTER (k.c IS NOT NULL AND b.c IS NOT NULL) AS tp, count(*) AS n FROM k FULL JOIN b ON k.c = b.c) SELECT round((round(tp / (n + 1e-8), 6) + (SELECT round(a, 6) FROM a)) / 2, 6) AS accuracy FROM s")
 def _(spark, d):
     e = star_kg(spark, d).entities.where("kb_id IS NOT NULL")
     s = A.code_scores(e.where("ord % 2 = 0").select(F.col("kb_id").alias("code")), e.where("confidence > 0.4").select(F.col("kb_id").alias("code")))
     codes = s.select(F.round(F.col("tp") / (F.col("tp") + F.col("fp") + F.col("fn") + 1e-8), 6).alias("accuracy"))
-    names = document_words(spark, d).where(F.col("name").rlike(r"^\p{L}{16,}\z"))
+    names = document_words(spark, d).where(F.col("name").rlike(r"^\p{L}{6,}\z"))
     return V.combined_accuracy(codes, V.question_scores(table(spark, d, "benchmark").select("item_id", "text").distinct(), names, "text"))
 
 

@@ -141,10 +141,10 @@ def _(spark, d):
     return W.shuffled(docs, [T.draw(F.col("doc_id")), "doc_id"], 0.8, 32, ["lang"]).select("doc_id", "place", "train", "batch")
 
 
-@query("top9_document_batches", "SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 32 AS BIGINT) AS batch FROM documents WHERE doc_id % 3 <> 1")
+@query("top9_document_batches", "SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 32 AS BIGINT) AS batch FROM documents")
 def _(spark, d):
     """Batches follow the place among the documents that are there, whatever their ids."""
-    return W.batches(table(spark, d, "documents").where("doc_id % 3 <> 1").select("doc_id"), ["doc_id"], 32).select("doc_id", "batch")
+    return W.batches(table(spark, d, "documents").select("doc_id"), ["doc_id"], 32).select("doc_id", "batch")
 
 
 ALL_EDGES = "SELECT head AS src, tail AS dst FROM relations"
@@ -390,16 +390,19 @@ def _(spark, d):
     return A.masked_accuracy(p)
 
 
-@query("agg26_cross_entropy", "WITH x AS (SELECT vec_id % 3 AS label, embedding[1:3]::DOUBLE[] AS z FROM embeddings WHERE vec_id % 7 <> 0) SELECT round(avg(ln(exp(z[1]) + exp(z[2]) + exp(z[3])) - z[label + 1]), 6) AS loss, count(*) AS n FROM x")
+@query("agg26_cross_entropy", "WITH x AS (SELECT vec_id % 64 AS label, embedding::DOUBLE[] AS z FROM embeddings WHERE vec_id % 7 <> 0) SELECT round(avg(ln(list_sum(list_transform(z, lambda v: exp(v)))) - z[label + 1]), 6) AS loss, count(*) AS n FROM x")
 def _(spark, d):
-    e = table(spark, d, "embeddings").select(F.when(F.col("vec_id") % 7 == 0, -100).otherwise(F.col("vec_id") % 3).alias("label"), F.slice(F.col("embedding").cast("array<double>"), 1, 3).alias("logits"))
+    """The loss over whole vectors as logits; every seventh label is left out."""
+    e = table(spark, d, "embeddings").select(F.when(F.col("vec_id") % 7 == 0, -100).otherwise(F.col("vec_id") % 64).alias("label"), F.col("embedding").cast("array<double>").alias("logits"))
     return A.cross_entropy(e)
 
 
-@query("mth1_softmax", "SELECT vec_id, round(exp(embedding[1]::DOUBLE) / (exp(embedding[1]::DOUBLE) + exp(embedding[2]::DOUBLE)), 6) AS p, round(1/(1+exp(-embedding[1]::DOUBLE)), 6) AS s, greatest(embedding[1]::DOUBLE, 0) AS r FROM embeddings")
+@query("mth1_softmax", "SELECT vec_id, round(exp(embedding[1]::DOUBLE) / list_sum(list_transform(embedding, lambda v: exp(v::DOUBLE))), 6) AS p, round(list_max(list_transform(embedding, lambda v: exp(v::DOUBLE))) / list_sum(list_transform(embedding, lambda v: exp(v::DOUBLE))), 6) AS top, round(list_sum(list_transform(embedding, lambda v: 1/(1+exp(-v::DOUBLE)))), 5) AS s, round(list_sum(list_transform(embedding, lambda v: greatest(v::DOUBLE, 0))), 5) AS r FROM embeddings")
 def _(spark, d):
-    e = table(spark, d, "embeddings").withColumn("v", F.slice(F.col("embedding").cast("array<double>"), 1, 2))
-    return e.select("vec_id", F.round(M.softmax(F.col("v"))[0], 6).alias("p"), F.round(M.sigmoid(F.col("v")[0]), 6).alias("s"), M.relu(F.col("v")[0]).alias("r"))
+    """Softmax, sigmoid and ramp of whole vectors."""
+    e = table(spark, d, "embeddings").withColumn("v", F.col("embedding").cast("array<double>")).withColumn("p", M.softmax(F.col("v")))
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return e.select("vec_id", F.round(F.col("p")[0], 6).alias("p"), F.round(F.array_max("p"), 6).alias("top"), F.round(add(F.transform("v", M.sigmoid)), 5).alias("s"), F.round(add(F.transform("v", M.relu)), 5).alias("r"))
 
 
 _MASKS = "WITH n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id), i AS (SELECT conv_id, n, unnest(range(n)) AS i FROM n), m AS (SELECT conv_id, i, j, CASE WHEN j <= i THEN exp(-0.6 * abs(i - j)) ELSE 0 END AS v FROM (SELECT conv_id, i, unnest(range(n)) AS j FROM i))"
