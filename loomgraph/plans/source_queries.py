@@ -211,3 +211,43 @@ def _(spark, d):
     day = lambda x: datetime.date.fromisoformat(x) if x else None
     found = [articles.search(spark, path, q, 50, sort, day(first), day(last)).select(F.lit(k).alias("query"), "rank", "article_id", "title", "published", "score") for k, (q, sort, first, last) in enumerate(SEARCHES)]
     return reduce(lambda a, b: a.unionByName(b), found)
+
+
+def stand_in(url: str, headers: dict, body: str | None, seconds: float) -> tuple[int, str]:
+    """A transport without a network: the reply tells the length of what was asked and where it went."""
+    import json
+
+    asked = json.loads(body)
+    prompt = asked["prompt"] if "prompt" in asked else asked["messages"][0]["content"]
+    said = f"{url.rpartition('/')[2]} {len(prompt)} {asked['model']}"
+    if url.endswith("/completions"):
+        return 200, json.dumps({"choices": [{"message": {"content": said}}]})
+    return 200, json.dumps({"response": said} if url.endswith("/generate") else {"message": {"content": said}})
+
+
+def _replies(spark, d, kind: str):
+    from ..sources import clients
+
+    service = clients.Service(kind, "http://server", "small", rate_limit=10**15)
+    prompts = table(spark, d, "documents").select("doc_id", F.concat(F.lit("Summarise: "), F.coalesce("text", F.lit(""))).alias("prompt"))
+    return files.complete(prompts, clients.backend(service, stand_in)).select("doc_id", "reply", "error")
+
+
+_REPLY = "SELECT doc_id, '{} ' || (11 + length(coalesce(text, ''))) || ' small' AS reply, CAST(NULL AS VARCHAR) AS error FROM documents"
+
+
+@query("src12_remote_replies", _REPLY.format("completions"))
+def _(spark, d):
+    """Each whole text asked of a remote service through a transport."""
+    return _replies(spark, d, "chat")
+
+
+@query("src14_server_replies", _REPLY.format("generate"))
+def _(spark, d):
+    """Each whole text asked of a server of one's own."""
+    return _replies(spark, d, "generate")
+
+
+@query("src14_server_dialogues", _REPLY.format("chat"))
+def _(spark, d):
+    return _replies(spark, d, "dialogue")
