@@ -129,7 +129,7 @@ def test_many_copies_of_one_row(spark):
     assert got["duplicate"] == short["duplicate"] + 2960 and len(got["audit"]) == len(short["audit"]) + 2960
 
 
-@pytest.mark.parametrize("shard, band", [(trie.SHARD, trie.BAND), (4, trie.BAND), (1, 2), (0, 1), (40, 3)], ids=str)
+@pytest.mark.parametrize("shard, band", [(trie.SHARD, trie.BAND), (4, 2), (0, 1)], ids=str)
 def test_trie_against_sql(spark, shard, band):
     r = random.Random(9)
     rows = odd_rows(r, 40, long=30)
