@@ -165,15 +165,16 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     places = may.join(at, "item").join(spots, [*ROW, "h", "k"]).select(*ROW, "item", F.explode(starts).alias("start"), "n", "k").distinct()
     places = written(places, "leak-places", made)
     inside_of = lambda words, start, n: F.slice(words, F.greatest(start, F.lit(0)) + 1, F.greatest(n + F.least(start, F.lit(0)), F.lit(0)))
+    # the texts with such places are picked by their ids alone, once
+    picked = written(places.select(*ROW).distinct(), "leak-rows", made)
+    texts = written(rows.join(picked, ROW, "left_semi").select(*ROW, "doc_id", words(F.col("text")).alias("words")), "leak-texts", made)
     of_row = places.select(*ROW, "start", "n", "k").distinct().groupBy(*ROW).agg(F.collect_list(F.struct("start", "n", "k")).alias("places"))
-    texts = rows.join(of_row, ROW).select(*ROW, "doc_id", "places", words(F.col("text")).alias("words"))
-    windows = texts.select(*ROW, "doc_id", "words", F.explode("places").alias("p")).select(*ROW, "doc_id", "p.start", "p.n", "p.k", inside_of(F.col("words"), F.col("p.start"), F.col("p.n")).alias("words"))
+    windows = texts.join(of_row, ROW).select(*ROW, "doc_id", "words", F.explode("places").alias("p")).select(*ROW, "doc_id", "p.start", "p.n", "p.k", inside_of(F.col("words"), F.col("p.start"), F.col("p.n")).alias("words"))
     windows = written(windows.select(*ROW, "doc_id", "start", "n", "k", F.md5(F.concat_ws(" ", F.col("n").cast("string"), "words")).alias("window")), "leak-windows", made)
     # the words of one window of equal ones
     first_of = windows.groupBy("window").agg(F.min(F.struct(*ROW, "start", "n", "k")).alias("w")).select("window", "w.*")
     of_row = first_of.groupBy(*ROW).agg(F.collect_list(F.struct("window", "start", "n", "k")).alias("places"))
-    texts = rows.join(of_row, ROW).select("places", words(F.col("text")).alias("words"))
-    distinct = texts.select("words", F.explode("places").alias("p")).select("p.window", inside_of(F.col("words"), F.col("p.start"), F.col("p.n")).alias("words"), "p.n", "p.k")
+    distinct = texts.join(of_row, ROW).select("words", F.explode("places").alias("p")).select("p.window", inside_of(F.col("words"), F.col("p.start"), F.col("p.n")).alias("words"), "p.n", "p.k")
     distinct = written(distinct, "leak-distinct", made)
     inside = None
     for k in sizes:
