@@ -116,11 +116,8 @@ STATEMENT = r"\n[^\p{L}\p{N}\n]*(?:(?:copyright[ \t]*(?:\(c\)|©|:|by |[0-9]{4}|
 PUNCTUATION = r"[^\p{L}\p{N}\n]+"
 # Spellings that mean the same, of parts of words and of words beside each other.
 WORDS = [
-    ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("analyse", "analyze"), ("artefact", "artifact"), ("authoris", "authoriz"), ("calibre", "caliber"), ("cancelled", "canceled"), ("capitalis", "capitaliz"),
-    ("catalogue", "catalog"), ("categoris", "categoriz"), ("centre", "center"), ("emphasise", "emphasize"), ("favour", "favor"), ("fulfilment", "fulfillment"), ("https", "http"), ("initialis", "initializ"),
-    ("judgement", "judgment"), ("labelling", "labeling"), ("labour", "labor"), ("licence", "license"), ("maximis", "maximiz"), ("merchantibility", "merchantability"), ("modelled", "modeled"), ("modelling", "modeling"),
-    ("offence", "offense"), ("optimis", "optimiz"), ("organis", "organiz"), ("practise", "practice"), ("realis", "realiz"), ("recognis", "recogniz"), ("signalling", "signaling"), ("utilis", "utiliz"),
-    ("whilst", "while"), ("wilful", "willful"),
+    ("acknowledgement", "acknowledgment"), ("artefact", "artifact"), ("authoris", "authoriz"), ("cancelled", "canceled"), ("centre", "center"), ("favour", "favor"), ("fulfilment", "fulfillment"), ("https", "http"),
+    ("judgement", "judgment"), ("labour", "labor"), ("licence", "license"), ("merchantibility", "merchantability"), ("offence", "offense"), ("organis", "organiz"), ("recognis", "recogniz"), ("utilis", "utiliz"), ("wilful", "willful"),
 ]
 PHRASES = [("sub license", "sublicense"), ("non infringement", "noninfringement"), ("copyright owner", "copyright holder"), ("non commercial", "noncommercial"), ("per cent", "percent")]
 PARAGRAPH = r"\n\n+"
