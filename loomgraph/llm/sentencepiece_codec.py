@@ -23,7 +23,9 @@ from .shared import slices, small_batches, table, texts_of
 
 MARK = "▁"
 #: Words that a worker's table holds.
-MAX_ENTRIES = 300_000
+MAX_ENTRIES = 150_000
+#: Bytes of text that are encoded and decoded at a time: their ids are Python numbers for a moment.
+SLICE = 2 << 20
 #: Texts with one of these are encoded whole: they may hold what a model treats apart.
 _ODD = re.compile("[\x00▁�\ud800-\udfff]")
 
@@ -77,7 +79,7 @@ class Codec:
 def _digests(model_path: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_for(model_path)
-        for batch in slices(batches, 2000, most=8 << 20):
+        for batch in slices(batches, 1000, most=SLICE):
             ids = codec.encode(texts_of(batch, "text"))
             out = codec.decode(ids)
             yield pa.RecordBatch.from_arrays(
@@ -104,7 +106,7 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches):
         codec = codec_for(model_path)
-        for batch in slices(batches, 2000, most=8 << 20):
+        for batch in slices(batches, 1000, most=SLICE):
             ids = codec.encode(texts_of(batch, "text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array([np.frombuffer(b, "<u4").astype("<i4") for b in ids], pa.list_(pa.int32())), pa.array(codec.decode(ids), pa.string())],
