@@ -48,8 +48,8 @@ def token_set(text: Column) -> Column:
 
 
 def jaccard_pairs(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """a, b, jaccard of all texts that share a word (SET-3), for few texts: the result is as large as their pairs. similar_sets() is for many."""
-    words = rows.select(key, F.explode(F.array_distinct(F.filter(F.split(F.lower(F.trim(text)), r"\s+"), lambda x: x != ""))).alias("_w"))
+    """a, b, jaccard of all texts that share a word (SET-3), repeated rows once: the result is as large as their pairs. similar_sets() finds the likest of many."""
+    words = rows.select(key, F.explode(token_set(F.col(text))).alias("_w")).distinct()
     size = words.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     side = lambda s: words.select(F.col(key).alias(s), "_w")
     both = side("a").join(side("b"), "_w").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("_both"))

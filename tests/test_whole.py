@@ -55,3 +55,11 @@ def test_places_of_all_customers(spark):
     sizes = {r["component"]: r["n"] for r in QUERIES["grf1_components"](spark, d).collect()}
     customers = spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("C:"), F.col("c_custkey").cast("string")).alias("id"))
     assert not {r["id"] for r in customers.where("id LIKE '%7'").collect()} & {c for c, n in sizes.items() if n == 1}
+
+
+def test_jaccard_of_items_that_share_one_word_of_many(spark, tmp_path):
+    words = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    rows = [(1, f"the {words('a', 40)}"), (2, f"the {words('b', 40)}"), (2, f"the {words('b', 40)}"), (3, words("c", 5))]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [(r.a, r.b, r.jaccard) for r in QUERIES["set3_jaccard"](spark, str(tmp_path)).collect()]
+    assert got == [(1, 2, round(1 / 81, 6))]
