@@ -155,3 +155,26 @@ def test_masks_and_positions(spark):
     assert (one.p, one.t) == ([0, 1, 2], [0, 0, 0])
     full = {r.k: (r.ids, r["mask"]) for r in VB.batch_padded(df, "k", F.lit(0)).collect()}
     assert full == {1: ([5, 0, 6], [1, 0, 1]), 2: ([0, 0, 0], [0, 0, 0]), 3: ([0, 0, 0], [0, 0, 0])}
+
+
+@pytest.mark.parametrize("most", [30_522, 0])
+def test_names_of_few_and_many_in_small_slices(spark, monkeypatch, most):
+    monkeypatch.setattr(phrases, "MOST_NAMES", most)
+    monkeypatch.setattr(phrases, "SLICE", 64)
+    monkeypatch.setattr(phrases, "OUT", 32)
+    r = random.Random(7)
+    texts = [(k, "".join(r.choice("abñ 𝛼") for _ in range(r.choice([0, 1, 3, 40, 300])))) for k in range(60)] + [(60, None), (61, "a\0b")]
+    names = sorted({"".join(r.choice("abñ 𝛼") for _ in range(r.randint(1, 9))) for _ in range(80)}) + ["", None, "a", "a\0b", "ab", "nowhere"]
+    got = phrases.contained(spark.createDataFrame(texts, "k long, text string"), spark.createDataFrame([(n,) for n in names], "name string"), "k").collect()
+    assert sorted((x.k, x.name) for x in got) == sorted({(k, n) for k, t in texts for n in names if t and n and n in t})
+
+
+def test_texts_are_worked_on_in_slices(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(phrases, "SLICE", 10)
+    texts = ["abcd", None, "", "efgh", "ijklmnopqrstuvw", "x", "yz"] * 5
+    got = list(phrases._slices(pa.array(texts)))
+    assert [t for _, some in got for t in some] == [t or "" for t in texts]
+    assert [k for k, _ in got] == [sum(len(s) for _, s in got[:i]) for i in range(len(got))]
+    assert all(len(some) == 1 or sum(map(len, some)) <= 20 for _, some in got)
