@@ -63,3 +63,32 @@ def test_jaccard_of_items_that_share_one_word_of_many(spark, tmp_path):
     spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = [(r.a, r.b, r.jaccard) for r in QUERIES["set3_jaccard"](spark, str(tmp_path)).collect()]
     assert got == [(1, 2, round(1 / 81, 6))]
+
+
+def test_question_answers_equal_brute_force_and_seek_no_relation_by_text(spark, monkeypatch):
+    import random
+    import re
+
+    from loomgraph.kg import KG
+    from loomgraph.operators import evaluation as V
+    from loomgraph.operators import phrases
+
+    r = random.Random(2)
+    parts = ["red", "redbox", "ring", "steel", "box", "12x", "ara"]
+    ents = [(f"{r.choice(['P', 'red', 'S'])}:{k}12x" if k % 4 == 0 else f"P:{k}", " ".join(r.sample(parts, 2)), r.choice(["PART", "ARA", "Ring"])) for k in range(30)]
+    rels = sorted({(r.choice(ents)[0], r.choice(["PART_OF", "REDUCES", "boxed"]), r.choice(ents)[0]) for _ in range(150)}) + [("nowhere", "PART_OF", ents[0][0])]
+    asked = [(k, " ".join(r.choices([*parts, "educes", "part_of", "no", "unknown", "reda"], k=r.choice([1, 2, 3, 9])))) for k in range(25)] + [(25, ""), (26, None), (27, "zz red")]
+    kg = KG(spark.createDataFrame([(i, t, la, 1.0, None, n) for n, (i, t, la) in enumerate(ents)], "id string, text string, label string, confidence double, kb_id string, ord long"), spark.createDataFrame([(*x, 1.0, None) for x in rels], "head string, relation_type string, tail string, confidence double, provenance string"))
+    sought = []
+    real = phrases.contained
+    monkeypatch.setattr(phrases, "contained", lambda texts, *a: (sought.append(texts.count()), real(texts, *a))[1])
+    got = {}
+    for x in V.question_answers(kg, spark.createDataFrame(asked, "id long, text string"), 7).collect():
+        got.setdefault(x.id, []).append((-x.score, x["head"], x.relation_type, x.tail))
+    text = {i: f"{t} {la}".lower() for i, t, la in ents}
+    for q, words in asked:
+        terms = list(dict.fromkeys(w for w in re.split(r"\W+", (words or "").lower()) if len(w) > 2))
+        share = lambda s: sum(w in s for w in terms) / len(terms)
+        want = sorted((-round(share(text[h]) * 0.4 + share(text[t]) * 0.4 + share(f"{k} {h} {t}".lower()) * 0.2, 6), h, k, t) for h, k, t in rels if h in text) if terms else []
+        assert sorted(got.get(q, [])) == [x for x in want if x[0] < -0.1][:7]
+    assert sought[0] <= len(ents) * 2 + 3  # names, ids and types, not relations
