@@ -6,12 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .lineage import small_batches
 from .training import IGNORE, MASK, VOCABULARY
 
 _P = 1_000_003
+#: Tokens worked on at once: with small batches, what bounds a worker's memory but for one longer text.
+SLICE = 1 << 17
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]), pa.int32()), pa.array(np.concatenate(rows), pa.int64()))
 
 
 def draws(seed: int, *keys: np.ndarray | int) -> np.ndarray:
@@ -81,8 +89,18 @@ def masked_texts(texts: DataFrame, key: str, tokens: str, by: str = "spans", sha
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [one(k or 0, np.array(ids or [], np.int64)) for k, ids in zip(batch.column(key).to_pylist(), batch.column(tokens).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array([o[c] for o in out], pa.list_(pa.int64())) for c in range(4))], names=[key, "starts", "lengths", "input", "label"])
-
+            keys, lists = batch.column(key), batch.column(tokens)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            start = 0
+            while start < len(sizes):
+                stop = max(start + 1, start + int(np.searchsorted(np.cumsum(sizes[start:]), SLICE)))
+                mine = keys.slice(start, stop - start)
+                ids = lists.slice(start, stop - start).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                ends = np.cumsum(sizes[start:stop])
+                out = [one(k or 0, ids[e - n : e]) for k, n, e in zip(mine.to_pylist(), sizes[start:stop], ends)]
+                yield pa.RecordBatch.from_arrays([mine, *(_lists([o[c] for o in out]) for c in range(4))], names=[key, "starts", "lengths", "input", "label"])
+                start = stop
+
+    small_batches(texts.sparkSession)
     many = T.ArrayType(T.LongType())
     return texts.select(key, tokens).mapInArrow(run, T.StructType([T.StructField(key, kind), *(T.StructField(c, many) for c in ("starts", "lengths", "input", "label"))]))
