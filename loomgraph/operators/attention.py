@@ -8,13 +8,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .lineage import checkpointed
+from .lineage import checkpointed, small_batches
 
 #: Parts that a node's incoming edges are dealt to before their sums meet, so that a hub is not one task's work.
 PARTS = 16
+#: Edges worked on at once where graphs stay in their rows.
+SLICE = 1 << 17
 
 Matrix = list[list[float]]
 
@@ -147,6 +151,46 @@ def run_layer(nodes: DataFrame, edges: DataFrame, layer: Layer, parts: int = PAR
     return attended(nodes, edges, layer, parts).mapInArrow(forward, "id long, x array<double>")
 
 
+def run_layer_in_rows(graphs: DataFrame, key: str, layer: Layer) -> DataFrame:
+    """key, x of graphs (key, x array<double>, src array<int>, dst array<int>) after one layer, as run_layer() has it, each graph within its row.
+
+    x holds the vectors of a graph's nodes one after the other, src and dst
+    the places of its edges' ends. For graphs that a row can hold, as those of
+    texts are: nothing is shuffled. Rows are worked on in slices of SLICE edges.
+    """
+    n, heads, epsilon = layer.hidden, layer.heads, layer.epsilon
+    size = n // heads
+    query, keys, value, output, wide, narrow = (np.array(w).T for w in (layer.query, layer.key, layer.value, layer.output, layer.wide, layer.narrow))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            edges = pc.list_value_length(b.column("dst")).to_numpy(zero_copy_only=False)
+            start = 0
+            while start < b.num_rows:
+                stop = max(start + 1, start + int(np.searchsorted(np.cumsum(edges[start:]), SLICE)))
+                part = b.slice(start, stop - start)
+                x = _rows(part, "x", n)
+                nodes = pc.list_value_length(part.column("x")).to_numpy(zero_copy_only=False) // n
+                shift = np.repeat(np.cumsum(nodes) - nodes, edges[start:stop])
+                src, dst = (part.column(c).flatten().to_numpy(zero_copy_only=False) + shift for c in ("src", "dst"))
+                order = np.argsort(dst, kind="stable")
+                src, dst = src[order], dst[order]
+                context = np.zeros_like(x)
+                if len(dst):
+                    s = ((x @ query)[dst] * (x @ keys)[src]).reshape(-1, heads, size).sum(2) / math.sqrt(size)
+                    first, _, z, o = _folded(dst[:, None], s, np.ones_like(s), (x @ value)[src])
+                    context[dst[first]] = o / np.repeat(z, size, axis=1)
+                x = normed(x + context @ output, epsilon)
+                x = normed(x + gelu(x @ wide) @ narrow, epsilon)
+                ends = np.concatenate([[0], np.cumsum(nodes * n)])
+                yield pa.RecordBatch.from_arrays([part.column(key), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x.ravel()))], names=[key, "x"])
+                start = stop
+
+    small_batches(graphs.sparkSession)
+    schema = T.StructType([T.StructField(key, graphs.schema[key].dataType), T.StructField("x", T.ArrayType(T.DoubleType()))])
+    return graphs.select(key, "x", "src", "dst").mapInArrow(run, schema)
+
+
 def made_weights(rows: int, columns: int, seed: int) -> Matrix:
     """A fixed matrix of small numbers, by a rule that needs no generator: for tests and queries without a trained model."""
     return [[(((i * 31 + j * 17 + seed * 7) % 23) - 11) / 16 for j in range(columns)] for i in range(rows)]

@@ -178,3 +178,35 @@ def test_texts_are_worked_on_in_slices(monkeypatch):
     assert [t for _, some in got for t in some] == [t or "" for t in texts]
     assert [k for k, _ in got] == [sum(len(s) for _, s in got[:i]) for i in range(len(got))]
     assert all(len(some) == 1 or sum(map(len, some)) <= 20 for _, some in got)
+
+
+def test_layer_in_rows_equals_the_layer_over_tables(spark, monkeypatch):
+    monkeypatch.setattr(N, "SLICE", 50)
+    layer, r = N.made_layer(), np.random.default_rng(5)
+    graphs = []
+    for k, n in enumerate([1, 2, 30, 7, 0, 90]):
+        src, dst = (r.integers(0, n, 3 * n).tolist() if n else [] for _ in "ab")
+        graphs.append((k, r.normal(0, 1, 4 * n).tolist(), src, dst))
+    got = {x.k: x.x for x in N.run_layer_in_rows(spark.createDataFrame(graphs, "k long, x array<double>, src array<int>, dst array<int>"), "k", layer).collect()}
+    nodes = [(k * 1000 + i, x[4 * i : 4 * i + 4]) for k, x, _, _ in graphs for i in range(len(x) // 4)]
+    edges = [(k * 1000 + a, k * 1000 + b) for k, _, src, dst in graphs for a, b in zip(src, dst)]
+    want = {x.id: x.x for x in N.run_layer(spark.createDataFrame(nodes, "id long, x array<double>"), spark.createDataFrame(edges, "src long, dst long"), layer).collect()}
+    assert sorted(got) == list(range(6)) and sum(map(len, got.values())) == 4 * len(want)
+    for i, x in want.items():
+        assert np.allclose(got[i // 1000][4 * (i % 1000) : 4 * (i % 1000) + 4], x, atol=1e-9)
+
+
+def test_layers_of_texts_shuffle_no_edges(spark):
+    from loomgraph.plans import QUERIES
+
+    plan = QUERIES["trn5_node_vectors"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_masks_are_the_same_in_small_slices(spark, monkeypatch):
+    rows = [(k, list(range(n)) if n is not None else None) for k, n in enumerate([0, 5, None, 300, 1, 90])]
+    df = spark.createDataFrame(rows, "k long, ids array<long>").coalesce(1)
+    whole = {by: sorted(MK.masked_texts(df, "k", "ids", by, seed=4).collect()) for by in ("spans", "singles")}
+    monkeypatch.setattr(MK, "SLICE", 16)
+    assert whole == {by: sorted(MK.masked_texts(df, "k", "ids", by, seed=4).collect()) for by in whole}
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
