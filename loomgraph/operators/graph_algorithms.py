@@ -78,9 +78,9 @@ def circular(nodes: DataFrame, by: str, order: str) -> DataFrame:
 
 
 def rings(edges: DataFrame, centre: str, most: int) -> DataFrame:
-    """id, ring: hops from a centre, for shell and hierarchical layouts (VIZ-1)."""
+    """id, ring: hops from a centre, for shell and hierarchical layouts (VIZ-1); the edges are made once, before the first round."""
     spark = edges.sparkSession
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = checkpointed(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct())
     known = frontier = spark.createDataFrame([(centre, 0)], "id string, ring int")
     for ring in range(1, most + 1):
         new = both.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()

@@ -140,3 +140,12 @@ def test_checkpoints_need_a_shared_folder_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         lineage.shared_folder(Session())
+
+
+def test_rings_make_their_edges_once(spark, monkeypatch):
+    written = []
+    real = G.checkpointed
+    monkeypatch.setattr(G, "checkpointed", lambda df: (written.append(df.columns), real(df))[1])
+    _, edges = star(spark)
+    assert {r.id: r.ring for r in G.rings(edges, "h", 5).collect()} == {"h": 0, "a": 1, "b": 1, "c": 1, "d": 1, "e": 2}
+    assert written[0] == ["src", "dst"] and written.count(["src", "dst"]) == 1
