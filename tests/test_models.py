@@ -210,3 +210,24 @@ def test_masks_are_the_same_in_small_slices(spark, monkeypatch):
     monkeypatch.setattr(MK, "SLICE", 16)
     assert whole == {by: sorted(MK.masked_texts(df, "k", "ids", by, seed=4).collect()) for by in whole}
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
+
+
+def test_a_round_has_a_row_for_a_node_and_block_of_sources(spark, monkeypatch):
+    ids = [f"n{k}" for k in range(90)]
+    r = random.Random(8)
+    edges = [(r.choice(ids), r.choice(ids)) for _ in range(140)]
+    sizes = []
+    real = P.checkpointed
+    monkeypatch.setattr(P, "checkpointed", lambda df: (lambda out: (sizes.append(out.count()), out)[1])(real(df)))
+    nodes = spark.createDataFrame([(i,) for i in ids], "id string")
+    got = {(x.src, x.id): x.hops for x in P.from_sources(nodes, spark.createDataFrame(edges, "src string, dst string"), nodes.where("id <> 'n3'")).collect()}
+    want = {}
+    for s in (i for i in ids if i != "n3"):
+        want[s, s], front, h = 0, {s}, 0
+        while front:
+            h += 1
+            front = {b for a, b in edges if a in front and (s, b) not in want}
+            want |= {(s, b): h for b in front}
+    beyond = max(want.values()) + 1
+    assert got == {(s, i): want.get((s, i), beyond) for s in ids if s != "n3" for i in ids}
+    assert max(sizes) <= 2 * len(ids)
