@@ -111,15 +111,18 @@ def without_overlaps(spans: DataFrame, key: str) -> DataFrame:
     """Mentions of each text in order of their starts, less those of which over half lies in an earlier kept one (FLT-13).
 
     spans: key, start, stop (inclusive), text. The greedy choice is made by one
-    fold over a text's sorted spans; a group is one text's spans.
+    fold over a text's sorted spans; a group is one text's spans. As kept ones
+    start no later, that which reaches farthest overlaps most, so the fold looks
+    at that one stop and not at all kept ones.
     """
     item = F.struct("start", "stop", "text")
     per = spans.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("s"))
-    none = F.expr("cast(array() as array<struct<start:int,stop:int,text:string>>)")
+    start = F.expr("named_struct('kept', cast(array() as array<struct<start:int,stop:int,text:string>>), 'far', cast(null as int))")
 
-    def step(kept: Column, x: Column) -> Column:
-        share = lambda k: (F.least(k["stop"], x["stop"]) - F.greatest(k["start"], x["start"]) + 1) / (x["stop"] - x["start"] + 1)
-        hit = F.exists(kept, lambda k: (k["stop"] > x["start"]) & (x["stop"] > k["start"]) & (share(k) > 0.5))
-        return F.when(hit, kept).otherwise(F.concat(kept, F.array(x)))
+    def step(state: Column, x: Column) -> Column:
+        share = (F.least(state["far"], x["stop"]) - x["start"] + 1) / (x["stop"] - x["start"] + 1)
+        hit = (state["far"] > x["start"]) & (share > 0.5)
+        more = F.struct(F.concat(state["kept"], F.array(x)).alias("kept"), F.greatest(state["far"], x["stop"]).alias("far"))
+        return F.when(hit, state).otherwise(more)
 
-    return per.select(key, F.explode(F.aggregate("s", none, step)).alias("m")).select(key, "m.*")
+    return per.select(key, F.explode(F.aggregate("s", start, step, lambda state: state["kept"])).alias("m")).select(key, "m.*")

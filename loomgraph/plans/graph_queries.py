@@ -11,6 +11,7 @@ from ..operators import aggregates as A
 from ..operators import filters as L
 from ..operators import joins as J
 from ..operators import sets as S
+from ..operators.lineage import small_batches
 from .registry import query
 
 ENT = "id, text, label, confidence"
@@ -131,8 +132,10 @@ w AS (SELECT doc_id, 0::BIGINT AS r, []::STRUCT(start BIGINT, stop BIGINT, t VAR
 UNION ALL SELECT w.doc_id, o.r, CASE WHEN len(list_filter(kept, lambda k: least(k.stop, o.stop) > greatest(k.start, o.start) AND (least(k.stop, o.stop) - greatest(k.start, o.start) + 1) / (o.stop - o.start + 1) > 0.5)) > 0 THEN kept ELSE list_append(kept, {{'start': o.start, 'stop': o.stop, 't': o.t}}) END FROM w JOIN o ON o.doc_id = w.doc_id AND o.r = w.r + 1)
 SELECT doc_id, k.start::INTEGER AS start, k.stop::INTEGER AS stop, k.t AS text FROM (SELECT doc_id, unnest(kept) AS k FROM (SELECT doc_id, max_by(kept, r) AS kept FROM w GROUP BY doc_id))""")
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.explode(X.spans("text", r"\p{Lu}\p{Ll}+(?: \p{L}+){0,2}")).alias("s")).select("doc_id", "s.*")
-    shifted = docs.unionByName(docs.select("doc_id", (F.col("start") + 3).alias("start"), (F.col("stop") + 3).alias("stop"), "text"))
+    small_batches(spark)
+    docs = table(spark, d, "documents").select("doc_id", F.explode(X.spans("text", r"\p{Lu}\p{Ll}+(?: \p{L}+){0,2}")).alias("s"))
+    moved = F.struct((F.col("s.start") + 3).alias("start"), (F.col("s.stop") + 3).alias("stop"), "s.text")
+    shifted = docs.select("doc_id", F.explode(F.array("s", moved)).alias("s")).select("doc_id", "s.*")
     return L.without_overlaps(shifted, "doc_id")
 
 
