@@ -110,15 +110,18 @@ def complete(prompts: DataFrame, backend: Callable[[], Callable[[list[str]], lis
     """prompts (prompt, ...) with reply and error from a backend that each worker opens once (SRC-12..14).
 
     backend() gives a function of a list of prompts; without one, replies are
-    empty and error says so. A batch that fails has its error, not its job.
+    empty, error says so and no prompt leaves the JVM. A batch that fails has
+    its error, not its job.
     """
+    if backend is None:
+        return prompts.withColumn("reply", F.lit("")).withColumn("error", F.lit("no backend"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fn = backend() if backend is not None else None
+        fn = backend()
         for batch in batches:
             asked = batch.column("prompt").to_pylist()
             try:
-                replies, errors = (fn(asked), [None] * len(asked)) if fn else ([""] * len(asked), ["no backend"] * len(asked))
+                replies, errors = fn(asked), [None] * len(asked)
             except Exception as e:  # noqa: BLE001
                 replies, errors = [""] * len(asked), [str(e)] * len(asked)
             yield batch.append_column("reply", pa.array(replies, pa.string())).append_column("error", pa.array(errors, pa.string()))
