@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -139,12 +142,29 @@ def entity_type(text: Column) -> Column:
     return out
 
 
+def stems(phrases: str) -> list[str]:
+    """Of each of the phrases the longest piece that any text with it holds."""
+    return list(dict.fromkeys(max(re.split(r".\?", p), key=len) for p in phrases.split("|")))
+
+
+def _holds(low: Column, stems_: list[str], pattern: str) -> Column:
+    """low.rlike(pattern), sought only in texts that hold a stem: a plain search costs a small part of a pattern's."""
+    return reduce(lambda a, b: a | b, [low.contains(w) for w in stems_]) & low.rlike(pattern)
+
+
+def _case(branches: list[tuple[Column, Column | str]], otherwise: Column) -> Column:
+    """One CASE of all branches, not one in the other: what its conditions share is made once for a row."""
+    first, *rest = branches
+    out = F.when(*first)
+    for on, value in rest:
+        out = out.when(on, value)
+    return out.otherwise(otherwise)
+
+
 def relation_type(context: Column) -> Column:
     """The first relation one of whose phrases a context holds (CLS-2)."""
-    out, low = F.lit("UNKNOWN_RELATION"), F.lower(context)
-    for kind, phrases in reversed(RELATION_PHRASES):
-        out = F.when(low.rlike(any_phrase(phrases)), kind).otherwise(out)
-    return out
+    low = F.lower(context)
+    return _case([(_holds(low, stems(p), any_phrase(p)), F.lit(kind)) for kind, p in RELATION_PHRASES], F.lit("UNKNOWN_RELATION"))
 
 
 def known_type(name: Column, kinds: list[str], unknown: str) -> Column:
@@ -195,7 +215,7 @@ def entity_confidence(text: Column, kind: Column) -> Column:
 def relation_confidence(head: Column, kind: Column, tail: Column, context: Column) -> Column:
     """CONF-2 of domain relations; 0.3 for unknown ones."""
     low = F.lower(context)
-    score = _add(F.lit(0.5), (context != "", 0.2), (F.length(head).between(3, 50) & F.length(tail).between(3, 50), 0.1), (low.rlike(any_word(SPECIFIC)), 0.1), (low.rlike(any_word(DOMAIN)), 0.1))
+    score = _add(F.lit(0.5), (context != "", 0.2), (F.length(head).between(3, 50) & F.length(tail).between(3, 50), 0.1), (_holds(low, list(SPECIFIC), any_word(SPECIFIC)), 0.1), (_holds(low, list(DOMAIN), any_word(DOMAIN)), 0.1))
     return F.when(kind == "UNKNOWN_RELATION", 0.3).when(valid_relation(head, kind, tail), F.least(score, F.lit(1.0))).otherwise(0.0)
 
 
@@ -229,12 +249,8 @@ def compatible(head_types: Column, kind: Column, tail_types: Column) -> Column:
 def supported(head: Column, kind: Column, tail: Column, context: Column) -> Column:
     """Both ends and a keyword of the relation in the context (EVAL-1)."""
     low = F.lower(context)
-    keyword = low.contains(F.lower(kind))
-    for k, words in KEYWORDS.items():
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | low.contains(w)
-        keyword = F.when(kind == k, hit).otherwise(keyword)
+    any_of = lambda words: reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+    keyword = _case([(kind == k, any_of(words)) for k, words in KEYWORDS.items()], low.contains(F.lower(kind)))
     return low.contains(F.lower(head)) & low.contains(F.lower(tail)) & keyword
 
 
