@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kg import KG
-from .lineage import checkpointed
+from .lineage import checkpointed, dealt
 
 KEYS = ["head", "relation_type", "tail"]
+#: Whole numbers of 64 parities of a set's words.
+PARITIES = 8
 
 
 def merge(graphs: list[KG], strategy: str = "union") -> KG:
@@ -30,7 +32,9 @@ def merge(graphs: list[KG], strategy: str = "union") -> KG:
     if strategy == "union":
         return KG(e, r.drop("_g"), meta)
     rest = [c for c in r.columns if c not in (*KEYS, "_g", "confidence")]
-    one = r.groupBy(*KEYS).agg(F.avg("confidence").alias("confidence"), *(F.min(c).alias(c) for c in rest), F.count_distinct("_g").alias("_n"))
+    # one flag for each graph: distinct counts would group all rows twice
+    held = reduce(lambda a, b: a + b, [F.max((F.col("_g") == k).cast("int")) for k in range(len(graphs))])
+    one = dealt(r, *KEYS).groupBy(*KEYS).agg(F.avg("confidence").alias("confidence"), *(F.min(c).alias(c) for c in rest), held.alias("_n"))
     if strategy == "intersection":
         one = one.where(F.col("_n") == len(graphs))
     entities = e.groupBy("id").agg(*(F.min_by(c, "ord").alias(c) for c in e.columns if c != "id"))
@@ -62,7 +66,10 @@ def similar_sets(rows: DataFrame, key: str, text: str, least: float = 0.5) -> Da
 
     Sets that are so alike share one of their rarest words: of n words the
     n - ceil(least x n) + 1 that fewest sets have. Sets meet by these only, so
-    a word that all texts have brings none together. least is over 0.
+    a word that all texts have brings none together. Where two meet, the place
+    of the shared word and a few parities of all words bound what they can
+    share (exact bounds), so words move only for the few that may be alike.
+    least is over 0.
     """
     if not 0 < least <= 1:
         raise ValueError("a likeness is over 0 and at most 1")
@@ -73,9 +80,20 @@ def similar_sets(rows: DataFrame, key: str, text: str, least: float = 0.5) -> Da
     uses = words.groupBy("_t").agg(F.count(F.lit(1)).alias("_u"))
     rare = Window.partitionBy("_id").orderBy("_u", "_t")  # the words of one text
     need = F.ceil(F.col("_n") * least - 1e-9)
-    first = words.join(uses, "_t").withColumn("_r", F.row_number().over(rare)).where(F.col("_r") <= F.col("_n") - need + 1).select("_id", "_n", "_t")
-    side = lambda s: first.select(F.col("_id").alias(s), F.col("_n").alias(f"_n{s}"), "_t")
-    met = side("a").join(side("b"), "_t").where((F.col("a") < F.col("b")) & (F.least("_na", "_nb") >= F.greatest("_na", "_nb") * least - 1e-9)).select("a", "b").distinct()
+    first = words.join(uses, "_t").withColumn("_r", F.row_number().over(rare)).where(F.col("_r") <= F.col("_n") - need + 1).select("_id", "_n", "_r", "_t")
+    # a bit tells whether an odd number of a set's words fall on it: sets differ by at least as many words as bits
+    h = F.xxhash64("_t")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+    of = F.pmod(F.call_function("shiftright", h, F.lit(8)), F.lit(PARITIES))
+    odd = words.groupBy("_id").agg(F.array(*(F.bit_xor(F.when(of == i, bit).otherwise(F.lit(0).cast("long"))) for i in range(PARITIES))).alias("_p"))
+    first = first.join(odd, "_id")
+    side = lambda s: first.select(F.col("_id").alias(s), "_t", *(F.col(c).alias(f"{c}{s}") for c in ("_n", "_r", "_p")))
+    differ = reduce(lambda a, b: a + b, [F.bit_count(F.col("_pa")[i].bitwiseXOR(F.col("_pb")[i])) for i in range(PARITIES)])
+    all_ = F.col("_na") + F.col("_nb")
+    shared = least / (1 + least) * all_ - 1e-6
+    long_ = F.least("_na", "_nb") >= F.greatest("_na", "_nb") * least - 1e-9
+    placed = F.least("_ra", "_rb") + F.least(F.col("_na") - F.col("_ra"), F.col("_nb") - F.col("_rb")) >= shared
+    met = side("a").join(side("b"), "_t").where((F.col("a") < F.col("b")) & long_ & placed & ((all_ - differ) / 2 >= shared)).select("a", "b").distinct()
     for s in ("a", "b"):
         met = met.join(own.select(F.col("_id").alias(s), F.col("_w").alias(f"_w{s}")), s)
     both = F.size(F.array_intersect("_wa", "_wb"))
