@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from . import windows
+from .lineage import checkpointed
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -78,18 +79,22 @@ def select_for_injection(links: DataFrame, seed: DataFrame, key: str, least: flo
     a candidate, rare relations first. They are taken in order up to the number
     of linked ids in each bucket and up to most in all.
     """
-    linked = links.select(key, F.col("kb_id").alias("head_kb_id")).distinct()
-    many = linked.groupBy(key).agg(F.count(F.lit(1)).alias("_linked"))
+    # texts with the same links have the same triples: they are chosen once for each set of links
+    sets = links.where(F.col(key).isNotNull()).groupBy(key).agg(F.count_if(F.col("kb_id").isNull()).alias("_null"), F.sort_array(F.collect_set("kb_id")).alias("_ids"))
+    sets = checkpointed(sets.select(key, "_ids", (F.size("_ids") + F.when(F.col("_null") > 0, 1).otherwise(0)).alias("_linked")))
+    own = checkpointed(sets.groupBy("_ids", "_linked").agg(F.min(key).alias("_set")))
+    linked = own.select("_set", "_linked", F.explode("_ids").alias("head_kb_id"))
     # once each before the join: what is repeated in the seed must not meet every text
     best = seed.where(F.col("score") >= least).groupBy("head_kb_id", "relation", "tail").agg(F.max("score").alias("score"), F.min("head").alias("head"))
     t = linked.join(best, "head_kb_id")
-    t = windows.small_buckets(t, [key], [F.desc("score"), "head_kb_id", "relation", "tail"], score_buckets)
-    best = windows.top_per(t, [key, "bucket", "relation"], [F.desc("score"), "head_kb_id", "tail"], 1)
-    rare = t.groupBy(key, "bucket", "relation").agg(F.count(F.lit(1)).alias("_n"))
-    best = windows.ranked(best.join(rare, [key, "bucket", "relation"]), [key, "bucket"], ["_n", "relation"], "_place").where(F.col("_place") <= relation_buckets)
-    best = best.join(many, key).where(F.col("_place") <= F.greatest(F.col("_linked"), F.lit(1)))
-    best = windows.ranked(best, [key], ["bucket", "_place"], "ord").where(F.col("ord") <= most)
-    return best.select(key, "ord", "head_kb_id", "head", "relation", "tail", "score")
+    t = windows.small_buckets(t, ["_set"], [F.desc("score"), "head_kb_id", "relation", "tail"], score_buckets)
+    # all that follows stays where the buckets were made
+    kind = Window.partitionBy("_set", "bucket", "relation")
+    t = windows.ranked(t.withColumn("_n", F.count(F.lit(1)).over(kind)), ["_set", "bucket", "relation"], [F.desc("score"), "head_kb_id", "tail"], "_first").where(F.col("_first") == 1)
+    t = windows.ranked(t, ["_set", "bucket"], ["_n", "relation"], "_place").where((F.col("_place") <= relation_buckets) & (F.col("_place") <= F.greatest(F.col("_linked"), F.lit(1))))
+    t = windows.ranked(t, ["_set"], ["bucket", "_place"], "ord").where(F.col("ord") <= most)
+    chosen = t.groupBy("_set").agg(F.collect_list(F.struct("ord", "head_kb_id", "head", "relation", "tail", "score")).alias("_t"))
+    return sets.join(own, ["_ids", "_linked"]).select(key, "_set").join(chosen, "_set").select(key, F.explode("_t").alias("_t")).select(key, "_t.*")
 
 
 def chosen_sequences(docs: DataFrame, order: str, ratio: float, entities: DataFrame | None = None) -> DataFrame:
