@@ -131,7 +131,8 @@ def clusters(entities: DataFrame, method: str, relations: DataFrame | None = Non
 
 
 def _components(kg: KG) -> DataFrame:
-    edges = graph_algorithms.simple_edges(kg).where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    # components drop loops, repeated edges and unknown ends themselves
+    edges = kg.relations.select(F.col("head").alias("src"), F.col("tail").alias("dst"))
     return graph_algorithms.components(kg.entities.select("id"), edges)
 
 

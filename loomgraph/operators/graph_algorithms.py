@@ -10,17 +10,30 @@ from pyspark.sql import functions as F
 from ..kg import KG
 from . import windows
 from .filters import induced, touched
-from .lineage import checkpointed
+from .lineage import checkpointed, dealt
+
+
+def numbered(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A number for each id (id, n), checkpointed, and the edges among them as numbers (src, dst), each as often as it is there.
+
+    Rounds over numbers shuffle and hold a small part of what ids would.
+    """
+    ids = checkpointed(nodes.select("id").distinct().withColumn("n", F.monotonically_increasing_id()))
+    out = edges.select("src", "dst")
+    for end in ("src", "dst"):
+        out = dealt(out, end).join(ids.select(F.col("id").alias(end), F.col("n").alias(f"_{end}")), end).drop(end)
+    return ids, out.select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, component of nodes (id) over edges (src, dst), the least id naming it; lone nodes are their own (GRF-1).
 
-    Labels sink along edges and jump to their labels' labels, so long paths
-    need few rounds; each round is checkpointed.
+    Labels are numbers; they sink along edges and jump to their labels' labels,
+    so long paths need few rounds; each round is checkpointed.
     """
-    inner = edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").where("src <> dst").select("src", "dst")
-    both = checkpointed(inner.unionByName(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    ids, inner = numbered(nodes, edges)
+    inner = inner.where("src <> dst")
+    both = checkpointed(dealt(inner.unionByName(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "src").distinct())
     labels = checkpointed(both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.first("src")).alias("component")))
     while True:
         low = both.join(labels.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("component").alias("low"))
@@ -31,7 +44,10 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = after.select("id", "component")
         if not changed:
             break
-    return nodes.select("id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    of = ids.join(labels.withColumnRenamed("id", "n"), "n").select("id", "component")
+    names = of.groupBy("component").agg(F.min("id").alias("_name"))
+    named = of.join(names, "component").select("id", F.col("_name").alias("component"))
+    return nodes.select("id").join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
 def distances(edges: DataFrame, most: int) -> DataFrame:
@@ -51,7 +67,8 @@ def simple_edges(kg: KG) -> DataFrame:
     """Undirected edges (a, b), one for each pair, with its last relation in order (GRF-4)."""
     known = induced(kg, kg.entities).relations
     order = F.struct("relation_type", "head", "tail")
-    return known.groupBy(F.least("head", "tail").alias("a"), F.greatest("head", "tail").alias("b")).agg(F.max_by("relation_type", order).alias("relation_type"), F.count(F.lit(1)).alias("parallel"))
+    known = dealt(known.withColumn("a", F.least("head", "tail")).withColumn("b", F.greatest("head", "tail")), "a", "b")
+    return known.groupBy("a", "b").agg(F.max_by("relation_type", order).alias("relation_type"), F.count(F.lit(1)).alias("parallel"))
 
 
 def degrees(kg: KG) -> DataFrame:
