@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..kg import KG
 from . import windows
 from .filters import induced, touched
-from .lineage import checkpointed, dealt
+from .lineage import at_rest, checkpointed, dealt, swept
 
 
 def numbered(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -94,14 +94,20 @@ def circular(nodes: DataFrame, by: str, order: str) -> DataFrame:
     return p.withColumn("x", F.round(F.cos(angle), 6)).withColumn("y", F.round(F.sin(angle), 6)).drop("_place", "_place_of")
 
 
+def both_ways(edges: DataFrame) -> DataFrame:
+    """src, dst of edges (src, dst) and of their reverse, made in one pass; loops are left out."""
+    end = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+    return edges.where("src <> dst").select(F.explode(F.array(end("src", "dst"), end("dst", "src"))).alias("e")).select("e.src", "e.dst")
+
+
 def rings(edges: DataFrame, centre: str, most: int) -> DataFrame:
-    """id, ring: hops from a centre, for shell and hierarchical layouts (VIZ-1); the edges are made once, before the first round."""
+    """id, ring: hops from a centre, for shell and hierarchical layouts (VIZ-1); the edges lie dealt by one end, and only the nodes of the rounds move."""
     spark = edges.sparkSession
-    both = checkpointed(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct())
+    both = at_rest(both_ways(edges), "src", checkpointed)
     known = frontier = spark.createDataFrame([(centre, 0)], "id string, ring int")
     for ring in range(1, most + 1):
         new = both.join(frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        frontier = checkpointed(new.join(known, "id", "left_anti").withColumn("ring", F.lit(ring)))
+        frontier = swept(checkpointed(new.join(known, "id", "left_anti").withColumn("ring", F.lit(ring))))
         if not frontier.limit(1).count():
             break
         known = known.unionByName(frontier)
